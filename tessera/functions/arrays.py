@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 # Fixed value: the label that losses ignore.
 IGNORE_INDEX = -100
 
@@ -15,8 +17,7 @@ def keep_first(ids: Column, n: int) -> Column:
 
 def keep_last(ids: Column, n: int) -> Column:
     """Left truncation: the last `n` ids."""
-    start = F.greatest(F.size(ids) - F.lit(n), F.lit(0)) + 1
-    return F.slice(ids, start, F.lit(n))
+    return let(ids, lambda x: F.slice(x, F.greatest(F.size(x) - F.lit(n), F.lit(0)) + 1, F.lit(n)))
 
 
 def not_pad(ids: Column, pad_id: int) -> Column:
@@ -34,11 +35,13 @@ def target_labels(ids: Column, target_len: Column, pad_id: int) -> Column:
 
     A target of no tokens leaves every label in place.
     """
-    first = F.when(target_len == 0, F.lit(0)).otherwise(F.size(ids) - target_len)
-    return F.transform(
-        ids,
-        lambda x, i: F.when((i < first) | (x == pad_id), F.lit(IGNORE_INDEX)).otherwise(x),
-    )
+    def labels(row: Column) -> Column:
+        hidden = F.when(row["n"] == 0, F.lit(0)).otherwise(F.size(row["ids"]) - row["n"])
+        return let(hidden, lambda first: F.transform(
+            row["ids"],
+            lambda x, i: F.when((i < first) | (x == pad_id), F.lit(IGNORE_INDEX)).otherwise(x)))
+
+    return let(F.struct(ids.alias("ids"), target_len.alias("n")), labels)
 
 
 def ignore_pads(ids: Column, pad_id: int) -> Column:
@@ -48,12 +51,14 @@ def ignore_pads(ids: Column, pad_id: int) -> Column:
 
 def pad_to(values: Column, length: Column, fill: Column, side: str = "right") -> Column:
     """Fill up to `length` on the given side; longer arrays stay as they are."""
-    missing = F.array_repeat(fill, F.greatest(length - F.size(values), F.lit(0)))
-    if side == "right":
-        return F.concat(values, missing)
-    if side == "left":
-        return F.concat(missing, values)
-    raise ValueError(f"unknown padding side: {side}")
+    if side not in ("left", "right"):
+        raise ValueError(f"unknown padding side: {side}")
+
+    def padded(x: Column) -> Column:
+        missing = F.array_repeat(fill, F.greatest(length - F.size(x), F.lit(0)))
+        return F.concat(x, missing) if side == "right" else F.concat(missing, x)
+
+    return let(values, padded)
 
 
 def resolve_block_size(requested: int | None, model_max: int, cap: int = 4096) -> int:

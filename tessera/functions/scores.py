@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 LOSS_TYPES = ("sigmoid", "hinge", "ipo", "kto_pair")
 
 
@@ -13,20 +15,21 @@ def _as_doubles(values: Column) -> Column:
 
 def log_normalizer(logits: Column) -> Column:
     """max + ln(sum(exp(x - max))): the denominator of log-softmax."""
-    values = _as_doubles(logits)
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return top + F.log(total)
+    def normalizer(values: Column) -> Column:
+        return let(F.array_max(values), lambda top: top + F.log(F.aggregate(
+            values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))))
+
+    return let(_as_doubles(logits), normalizer)
 
 
 def softmax(logits: Column) -> Column:
-    denominator = log_normalizer(logits)
-    return F.transform(_as_doubles(logits), lambda x: F.exp(x - denominator))
+    return let(log_normalizer(logits), lambda z: F.transform(
+        _as_doubles(logits), lambda x: F.exp(x - z)))
 
 
 def argmax(values: Column) -> Column:
     """0-based position of the largest value, the first one on ties."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def token_log_prob(logits: Column, token_id: Column, normalizer: Column) -> Column:
@@ -36,9 +39,8 @@ def token_log_prob(logits: Column, token_id: Column, normalizer: Column) -> Colu
 
 def entropy(logits: Column, normalizer: Column) -> Column:
     """-sum(p * ln p) of the softmax over `logits`."""
-    return -F.aggregate(
-        _as_doubles(logits), F.lit(0.0),
-        lambda acc, x: acc + F.exp(x - normalizer) * (x - normalizer))
+    return let(normalizer, lambda z: -F.aggregate(
+        _as_doubles(logits), F.lit(0.0), lambda acc, x: acc + F.exp(x - z) * (x - z)))
 
 
 def l1_distance(a: Column, b: Column) -> Column:

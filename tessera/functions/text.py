@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 # The separator between conversation segments, the blank line
 # between prompt segments, and the two role templates.
 SEGMENT_SEP = "[[SEP]]"
@@ -55,11 +57,14 @@ def last_segment(text: Column) -> Column:
     return F.substring_index(text, SEGMENT_SEP, -1)
 
 
+def _all_but_last(segs: Column) -> Column:
+    return F.slice(segs, F.lit(1), F.size(segs) - 1)
+
+
 def replace_last_segment(text: Column, response: Column) -> Column:
     """The conversation with its final segment exchanged for `response`."""
-    segs = segments(text)
-    kept = F.slice(segs, F.lit(1), F.size(segs) - 1)
-    return F.array_join(F.concat(kept, F.array(response)), SEGMENT_SEP)
+    return let(segments(text), lambda segs: F.array_join(
+        F.concat(_all_but_last(segs), F.array(response)), SEGMENT_SEP))
 
 
 def add_role_prefix(segs: Column, template_name: str | None = None) -> Column:
@@ -79,7 +84,8 @@ def has_empty_answer(segs: Column) -> Column:
 
 def even_segments(segs: Column) -> Column:
     """Segments with `''` appended when the assistant's turn is missing."""
-    return F.when(F.size(segs) % 2 == 1, F.concat(segs, F.array(F.lit("")))).otherwise(segs)
+    return let(segs, lambda s: F.when(
+        F.size(s) % 2 == 1, F.concat(s, F.array(F.lit("")))).otherwise(s))
 
 
 def reference_answer(text: Column) -> Column:
@@ -92,7 +98,7 @@ def generation_prompt(text: Column, template_name: str | None = None,
     """The prefixed conversation, its final answer blanked unless `with_last`."""
     segs = even_segments(segments(text))
     if not with_last:
-        segs = F.concat(F.slice(segs, F.lit(1), F.size(segs) - 1), F.array(F.lit("")))
+        segs = let(segs, lambda s: F.concat(_all_but_last(s), F.array(F.lit(""))))
     return F.array_join(add_role_prefix(segs, template_name), sep)
 
 

@@ -23,14 +23,6 @@ def drop_empty_answers(df: DataFrame, column: str = "text") -> DataFrame:
     return df.where(~tx.has_empty_answer(tx.segments(F.col(column))))
 
 
-def keep_shorter(df: DataFrame, block_size: int, *arrays: str) -> DataFrame:
-    """Keep rows whose array lengths add up to less than `block_size`."""
-    total = F.lit(0)
-    for name in arrays:
-        total = total + F.size(name)
-    return df.where(total < block_size)
-
-
 def drop_zero_length(df: DataFrame, column: str = "response_token_len") -> DataFrame:
     """Drop rows with length 0; an unknown length stays."""
     return df.where(~F.col(column).eqNullSafe(F.lit(0)))

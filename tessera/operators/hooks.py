@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from ..functions.binding import let
 from .tokenizers import words
 
 GENERATED = "array<struct<response:string,finish_reason:string,response_token_len:int>>"
@@ -95,14 +96,19 @@ class TrigramEmbedder(Embedder):
         self.size = size
 
     def vectors(self, text: Column) -> Column:
-        padded = F.concat(F.lit("  "), F.lower(text), F.lit("  "))
-        starts = F.sequence(F.lit(1), F.length(padded) - 2)
-        slots = F.transform(starts, lambda i: F.pmod(
-            F.conv(F.substring(F.md5(F.substring(padded, i, F.lit(3))), 1, 8), 16, 10).cast("bigint"),
-            F.lit(self.size)))
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(self.size - 1)),
-            lambda slot: F.size(F.filter(slots, lambda s: s == slot)).cast("float"))
+        def slots(padded: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(1), F.length(padded) - 2),
+                lambda i: F.pmod(F.conv(F.substring(F.md5(
+                    F.substring(padded, i, F.lit(3))), 1, 8), 16, 10).cast("bigint"),
+                    F.lit(self.size)).cast("int"))
+
+        def counts(found: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), F.lit(self.size - 1)),
+                lambda slot: (F.size(found) - F.size(F.array_remove(found, slot))).cast("float"))
+
+        return let(let(F.concat(F.lit("  "), F.lower(text), F.lit("  ")), slots), counts)
 
 
 class FunctionEmbedder(Embedder):

@@ -14,21 +14,18 @@ from ..session import stage
 
 def code_table(texts: DataFrame, references: DataFrame, embedder: Embedder | None = None,
                **search: object) -> DataFrame:
-    """(diag_text, code) for each distinct non-null text in column `diag_text`.
+    """(diag_text, code) for each row of `texts`, whose `diag_text` is unique.
 
     `references` has (ref_id, diag, diag_code). The nearest reference by L1
     distance between embeddings gives the code; ties go to the smaller id.
     """
     embedder = embedder or TrigramEmbedder()
-    distinct = texts.select("diag_text").dropna().distinct()
-    # Ids come from the text itself, so they survive a recomputation.
-    queries = distinct.withColumn("embedding", embedder.vectors(F.col("diag_text")))
+    queries = texts.select("diag_text", embedder.vectors(F.col("diag_text")).alias("embedding"))
     refs = references.where(F.col("diag").isNotNull()).select(
         "ref_id", embedder.vectors(F.col("diag")).alias("embedding"))
     nearest = nearest_reference(queries, refs, "diag_text", **search)
-    return lookup_join(
-        nearest, references.select("ref_id", F.col("diag_code").alias("code")), ["ref_id"]
-    ).select("diag_text", "code")
+    codes = references.select("ref_id", F.col("diag_code").alias("code"))
+    return lookup_join(nearest, codes, ["ref_id"]).select("diag_text", "code")
 
 
 def map_codes(df: DataFrame, columns: Mapping[str, str], references: DataFrame,
@@ -36,15 +33,18 @@ def map_codes(df: DataFrame, columns: Mapping[str, str], references: DataFrame,
     """Add a code column for each text column: {text column: code column}.
 
     Every distinct text is embedded and searched once, over all columns
-    together; the finished table is written out, as model work should not
-    run again for each column or lost executor. Null texts get null codes.
+    together. Counting the texts is the only extra pass over `df`; it also
+    tells which texts are too frequent for a plain join. The counts and the
+    finished codes are written out, so neither is computed twice, not even
+    when an executor is lost. Null texts get null codes.
     """
-    texts = None
-    for column in columns:
-        part = df.select(F.col(column).alias("diag_text"))
-        texts = part if texts is None else texts.unionByName(part)
-    table = stage(code_table(texts, references, embedder, **search), "codes")
+    texts = stage(
+        df.select(F.explode(F.array(*columns)).alias("diag_text"))
+        .where(F.col("diag_text").isNotNull())
+        .groupBy("diag_text").agg(F.count(F.lit(1)).alias("n")), "texts")
+    codes = stage(code_table(texts, references, embedder, **search), "codes")
     for column, out in columns.items():
-        named = table.select(F.col("diag_text").alias(column), F.col("code").alias(out))
-        df = lookup_join(df, named, [column])
+        named = codes.select(F.col("diag_text").alias(column), F.col("code").alias(out))
+        counts = texts.withColumnRenamed("diag_text", column)
+        df = lookup_join(df, named, [column], counts=counts)
     return df

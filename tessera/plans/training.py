@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as ar, text as tx
+from ..functions.binding import let
 from ..operators import filters
 from ..operators.packing import pack_blocks, pad_batches
 from ..operators.tokenizers import HashTokenizer, Tokenizer
@@ -13,38 +14,29 @@ LM_TYPES = ("dec", "encdec")
 _TAGS = ("qid", "data_group")
 
 
-def _ids_and_labels(source: Column, target: Column, tokenizer: Tokenizer, block_size: int,
-                    lm_type: str, out: str = "") -> dict[str, Column]:
-    """`input_ids`/`labels` of a (source, target) pair, cut at two blocks."""
+def _encoded(source: Column, target: Column, tokenizer: Tokenizer, block_size: int,
+             lm_type: str) -> Column:
+    """struct(ids, labels) of a (source, target) pair, cut at two blocks."""
     limit = 2 * block_size
     if lm_type == "dec":
         ids = tokenizer.encode(F.concat_ws(" ", source, target), limit)
         target_len = F.size(tokenizer.encode(target, limit))
-        labels = ar.target_labels(F.col("_ids" + out), target_len, tokenizer.pad_id)
-    elif lm_type == "encdec":
-        ids = tokenizer.encode(source, limit)
+        # Both calls stay outside the lambda, where a Python tokenizer could not run.
+        return let(F.struct(ids.alias("ids"), target_len.alias("n")), lambda r: F.struct(
+            r["ids"].alias("ids"),
+            ar.target_labels(r["ids"], r["n"], tokenizer.pad_id).alias("labels")))
+    if lm_type == "encdec":
         labels = ar.ignore_pads(tokenizer.encode(target, limit), tokenizer.pad_id)
-    else:
-        raise ValueError(f"unexpected lm_type: {lm_type}; expected one of {LM_TYPES}")
-    return {"_ids" + out: ids, "_labels" + out: labels}
+        return F.struct(tokenizer.encode(source, limit).alias("ids"), labels.alias("labels"))
+    raise ValueError(f"unexpected lm_type: {lm_type}; expected one of {LM_TYPES}")
 
 
-def _tokenised(df: DataFrame, source: Column, target: Column, tokenizer: Tokenizer,
-               block_size: int, lm_type: str, out: str = "") -> DataFrame:
-    columns = _ids_and_labels(source, target, tokenizer, block_size, lm_type, out)
-    for name, column in columns.items():
-        df = df.withColumn(name, column)
-    return df
-
-
-def _training_arrays(tokenizer: Tokenizer, block_size: int, out: str = "") -> list[Column]:
-    """The three arrays of a row, cut from the front to one block."""
-    ids = ar.keep_last(F.col("_ids" + out), block_size)
-    return [
-        ids.alias("input_ids" + out),
-        ar.keep_last(F.col("_labels" + out), block_size).alias("labels" + out),
-        ar.not_pad(ids, tokenizer.pad_id).alias("attention_mask" + out),
-    ]
+def _training_arrays(row: Column, tokenizer: Tokenizer, block_size: int, suffix: str = "") -> Column:
+    """struct of the three arrays of a row, cut from the front to one block."""
+    return let(ar.keep_last(row["ids"], block_size), lambda ids: F.struct(
+        ids.alias("input_ids" + suffix),
+        ar.keep_last(row["labels"], block_size).alias("labels" + suffix),
+        ar.not_pad(ids, tokenizer.pad_id).alias("attention_mask" + suffix)))
 
 
 def chosen_turn(segs: Column, seed: int, key: Column, trainable_round: Column | None = None) -> Column:
@@ -87,11 +79,19 @@ def prepare_sft(rows: DataFrame, tokenizer: Tokenizer | None = None, block_size:
         filters.select_known(rows, ["text", "qid", "trainable_round", "data_group"]),
         template_name, seed)
     target = F.concat(F.col("target"), F.lit(tokenizer.eos_token))
-    encoded = _tokenised(pairs, F.col("source"), target, tokenizer, block_size, lm_type)
-    arrays = ("_ids",) if lm_type == "dec" else ("_ids", "_labels")
-    kept = filters.keep_shorter(encoded, block_size, *arrays)
-    tags = [c for c in _TAGS if c in kept.columns]
-    return kept.select(*tags, *_training_arrays(tokenizer, block_size))
+    row = _encoded(F.col("source"), target, tokenizer, block_size, lm_type)
+    # Filtering the one-row array, not the table, tokenises each text once:
+    # a table filter on the length would be pushed below and repeat the work.
+    short = F.filter(F.array(row), lambda r: _length(r, lm_type) < block_size)
+    tags = [c for c in _TAGS if c in pairs.columns]
+    return pairs.select(*tags, F.inline(F.transform(
+        short, lambda r: _training_arrays(r, tokenizer, block_size))))
+
+
+def _length(row: Column, lm_type: str) -> Column:
+    """What must stay below the block size: all ids the model sees."""
+    ids = F.size(row["ids"])
+    return ids if lm_type == "dec" else ids + F.size(row["labels"])
 
 
 def prepare_classification(rows: DataFrame, tokenizer: Tokenizer | None = None,
@@ -129,13 +129,13 @@ def prepare_preference(rows: DataFrame, tokenizer: Tokenizer | None = None,
     roles = tx.template(template_name)
     source = F.concat(F.lit(roles["user"]), tx.first_segment(F.col("text")))
     tags = [c for c in _TAGS if c in known.columns]
-    out = []
+    answers = {}
     for column, suffix in (("text", ""), ("accepted", "_accepted"), ("rejected", "_rejected")):
         target = F.concat(F.lit(roles["assistant"]), tx.last_segment(F.col(column)),
                           F.lit(tokenizer.eos_token))
-        complete = _tokenised(complete, source, target, tokenizer, block_size, lm_type, suffix)
-        out += _training_arrays(tokenizer, block_size, suffix)
-    return complete.select(*tags, *out)
+        answers["_" + column] = _training_arrays(
+            _encoded(source, target, tokenizer, block_size, lm_type), tokenizer, block_size, suffix)
+    return complete.withColumns(answers).select(*tags, *[f"{name}.*" for name in answers])
 
 
 def prepare_pretraining(lines: DataFrame, tokenizer: Tokenizer | None = None,
