@@ -15,7 +15,8 @@ def pack_blocks(rows: DataFrame, block_size: int, group_rows: int = 1000, ids: s
                 keep_tail: bool = False) -> DataFrame:
     """Concatenate token lists and cut them into blocks of `block_size`.
 
-    Rows are packed in groups of `group_rows` consecutive rows; what does not
+    Rows are packed in groups of up to `group_rows` consecutive rows, and
+    never across different values of the `within` columns; what does not
     fill a block at the end of a group is dropped unless `keep_tail`. Each
     row is sent on as the slices that fall into its blocks, never as one row
     per token, and the blocks are put together under the partitioning of the

@@ -62,6 +62,11 @@ def take_head(df: DataFrame, n: int | None, order_by: Sequence[str] = ("row_id",
     return df if not n else df.orderBy(*order_by).limit(n)
 
 
+def _quotient(value: Column, by: int) -> Column:
+    """Whole-number division that stays exact for any 64-bit value."""
+    return F.call_function("div", value, F.lit(by).cast("bigint"))
+
+
 def chunk_of(row_id: Column, n_rows: int, chunk_size: int) -> Column:
     """Chunk number when `n_rows` are cut into near-equal chunks.
 
@@ -73,11 +78,10 @@ def chunk_of(row_id: Column, n_rows: int, chunk_size: int) -> Column:
     chunks = -(-n_rows // chunk_size)
     small, larger = divmod(n_rows, chunks)
     edge = larger * (small + 1)
-    in_larger = F.floor(row_id / F.lit(small + 1))
-    in_small = F.lit(larger) + F.floor((row_id - F.lit(edge)) / F.lit(max(small, 1)))
-    return F.when(row_id < edge, in_larger).otherwise(in_small).cast("bigint")
+    return F.when(row_id < edge, _quotient(row_id, small + 1)).otherwise(
+        F.lit(larger) + _quotient(row_id - F.lit(edge), max(small, 1)))
 
 
 def batch_of(row_id: Column, batch_size: int) -> Column:
     """Batch number of fixed-size consecutive batches; the last may be short."""
-    return F.floor(row_id / F.lit(batch_size)).cast("bigint")
+    return _quotient(row_id.cast("bigint"), batch_size)

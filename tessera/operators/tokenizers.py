@@ -16,6 +16,7 @@ from .position import with_row_id
 
 PAD_ID, UNK_ID, EOS_ID, FIRST_WORD_ID = 0, 1, 2, 3
 PAD_TOKEN, UNK_TOKEN, EOS_TOKEN = "<pad>", "<unk>", "</s>"
+UNLIMITED = 1 << 30
 _WORD = r"[^ \t\n\r\f]+"
 
 
@@ -31,7 +32,7 @@ class Tokenizer:
     pad_id = PAD_ID
     eos_id = EOS_ID
     eos_token = EOS_TOKEN
-    model_max_length = 4096
+    model_max_length = UNLIMITED
 
     def ids(self, text: Column) -> Column:
         raise NotImplementedError
@@ -54,7 +55,7 @@ class Tokenizer:
 class HashTokenizer(Tokenizer):
     """Words hashed into a fixed id range: no vocabulary to build or ship."""
 
-    def __init__(self, n_ids: int = 50_000, model_max_length: int = 4096):
+    def __init__(self, n_ids: int = 50_000, model_max_length: int = UNLIMITED):
         self.n_ids = n_ids
         self.model_max_length = model_max_length
 

@@ -25,7 +25,10 @@ def code_table(texts: DataFrame, references: DataFrame, embedder: Embedder | Non
         "ref_id", embedder.vectors(F.col("diag")).alias("embedding"))
     nearest = nearest_reference(queries, refs, "diag_text", **search)
     codes = references.select("ref_id", F.col("diag_code").alias("code"))
-    return lookup_join(nearest, codes, ["ref_id"]).select("diag_text", "code")
+    # Both sides reach this join straight from their own shuffle, so adaptive
+    # execution can split a code that very many texts map to. Counting first,
+    # as `lookup_join` does, would run the search twice.
+    return nearest.join(codes, "ref_id", "left").select("diag_text", "code")
 
 
 def map_codes(df: DataFrame, columns: Mapping[str, str], references: DataFrame,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import arrays as ar, text as tx
 from ..functions.binding import let
 from ..operators import filters
 from ..operators.packing import pack_blocks, pad_batches
 from ..operators.tokenizers import HashTokenizer, Tokenizer
+from ..sources.readers import read_text_lines
 
 LM_TYPES = ("dec", "encdec")
 _TAGS = ("qid", "data_group")
@@ -60,7 +61,8 @@ def conversation_pairs(rows: DataFrame, template_name: str | None = None, seed:
         "_segs", tx.segments(F.col("text")))
     usable = usable.where(F.size("_segs") >= 2)
     asked = F.col("trainable_round") if "trainable_round" in rows.columns else None
-    turn = chosen_turn(F.col("_segs"), seed, F.col(key), asked)
+    drawn_by = F.col(key) if key in rows.columns else F.col("text")
+    turn = chosen_turn(F.col("_segs"), seed, drawn_by, asked)
     prefixed = tx.add_role_prefix(F.slice("_segs", F.lit(1), F.col("_turn") * 2), template_name)
     return (
         usable.withColumn("_turn", turn).withColumn("_texts", prefixed)
@@ -71,10 +73,12 @@ def conversation_pairs(rows: DataFrame, template_name: str | None = None, seed:
     )
 
 
-def prepare_sft(rows: DataFrame, tokenizer: Tokenizer | None = None, block_size: int = 4096,
-                lm_type: str = "dec", template_name: str | None = None, seed: int = 42) -> DataFrame:
+def prepare_sft(rows: DataFrame, tokenizer: Tokenizer | None = None,
+                block_size: int | None = None, lm_type: str = "dec",
+                template_name: str | None = None, seed: int = 42) -> DataFrame:
     """Fine-tuning table: input_ids, labels, attention_mask and the row's tags."""
-    tokenizer = tokenizer or HashTokenizer(model_max_length=2 * block_size)
+    tokenizer = tokenizer or HashTokenizer()
+    block_size = ar.resolve_block_size(block_size, tokenizer.model_max_length)
     pairs = conversation_pairs(
         filters.select_known(rows, ["text", "qid", "trainable_round", "data_group"]),
         template_name, seed)
@@ -95,9 +99,10 @@ def _length(row: Column, lm_type: str) -> Column:
 
 
 def prepare_classification(rows: DataFrame, tokenizer: Tokenizer | None = None,
-                           block_size: int = 4096) -> DataFrame:
+                           block_size: int | None = None) -> DataFrame:
     """Classification table: ids of the first segment and the label or -100."""
-    tokenizer = tokenizer or HashTokenizer(model_max_length=block_size)
+    tokenizer = tokenizer or HashTokenizer()
+    block_size = ar.resolve_block_size(block_size, tokenizer.model_max_length)
     known = filters.drop_null_text(
         filters.select_known(rows, ["text", "qid", "label", "data_group"]))
     label = F.col("label") if "label" in known.columns else F.lit(None)
@@ -115,14 +120,15 @@ def incomplete_pairs(rows: DataFrame) -> DataFrame:
 
 
 def prepare_preference(rows: DataFrame, tokenizer: Tokenizer | None = None,
-                       block_size: int = 4096, lm_type: str = "dec",
+                       block_size: int | None = None, lm_type: str = "dec",
                        template_name: str | None = None) -> DataFrame:
     """Preference table: the three arrays for the text and both answers.
 
     The first segment of `text` is the question; the last segments of
     `text`, `accepted` and `rejected` are the answers to it.
     """
-    tokenizer = tokenizer or HashTokenizer(model_max_length=2 * block_size)
+    tokenizer = tokenizer or HashTokenizer()
+    block_size = ar.resolve_block_size(block_size, tokenizer.model_max_length)
     known = filters.select_known(
         rows, ["text", "qid", "trainable_round", "accepted", "rejected", "data_group"])
     complete = known.dropna(subset=["text", "accepted", "rejected"])
@@ -139,14 +145,26 @@ def prepare_preference(rows: DataFrame, tokenizer: Tokenizer | None = None,
 
 
 def prepare_pretraining(lines: DataFrame, tokenizer: Tokenizer | None = None,
-                        block_size: int = 4096, add_special: bool = True,
-                        group_rows: int = 1000, within: tuple[str, ...] = (),
-                        keep_tail: bool = False) -> DataFrame:
-    """Packed blocks of the lines' ids; `lines` has (text, row_id)."""
-    tokenizer = tokenizer or HashTokenizer(model_max_length=1 << 30)
+                        block_size: int | None = None, add_special: bool = True,
+                        group_rows: int = 1000, row_id: str = "row_id",
+                        within: tuple[str, ...] = (), keep_tail: bool = False) -> DataFrame:
+    """Packed blocks of the lines' ids, in groups of consecutive lines."""
+    tokenizer = tokenizer or HashTokenizer()
+    block_size = ar.resolve_block_size(block_size, tokenizer.model_max_length)
     ids = tokenizer.encode(F.col("text"), add_special=add_special)
-    encoded = lines.select(*within, "row_id", ids.alias("input_ids"))
-    return pack_blocks(encoded, block_size, group_rows, within=within, keep_tail=keep_tail)
+    encoded = lines.select(*within, row_id, ids.alias("input_ids"))
+    return pack_blocks(
+        encoded, block_size, group_rows, row_id=row_id, within=within, keep_tail=keep_tail)
+
+
+def pretraining_from_files(spark: SparkSession, paths: str, **options: object) -> DataFrame:
+    """Packed blocks of text files, each split of a file packed on its own.
+
+    A split is read by one task in file order, so its lines need no global
+    numbering: the only shuffle is that of the packing itself.
+    """
+    lines = read_text_lines(spark, paths, order_columns=True)
+    return prepare_pretraining(lines, row_id="_line", within=("_path", "_split"), **options)
 
 
 def training_batches(table: DataFrame, batch_size: int, tokenizer: Tokenizer | None = None,

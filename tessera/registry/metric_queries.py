@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as sc
 from ..operators import metrics
-from ..plans import inference, training
+from ..plans import inference, preference_eval, training
 from ..session import fresh_path
 from ..sources.writers import write_jsonl
 from ..streaming.incremental import stream_generation
@@ -56,6 +56,32 @@ def masked_entropy(spark, sf_dir):
     return _scored_tokens(spark, sf_dir).agg(F.round(mean, 6).alias("entropy"))
 
 
+def _pair_tokens(spark, sf_dir):
+    """Four consecutive sequences make a pair, two pairs a batch."""
+    order = F.array(*[F.lit(name) for name in preference_eval.SEQUENCES])
+    return views.token_logits(spark, sf_dir).select(
+        F.floor(F.col("seq_id") / 4).alias("pair_id"), F.floor(F.col("seq_id") / 8).alias("batch_id"),
+        F.get(order, (F.col("seq_id") % 4).cast("int")).alias("sequence"),
+        "pos", "token_id", "label", "logits")
+
+
+def preference_logps(spark, sf_dir):
+    rows = preference_eval.pair_logps(_pair_tokens(spark, sf_dir))
+    return rows.select("pair_id", "batch_id", *[
+        F.round(name, 6).alias(name) for name in preference_eval.SEQUENCES])
+
+
+def preference_evaluation(spark, sf_dir):
+    """From token logits of both models to the metrics of each batch."""
+    rows = preference_eval.evaluate(_pair_tokens(spark, sf_dir))
+    return rows.select("split", "batch_id", "key", F.round("value", 6).alias("value"))
+
+
+def preference_entropy(spark, sf_dir):
+    rows = preference_eval.batch_entropies(_pair_tokens(spark, sf_dir))
+    return rows.select("batch_id", "sequence", F.round("entropy", 6).alias("entropy"))
+
+
 def _loss(loss_type, **options):
     def query(spark, sf_dir):
         rows = metrics.preference_loss(views.pair_logps(spark, sf_dir), loss_type, **options)
@@ -114,7 +140,8 @@ def generate_stream(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    clf_infer, clf_accuracy, clf_batch, seq_logps, masked_mean, masked_entropy, dpo_kto, dpo_metrics,
+    clf_infer, clf_accuracy, clf_batch, seq_logps, masked_mean, masked_entropy, preference_logps,
+    preference_evaluation, preference_entropy, dpo_kto, dpo_metrics,
     dpo_metric_log, generate_batch, generate_resume, generate_stream)}
 QUERIES.update({
     "dpo_sigmoid": _loss("sigmoid", label_smoothing=0.1),
@@ -134,6 +161,13 @@ _TOKENS = {
           CASE WHEN next_label <> -100 THEN 1 ELSE 0 END AS mask
         FROM shifted WHERE next_id IS NOT NULL""",
 }
+_ROLES = "['policy_chosen', 'policy_rejected', 'ref_chosen', 'ref_rejected']"
+_PAIR_LOGPS = """
+    SELECT seq_id // 4 AS pair_id, any_value(seq_id // 8) AS batch_id, {columns}
+    FROM (SELECT seq_id, sum(log_prob * mask) AS logps FROM scored_tokens GROUP BY seq_id)
+    GROUP BY seq_id // 4 HAVING count(*) = 4""".format(columns=", ".join(
+        f"max(logps) FILTER (WHERE seq_id % 4 = {n}) AS {name}"
+        for n, name in enumerate(preference_eval.SEQUENCES)))
 _Z = "((policy_chosen - policy_rejected) - (ref_chosen - ref_rejected))"
 _CHOSEN, _REJECTED = "(policy_chosen - ref_chosen)", "(policy_rejected - ref_rejected)"
 
@@ -147,7 +181,7 @@ def _loss_sql(loss: str) -> str:
         SELECT pair_id, policy_chosen, policy_rejected, round({loss}, 6) AS loss FROM pair_logps""")
 
 
-def _batch_sql(split: str, loss: str, beta: float) -> str:
+def _batch_sql(split: str, loss: str, beta: float, source: str = "pair_logps") -> str:
     prefix = "eval_" if split == "eval" else ""
     values = {
         "loss": f"avg({loss})",
@@ -161,7 +195,7 @@ def _batch_sql(split: str, loss: str, beta: float) -> str:
     }
     return " UNION ALL ".join(
         f"SELECT '{split}' AS split, batch_id, '{key}' AS key, {value} AS value "
-        f"FROM pair_logps GROUP BY batch_id" for key, value in values.items())
+        f"FROM {source} GROUP BY batch_id" for key, value in values.items())
 
 
 _SIGMOID = f"-{_log_sigmoid(_Z)}"
@@ -204,6 +238,18 @@ SQL = {
     "masked_entropy": with_views("token_logits", """
         SELECT round(sum(entropy * mask) / (sum(mask) + 1e-8), 6) AS entropy FROM scored_tokens""",
         **_TOKENS),
+    "preference_logps": with_views("token_logits", """
+        SELECT pair_id, batch_id, round(policy_chosen, 6) AS policy_chosen,
+          round(policy_rejected, 6) AS policy_rejected, round(ref_chosen, 6) AS ref_chosen,
+          round(ref_rejected, 6) AS ref_rejected FROM token_pairs""",
+        **_TOKENS, token_pairs=_PAIR_LOGPS),
+    "preference_evaluation": with_views(
+        "token_logits", "SELECT split, batch_id, key, round(value, 6) AS value FROM stored",
+        **_TOKENS, token_pairs=_PAIR_LOGPS, stored=_batch_sql("eval", _SIGMOID, 1, "token_pairs")),
+    "preference_entropy": with_views("token_logits", f"""
+        SELECT seq_id // 8 AS batch_id, {_ROLES}[seq_id % 4 + 1] AS sequence,
+          round(sum(entropy * mask) / (sum(mask) + 1e-8), 6) AS entropy
+        FROM scored_tokens GROUP BY ALL""", **_TOKENS),
     "dpo_sigmoid": _loss_sql(_SMOOTH),
     "dpo_hinge": _loss_sql(f"greatest(0, 1 - {_Z})"),
     "dpo_ipo": _loss_sql(f"({_Z} - 0.5) * ({_Z} - 0.5)"),

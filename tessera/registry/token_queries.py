@@ -21,13 +21,13 @@ def _text(*names):
 
 
 def tokenize_ws(spark, sf_dir):
-    ids = tokenizers.HashTokenizer(model_max_length=1 << 30).encode(F.col("text"))
+    ids = tokenizers.HashTokenizer().encode(F.col("text"))
     rows = views.documents(spark, sf_dir).select("doc_id", ids.alias("input_ids"))
     return rows.select("doc_id", F.size("input_ids").alias("n_tokens"), *_text("input_ids"))
 
 
 def token_lengths(spark, sf_dir):
-    tokenizer = tokenizers.HashTokenizer(model_max_length=1 << 30)
+    tokenizer = tokenizers.HashTokenizer()
     ids = tokenizer.encode(F.col("text"), add_eos=True)
     return views.documents(spark, sf_dir).select(
         "doc_id", ar.count_tokens(ids, tokenizer.pad_id).alias("n_tokens"))
@@ -90,7 +90,7 @@ def dpo_prepare(spark, sf_dir):
 def pack_blocks(spark, sf_dir):
     """Documents packed whole, the last short block of each group kept."""
     rows = with_row_id(views.documents(spark, sf_dir), ["doc_id"])
-    ids = tokenizers.HashTokenizer(model_max_length=1 << 30).encode(F.col("text"))
+    ids = tokenizers.HashTokenizer().encode(F.col("text"))
     blocks = pack(rows.select("row_id", ids.alias("input_ids")), BLOCK, group_rows=100, keep_tail=True)
     return blocks.select("pack_group", "block", *_text("input_ids"))
 

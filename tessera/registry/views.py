@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..sources.readers import read_table
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A given table; `spread` where much is computed per row before a shuffle."""
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread)
 
 
 def code(k: Column) -> Column:
@@ -36,7 +37,7 @@ def _index() -> Column:
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generated answer per order line; the order is the question."""
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem", spread=True).select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_linestatus")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -121,12 +122,12 @@ def sft_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
 
 
 def clf_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
+    return table(spark, sf_dir, "documents", spread=True).join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("qid"), "text", F.col("quality").alias("label"))
 
 
@@ -134,7 +135,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question per document; toxic documents have an empty answer."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     answer = F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.col("source"))
-    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
+    return table(spark, sf_dir, "documents", spread=True).join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("qid"),
         F.concat(F.lit("Where is document "), F.col("doc_id").cast("string"),
                  F.lit(" from?[[SEP]]"), answer).alias("text"))
