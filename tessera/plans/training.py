@@ -15,21 +15,27 @@ LM_TYPES = ("dec", "encdec")
 _TAGS = ("qid", "data_group")
 
 
-def _encoded(source: Column, target: Column, tokenizer: Tokenizer, block_size: int,
-             lm_type: str) -> Column:
-    """struct(ids, labels) of a (source, target) pair, cut at two blocks."""
-    limit = 2 * block_size
+def _tokenised(df: DataFrame, source: Column, target: Column, tokenizer: Tokenizer,
+               block_size: int, lm_type: str, name: str = "_row") -> DataFrame:
+    """Add struct(ids, labels) of a (source, target) pair, cut at two blocks.
+
+    Token ids are columns of their own first: a Python tokenizer cannot be
+    called inside the array functions that go on from them.
+    """
+    if lm_type not in LM_TYPES:
+        raise ValueError(f"unexpected lm_type: {lm_type}; expected one of {LM_TYPES}")
+    text = F.concat_ws(" ", source, target) if lm_type == "dec" else source
+    df = df.withColumns({
+        name + "_ids": tokenizer.encode(text, 2 * block_size),
+        name + "_goal": tokenizer.encode(target, 2 * block_size)})
+    ids, goal = F.col(name + "_ids"), F.col(name + "_goal")
     if lm_type == "dec":
-        ids = tokenizer.encode(F.concat_ws(" ", source, target), limit)
-        target_len = F.size(tokenizer.encode(target, limit))
-        # Both calls stay outside the lambda, where a Python tokenizer could not run.
-        return let(F.struct(ids.alias("ids"), target_len.alias("n")), lambda r: F.struct(
+        row = let(F.struct(ids.alias("ids"), F.size(goal).alias("n")), lambda r: F.struct(
             r["ids"].alias("ids"),
             ar.target_labels(r["ids"], r["n"], tokenizer.pad_id).alias("labels")))
-    if lm_type == "encdec":
-        labels = ar.ignore_pads(tokenizer.encode(target, limit), tokenizer.pad_id)
-        return F.struct(tokenizer.encode(source, limit).alias("ids"), labels.alias("labels"))
-    raise ValueError(f"unexpected lm_type: {lm_type}; expected one of {LM_TYPES}")
+    else:
+        row = F.struct(ids.alias("ids"), ar.ignore_pads(goal, tokenizer.pad_id).alias("labels"))
+    return df.withColumn(name, row).drop(name + "_ids", name + "_goal")
 
 
 def _training_arrays(row: Column, tokenizer: Tokenizer, block_size: int, suffix: str = "") -> Column:
@@ -83,12 +89,12 @@ def prepare_sft(rows: DataFrame, tokenizer: Tokenizer | None = None,
         filters.select_known(rows, ["text", "qid", "trainable_round", "data_group"]),
         template_name, seed)
     target = F.concat(F.col("target"), F.lit(tokenizer.eos_token))
-    row = _encoded(F.col("source"), target, tokenizer, block_size, lm_type)
+    encoded = _tokenised(pairs, F.col("source"), target, tokenizer, block_size, lm_type)
     # Filtering the one-row array, not the table, tokenises each text once:
     # a table filter on the length would be pushed below and repeat the work.
-    short = F.filter(F.array(row), lambda r: _length(r, lm_type) < block_size)
+    short = F.filter(F.array(F.col("_row")), lambda r: _length(r, lm_type) < block_size)
     tags = [c for c in _TAGS if c in pairs.columns]
-    return pairs.select(*tags, F.inline(F.transform(
+    return encoded.select(*tags, F.inline(F.transform(
         short, lambda r: _training_arrays(r, tokenizer, block_size))))
 
 
@@ -135,13 +141,16 @@ def prepare_preference(rows: DataFrame, tokenizer: Tokenizer | None = None,
     roles = tx.template(template_name)
     source = F.concat(F.lit(roles["user"]), tx.first_segment(F.col("text")))
     tags = [c for c in _TAGS if c in known.columns]
-    answers = {}
+    answers = []
     for column, suffix in (("text", ""), ("accepted", "_accepted"), ("rejected", "_rejected")):
         target = F.concat(F.lit(roles["assistant"]), tx.last_segment(F.col(column)),
                           F.lit(tokenizer.eos_token))
-        answers["_" + column] = _training_arrays(
-            _encoded(source, target, tokenizer, block_size, lm_type), tokenizer, block_size, suffix)
-    return complete.withColumns(answers).select(*tags, *[f"{name}.*" for name in answers])
+        row = "_" + column
+        complete = _tokenised(complete, source, target, tokenizer, block_size, lm_type, row)
+        complete = complete.withColumn(
+            row, _training_arrays(F.col(row), tokenizer, block_size, suffix))
+        answers.append(row + ".*")
+    return complete.select(*tags, *answers)
 
 
 def prepare_pretraining(lines: DataFrame, tokenizer: Tokenizer | None = None,

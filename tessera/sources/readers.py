@@ -119,7 +119,7 @@ def _read_format(spark: SparkSession, fmt: str, paths: list[str], schema: T.Stru
             df = reader.option("inferSchema", True).csv(paths)
         return _tag(df, provenance, order_columns)
     if fmt == "json":
-        text = spark.read.option("wholetext", True).text(paths)
+        text = spark.read.text(paths, wholetext=True)
         return _json_documents(_tag(text, provenance, order_columns), schema)
     if fmt in ("csv.zip", "json.zip", "jsonl.zip"):
         archives = spark.read.format("binaryFile").load(paths)
