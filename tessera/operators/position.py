@@ -11,19 +11,25 @@ from ..session import stage
 _OFFSET_BITS = 33
 
 
-def with_row_id(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_id") -> DataFrame:
+def with_row_id(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_id",
+                replayable: bool = False) -> DataFrame:
     """Number all rows 0..n-1 in the given order, without a one-task sort.
 
     Rows are range-partitioned and sorted, written once to the shared folder
     together with their (partition, offset), and shifted by the sizes of the
     partitions before theirs. Only that table of sizes, one row per
-    partition, is summed in a single task and broadcast. Equal order keys
-    are spread by the position they were read at, so a large group of ties
-    does not fall into one partition.
+    partition, is summed in a single task and broadcast.
+
+    Equal order keys are told apart by the position they were read at, so a
+    large group of ties spreads over partitions. That position must come out
+    the same if a lost task runs again: `replayable` says that `df` is a file
+    scan without a shuffle after it. Anything else is written out first,
+    which also spares computing it twice, as range partitioning samples it.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     ranged = (
-        df.withColumn("_tie", F.monotonically_increasing_id())
+        (df if replayable else stage(df, "unnumbered"))
+        .withColumn("_tie", F.monotonically_increasing_id())
         .repartitionByRange(*order, F.col("_tie"))
         .sortWithinPartitions(*order, F.col("_tie"))
         .withColumn("_slot", F.monotonically_increasing_id())

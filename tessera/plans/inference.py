@@ -88,8 +88,14 @@ def generate(rows: DataFrame, generator: Generator | None = None, policy: str =
 
 def run_generation(rows: DataFrame, output: str, key: str, generator: Generator | None = None,
                    resume: bool = False, head: int | None = None, rank: int | None = None,
-                   world: int | None = None, rows_per_file: int = 64, **options: object) -> str:
-    """Generate and append; with `resume`, only what `output` does not hold yet."""
+                   world: int | None = None, rows_per_file: int | None = None,
+                   **options: object) -> str:
+    """Generate and append; with `resume`, only what `output` does not hold yet.
+
+    A finished task commits its file as a whole, so small files are not
+    needed for safety; `rows_per_file` caps them where a reader wants that.
+    `head` and shards go by a `row_id` column.
+    """
     spark = rows.sparkSession
     done = None
     if resume:

@@ -79,6 +79,18 @@ def conversation_pairs(rows: DataFrame, template_name: str | None = None, seed:
     )
 
 
+def unusable_conversations(rows: DataFrame) -> DataFrame:
+    """How many rows `conversation_pairs` leaves out, by the first reason met."""
+    segs = tx.segments(F.col("text"))
+    reason = (
+        F.when(F.col("text").isNull(), "no text")
+        .when(tx.has_empty_answer(segs), "empty answer")
+        .when(F.size(segs) < 2, "no complete turn")
+    )
+    return rows.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("reason").isNotNull())
+
+
 def prepare_sft(rows: DataFrame, tokenizer: Tokenizer | None = None,
                 block_size: int | None = None, lm_type: str = "dec",
                 template_name: str | None = None, seed: int = 42) -> DataFrame:

@@ -47,7 +47,7 @@ def sink_append(spark, sf_dir):
 
 def sink_shards(spark, sf_dir):
     path = fresh_path(spark, "shards")
-    rows = with_row_id(_labels(spark, sf_dir), ["doc_id"])
+    rows = with_row_id(_labels(spark, sf_dir), ["doc_id"], replayable=True)
     writers.write_shards(rows.withColumn("shard", shard_of(F.col("row_id"), 4)), path)
     return spark.read.json(path).select("doc_id", "row_id", "shard")
 
@@ -108,7 +108,7 @@ def src_text(spark, sf_dir):
     lines.repartitionByRange(4, "doc_id", "line").sortWithinPartitions("doc_id", "line").select(
         "text").write.text(path)
     read = readers.read_text_lines(spark, path, order_columns=True)
-    return with_row_id(read, ["_path", "_split", "_line"]).select("row_id", "text")
+    return with_row_id(read, ["_path", "_split", "_line"], replayable=True).select("row_id", "text")
 
 
 def src_dir(spark, sf_dir):

@@ -89,7 +89,7 @@ def dpo_prepare(spark, sf_dir):
 
 def pack_blocks(spark, sf_dir):
     """Documents packed whole, the last short block of each group kept."""
-    rows = with_row_id(views.documents(spark, sf_dir), ["doc_id"])
+    rows = with_row_id(views.documents(spark, sf_dir, spread=False), ["doc_id"], replayable=True)
     ids = tokenizers.HashTokenizer().encode(F.col("text"))
     blocks = pack(rows.select("row_id", ids.alias("input_ids")), BLOCK, group_rows=100, keep_tail=True)
     return blocks.select("pack_group", "block", *_text("input_ids"))
@@ -97,7 +97,7 @@ def pack_blocks(spark, sf_dir):
 
 def pretrain_prepare(spark, sf_dir):
     """Lines of all documents, each closed by the end token, in full blocks."""
-    rows = with_row_id(views.pretrain_lines(spark, sf_dir), ["doc_id", "line"])
+    rows = with_row_id(views.pretrain_lines(spark, sf_dir), ["doc_id", "line"], replayable=True)
     blocks = training.prepare_pretraining(rows, block_size=BLOCK)
     return blocks.select("pack_group", "block", *_text("input_ids", "labels"))
 

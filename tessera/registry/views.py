@@ -121,8 +121,8 @@ def sft_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("qid", F.when(F.size("turns") > 0, text).alias("text"), "trainable_round")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+def documents(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+    return table(spark, sf_dir, "documents", spread).select("doc_id", "text")
 
 
 def clf_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pretrain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line of each document, empty lines included."""
-    return documents(spark, sf_dir).select(
+    return documents(spark, sf_dir, spread=False).select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
 
 

@@ -24,5 +24,30 @@ def test_query(spark, database, name):
     assert oracle.compare(rows, database.sql(SQL[name])) == ""
 
 
+@pytest.mark.parametrize("partitions", ["1", "16"])
+@pytest.mark.parametrize("name", ["preference_dataset", "pretrain_prepare", "build_vocab", "dpo_kto"])
+def test_partitioning_changes_nothing(spark, database, name, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = registered.queries()[name](spark, SF_DIR)
+        assert oracle.compare(rows, database.sql(SQL[name])) == ""
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("name", ["pref_pairs", "pref_score_join", "resume_anti", "clf_prepare", "seq_logps"])
+def test_without_broadcast_joins(spark, database, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = registered.queries()[name](spark, SF_DIR)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+        assert oracle.compare(rows, database.sql(SQL[name])) == ""
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_entry(spark):
     assert registered.entry(spark).count() > 0

@@ -94,6 +94,8 @@ def test_sft_rules(spark):
     assert {(r.qid, r.source[:70], r.target) for r in got if r.qid == 1} == {
         (1, "### User: q### Assistant: a### User: r", "### Assistant: b")}
     assert sorted(r.qid for r in got) == [1, 5]
+    assert {r.reason: r.n for r in training.unusable_conversations(rows).collect()} == {
+        "empty answer": 1, "no complete turn": 1, "no text": 1}
     lengths = {r.qid: len(r.input_ids) for r in training.prepare_sft(rows, block_size=36).collect()}
     assert set(lengths) == {1}  # 35 of 36 would pass, row 5 has 36
     assert set(r.qid for r in training.prepare_sft(rows, block_size=37).collect()) == {1, 5}
