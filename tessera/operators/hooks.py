@@ -99,9 +99,7 @@ class TrigramEmbedder(Embedder):
         def slots(padded: Column) -> Column:
             return F.transform(
                 F.sequence(F.lit(1), F.length(padded) - 2),
-                lambda i: F.pmod(F.conv(F.substring(F.md5(
-                    F.substring(padded, i, F.lit(3))), 1, 8), 16, 10).cast("bigint"),
-                    F.lit(self.size)).cast("int"))
+                lambda i: (F.crc32(F.substring(padded, i, F.lit(3))) % self.size).cast("int"))
 
         def counts(found: Column) -> Column:
             return F.transform(

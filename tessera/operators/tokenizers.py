@@ -17,13 +17,13 @@ from .position import with_row_id
 PAD_ID, UNK_ID, EOS_ID, FIRST_WORD_ID = 0, 1, 2, 3
 PAD_TOKEN, UNK_TOKEN, EOS_TOKEN = "<pad>", "<unk>", "</s>"
 UNLIMITED = 1 << 30
-_WORD = r"[^ \t\n\r\f]+"
+_BLANKS = r"[ \t\n\r\f]+"
 
 
 def words(text: Column, eos_token: str = EOS_TOKEN) -> Column:
     """Words between blanks; the end-of-sequence text is a word of its own."""
     apart = F.replace(text, F.lit(eos_token), F.lit(f" {eos_token} "))
-    return F.regexp_extract_all(apart, F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(apart, _BLANKS, -1), "")
 
 
 class Tokenizer:
@@ -34,7 +34,8 @@ class Tokenizer:
     eos_token = EOS_TOKEN
     model_max_length = UNLIMITED
 
-    def ids(self, text: Column) -> Column:
+    def ids(self, text: Column, limit: int | None = None) -> Column:
+        """All ids of `text`; those after the first `limit` may be left out."""
         raise NotImplementedError
 
     def encode(self, text: Column, max_length: int | None = None, add_eos: bool = False,
@@ -45,7 +46,7 @@ class Tokenizer:
         """
         limit = min(max_length, self.model_max_length) if max_length else self.model_max_length
         end = F.array(F.lit(self.eos_id))
-        encoded = self.ids(text)
+        encoded = self.ids(text, limit)
         if add_special:
             encoded = F.concat(encoded, end)
         encoded = ar.keep_first(encoded, limit)
@@ -59,13 +60,15 @@ class HashTokenizer(Tokenizer):
         self.n_ids = n_ids
         self.model_max_length = model_max_length
 
-    def ids(self, text: Column) -> Column:
-        def word_id(word):
-            bits = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint")
-            hashed = (F.pmod(bits, F.lit(self.n_ids)) + FIRST_WORD_ID).cast("int")
+    def ids(self, text: Column, limit: int | None = None) -> Column:
+        def word_id(word: Column) -> Column:
+            hashed = (F.crc32(word) % self.n_ids + FIRST_WORD_ID).cast("int")
             return F.when(word == EOS_TOKEN, F.lit(EOS_ID)).otherwise(hashed)
 
-        return F.transform(words(text), word_id)
+        found = words(text)
+        if limit is not None and limit < UNLIMITED:
+            found = ar.keep_first(found, limit)
+        return F.transform(found, word_id)
 
 
 class FunctionTokenizer(Tokenizer):
@@ -87,7 +90,7 @@ class FunctionTokenizer(Tokenizer):
 
         self._udf = encode_series
 
-    def ids(self, text: Column) -> Column:
+    def ids(self, text: Column, limit: int | None = None) -> Column:
         return F.when(text.isNotNull(), self._udf(F.coalesce(text, F.lit(""))))
 
 

@@ -166,16 +166,17 @@ def _distance(a: str, b: str) -> str:
             f"lambda p: abs(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))")
 
 
+_GRAM = views.crc_sql("substr(padded, i, 3)")
 _SLOTS = """
     SELECT {key}, slot, count(*) AS n FROM (
-      SELECT {key}, CAST('0x' || substr(md5(substr(padded, i, 3)), 1, 8) AS BIGINT) % 64 AS slot
+      SELECT {key}, {crc} % 64 AS slot
       FROM (SELECT {key}, padded, unnest(range(1, length(padded) - 1)) AS i
         FROM (SELECT {key}, '  ' || lower({text}) || '  ' AS padded FROM {source})))
     GROUP BY {key}, slot"""
 _CODE_TABLE = {
     # L1 distance of two counts = both sums - 2 * sum of the smaller counts.
-    "text_slots": _SLOTS.format(key="diag_text", text="diag_text", source="diag_texts"),
-    "ref_slots": _SLOTS.format(key="ref_id", text="diag", source="code_references"),
+    "text_slots": _SLOTS.format(key="diag_text", text="diag_text", source="diag_texts", crc=_GRAM),
+    "ref_slots": _SLOTS.format(key="ref_id", text="diag", source="code_references", crc=_GRAM),
     "distances": """
         SELECT t.diag_text, r.ref_id, any_value(length(t.diag_text) + length(f.diag)) + 4
           - 2 * sum(least(s.n, coalesce(q.n, 0))) AS distance

@@ -190,9 +190,31 @@ def words_sql(text: str) -> str:
     return _WORDS.format(t=text)
 
 
+def _crc_table() -> str:
+    """The 256 remainders of the CRC-32 polynomial, as a list literal."""
+    values = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        values.append(n)
+    return f"CAST({values} AS BIGINT[])"
+
+
+_CRC_TABLE = _crc_table()
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes."""
+    ones = "CAST(4294967295 AS BIGINT)"
+    byte = f"CAST('0x' || substr(hex(encode({text})), 2 * b + 1, 2) AS BIGINT)"
+    step = f"xor(c >> 8, {_CRC_TABLE}[CAST(xor(c, b) & 255 AS INTEGER) + 1])"
+    return (f"xor(list_reduce(list_transform(range(0, octet_length(encode({text}))), lambda b: {byte}), "
+            f"lambda c, b: {step}, {ones}), {ones})")
+
+
 def ids_sql(text: str) -> str:
     return (f"list_transform({words_sql(text)}, lambda w: CASE WHEN w = '</s>' THEN 2 ELSE "
-            f"3 + CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 50000 END)")
+            f"3 + {crc_sql('w')} % 50000 END)")
 
 
 def agreement_sql(truth: str = "label_code", predicted: str = "pred_code") -> str:
