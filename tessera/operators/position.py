@@ -51,6 +51,20 @@ def with_row_id(df: DataFrame, order_by: Sequence[str | Column], name: str = "ro
     )
 
 
+def with_id(df: DataFrame, key: str) -> DataFrame:
+    """`df` with an id column: its own, or its position in the files read.
+
+    The position needs the `_path`, `_split` and `_line` columns that the
+    readers add on request.
+    """
+    order = ["_path", "_split", "_line"]
+    if key in df.columns:
+        return df
+    if not set(order) <= set(df.columns):
+        raise ValueError(f"no column {key}, and no reading order to number the rows by")
+    return with_row_id(df, order, name=key).drop(*order)
+
+
 def shard_of(row_id: Column, world: int) -> Column:
     """The rank that owns a row when rows are dealt out in turn."""
     return F.pmod(row_id, F.lit(world)).cast("int")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.hooks import Embedder, TrigramEmbedder
 from ..operators.nearest import nearest_reference
 from ..operators.skew import lookup_join
-from ..session import stage
+from ..session import spread, stage
 
 
 def code_table(texts: DataFrame, references: DataFrame, embedder: Embedder | None = None,
@@ -45,7 +45,8 @@ def map_codes(df: DataFrame, columns: Mapping[str, str], references: DataFrame,
         df.select(F.explode(F.array(*columns)).alias("diag_text"))
         .where(F.col("diag_text").isNotNull())
         .groupBy("diag_text").agg(F.count(F.lit(1)).alias("n")), "texts")
-    codes = stage(code_table(texts, references, embedder, **search), "codes")
+    # Few bytes of text can be much work for a model.
+    codes = stage(code_table(spread(texts), references, embedder, **search), "codes")
     for column, out in columns.items():
         named = codes.select(F.col("diag_text").alias(column), F.col("code").alias(out))
         counts = texts.withColumnRenamed("diag_text", column)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scores as sc, text as tx
 from ..operators.hooks import BucketClassifier, Classifier, EchoGenerator, Generator
-from ..operators.position import take_head, take_shard
+from ..operators.position import take_head, take_shard, with_id
 from ..operators.resume import skip_done
 from ..sources.writers import append_results
 
@@ -94,9 +94,11 @@ def run_generation(rows: DataFrame, output: str, key: str, generator: Generator
 
     A finished task commits its file as a whole, so small files are not
     needed for safety; `rows_per_file` caps them where a reader wants that.
-    `head` and shards go by a `row_id` column.
+    `head` and shards go by a `row_id` column. Rows without the `key` column
+    are keyed by their position in the files they were read from.
     """
     spark = rows.sparkSession
+    rows = with_id(rows, key)
     done = None
     if resume:
         try:

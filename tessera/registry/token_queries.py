@@ -89,7 +89,7 @@ def dpo_prepare(spark, sf_dir):
 
 def pack_blocks(spark, sf_dir):
     """Documents packed whole, the last short block of each group kept."""
-    rows = with_row_id(views.documents(spark, sf_dir, spread=False), ["doc_id"], replayable=True)
+    rows = with_row_id(views.documents(spark, sf_dir, costly=False), ["doc_id"], replayable=True)
     ids = tokenizers.HashTokenizer().encode(F.col("text"))
     blocks = pack(rows.select("row_id", ids.alias("input_ids")), BLOCK, group_rows=100, keep_tail=True)
     return blocks.select("pack_group", "block", *_text("input_ids"))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.readers import read_table
+from ..session import spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A given table; `spread` where much is computed per row before a shuffle."""
-    return read_table(spark, f"{sf_dir}/{name}.parquet", spread)
+def table(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
+    """A given table; `costly` where much is computed per row before a shuffle."""
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if costly else read
 
 
 def code(k: Column) -> Column:
@@ -37,7 +38,7 @@ def _index() -> Column:
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generated answer per order line; the order is the question."""
-    lines = table(spark, sf_dir, "lineitem", spread=True).select(
+    lines = table(spark, sf_dir, "lineitem", costly=True).select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_linestatus")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -121,13 +122,13 @@ def sft_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("qid", F.when(F.size("turns") > 0, text).alias("text"), "trainable_round")
 
 
-def documents(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
-    return table(spark, sf_dir, "documents", spread).select("doc_id", "text")
+def documents(spark: SparkSession, sf_dir: str, costly: bool = True) -> DataFrame:
+    return table(spark, sf_dir, "documents", costly).select("doc_id", "text")
 
 
 def clf_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return table(spark, sf_dir, "documents", spread=True).join(labels, "doc_id", "left").select(
+    return table(spark, sf_dir, "documents", costly=True).join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("qid"), "text", F.col("quality").alias("label"))
 
 
@@ -135,7 +136,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question per document; toxic documents have an empty answer."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     answer = F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.col("source"))
-    return table(spark, sf_dir, "documents", spread=True).join(labels, "doc_id", "left").select(
+    return table(spark, sf_dir, "documents", costly=True).join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("qid"),
         F.concat(F.lit("Where is document "), F.col("doc_id").cast("string"),
                  F.lit(" from?[[SEP]]"), answer).alias("text"))
@@ -143,7 +144,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pretrain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line of each document, empty lines included."""
-    return documents(spark, sf_dir, spread=False).select(
+    return documents(spark, sf_dir, costly=False).select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
 
 

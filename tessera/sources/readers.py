@@ -61,17 +61,6 @@ def read_records(spark: SparkSession, paths: str | PurePath | Sequence[str | Pur
     return result
 
 
-def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """A parquet table; `spread` uses all cores where its scan would not.
-
-    A file of one row group is read by one task, and everything up to the
-    first shuffle would follow it there. Tables of many splits stay as read.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if spread and table.rdd.getNumPartitions() < cores else table
-
-
 def read_directory(spark: SparkSession, directory: str | PurePath, pattern: str = "*.jsonl",
                    schema: T.StructType | None = None, provenance: str | None = None) -> DataFrame:
     """Every JSON-lines file of a directory that matches `pattern`."""

@@ -50,6 +50,14 @@ def append_results(df: DataFrame, path: str, rows_per_file: int | None = None,
     return target
 
 
+def shard_path(directory: str, rank: int | None = None, world: int | None = None,
+               stem: str = "generate") -> str:
+    """Where the run for one shard of the rows puts its results."""
+    if rank is None or world is None:
+        rank, world = 0, 1
+    return f"{directory.rstrip('/')}/{stem}.{rank}.{world}.jsonl"
+
+
 def write_shards(df: DataFrame, path: str, shard: str = "shard", mode: str = "append") -> None:
     """JSON lines in one folder per value of the shard column."""
     df.write.mode(mode).option("ignoreNullFields", "false").partitionBy(shard).json(path)

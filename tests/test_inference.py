@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.hooks import FunctionClassifier, FunctionEmbedder, FunctionGenerator
 from tessera.plans import inference, training
+from tessera.sources.readers import read_records
+from tessera.sources.writers import shard_path
 from tessera.streaming.incremental import stream_generation
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -78,6 +80,19 @@ def test_shards_together_cover_the_rows(spark, tmp_path):
     assert sorted(r.qid for r in spark.read.json(output).collect()) == list(range(10))
 
 
+def test_rows_without_ids_are_keyed_by_position(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text("".join(json.dumps({"text": f"case {n}"}) + "\n" for n in range(6)))
+    rows = read_records(spark, tmp_path / "in.jsonl", order_columns=True)
+    output = shard_path(str(tmp_path), stem="out")
+    assert output.endswith("/out.0.1.jsonl") and shard_path("d", 2, 4) == "d/generate.2.4.jsonl"
+    for _ in range(2):
+        inference.run_generation(rows, output, "index", resume=True)
+    got = sorted((r["index"], r.text) for r in spark.read.json(output).collect())
+    assert got == [(n, f"case {n}") for n in range(6)]
+    with pytest.raises(ValueError):
+        inference.run_generation(rows.drop("_line"), output, "index")
+
+
 def parity():
     return lambda ids: [[1.0, 2.0] if len(x) % 2 else [2.0, 1.0] for x in ids]
 
