@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, rules, token_counts, urls
+from . import bpe, near_duplicates, packing, quality, rules, token_counts, toxicity, urls
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(WORD_BPE))
 
@@ -25,16 +30,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text")).select(*rules.OUTPUT)
 
 
+def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score_toxicity(docs, toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
         table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=2)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url")).drop("patterns")
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_bpe_encode, op4_best_fit_packing, op5_quality_rules, op8_token_counts, op10_url_filters)}
+    op1_quality_neighbours, op3_bpe_encode, op4_best_fit_packing, op5_quality_rules, op7_toxicity_lexicon,
+    op8_token_counts, op9_near_duplicates, op10_url_filters)}
 
 SQL = {"op5_quality_rules": rules.SQL, "op10_url_filters": urls.SQL}
