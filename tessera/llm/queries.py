@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_duplicates, packing, quality, rules, token_counts, toxicity, urls
+from . import bpe, fingerprints, near_duplicates, packing, quality, quotations, rules, token_counts, toxicity, urls
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def op1_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(WORD_BPE))
 
@@ -30,6 +34,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text")).select(*rules.OUTPUT)
 
 
+def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.score_toxicity(docs, toxicity.fit_lexicon(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
@@ -49,7 +57,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_neighbours, op3_bpe_encode, op4_best_fit_packing, op5_quality_rules, op7_toxicity_lexicon,
-    op8_token_counts, op9_near_duplicates, op10_url_filters)}
+    op1_quality_neighbours, op2_fingerprints, op3_bpe_encode, op4_best_fit_packing, op5_quality_rules,
+    op6_quotation_links, op7_toxicity_lexicon, op8_token_counts, op9_near_duplicates, op10_url_filters)}
 
 SQL = {"op5_quality_rules": rules.SQL, "op10_url_filters": urls.SQL}
