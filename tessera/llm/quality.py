@@ -150,20 +150,31 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
 def _votes(model: QualityModel, rows):
     """Scores of term rows: labels of the nearest vectors, weighted by similarity.
 
-    All vectors as near as the last neighbour vote, so that ties do not
-    depend on their order; similarities are compared to five digits.
+    Rows are multiplied in blocks of one size, filled up with zeros, so that
+    a text's score does not depend on the texts beside it. All vectors as
+    near as the last neighbour vote, so that ties do not depend on their
+    order; similarities are compared to five digits.
     """
     import numpy as np
 
     if not len(model.vectors):
         return np.full(len(rows), model.prior)
+    padded = np.zeros((-(-len(rows) // _BLOCK) * _BLOCK, WIDTH), np.float32)
+    padded[: len(rows)] = rows
+    blocks = [_block_votes(model, padded[i : i + _BLOCK]) for i in range(0, len(padded), _BLOCK)]
+    return np.concatenate([*blocks, np.zeros(0)])[: len(rows)]
+
+
+def _block_votes(model: QualityModel, rows):
+    import numpy as np
+
     at = _unit(_unit(rows * model.idf) @ model.axes)
     nearness = np.round((at @ model.vectors.T).astype(np.float64), 5)
     count = min(NEIGHBOURS, nearness.shape[1])
     last = np.partition(nearness, -count, axis=1)[:, -count, None]
     vote = np.where(nearness >= last, np.maximum(nearness, 0) ** SHARPNESS, 0) * model.weights
     total = vote.sum(axis=1)
-    return np.where(total > 0, (vote @ model.labels) / np.maximum(total, 1e-300), model.prior).clip(0, 1)
+    return np.where(total > 0, (vote @ model.labels) / np.maximum(total, 1e-300), model.prior).clip(0, 1).round(9)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:

@@ -52,7 +52,8 @@ def fold(text: str) -> str:
             word = found.group()
             body = word.rstrip("!|.")
             letters = sum(map(str.isalpha, body))
-            return body.translate(signs) + word[len(body):] if letters and 2 * letters >= len(body) else word
+            spelled = letters > 1 or 2 * letters >= len(body) > 0
+            return body.translate(signs) + word[len(body):] if spelled else word
 
         text = re.sub(r"[^\s,;:()\"]*[013457@$!|][^\s,;:()\"]*", read, text)
     return text
