@@ -81,6 +81,9 @@ def _parse(batches):
                 if level:
                     found += [{"level": level, "rank": r, "hash": h} for r, h in _hashes(lines)]
                     continue
+                if place:
+                    while lines and not lines[0].strip():
+                        lines = lines[1:]
                 if place + 1 < len(runs):
                     while lines and (not lines[-1].strip() or _introduces(lines[-1])):
                         lines = lines[:-1]
