@@ -35,21 +35,27 @@ def accuracy(df: DataFrame, predicted: str = "pred", label: str = "label",
     return df.groupBy(*by).agg(F.avg(hit).alias("acc"))
 
 
-def score_tokens(tokens: DataFrame) -> DataFrame:
-    """Per position the log-probability of the next token, entropy and mask.
+def shift_tokens(tokens: DataFrame) -> DataFrame:
+    """(seq_id, pos, next_id, next_label): the token that each position is to predict.
 
-    `tokens` has (seq_id, pos, token_id, label, logits). The logits at `pos`
-    are compared with the token at `pos + 1`; the last position of a
-    sequence scores nothing. Shifting moves only the narrow id columns, and
-    the join key (seq_id, pos) spreads even one very long sequence.
+    `tokens` has (seq_id, pos, token_id, label) and no logits; the last
+    position of a sequence predicts nothing. The join key (seq_id, pos)
+    spreads even one very long sequence.
     """
     following = tokens.select(
         "seq_id", (F.col("pos") - 1).alias("pos"),
         F.col("token_id").alias("next_id"), F.col("label").alias("next_label"))
-    scored = (
-        tokens.select("seq_id", "pos", "logits").join(following, ["seq_id", "pos"])
-        .withColumn("_normalizer", sc.log_normalizer(F.col("logits")))
-    )
+    return tokens.select("seq_id", "pos").join(following, ["seq_id", "pos"])
+
+
+def score_tokens(tokens: DataFrame) -> DataFrame:
+    """Per position the log-probability of the next token, entropy and mask.
+
+    `tokens` has (seq_id, pos, next_id, next_label, logits), as a model run
+    writes them that knows its sequences (`shift_tokens`). Everything is
+    computed where the logits are; only numbers go on.
+    """
+    scored = tokens.withColumn("_normalizer", sc.log_normalizer(F.col("logits")))
     return scored.select(
         "seq_id", "pos",
         sc.token_log_prob(F.col("logits"), F.col("next_id"), F.col("_normalizer")).alias("log_prob"),

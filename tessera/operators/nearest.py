@@ -1,14 +1,15 @@
 """Exact nearest reference under L1 distance.
 
-References that fit a checked size are shipped to every task. Beyond it both
-sides are cut into cells around pivots; a query visits only the cells that
-its triangle-inequality bounds cannot rule out, and large cells are cut into
+Both sides are cut into cells around pivots, whose number grows with the root
+of the number of references; a query visits only the cells that its
+triangle-inequality bounds cannot rule out, and large cells are cut into
 blocks of bounded size on both sides. No pair of rows is ever emitted: each
 block reports one best reference per query.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,29 +53,30 @@ def _nearest(queries: np.ndarray, references: np.ndarray) -> tuple[np.ndarray, n
 
 def nearest_reference(queries: DataFrame, references: DataFrame, query_id: str,
                       query_vector: str = "embedding", ref_id: str = "ref_id",
-                      ref_vector: str = "embedding", max_shipped_bytes: int = 256 << 20,
-                      pivots: int = 64, block_rows: int = 4096) -> DataFrame:
+                      ref_vector: str = "embedding", pivots: int | None = None,
+                      block_rows: int = 4096) -> DataFrame:
     """(query_id, ref_id, distance) with the smallest ref_id on ties.
 
     Vectors are compared as float32 and summed in double precision. Queries
-    with a null vector get a null reference; `query_id` is unique.
+    with a null vector get a null reference; `query_id` is unique. Ids and
+    vectors of both sides are written out first, so that each vector is
+    computed once. By default there is a pivot for every 16 rows of the root
+    of the number of references.
     """
-    refs = references.select(
+    refs = stage(references.select(
         F.col(ref_id).cast("bigint").alias("ref_id"),
-        F.col(ref_vector).cast("array<float>").alias("vector")).where("vector is not null")
-    asked = queries.select(
+        F.col(ref_vector).cast("array<float>").alias("vector")), "references").where("vector is not null")
+    asked = stage(queries.select(
         F.col(query_id).alias("query_id"),
-        F.col(query_vector).cast("array<float>").alias("vector"))
-    n_bytes = refs.agg(F.sum(F.size("vector").cast("bigint") * 4 + 8)).first()[0] or 0
+        F.col(query_vector).cast("array<float>").alias("vector")), "queries")
+    n_refs = refs.count()
     searched = asked.where("vector is not null")
-    if n_bytes == 0:
+    if n_refs:
+        best = _search_cells(searched, refs, pivots or math.ceil(math.sqrt(n_refs) / 16), block_rows)
+    else:
         best = searched.select(
             "query_id", F.lit(None).cast("bigint").alias("ref_id"),
             F.lit(None).cast("double").alias("distance"))
-    elif n_bytes <= max_shipped_bytes:
-        best = _search_shipped(searched, refs)
-    else:
-        best = _search_cells(searched, refs, pivots, block_rows)
     unasked = asked.where("vector is null").select("query_id").withColumns({
         "ref_id": F.lit(None).cast("bigint"), "distance": F.lit(None).cast("double")})
     return best.unionByName(unasked).withColumnRenamed("query_id", query_id)
@@ -84,24 +86,6 @@ def _best_schema(queries: DataFrame) -> T.StructType:
     return T.StructType([queries.schema["query_id"], *_BEST.fields])
 
 
-def _search_shipped(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """`refs` passed the byte limit: one sorted matrix per executor."""
-    table = refs.toPandas().sort_values("ref_id")
-    shipped = queries.sparkSession.sparkContext.broadcast(
-        (table["ref_id"].to_numpy(), np.stack(table["vector"]).astype(np.float32)))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shipped.value
-        matrix = matrix.astype(np.float64)
-        for batch in batches:
-            if len(batch):
-                position, distance = _nearest(_matrix(batch["vector"]), matrix)
-                yield pd.DataFrame({
-                    "query_id": batch["query_id"], "ref_id": ids[position], "distance": distance})
-
-    return queries.mapInPandas(search, _best_schema(queries))
-
-
 def _search_cells(queries: DataFrame, refs: DataFrame, pivots: int, block_rows: int) -> DataFrame:
     spark = queries.sparkSession
     chosen = refs.orderBy(F.md5(F.col("ref_id").cast("string")), "ref_id").limit(pivots).toPandas()

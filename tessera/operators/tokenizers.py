@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as ar
+from ..session import stage
 from .position import with_row_id
 
 PAD_ID, UNK_ID, EOS_ID, FIRST_WORD_ID = 0, 1, 2, 3
@@ -33,6 +34,8 @@ class Tokenizer:
     eos_id = EOS_ID
     eos_token = EOS_TOKEN
     model_max_length = UNLIMITED
+    # Whether the ids of two texts joined by a blank are those of both in turn.
+    joinable = False
 
     def ids(self, text: Column, limit: int | None = None) -> Column:
         """All ids of `text`; those after the first `limit` may be left out."""
@@ -56,6 +59,8 @@ class Tokenizer:
 class HashTokenizer(Tokenizer):
     """Words hashed into a fixed id range: no vocabulary to build or ship."""
 
+    joinable = True
+
     def __init__(self, n_ids: int = 50_000, model_max_length: int = UNLIMITED):
         self.n_ids = n_ids
         self.model_max_length = model_max_length
@@ -97,55 +102,40 @@ class FunctionTokenizer(Tokenizer):
 def build_vocabulary(df: DataFrame, text: str, max_size: int | None = None) -> DataFrame:
     """(token, n, id) with ids by falling count, then token, after the specials.
 
-    Counting combines before its shuffle. A bounded vocabulary is a top-k;
-    an unbounded one is numbered across all partitions.
+    Counting combines before its shuffle, and words are numbered across all
+    partitions. `max_size` keeps the commonest.
     """
     counts = (
         df.select(F.explode(words(F.col(text))).alias("token"))
         .where(F.col("token") != EOS_TOKEN)
         .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     )
-    order = [F.desc("n"), F.asc("token")]
+    numbered = with_row_id(counts, [F.desc("n"), F.asc("token")], name="id")
     if max_size:
-        counts = counts.orderBy(*order).limit(max_size)
-    numbered = with_row_id(counts, order, name="id")
+        numbered = numbered.where(F.col("id") < max_size)
     return numbered.withColumn("id", (F.col("id") + FIRST_WORD_ID).cast("int"))
 
 
-def encode_with_vocabulary(df: DataFrame, key: str, text: str, vocabulary: DataFrame,
-                           out: str = "input_ids", max_shipped: int = 500_000) -> DataFrame:
+def encode_with_vocabulary(df: DataFrame, text: str, vocabulary: DataFrame,
+                           out: str = "input_ids") -> DataFrame:
     """Look up every word of `text`; unknown words get the unknown id.
 
-    A vocabulary of at most `max_shipped` entries is sent to the tasks, so
-    texts are encoded where they are. A larger one is joined word by word
-    and the ids are put back in order per `key`, which must be unique.
+    The vocabulary is joined word by word, so neither its size nor the length
+    of a word matters, and the ids are put back in order for each row. Rows
+    are told apart by a number of their own, given before they are written
+    out; equal rows, and rows without any id, stay separate.
     """
-    tokens = words(F.col(text))
-    entries = vocabulary.select("token", "id")
-    size = entries.limit(max_shipped + 1).count()
-    if size <= max_shipped:
-        table = df.sparkSession.sparkContext.broadcast(
-            {r["token"]: r["id"] for r in entries.toLocalIterator()})
-
-        @F.pandas_udf("array<int>")
-        def look_up(lists: pd.Series) -> pd.Series:
-            ids = table.value
-            return pd.Series(
-                [[EOS_ID if w == EOS_TOKEN else ids.get(w, UNK_ID) for w in ws] for ws in lists],
-                dtype=object)
-
-        no_words = F.array().cast("array<string>")
-        encoded = look_up(F.coalesce(tokens, no_words))
-        return df.withColumn(out, F.when(F.col(text).isNotNull(), encoded))
-
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
     known = F.when(F.col("token") == EOS_TOKEN, F.lit(EOS_ID)).otherwise(
         F.coalesce("id", F.lit(UNK_ID)))
-    spread = df.select(key, F.posexplode(tokens).alias("_pos", "token"))
     # The vocabulary is unique per token, so adaptive execution may split a
     # frequent word's partition and still meet its one entry.
-    found = spread.join(entries, "token", "left").select(key, "_pos", known.alias("_id"))
+    found = (
+        rows.select("_row", F.posexplode(words(F.col(text))).alias("_pos", "token"))
+        .join(vocabulary.select("token", "id"), "token", "left")
+        .select("_row", "_pos", known.alias("_id")))
     ordered = F.transform(
         F.array_sort(F.collect_list(F.struct("_pos", "_id"))), lambda p: p["_id"])
-    lists = found.groupBy(key).agg(ordered.alias(out))
+    lists = found.groupBy("_row").agg(ordered.alias(out))
     empty = F.when(F.col(text).isNotNull(), F.array().cast("array<int>"))
-    return df.join(lists, key, "left").withColumn(out, F.coalesce(F.col(out), empty))
+    return rows.join(lists, "_row", "left").withColumn(out, F.coalesce(F.col(out), empty)).drop("_row")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.hooks import Embedder, TrigramEmbedder
 from ..operators.nearest import nearest_reference
 from ..operators.skew import lookup_join
-from ..session import spread, stage
+from ..session import stage
 
 
 def code_table(texts: DataFrame, references: DataFrame, embedder: Embedder | None = None,
@@ -20,7 +20,7 @@ def code_table(texts: DataFrame, references: DataFrame, embedder: Embedder | Non
     distance between embeddings gives the code; ties go to the smaller id.
     """
     embedder = embedder or TrigramEmbedder()
-    queries = texts.select("diag_text", embedder.vectors(F.col("diag_text")).alias("embedding"))
+    queries = texts.where(F.col("diag_text").isNotNull()).select("diag_text", embedder.vectors(F.col("diag_text")).alias("embedding"))
     refs = references.where(F.col("diag").isNotNull()).select(
         "ref_id", embedder.vectors(F.col("diag")).alias("embedding"))
     nearest = nearest_reference(queries, refs, "diag_text", **search)
@@ -37,16 +37,15 @@ def map_codes(df: DataFrame, columns: Mapping[str, str], references: DataFrame,
 
     Every distinct text is embedded and searched once, over all columns
     together. Counting the texts is the only extra pass over `df`; it also
-    tells which texts are too frequent for a plain join. The counts and the
-    finished codes are written out, so neither is computed twice, not even
-    when an executor is lost. Null texts get null codes.
+    tells which texts are too frequent for a plain join. The counts, the
+    vectors and the finished codes are written out, so none is computed
+    twice, not even when an executor is lost. Null texts get null codes.
     """
     texts = stage(
         df.select(F.explode(F.array(*columns)).alias("diag_text"))
         .where(F.col("diag_text").isNotNull())
         .groupBy("diag_text").agg(F.count(F.lit(1)).alias("n")), "texts")
-    # Few bytes of text can be much work for a model.
-    codes = stage(code_table(spread(texts), references, embedder, **search), "codes")
+    codes = stage(code_table(texts, references, embedder, **search), "codes")
     for column, out in columns.items():
         named = codes.select(F.col("diag_text").alias(column), F.col("code").alias(out))
         counts = texts.withColumnRenamed("diag_text", column)

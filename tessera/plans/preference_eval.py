@@ -13,8 +13,9 @@ SEQUENCES = ("policy_chosen", "policy_rejected", "ref_chosen", "ref_rejected")
 def pair_logps(tokens: DataFrame, average: bool = False) -> DataFrame:
     """One row per pair with the log-probability of each of its sequences.
 
-    `tokens` has (pair_id, batch_id, sequence, pos, token_id, label, logits),
-    where `sequence` is one of SEQUENCES.
+    `tokens` has (pair_id, batch_id, sequence, pos, next_id, next_label,
+    logits), where `sequence` is one of SEQUENCES. Pairs that lack one drop
+    out; `incomplete_pairs` counts them.
     """
     scored = metrics.score_tokens(_keyed(tokens))
     logps = metrics.sequence_logps(scored, average)
@@ -26,6 +27,13 @@ def pair_logps(tokens: DataFrame, average: bool = False) -> DataFrame:
     )
 
 
+def incomplete_pairs(tokens: DataFrame) -> DataFrame:
+    """How many pairs `pair_logps` leaves out, one row per batch that has any."""
+    present = tokens.groupBy("batch_id", "pair_id").agg(F.collect_set("sequence").alias("present"))
+    missing = F.size(F.array_except(F.array(*[F.lit(name) for name in SEQUENCES]), "present")) > 0
+    return present.where(missing).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_incomplete"))
+
+
 def batch_entropies(tokens: DataFrame) -> DataFrame:
     """Mean token entropy per batch and sequence over the unmasked positions."""
     scored = metrics.score_tokens(_keyed(tokens))
@@ -43,4 +51,4 @@ def evaluate(tokens: DataFrame, loss_type: str = "sigmoid", beta: float = 1.0,
 def _keyed(tokens: DataFrame) -> DataFrame:
     return tokens.select(
         F.struct("pair_id", "batch_id", "sequence").alias("seq_id"),
-        "pos", "token_id", "label", "logits")
+        "pos", "next_id", "next_label", "logits")

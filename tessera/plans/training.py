@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import arrays as ar, text as tx
 from ..functions.binding import let
 from ..operators import filters
 from ..operators.packing import pack_blocks, pad_batches
 from ..operators.tokenizers import HashTokenizer, Tokenizer
+from ..session import stage
 from ..sources.readers import read_text_lines
 
 LM_TYPES = ("dec", "encdec")
 _TAGS = ("qid", "data_group")
+MOST_SHIPPED_SPLITS = 100_000  # about 20 MB with their paths
 
 
 def _tokenised(df: DataFrame, source: Column, target: Column, tokenizer: Tokenizer,
-               block_size: int, lm_type: str, name: str = "_row") -> DataFrame:
+               block_size: int, lm_type: str, name: str = "_row", source_ids: str | None = None) -> DataFrame:
     """Add struct(ids, labels) of a (source, target) pair, cut at two blocks.
 
     Token ids are columns of their own first: a Python tokenizer cannot be
-    called inside the array functions that go on from them.
+    called inside the array functions that go on from them. `source_ids`
+    names a column that already holds the ids of the source, of use with a
+    tokenizer whose ids can be joined.
     """
     if lm_type not in LM_TYPES:
         raise ValueError(f"unexpected lm_type: {lm_type}; expected one of {LM_TYPES}")
-    text = F.concat_ws(" ", source, target) if lm_type == "dec" else source
-    df = df.withColumns({
-        name + "_ids": tokenizer.encode(text, 2 * block_size),
-        name + "_goal": tokenizer.encode(target, 2 * block_size)})
+    limit = 2 * block_size
+    goal_ids = tokenizer.encode(target, limit)
+    if lm_type == "dec" and source_ids and tokenizer.joinable:
+        df = df.withColumn(name + "_goal", goal_ids).withColumn(
+            name + "_ids", ar.keep_first(
+                F.concat(source_ids, name + "_goal"), min(limit, tokenizer.model_max_length)))
+    else:
+        text = F.concat_ws(" ", source, target) if lm_type == "dec" else source
+        df = df.withColumns({name + "_ids": tokenizer.encode(text, limit), name + "_goal": goal_ids})
     ids, goal = F.col(name + "_ids"), F.col(name + "_goal")
     if lm_type == "dec":
         row = let(F.struct(ids.alias("ids"), F.size(goal).alias("n")), lambda r: F.struct(
@@ -154,11 +163,13 @@ def prepare_preference(rows: DataFrame, tokenizer: Tokenizer | None = None,
     source = F.concat(F.lit(roles["user"]), tx.first_segment(F.col("text")))
     tags = [c for c in _TAGS if c in known.columns]
     answers = []
+    # The question is the same for all three answers.
+    complete = complete.withColumn("_question", tokenizer.encode(source, 2 * block_size))
     for column, suffix in (("text", ""), ("accepted", "_accepted"), ("rejected", "_rejected")):
         target = F.concat(F.lit(roles["assistant"]), tx.last_segment(F.col(column)),
                           F.lit(tokenizer.eos_token))
         row = "_" + column
-        complete = _tokenised(complete, source, target, tokenizer, block_size, lm_type, row)
+        complete = _tokenised(complete, source, target, tokenizer, block_size, lm_type, row, "_question")
         complete = complete.withColumn(
             row, _training_arrays(F.col(row), tokenizer, block_size, suffix))
         answers.append(row + ".*")
@@ -179,13 +190,32 @@ def prepare_pretraining(lines: DataFrame, tokenizer: Tokenizer | None = None,
 
 
 def pretraining_from_files(spark: SparkSession, paths: str, **options: object) -> DataFrame:
-    """Packed blocks of text files, each split of a file packed on its own.
+    """Packed blocks of text files, each file packed on its own.
+
+    Lines are numbered within their file, so blocks do not depend on how a
+    file is split for reading. Only the sizes of the splits are gathered
+    for that; the lines are shuffled once, for the packing itself.
+    """
+    lines = number_lines(read_text_lines(spark, paths, order_columns=True))
+    return prepare_pretraining(lines, row_id="_number", within=("_path",), **options)
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """`lines` with `_number`, their place in the file they were read from.
 
-    A split is read by one task in file order, so its lines need no global
-    numbering: the only shuffle is that of the packing itself.
+    A split is read by one task from front to back, so the first line and
+    the size of each split are enough. They are one row per split, and are
+    shipped to the tasks while they are few.
     """
-    lines = read_text_lines(spark, paths, order_columns=True)
-    return prepare_pretraining(lines, row_id="_line", within=("_path", "_split"), **options)
+    splits = lines.groupBy("_path", "_split").agg(
+        F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stage(splits.select(
+        "_path", "_split", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")), "splits")
+    if starts.count() <= MOST_SHIPPED_SPLITS:
+        starts = F.broadcast(starts)
+    return lines.join(starts, ["_path", "_split"]).withColumn(
+        "_number", F.col("_line") - F.col("_first") + F.col("_start")).drop("_first", "_start")
 
 
 def training_batches(table: DataFrame, batch_size: int, tokenizer: Tokenizer | None = None,

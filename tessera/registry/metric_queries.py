@@ -37,7 +37,7 @@ def clf_batch(spark, sf_dir):
 
 
 def _scored_tokens(spark, sf_dir):
-    return metrics.score_tokens(views.token_logits(spark, sf_dir))
+    return metrics.score_tokens(views.scoring_input(spark, sf_dir))
 
 
 def seq_logps(spark, sf_dir):
@@ -59,10 +59,10 @@ def masked_entropy(spark, sf_dir):
 def _pair_tokens(spark, sf_dir):
     """Four consecutive sequences make a pair, two pairs a batch."""
     order = F.array(*[F.lit(name) for name in preference_eval.SEQUENCES])
-    return views.token_logits(spark, sf_dir).select(
+    return views.scoring_input(spark, sf_dir).select(
         F.floor(F.col("seq_id") / 4).alias("pair_id"), F.floor(F.col("seq_id") / 8).alias("batch_id"),
         F.get(order, (F.col("seq_id") % 4).cast("int")).alias("sequence"),
-        "pos", "token_id", "label", "logits")
+        "pos", "next_id", "next_label", "logits")
 
 
 def preference_logps(spark, sf_dir):
@@ -77,6 +77,13 @@ def preference_evaluation(spark, sf_dir):
     return rows.select("split", "batch_id", "key", F.round("value", 6).alias("value"))
 
 
+def preference_incomplete(spark, sf_dir):
+    """Pairs that the evaluation leaves out, for a sequence that they lack."""
+    tokens = _pair_tokens(spark, sf_dir)
+    cut = (F.col("pair_id") % 5 == 2) & (F.col("sequence") == "ref_chosen")
+    return preference_eval.incomplete_pairs(tokens.where(~cut))
+
+
 def preference_entropy(spark, sf_dir):
     rows = preference_eval.batch_entropies(_pair_tokens(spark, sf_dir))
     return rows.select("batch_id", "sequence", F.round("entropy", 6).alias("entropy"))
@@ -141,7 +148,7 @@ def generate_stream(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     clf_infer, clf_accuracy, clf_batch, seq_logps, masked_mean, masked_entropy, preference_logps,
-    preference_evaluation, preference_entropy, dpo_kto, dpo_metrics,
+    preference_evaluation, preference_entropy, preference_incomplete, dpo_kto, dpo_metrics,
     dpo_metric_log, generate_batch, generate_resume, generate_stream)}
 QUERIES.update({
     "dpo_sigmoid": _loss("sigmoid", label_smoothing=0.1),
@@ -246,6 +253,11 @@ SQL = {
     "preference_evaluation": with_views(
         "token_logits", "SELECT split, batch_id, key, round(value, 6) AS value FROM stored",
         **_TOKENS, token_pairs=_PAIR_LOGPS, stored=_batch_sql("eval", _SIGMOID, 1, "token_pairs")),
+    "preference_incomplete": with_views("token_logits", """
+        SELECT batch_id, count(*) AS n_incomplete FROM (
+          SELECT seq_id // 4 AS pair_id, any_value(seq_id // 8) AS batch_id, count(DISTINCT seq_id) AS n
+          FROM token_logits WHERE pos < 9 AND NOT (seq_id // 4 % 5 = 2 AND seq_id % 4 = 2) GROUP BY 1)
+        WHERE n < 4 GROUP BY batch_id"""),
     "preference_entropy": with_views("token_logits", f"""
         SELECT seq_id // 8 AS batch_id, {_ROLES}[seq_id % 4 + 1] AS sequence,
           round(sum(entropy * mask) / (sum(mask) + 1e-8), 6) AS entropy

@@ -96,7 +96,7 @@ def knn_l1_cells(spark, sf_dir):
     """The same search with the shipped size set to nothing."""
     found = nearest.nearest_reference(
         views.vector_queries(spark, sf_dir), views.vector_references(spark, sf_dir), "query_id",
-        max_shipped_bytes=0, pivots=16, block_rows=256)
+        pivots=16, block_rows=256)
     return found.select("query_id", "ref_id")
 
 

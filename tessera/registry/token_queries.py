@@ -10,10 +10,13 @@ from ..operators import tokenizers
 from ..operators.packing import pack_blocks as pack
 from ..operators.position import with_row_id
 from ..plans import training
+from ..session import fresh_path
 from . import preference_queries, views
 from .views import ids_sql, with_views, words_sql
 
 BLOCK = 512
+SMALL_BLOCK = 24
+DEFAULT_BLOCK = 4096
 
 
 def _text(*names):
@@ -40,29 +43,36 @@ def build_vocab(spark, sf_dir):
 def _vocabulary(spark, sf_dir):
     """Ids of the words of all conversations."""
     rows = views.sft_input(spark, sf_dir).dropna(subset=["text"])
-    return rows, tokenizers.build_vocabulary(rows, "text", max_size=2000)
+    return rows, tokenizers.build_vocabulary(rows, "text")
 
 
 def vocab_encode(spark, sf_dir):
     rows, vocabulary = _vocabulary(spark, sf_dir)
-    encoded = tokenizers.encode_with_vocabulary(rows, "qid", "text", vocabulary)
+    encoded = tokenizers.encode_with_vocabulary(rows, "text", vocabulary)
     return encoded.select("qid", *_text("input_ids"))
 
 
 def vocab_encode_joined(spark, sf_dir):
-    """The same ids with the vocabulary joined instead of shipped."""
+    """The same ids for rows whose keys are missing or repeated."""
     rows, vocabulary = _vocabulary(spark, sf_dir)
-    encoded = tokenizers.encode_with_vocabulary(rows, "qid", "text", vocabulary, max_shipped=0)
+    keyed = rows.withColumn("qid", F.when(F.col("qid") % 5 != 0, F.col("qid") % 7))
+    encoded = tokenizers.encode_with_vocabulary(keyed, "text", vocabulary)
     return encoded.select("qid", *_text("input_ids"))
 
 
 def sft_dec(spark, sf_dir):
+    table = training.prepare_sft(views.sft_input(spark, sf_dir))
+    return table.select("qid", *_text("input_ids", "labels"))
+
+
+def sft_length_filter(spark, sf_dir):
+    """Conversations shorter than a small block."""
     table = training.prepare_sft(views.sft_input(spark, sf_dir), block_size=BLOCK)
     return table.select("qid", *_text("input_ids", "labels"))
 
 
 def sft_encdec(spark, sf_dir):
-    table = training.prepare_sft(views.sft_input(spark, sf_dir), block_size=BLOCK, lm_type="encdec")
+    table = training.prepare_sft(views.sft_input(spark, sf_dir), lm_type="encdec")
     return table.select("qid", *_text("input_ids", "labels"))
 
 
@@ -73,14 +83,29 @@ def sft_prepare(spark, sf_dir):
 
 
 def clf_prepare(spark, sf_dir):
+    table = training.prepare_classification(views.clf_input(spark, sf_dir))
+    return table.select("qid", "labels", *_text("input_ids"))
+
+
+def clf_truncate(spark, sf_dir):
+    """Texts cut on the right at a small block."""
     table = training.prepare_classification(views.clf_input(spark, sf_dir), block_size=BLOCK)
     return table.select("qid", "labels", *_text("input_ids"))
 
 
 def dpo_prepare(spark, sf_dir):
     """Preference rows as the selection job leaves them."""
+    return _preference_table(spark, sf_dir, None)
+
+
+def dpo_truncate(spark, sf_dir):
+    """The same, cut on the left at a block that most answers exceed."""
+    return _preference_table(spark, sf_dir, SMALL_BLOCK)
+
+
+def _preference_table(spark, sf_dir, block_size):
     rows = preference_queries.preference_dataset(spark, sf_dir)
-    table = training.prepare_preference(rows, block_size=24)
+    table = training.prepare_preference(rows, block_size=block_size)
     return table.select("qid", *_text(
         "input_ids", "labels", "attention_mask", "input_ids_accepted", "labels_accepted",
         "attention_mask_accepted", "input_ids_rejected", "labels_rejected",
@@ -89,7 +114,7 @@ def dpo_prepare(spark, sf_dir):
 
 def pack_blocks(spark, sf_dir):
     """Documents packed whole, the last short block of each group kept."""
-    rows = with_row_id(views.documents(spark, sf_dir, costly=False), ["doc_id"], replayable=True)
+    rows = with_row_id(views.documents(spark, sf_dir), ["doc_id"], replayable=True)
     ids = tokenizers.HashTokenizer().encode(F.col("text"))
     blocks = pack(rows.select("row_id", ids.alias("input_ids")), BLOCK, group_rows=100, keep_tail=True)
     return blocks.select("pack_group", "block", *_text("input_ids"))
@@ -102,8 +127,20 @@ def pretrain_prepare(spark, sf_dir):
     return blocks.select("pack_group", "block", *_text("input_ids", "labels"))
 
 
+def pretrain_from_files(spark, sf_dir):
+    """One text file per language, each packed on its own, in small splits."""
+    path = fresh_path(spark, "pretrain")
+    lines = views.table(spark, sf_dir, "documents").select(
+        "lang", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    lines.repartition("lang").sortWithinPartitions("lang", "doc_id", "line").select("lang", "text").write.partitionBy(
+        "lang").text(path)
+    blocks = training.pretraining_from_files(spark, f"{path}/*/*", block_size=BLOCK)
+    return blocks.select(
+        F.regexp_extract("_path", "lang=([^/]*)", 1).alias("lang"), "pack_group", "block", *_text("input_ids"))
+
+
 def _padded(spark, sf_dir, side):
-    table = training.prepare_sft(views.sft_input(spark, sf_dir), block_size=BLOCK)
+    table = training.prepare_sft(views.sft_input(spark, sf_dir))
     batches = training.training_batches(with_row_id(table, ["qid"]), 8, side=side)
     return batches.select("qid", "batch_id", *_text("input_ids", "labels", "attention_mask"))
 
@@ -118,8 +155,8 @@ def pad_batches_left(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tokenize_ws, token_lengths, build_vocab, vocab_encode, vocab_encode_joined, sft_dec, sft_encdec,
-    sft_prepare, clf_prepare, dpo_prepare, pack_blocks, pretrain_prepare, pad_batches,
-    pad_batches_left)}
+    sft_length_filter, sft_prepare, clf_prepare, clf_truncate, dpo_prepare, dpo_truncate, pack_blocks,
+    pretrain_prepare, pretrain_from_files, pad_batches, pad_batches_left)}
 
 
 def _join(values: str) -> str:
@@ -153,8 +190,9 @@ def _sft_views(user: str, assistant: str, block: int) -> dict[str, str]:
     }
 
 
-_HEADED = _sft_views("### User: ", "### Assistant: ", BLOCK)
-_PLAIN = _sft_views("", "", 4096)
+_HEADED = _sft_views("### User: ", "### Assistant: ", DEFAULT_BLOCK)
+_SHORT = _sft_views("### User: ", "### Assistant: ", BLOCK)
+_PLAIN = _sft_views("", "", DEFAULT_BLOCK)
 _PAD = {
     "batched": "SELECT *, (row_number() OVER (ORDER BY qid) - 1) // 8 AS batch_id FROM kept",
     "sized": "SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) - len(ids) AS gap FROM batched",
@@ -175,18 +213,18 @@ def _padded_sql(side: str) -> str:
         FROM sized""", **_HEADED, **_PAD)
 
 
-def _pair_columns() -> tuple[str, str]:
-    """Encoded and final columns of the three answers, blocks of 24."""
+def _pair_columns(block: int) -> tuple[str, str]:
+    """Encoded and final columns of the three answers."""
     encoded, final = [], []
     for column, suffix in (("text", ""), ("accepted", "_accepted"), ("rejected", "_rejected")):
         target = f"'### Assistant: ' || string_split({column}, '[[SEP]]')[-1] || '</s>'"
         source = "'### User: ' || string_split(text, '[[SEP]]')[1]"
         row, goal = f"{source} || ' ' || {target}", target
-        encoded.append(f"{ids_sql(row)}[:48] AS ids{suffix}, {ids_sql(goal)}[:48] AS goal{suffix}")
+        encoded.append(f"{ids_sql(row)}[:{2 * block}] AS ids{suffix}, {ids_sql(goal)}[:{2 * block}] AS goal{suffix}")
         labels = _label_ids(f"ids{suffix}", f"goal{suffix}")
-        final.append(f"{_join(f'ids{suffix}[-24:]')} AS input_ids{suffix}")
-        final.append(f"{_join(f'({labels})[-24:]')} AS labels{suffix}")
-        mask = f"list_transform(ids{suffix}[-24:], lambda x: 'true')"
+        final.append(f"{_join(f'ids{suffix}[-{block}:]')} AS input_ids{suffix}")
+        final.append(f"{_join(f'({labels})[-{block}:]')} AS labels{suffix}")
+        mask = f"list_transform(ids{suffix}[-{block}:], lambda x: 'true')"
         final.append(f"{_join(mask)} AS attention_mask{suffix}")
     return ", ".join(encoded), ", ".join(final)
 
@@ -205,11 +243,10 @@ def _packed_sql(source: str, ids: str, group: int, full: bool) -> str:
         {complete} GROUP BY pack_group, block"""
 
 
-_ENCODED_PAIRS, _FINAL_PAIRS = _pair_columns()
 _CONVERSATION_VOCABULARY = f"""
     SELECT token, row_number() OVER (ORDER BY n DESC, token) + 2 AS id FROM (
       SELECT token, count(*) AS n FROM (SELECT unnest({words_sql('text')}) AS token FROM sft_input)
-      GROUP BY token) ORDER BY n DESC, token LIMIT 2000"""
+      GROUP BY token)"""
 _VOCAB_ENCODE = with_views("sft_input", f"""
     SELECT s.qid, string_agg(coalesce(v.id, 1), ' ' ORDER BY k) AS input_ids FROM (
       SELECT qid, words[k] AS token, k FROM (
@@ -217,6 +254,21 @@ _VOCAB_ENCODE = with_views("sft_input", f"""
           SELECT qid, {words_sql('text')} AS words FROM sft_input))) s
     LEFT JOIN vocabulary v ON s.token = v.token GROUP BY s.qid""", vocabulary=_CONVERSATION_VOCABULARY)
 
+
+def _preference_sql(block: int) -> str:
+    encoded, final = _pair_columns(block)
+    return with_views(
+        "scored scores originals", f"SELECT qid, {final} FROM encoded", **_CHOSEN,
+        chosen="""SELECT o.qid, o.text, p.accepted, p.rejected FROM originals o JOIN pairs p
+                  ON o.qid = p.qid WHERE accepted IS NOT NULL AND rejected IS NOT NULL""",
+        encoded=f"SELECT qid, {encoded} FROM chosen")
+
+
+def _classification_sql(block: int) -> str:
+    return with_views("clf_input", f"""
+        SELECT qid, coalesce(label, -100) AS labels,
+          {_join(f"{ids_sql('text')}[:{block}]")} AS input_ids FROM clf_input""")
+
 SQL = {
     "tokenize_ws": f"""
         SELECT doc_id, CAST(len({words_sql('text')}) AS INTEGER) AS n_tokens,
@@ -228,32 +280,42 @@ SQL = {
           SELECT token, count(*) AS n FROM (SELECT unnest({words_sql('text')}) AS token FROM documents)
           WHERE token <> '</s>' GROUP BY token)""",
     "vocab_encode": _VOCAB_ENCODE,
-    "vocab_encode_joined": _VOCAB_ENCODE,
+    "vocab_encode_joined": f"""
+        SELECT CASE WHEN qid % 5 <> 0 THEN qid % 7 END AS qid, input_ids FROM ({_VOCAB_ENCODE})""",
     "sft_dec": with_views("sft_input", f"""
         SELECT qid, {_join('ids')} AS input_ids, {_join('labels')} AS labels FROM kept""", **_HEADED),
+    "sft_length_filter": with_views("sft_input", f"""
+        SELECT qid, {_join('ids')} AS input_ids, {_join('labels')} AS labels FROM kept""", **_SHORT),
     "sft_encdec": with_views("sft_input", f"""
         SELECT qid, {_join('source_ids')} AS input_ids, {_join('target_ids')} AS labels FROM encoded
-        WHERE len(source_ids) + len(target_ids) < {BLOCK}""", **_HEADED),
+        WHERE len(source_ids) + len(target_ids) < {DEFAULT_BLOCK}""", **_HEADED),
     "sft_prepare": with_views("sft_input", f"""
         SELECT qid, 'conversations' AS data_group, {_join('ids')} AS input_ids,
           {_join('labels')} AS labels,
           {_join("list_transform(ids, lambda x: 'true')")} AS attention_mask FROM kept""", **_PLAIN),
-    "clf_prepare": with_views("clf_input", f"""
-        SELECT qid, coalesce(label, -100) AS labels,
-          {_join(f"{ids_sql('text')}[:{BLOCK}]")} AS input_ids FROM clf_input"""),
-    "dpo_prepare": with_views(
-        "scored scores originals",
-        f"SELECT qid, {_FINAL_PAIRS} FROM encoded",
-        **_CHOSEN,
-        chosen="""SELECT o.qid, o.text, p.accepted, p.rejected FROM originals o JOIN pairs p
-                  ON o.qid = p.qid WHERE accepted IS NOT NULL AND rejected IS NOT NULL""",
-        encoded=f"SELECT qid, {_ENCODED_PAIRS} FROM chosen"),
+    "clf_prepare": _classification_sql(DEFAULT_BLOCK),
+    "clf_truncate": _classification_sql(BLOCK),
+    "dpo_prepare": _preference_sql(DEFAULT_BLOCK),
+    "dpo_truncate": _preference_sql(SMALL_BLOCK),
     "pack_blocks": with_views(
         "", _packed_sql("numbered", ids_sql("text"), 100, full=False),
         numbered="SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents"),
     "pretrain_prepare": with_views(
         "numbered_lines", "SELECT *, input_ids AS labels FROM packed",
         packed=_packed_sql("numbered_lines", f"list_append({ids_sql('text')}, 2)", 1000, full=True)),
+    "pretrain_from_files": f"""
+        SELECT lang, pack_group, block, string_agg(id, ' ' ORDER BY pos) AS input_ids FROM (
+          SELECT lang, pack_group, id, pos, pos // {BLOCK} AS block,
+            count(*) OVER (PARTITION BY lang, pack_group) AS total FROM (
+            SELECT lang, row_id // 1000 AS pack_group, ids[k] AS id, row_number() OVER (
+              PARTITION BY lang, row_id // 1000 ORDER BY row_id, k) - 1 AS pos FROM (
+              SELECT lang, row_id, ids, unnest(range(1, len(ids) + 1)) AS k FROM (
+                SELECT lang, list_append({ids_sql('text')}, 2) AS ids,
+                  row_number() OVER (PARTITION BY lang ORDER BY doc_id, line) - 1 AS row_id FROM (
+                  SELECT lang, doc_id, line, lines[line] AS text FROM (
+                    SELECT lang, doc_id, lines, unnest(range(1, len(lines) + 1)) AS line FROM (
+                      SELECT lang, doc_id, string_split(text, chr(10)) AS lines FROM documents)))))))
+        WHERE block < total // {BLOCK} GROUP BY lang, pack_group, block""",
     "pad_batches": _padded_sql("right"),
     "pad_batches_left": _padded_sql("left"),
 }

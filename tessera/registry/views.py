@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import spread
+from ..operators import metrics
+from ..session import stage
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
-    """A given table; `costly` where much is computed per row before a shuffle."""
-    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(read) if costly else read
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def code(k: Column) -> Column:
@@ -38,7 +38,7 @@ def _index() -> Column:
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generated answer per order line; the order is the question."""
-    lines = table(spark, sf_dir, "lineitem", costly=True).select(
+    lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_linestatus")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -113,7 +113,11 @@ def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sft_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per conversation: its turns but for system ones, joined."""
+    """One record per conversation: the turns of user and assistant, joined.
+
+    A system turn is no answer or question; it only makes the record train
+    on its last round.
+    """
     turn = F.when(F.col("role") != "system", F.struct("turn", "text"))
     grouped = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("qid")).agg(
         F.array_sort(F.collect_list(turn)).alias("turns"),
@@ -122,13 +126,13 @@ def sft_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("qid", F.when(F.size("turns") > 0, text).alias("text"), "trainable_round")
 
 
-def documents(spark: SparkSession, sf_dir: str, costly: bool = True) -> DataFrame:
-    return table(spark, sf_dir, "documents", costly).select("doc_id", "text")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def clf_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return table(spark, sf_dir, "documents", costly=True).join(labels, "doc_id", "left").select(
+    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("qid"), "text", F.col("quality").alias("label"))
 
 
@@ -136,7 +140,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question per document; toxic documents have an empty answer."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     answer = F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.col("source"))
-    return table(spark, sf_dir, "documents", costly=True).join(labels, "doc_id", "left").select(
+    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("qid"),
         F.concat(F.lit("Where is document "), F.col("doc_id").cast("string"),
                  F.lit(" from?[[SEP]]"), answer).alias("text"))
@@ -144,7 +148,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pretrain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line of each document, empty lines included."""
-    return documents(spark, sf_dir, costly=False).select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
 
 
@@ -172,6 +176,13 @@ def token_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("embedding").alias("logits"))
 
 
+def scoring_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model run writes: logits next to the token that follows."""
+    tokens = token_logits(spark, sf_dir)
+    following = metrics.shift_tokens(tokens.drop("logits"))
+    return stage(following.join(tokens.select("seq_id", "pos", "logits"), ["seq_id", "pos"]), "logits")
+
+
 def pair_logps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probabilities of pairs; a batch is 64 consecutive orders."""
     return table(spark, sf_dir, "lineitem").select(

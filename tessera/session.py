@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_STAGED: dict[str, list[str]] = {}
+_PARTITION_BYTES = 128 << 20
 
 
-def build_session(app_name: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution on; `conf` keys use `__` for dots."""
+def build_session(app_name: str = "tessera", master: str | None = None,
+                  input_bytes: int | None = None, **conf: str) -> SparkSession:
+    """A session with adaptive execution on; `conf` keys use `__` for dots.
+
+    `input_bytes` sets the number of shuffle partitions so that one holds
+    about 128 MB; without it Spark's own number stays.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -22,6 +32,8 @@ def build_session(app_name: str = "tessera", master: str | None = None, **conf:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if input_bytes:
+        settings["spark.sql.shuffle.partitions"] = str(max(200, -(-input_bytes // _PARTITION_BYTES)))
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -31,34 +43,26 @@ def build_session(app_name: str = "tessera", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    `spark.checkpoint.dir` wins. Only a local master, where driver and
-    executors are one machine, falls back to a fresh temporary folder.
+    `spark.checkpoint.dir` wins. Only where driver and executors are one
+    process, and the setting is unset, is it a fresh temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        folder = _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return _LOCAL_DIRS[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores where its partitions would leave some idle.
-
-    A file of one row group is read by one task, and whatever is computed up
-    to the next shuffle would follow it there. Many partitions stay as they
-    are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A path under the shared folder that no other run uses; `clear_staged` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -70,3 +74,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove what this application has staged so far.
+
+    For the end of a job, when its result is written: a table that is still
+    to be computed may read what it staged.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        target = hadoop.Path(path)
+        target.getFileSystem(settings).delete(target, True)

@@ -85,11 +85,31 @@ def test_token_scores_follow_the_shift(spark):
             want[pair, role] = (sum(scored), sum(scored) / (len(scored) + 1e-8))
     tokens = spark.createDataFrame(rows, "pair_id long, batch_id long, sequence string, pos int, "
                                          "token_id int, label int, logits array<double>").repartition(5)
+    sequence = F.struct("pair_id", "sequence").alias("seq_id")
+    following = metrics.shift_tokens(tokens.select(sequence, "pos", "token_id", "label")).select(
+        "seq_id.*", "pos", "next_id", "next_label")
+    tokens = tokens.join(following, ["pair_id", "sequence", "pos"])
     for average in (False, True):
         for r in preference_eval.pair_logps(tokens, average).collect():
             for role in preference_eval.SEQUENCES:
                 assert math.isclose(r[role], want[r.pair_id, role][average], rel_tol=1e-9)
     assert preference_eval.evaluate(tokens).count() == 7
+    lacking = tokens.where("NOT (pair_id = 1 AND sequence = 'ref_chosen')")
+    assert [tuple(r) for r in preference_eval.incomplete_pairs(lacking).collect()] == [(0, 1)]
+    assert preference_eval.incomplete_pairs(tokens).count() == 0
+
+
+def test_logits_are_not_shuffled(spark):
+    tokens = spark.range(8).select(
+        F.lit(0).alias("pair_id"), F.lit(0).alias("batch_id"), F.lit("ref_chosen").alias("sequence"),
+        F.col("id").alias("pos"), F.lit(1).alias("next_id"), F.lit(1).alias("next_label"),
+        F.array(F.lit(0.5), F.lit(1.5)).alias("logits"))
+    for frame in (preference_eval.evaluate(tokens), preference_eval.batch_entropies(tokens),
+                  metrics.sequence_logps(metrics.score_tokens(tokens.withColumnRenamed("pair_id", "seq_id")))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        below = [line for line in plan.splitlines() if "Exchange" in line]
+        assert below and not any("logits" in line for line in below)
+        assert "Join" not in plan
 
 
 def test_accuracy_by_group(spark):

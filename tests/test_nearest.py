@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tessera.operators.hooks import FunctionEmbedder
 from tessera.operators.nearest import nearest_reference
 from tessera.plans.codes import map_codes
 
@@ -26,8 +27,8 @@ def run(spark, queries, references, **options):
     return {row.query_id: row.ref_id for row in found}
 
 
-PATHS = [{}, {"max_shipped_bytes": 0, "pivots": 4, "block_rows": 8},
-         {"max_shipped_bytes": 0, "pivots": 1, "block_rows": 1000}]
+PATHS = [{}, {"pivots": 4, "block_rows": 8},
+         {"pivots": 1, "block_rows": 1000}]
 
 
 @pytest.mark.parametrize("options", PATHS)
@@ -57,6 +58,31 @@ def test_no_references(spark):
     assert [tuple(x) for x in nearest_reference(q, r, "query_id").collect()] == [(1, None, None)]
 
 
+def counting(spark):
+    """An embedder that counts the texts it is given."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def embed(texts):
+            calls.add(len(texts))
+            return [[float(sum(map(ord, t))), float(len(t))] for t in texts]
+        return embed
+
+    return FunctionEmbedder(load), calls
+
+
+@pytest.mark.parametrize("options", [{}, {"pivots": 3, "block_rows": 2}])
+def test_each_text_is_embedded_once(spark, options):
+    embedder, calls = counting(spark)
+    refs = spark.createDataFrame([(n, f"reference {n}", str(n)) for n in range(10)],
+                                 "ref_id long, diag string, diag_code string")
+    df = spark.createDataFrame([(n, f"text {n % 100}", None if n % 2 else f"text {n % 50}") for n in range(300)],
+                               "qid long, label string, pred string")
+    coded = map_codes(df, {"label": "label_code", "pred": "pred_code"}, refs, embedder, **options)
+    assert coded.count() == 300 and coded.where("label_code IS NULL").count() == 0
+    assert calls.value == 110
+
+
 def test_codes_of_texts(spark):
     refs = spark.createDataFrame(
         [(1, "red gear", "A"), (2, "blue bolt", "B"), (3, "red gear", "C")],

@@ -15,10 +15,12 @@ def database():
 
 
 def test_every_query_has_its_sql():
-    assert set(registered.queries()) == set(SQL)
+    """Except those beyond SQL, which have tests of their own."""
+    beyond = {name for area in (*registered._LLM, *registered._PIPELINE) for name in area.QUERIES}
+    assert set(SQL) <= set(registered.queries()) and set(registered.queries()) - set(SQL) <= beyond
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, database, name):
     rows = registered.queries()[name](spark, SF_DIR)
     assert oracle.compare(rows, database.sql(SQL[name])) == ""

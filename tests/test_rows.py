@@ -69,11 +69,30 @@ def test_lookup_join_equals_a_plain_join(spark, how):
         [(1, n) for n in range(50)] + [(k, 100 + k) for k in range(2, 40)] + [(None, 7), (77, 1)], "k long, v long")
     right = spark.createDataFrame([(k, f"r{k}") for k in range(1, 30)] + [(None, "none")], "k long, name string")
     plain = sorted(left.join(right, ["k"], how).collect(), key=str)
-    split = lookup_join(left, right, ["k"], how, parts=4, min_hot_rows=1)
+    split = lookup_join(left, right, ["k"], how, parts=4)
     assert sorted(split.collect(), key=str) == plain
     known = left.groupBy("k").agg(F.count("*").alias("n"))
-    assert sorted(lookup_join(left, right, ["k"], how, known, 4, 1).collect(), key=str) == plain
+    assert sorted(lookup_join(left, right, ["k"], how, known, 4).collect(), key=str) == plain
     plan = split._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     with pytest.raises(ValueError):
         lookup_join(left, right, ["k"], "full")
+
+
+def test_lookup_join_deals_hot_and_null_keys_out(spark):
+    """A third of the rows on one key and a third on none leave no large partition."""
+    left = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("double"))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in zip(names, ("-1", "false", "16")):
+            spark.conf.set(name, value)
+        joined = lookup_join(left, right, ["k"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 9000 and max(sizes) < 1200
+        assert joined.where("k = 1 AND double = 2").count() == 3001
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

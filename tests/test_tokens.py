@@ -173,6 +173,20 @@ def test_packing_from_files(spark, tmp_path):
     assert all(len(r.input_ids) == 64 for r in full) and 0 < len(full) < len(rows)
 
 
+def test_packing_from_files_does_not_depend_on_splits(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text("\n".join(f"{name}{k} " * (k % 9) for k in range(2500)) + "\n")
+    before, found = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("134217728", "3000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            blocks = training.pretraining_from_files(spark, str(tmp_path), block_size=64)
+            found.append(sorted((r._path, r.pack_group, r.block, r.input_ids) for r in blocks.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
 def test_padded_batches(spark):
     rows = [(n, [1] * n, [True] * n) for n in range(10)]
     df = spark.createDataFrame(rows, "row_id long, input_ids array<int>, attention_mask array<boolean>")
@@ -187,16 +201,18 @@ def test_padded_batches(spark):
     assert {len(r.input_ids) for r in fixed} == {12}
 
 
-def test_vocabulary_paths_agree(spark):
+def test_vocabulary_look_up(spark):
     texts = [(1, "the cat the dog"), (2, "the </s> cow"), (3, ""), (4, None), (5, "unknown the")]
     df = spark.createDataFrame(texts, "k long, text string")
     vocabulary = tokenizers.build_vocabulary(df.where("k <= 2"), "text")
     entries = {r.token: r.id for r in vocabulary.collect()}
     assert entries == {"the": 3, "cat": 4, "cow": 5, "dog": 6}
     want = {1: [3, 4, 3, 6], 2: [3, 2, 5], 3: [], 4: None, 5: [1, 3]}
-    for shipped in (0, 100):
-        encoded = tokenizers.encode_with_vocabulary(df, "k", "text", vocabulary, max_shipped=shipped)
-        assert {r.k: r.input_ids for r in encoded.collect()} == want
+    encoded = tokenizers.encode_with_vocabulary(df, "text", vocabulary)
+    assert {r.k: r.input_ids for r in encoded.collect()} == want
+    keyed = spark.createDataFrame([(1, "the"), (1, "cat"), (None, "cow"), (None, "cow")], "k long, text string")
+    encoded = tokenizers.encode_with_vocabulary(keyed, "text", vocabulary).collect()
+    assert sorted((str(r.k), r.input_ids) for r in encoded) == [("1", [3]), ("1", [4]), ("None", [5]), ("None", [5])]
     assert tokenizers.build_vocabulary(df.where("k <= 2"), "text", max_size=2).count() == 2
 
 
