@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from ..functions import scores as sc, text as tx
 from ..operators.hooks import BucketClassifier, Classifier, EchoGenerator, Generator
 from ..operators.position import take_head, take_shard, with_id
 from ..operators.resume import skip_done
-from ..sources.writers import append_results
+from ..sources.paths import matching
+from ..sources.readers import read_directory
+from ..sources.writers import append_results, read_results, shard_path
 
 # Settings each decoding policy stands for, and the names they
 # carry in the output.
@@ -86,30 +88,33 @@ def generate(rows: DataFrame, generator: Generator | None = None, policy: str =
     }).drop("_answers", "_answer")
 
 
+def _finished(rows: DataFrame, output: str, key: str) -> DataFrame | None:
+    """Ids that `output` already holds, with how they ended."""
+    return read_results(rows.sparkSession, output, T.StructField(key, rows.schema[key].dataType))
+
+
 def run_generation(rows: DataFrame, output: str, key: str, generator: Generator | None = None,
                    resume: bool = False, head: int | None = None, rank: int | None = None,
                    world: int | None = None, rows_per_file: int | None = None,
-                   **options: object) -> str:
+                   most_errors: float = 0.5, **options: object) -> str:
     """Generate and append; with `resume`, only what `output` does not hold yet.
 
     A finished task commits its file as a whole, so small files are not
     needed for safety; `rows_per_file` caps them where a reader wants that.
     `head` and shards go by a `row_id` column. Rows without the `key` column
-    are keyed by their position in the files they were read from.
+    are keyed by their position in the files they were read from. A run in
+    which more than `most_errors` of the answers are errors fails when it
+    has written them.
     """
-    spark = rows.sparkSession
     rows = with_id(rows, key)
-    done = None
-    if resume:
-        try:
-            done = spark.read.json(output)
-        except Exception as error:  # nothing written so far
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        if done is not None and key not in done.columns:
-            done = None
-    work = select_work(rows, key, done, head, rank, world)
-    return append_results(generate(work, generator, **options), output, rows_per_file, resume)
+    work = select_work(rows, key, _finished(rows, output, key) if resume else None, head, rank, world)
+    seen = Observation()
+    answered = generate(work, generator, **options).observe(
+        seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("finish_reason") == "error").alias("errors"))
+    target = append_results(answered, output, rows_per_file, resume)
+    if seen.get["errors"] > most_errors * seen.get["n"]:
+        raise RuntimeError(f"{seen.get['errors']} of {seen.get['n']} answers in {target} are errors")
+    return target
 
 
 def classify(table: DataFrame, classifier: Classifier | None = None) -> DataFrame:
@@ -127,16 +132,22 @@ def predictions(logits: Column) -> list[Column]:
 
 
 def run_classification(table: DataFrame, output: str, classifier: Classifier | None = None,
-                       resume: bool = False, rows_per_file: int | None = None) -> str:
-    """Classify and append, keyed on `qid` when resuming."""
-    if resume:
-        try:
-            done = table.sparkSession.read.json(output)
-        except Exception as error:  # nothing written so far
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        else:
-            if "qid" not in done.columns:
-                raise ValueError(f"column qid not found in {output}")
-            table = skip_done(table, done, "qid")
-    return append_results(classify(table, classifier), output, rows_per_file, resume)
+                       resume: bool = False, rows_per_file: int | None = None, head: int | None = None,
+                       rank: int | None = None, world: int | None = None, all_files: bool = False) -> str:
+    """Classify and append, keyed on `qid` when resuming.
+
+    With `rank` and `world` only that share of the rows, by their `row_id`,
+    is done, and `output` is a folder that gets one file per share. With
+    `all_files`, resuming skips what any share in the folder holds.
+    """
+    spark = table.sparkSession
+    target = shard_path(output, rank, world, "inference") if world else output
+    done = None
+    if resume and all_files:
+        key = T.StructType([T.StructField("qid", table.schema["qid"].dataType)])
+        if matching(spark, output, "*.jsonl"):
+            done = read_directory(spark, output, schema=key)
+    elif resume:
+        done = _finished(table, target, "qid")
+    work = select_work(table, "qid", done, head, rank, world)
+    return append_results(classify(work, classifier), target, rows_per_file, resume)

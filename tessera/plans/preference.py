@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators.hooks import Embedder
 from ..operators.selection import (
     attach_pairs, score_codes, select_bootstrap, select_pairs)
-from ..sources.readers import read_directory, read_records
+from ..sources.readers import read_code_references, read_directory, read_records
 from ..sources.writers import write_jsonl
 from .codes import map_codes
 
@@ -40,14 +40,25 @@ def add_codes(generations: DataFrame, references: DataFrame, embedder: Embedder
     return map_codes(extracted, _CODES, references, embedder, **search)
 
 
+def finished(generations: DataFrame) -> DataFrame:
+    """Without the rows of prompts that failed; a resumed run answers those again."""
+    if "finish_reason" not in generations.columns:
+        return generations
+    return generations.where(~F.col("finish_reason").eqNullSafe(F.lit("error")))
+
+
+def _references(spark: SparkSession, references: DataFrame | str) -> DataFrame:
+    return read_code_references(spark, references) if isinstance(references, str) else references
+
+
 def run_preference_dataset(spark: SparkSession, originals: str, generated_dir: str,
-                           score_dir: str, output: str, references: DataFrame,
+                           score_dir: str, output: str, references: DataFrame | str,
                            embedder: Embedder | None = None, seed: int = 42) -> None:
-    """The whole job from files to files."""
+    """The whole job from files to files; `references` may be CSV files to read."""
     coded = add_codes(
-        read_directory(spark, generated_dir, schema=schemas.GENERATION).select(
+        finished(read_directory(spark, generated_dir, schema=schemas.GENERATION)).select(
             "qid", "i", "response", "label", "response_token_len"),
-        references, embedder)
+        _references(spark, references), embedder)
     result = preference_dataset(
         read_records(spark, originals, fmt="jsonl"), coded,
         read_directory(spark, score_dir, schema=schemas.SCORE), seed)
@@ -55,13 +66,13 @@ def run_preference_dataset(spark: SparkSession, originals: str, generated_dir: s
 
 
 def run_bootstrapped_dataset(spark: SparkSession, generated_dir: str, hinted_dir: str,
-                             output: str, references: DataFrame,
+                             output: str, references: DataFrame | str,
                              embedder: Embedder | None = None, seed: int = 42) -> None:
-    """The whole job from files to files."""
-    unhinted = read_directory(spark, generated_dir).withColumn("_hinted", F.lit(False))
-    hinted = read_directory(spark, hinted_dir).withColumn("_hinted", F.lit(True))
+    """The whole job from files to files; `references` may be CSV files to read."""
+    unhinted = finished(read_directory(spark, generated_dir)).withColumn("_hinted", F.lit(False))
+    hinted = finished(read_directory(spark, hinted_dir)).withColumn("_hinted", F.lit(True))
     coded = add_codes(
-        unhinted.unionByName(hinted, allowMissingColumns=True), references, embedder)
+        unhinted.unionByName(hinted, allowMissingColumns=True), _references(spark, references), embedder)
     result = bootstrapped_dataset(
         coded.where(~F.col("_hinted")), coded.where(F.col("_hinted")), seed).drop("_hinted")
     write_jsonl(result, output, mode="overwrite")

@@ -6,7 +6,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators.position import shard_of, with_row_id
+from ..operators.position import shard_of, with_id, with_row_id
 from ..schemas import struct
 from ..session import fresh_path
 from ..sources import readers, writers
@@ -70,10 +70,24 @@ def src_jsonl(spark, sf_dir):
 
 
 def src_csv(spark, sf_dir):
-    """Quoted line breaks and quotes; types inferred."""
-    path = fresh_path(spark, "src") + "/rows.csv"
-    writers.write_csv(views.documents(spark, sf_dir), path)
-    return readers.read_records(spark, path).select(F.col("doc_id").cast("bigint"), "text")
+    """Quoted line breaks and quotes; types inferred; columns in another order in one of two inputs."""
+    base = fresh_path(spark, "src")
+    rows = views.documents(spark, sf_dir)
+    odd = F.col("doc_id") % 2 == 1
+    writers.write_csv(rows.where(odd).select("doc_id", "text"), f"{base}/odd.csv")
+    writers.write_csv(rows.where(~odd).select("text", "doc_id"), f"{base}/even.csv")
+    read = readers.read_records(spark, f"{base}/odd.csv,{base}/even.csv")
+    return read.select(F.col("doc_id").cast("bigint"), "text")
+
+
+def src_positions(spark, sf_dir):
+    """Rows numbered in the order of the path list, which is not that of the names."""
+    base = fresh_path(spark, "src")
+    rows = _labels(spark, sf_dir).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    writers.write_jsonl(rows.where(F.col("toxic") == 1), f"{base}/z.jsonl")
+    writers.write_jsonl(rows.where(F.col("toxic") == 0), f"{base}/a.jsonl")
+    read = readers.read_records(spark, [f"{base}/z.jsonl", f"{base}/a.jsonl"], schema=LABEL, order_columns=True)
+    return with_id(read, "place").select("place", "doc_id", "toxic")
 
 
 def _write_json_documents(rows, path, columnar=False):
@@ -173,7 +187,7 @@ def src_zip_csv(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     sink_jsonl, sink_csv, sink_append, sink_shards, sink_cache, src_jsonl, src_csv, src_json,
-    src_text, src_dir, src_multi, src_dispatch, src_provenance, src_zip, src_zip_csv)}
+    src_text, src_dir, src_multi, src_positions, src_dispatch, src_provenance, src_zip, src_zip_csv)}
 
 _DOCUMENTS = "SELECT doc_id, text FROM documents"
 _LABELS = "SELECT doc_id, quality, toxic FROM labels"
@@ -195,6 +209,8 @@ SQL = {
     "src_dir": _LABELS,
     "src_multi": f"""
         {_LABELS} UNION ALL SELECT doc_id, CAST(NULL AS INTEGER), CAST(NULL AS INTEGER) FROM documents""",
+    "src_positions": """
+        SELECT row_number() OVER (ORDER BY toxic DESC, doc_id) - 1 AS place, doc_id, toxic FROM labels""",
     "src_dispatch": _LABELS,
     "src_provenance": "SELECT doc_id, 'part-' AS head, 'json' AS suffix FROM labels",
     "src_zip": _DOCUMENTS,

@@ -137,6 +137,31 @@ def generate_resume(spark, sf_dir):
     return spark.read.json(output).select("qid", "i", "response", "response_token_len")
 
 
+def _classified(spark, output):
+    return spark.read.json(output).select("qid", *[F.col(c).cast("int").alias(c) for c in ("label", "pred")])
+
+
+def classify_resume(spark, sf_dir):
+    """A third of the work done first, the rest on resuming, read back from the output."""
+    table = training.prepare_classification(views.clf_input(spark, sf_dir), block_size=1 << 20)
+    output = fresh_path(spark, "classify")
+    inference.run_classification(table.where("qid % 3 = 0"), output)
+    for _ in range(2):
+        target = inference.run_classification(table, output, resume=True)
+    return _classified(spark, target)
+
+
+def classify_shards(spark, sf_dir):
+    """Two of three shares, then the rest of all rows, skipping what any share holds."""
+    table = training.prepare_classification(views.clf_input(spark, sf_dir), block_size=1 << 20)
+    table = table.withColumn("row_id", F.col("qid"))
+    output = fresh_path(spark, "classify")
+    for rank in (0, 2):
+        inference.run_classification(table, output, resume=True, rank=rank, world=3)
+    inference.run_classification(table, output, resume=True, all_files=True, rank=0, world=1)
+    return _classified(spark, f"{output}/*.jsonl")
+
+
 def generate_stream(spark, sf_dir):
     """The same answers from a stream over landed files."""
     base = fresh_path(spark, "stream")
@@ -149,7 +174,8 @@ def generate_stream(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     clf_infer, clf_accuracy, clf_batch, seq_logps, masked_mean, masked_entropy, preference_logps,
     preference_evaluation, preference_entropy, preference_incomplete, dpo_kto, dpo_metrics,
-    dpo_metric_log, generate_batch, generate_resume, generate_stream)}
+    dpo_metric_log, generate_batch, generate_resume, classify_resume,
+    classify_shards, generate_stream)}
 QUERIES.update({
     "dpo_sigmoid": _loss("sigmoid", label_smoothing=0.1),
     "dpo_hinge": _loss("hinge"),
@@ -293,3 +319,4 @@ SQL = {
     "generate_resume": _ONE_ANSWER,
     "generate_stream": _ONE_ANSWER,
 }
+SQL |= {name: f"SELECT qid, label, pred FROM ({SQL['clf_batch']})" for name in ("classify_resume", "classify_shards")}

@@ -5,7 +5,11 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import nearest, selection
 from ..operators.filters import drop_zero_length
-from ..plans import codes, preference
+from ..plans import codes, inference, preference
+from ..schemas import struct
+from ..session import fresh_path
+from ..sources import writers
+from ..sources.readers import read_records
 from . import views
 from .text_queries import extract_sql
 from .views import agreement_sql, with_views
@@ -80,6 +84,28 @@ def preference_from_text(spark, sf_dir):
         views.originals(spark, sf_dir), coded, views.scores(spark, sf_dir))
 
 
+def generate_to_preference(spark, sf_dir):
+    """From questions to preference data through files: generation in two shares, scores, references."""
+    base = fresh_path(spark, "chain")
+    rows = views.diagnosis_questions(spark, sf_dir)
+    settings = inference.policy_settings(num_return_sequences=2)
+    for rank in range(2):
+        inference.run_generation(
+            rows.withColumn("row_id", F.col("qid")), writers.shard_path(f"{base}/generated", rank, 2), "qid",
+            rank=rank, world=2, settings=settings)
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("i")
+    scores = rows.select("qid", numbers).withColumn("score", (F.col("qid") + F.col("i")) % 3 / 2)
+    writers.write_jsonl(scores, f"{base}/scores/scores.jsonl")
+    writers.write_jsonl(views.originals(spark, sf_dir), f"{base}/originals.jsonl")
+    references = views.code_references(spark, sf_dir).repartitionByRange(2, "ref_id").sortWithinPartitions("ref_id")
+    writers.write_csv(references.select("diag", "diag_code"), f"{base}/references.csv")
+    preference.run_preference_dataset(
+        spark, f"{base}/originals.jsonl", f"{base}/generated", f"{base}/scores", f"{base}/out.jsonl",
+        f"{base}/references.csv")
+    return read_records(spark, f"{base}/out.jsonl", schema=struct(
+        "qid bigint, text string, response string, accepted string, rejected string"))
+
+
 def code_mapping(spark, sf_dir):
     extracted = views.responses(spark, sf_dir).withColumn("pred", tx.extract_diagnosis(F.col("response")))
     mapped = codes.map_codes(extracted, {"pred": "pred_code"}, views.code_references(spark, sf_dir))
@@ -93,7 +119,7 @@ def knn_l1(spark, sf_dir):
 
 
 def knn_l1_cells(spark, sf_dir):
-    """The same search with the shipped size set to nothing."""
+    """The same search with more and smaller cells."""
     found = nearest.nearest_reference(
         views.vector_queries(spark, sf_dir), views.vector_references(spark, sf_dir), "query_id",
         pivots=16, block_rows=256)
@@ -110,7 +136,7 @@ def knn_code_map(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     pref_score_join, filter_nonzero_len, code_score, pref_levels, pref_classes, pref_pairs,
     topk_per_group, bootstrap_select, bootstrapping, preference_dataset, preference_from_text,
-    code_mapping, knn_l1, knn_l1_cells, knn_code_map)}
+    generate_to_preference, code_mapping, knn_l1, knn_l1_cells, knn_code_map)}
 
 _LEVELS = """
     SELECT qid, count(DISTINCT code_score) AS n_levels, max(code_score) AS top_score
@@ -197,6 +223,24 @@ _NEAREST = f"""
       FROM vector_queries q CROSS JOIN vector_references r)
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) = 1"""
 
+
+
+def _from_text_sql(names: str, extracted: str, **more: str) -> str:
+    return with_views(names + " code_references originals", """
+        SELECT o.qid, o.text, o.response, p.accepted, p.rejected
+        FROM originals o LEFT JOIN pairs p ON o.qid = p.qid""",
+        **more, extracted=extracted,
+        diag_texts="SELECT label AS diag_text FROM extracted WHERE label IS NOT NULL UNION "
+                   "SELECT pred FROM extracted WHERE pred IS NOT NULL",
+        **_CODE_TABLE,
+        coded="""SELECT e.*, a.code AS label_code, b.code AS pred_code FROM extracted e
+                 LEFT JOIN code_table a ON e.label = a.diag_text
+                 LEFT JOIN code_table b ON e.pred = b.diag_text""",
+        scored=f"SELECT *, {agreement_sql()} AS code_score FROM coded "
+               "WHERE response_token_len IS DISTINCT FROM 0",
+        **_SELECTION)
+
+
 SQL = {
     "pref_score_join": with_views("generations scores", """
         SELECT g.qid, g.i, g.response_token_len, s.score AS help_score FROM generations g
@@ -236,20 +280,15 @@ SQL = {
     "preference_dataset": with_views("scored scores originals", """
         SELECT o.qid, o.text, o.response, p.accepted, p.rejected
         FROM originals o LEFT JOIN pairs p ON o.qid = p.qid""", **_SELECTION),
-    "preference_from_text": with_views("generations code_references scores originals", """
-        SELECT o.qid, o.text, o.response, p.accepted, p.rejected
-        FROM originals o LEFT JOIN pairs p ON o.qid = p.qid""",
-        extracted=f"SELECT qid, i, response, label, response_token_len, "
-                  f"{extract_sql('response')} AS pred FROM generations",
-        diag_texts="SELECT label AS diag_text FROM extracted WHERE label IS NOT NULL UNION "
-                   "SELECT pred FROM extracted WHERE pred IS NOT NULL",
-        **_CODE_TABLE,
-        coded="""SELECT e.*, a.code AS label_code, b.code AS pred_code FROM extracted e
-                 LEFT JOIN code_table a ON e.label = a.diag_text
-                 LEFT JOIN code_table b ON e.pred = b.diag_text""",
-        scored=f"SELECT *, {agreement_sql()} AS code_score FROM coded "
-               "WHERE response_token_len IS DISTINCT FROM 0",
-        **_SELECTION),
+    "preference_from_text": _from_text_sql(
+        "generations scores", f"SELECT qid, i, response, label, response_token_len, {extract_sql('response')} AS pred "
+        "FROM generations"),
+    "generate_to_preference": _from_text_sql(
+        "diagnosis_questions", f"SELECT *, {extract_sql('response')} AS pred FROM answered",
+        answered="""
+            SELECT qid, i, label, 1 AS response_token_len, '[' || i || '] ### User: ' || question || chr(10) || chr(10) || '### Assistant: '
+              AS response FROM diagnosis_questions, (SELECT unnest([0, 1]) AS i)""",
+        scores="SELECT qid, i, (qid + i) % 3 / 2 AS score FROM answered"),
     "code_mapping": with_views("responses code_references", """
         SELECT e.rid, e.pred, t.code AS pred_code
         FROM extracted e LEFT JOIN code_table t ON e.pred = t.diag_text""",

@@ -107,6 +107,20 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rid"), text.alias("response"))
 
 
+def diagnosis_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question per order that names a part; the order's own part is the label."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    asked = parts.select(F.col("p_partkey").alias("asked"), F.col("p_name").alias("name"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    joined = orders.join(parts, F.col("o_custkey") == F.col("p_partkey")).join(
+        asked, F.col("o_custkey") + F.col("o_orderkey") % 3 == F.col("asked"))
+    question = F.concat(F.lit("Case "), F.col("o_orderkey").cast("string"),
+                        F.lit(". The most likely diagnosis is: "), "name", F.lit(", given the history."))
+    return joined.select(
+        F.col("o_orderkey").alias("qid"), F.concat(question, F.lit("[[SEP]]pending")).alias("text"),
+        F.col("p_name").alias("label"))
+
+
 def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ref_id"))
     return first.select("ref_id", F.col("p_name").alias("diag"), code(F.col("ref_id")).alias("diag_code"))
@@ -267,6 +281,11 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
           WHEN 6 THEN 'Diagnosis may be: ' || p_name || ', pending' || chr(10) || 'results'
           WHEN 7 THEN 'Likely suffering from: ' || p_name || '. Rest.'
           WHEN 8 THEN p_name ELSE ' ' || p_name END AS response FROM part"""),
+    "diagnosis_questions": ((), """
+        SELECT o_orderkey AS qid, p.p_name AS label,
+          'Case ' || o_orderkey || '. The most likely diagnosis is: ' || a.p_name || ', given the history.' AS question
+        FROM orders JOIN part p ON o_custkey = p.p_partkey
+        JOIN part a ON o_custkey + o_orderkey % 3 = a.p_partkey"""),
     "code_references": ((), f"""
         SELECT ref_id, diag, {code_sql('ref_id')} AS diag_code
         FROM (SELECT min(p_partkey) AS ref_id, p_name AS diag FROM part GROUP BY p_name)"""),

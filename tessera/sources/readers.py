@@ -11,11 +11,16 @@ from collections.abc import Iterator, Sequence
 from pathlib import PurePath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+
+from ..operators.position import with_id
+from ..schemas import CODE_REFERENCE
+from .paths import matching
 
 FORMATS = ("csv", "json", "jsonl", "csv.zip", "json.zip", "jsonl.zip")
 _LINES_PER_BATCH = 10_000
 _JSON_ARRAY = r"^\s*\["
+_STRICT = {"mode": "FAILFAST"}
 
 
 def split_paths(paths: str | PurePath | Sequence[str | PurePath]) -> list[str]:
@@ -45,35 +50,64 @@ def read_records(spark: SparkSession, paths: str | PurePath | Sequence[str | Pur
 
     Files of one format go to one reader call. `provenance` names a column
     that gets the file name. `order_columns` adds `_path`, `_split` and
-    `_line`, whose order is the order of the records in the files.
-    Without a schema the types are inferred, which reads the data once more.
+    `_line`, whose order is that of the given list and of the records in the
+    files. Without a schema the types are inferred, which reads the data once
+    more. A record that cannot be read is an error.
     """
+    listed = split_paths(paths)
+    if not listed:
+        raise ValueError("no paths given")
+    if order_columns and len(listed) > 1:
+        return _united([
+            _in_place(read_records(spark, [path], fmt, schema, provenance, True), n) for n, path in enumerate(listed)])
     by_format: dict[str, list[str]] = {}
-    for path in split_paths(paths):
+    for path in listed:
         by_format.setdefault(fmt or format_of(path), []).append(path)
-    if not by_format:
-        raise ValueError("no paths given")
-    frames = [_read_format(spark, f, group, schema, provenance, order_columns)
-              for f, group in by_format.items()]
+    return _united([_read_format(spark, f, group, schema, provenance, order_columns)
+                    for f, group in by_format.items()])
+
+
+def _united(frames: list[DataFrame]) -> DataFrame:
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame, allowMissingColumns=True)
     return result
 
 
+def _in_place(df: DataFrame, place: int) -> DataFrame:
+    """`_path` with the place of its path in the list before it."""
+    return df.withColumn("_path", F.concat(F.lit(f"{place:06d}:"), "_path"))
+
+
 def read_directory(spark: SparkSession, directory: str | PurePath, pattern: str = "*.jsonl",
                    schema: T.StructType | None = None, provenance: str | None = None) -> DataFrame:
-    """Every JSON-lines file of a directory that matches `pattern`."""
-    reader = spark.read.option("pathGlobFilter", pattern)
+    """The JSON lines of everything in a directory whose name matches `pattern`.
+
+    A match is a file, or a folder of files as the writers here leave it. No
+    match is an error.
+    """
+    found = matching(spark, str(directory), pattern)
+    if not found:
+        raise FileNotFoundError(f"nothing in {directory} matches {pattern}")
+    reader = spark.read.option("mode", "FAILFAST")
     reader = reader.schema(schema) if schema else reader
-    return _tag(reader.json(str(directory)), provenance, False)
+    return _tag(reader.json(found), provenance, False)
+
+
+def read_code_references(spark: SparkSession, paths: str | PurePath | Sequence[str | PurePath]) -> DataFrame:
+    """(ref_id, diag, diag_code) of reference files; ids count the records in order from 0."""
+    rows = read_records(spark, paths, schema=CODE_REFERENCE, order_columns=True)
+    return with_id(rows, "ref_id").select("ref_id", "diag", "diag_code")
 
 
 def read_text_lines(spark: SparkSession, paths: str | PurePath | Sequence[str | PurePath],
                     provenance: str | None = None, order_columns: bool = False) -> DataFrame:
     """One row `text` per line; empty lines stay."""
-    lines = spark.read.text(split_paths(paths))
-    return _tag(lines, provenance, order_columns).withColumnRenamed("value", "text")
+    listed = split_paths(paths)
+    if order_columns and len(listed) > 1:
+        return _united([
+            _in_place(read_text_lines(spark, [path], provenance, True), n) for n, path in enumerate(listed)])
+    return _tag(spark.read.text(listed), provenance, order_columns).withColumnRenamed("value", "text")
 
 
 def _tag(df: DataFrame, provenance: str | None, order_columns: bool) -> DataFrame:
@@ -96,17 +130,13 @@ def _tag(df: DataFrame, provenance: str | None, order_columns: bool) -> DataFram
 def _read_format(spark: SparkSession, fmt: str, paths: list[str], schema: T.StructType | None,
                  provenance: str | None, order_columns: bool) -> DataFrame:
     if fmt == "jsonl":
-        reader = spark.read.schema(schema) if schema else spark.read
+        reader = spark.read.option("mode", "FAILFAST")
+        reader = reader.schema(schema) if schema else reader
         return _tag(reader.json(paths), provenance, order_columns)
     if fmt == "csv":
-        reader = (spark.read.option("header", True).option("multiLine", True)
-                  .option("lineSep", "\n").option("quote", '"').option("escape", '"'))
-        if schema:
-            # Columns are matched by name: a file may hold others, or fewer.
-            df = _cast_known(reader.csv(paths), schema)
-        else:
-            df = reader.option("inferSchema", True).csv(paths)
-        return _tag(df, provenance, order_columns)
+        return _united([
+            _tag(_read_csv(spark, group, schema), provenance, order_columns)
+            for group in _by_header(spark, paths)])
     if fmt == "json":
         text = spark.read.text(paths, wholetext=True)
         return _json_documents(_tag(text, provenance, order_columns), schema)
@@ -116,12 +146,44 @@ def _read_format(spark: SparkSession, fmt: str, paths: list[str], schema: T.Stru
     raise ValueError(f"unsupported file format: {fmt}")
 
 
+def _csv_reader(spark: SparkSession) -> DataFrameReader:
+    return (spark.read.option("header", True).option("multiLine", True).option("enforceSchema", False)
+            .option("lineSep", "\n").option("quote", '"').option("escape", '"'))
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Paths with the same columns in the same order; one reader call takes such a group.
+
+    Files of one folder that differ among themselves are an error when read.
+    A quoted line break keeps a file from being split, so one task reads it.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        columns = tuple(_csv_reader(spark).csv(path).columns) if len(paths) > 1 else ()
+        groups.setdefault(columns, []).append(path)
+    return list(groups.values())
+
+
+def _read_csv(spark: SparkSession, paths: list[str], schema: T.StructType | None) -> DataFrame:
+    """Columns by name: a file may hold others than the schema's, or fewer."""
+    if schema:
+        return _cast_known(_csv_reader(spark).csv(paths), schema)
+    return _csv_reader(spark).option("inferSchema", True).csv(paths)
+
+
 def _cast_known(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[
         (F.col(f.name).cast(f.dataType) if f.name in df.columns
          else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
 
 
+def _inferred(texts: DataFrame) -> DataFrame:
+    """JSON texts read with inferred types, without leaving the JVM."""
+    spark = texts.sparkSession
+    strings = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(spark._jsparkSession.read().json(strings), spark)
+
+
 def _json_documents(documents: DataFrame, schema: T.StructType | None) -> DataFrame:
     """Records of whole JSON documents held in `value`.
 
@@ -135,21 +197,20 @@ def _json_documents(documents: DataFrame, schema: T.StructType | None) -> DataFr
     cells = "map<string,map<string,string>>"
     if schema is None:
         names = [r[0] for r in columnar.select(
-            F.explode(F.map_keys(F.from_json("value", cells)))).distinct().collect()]
-        inferred = documents.sparkSession.read.json(
-            listed.select("value").rdd.map(lambda r: r["value"]))
+            F.explode(F.map_keys(F.from_json("value", cells, _STRICT)))).distinct().collect()]
+        inferred = _inferred(listed.select("value"))
         known = {f.name: f for f in inferred.schema}
         schema = T.StructType([
             known.get(n, T.StructField(n, T.StringType())) for n in sorted(set(names) | set(known))])
     elements = listed.select(
-        *extra, F.posexplode(F.from_json("value", T.ArrayType(schema))).alias("_at", "_record"))
+        *extra, F.posexplode(F.from_json("value", T.ArrayType(schema), _STRICT)).alias("_at", "_record"))
     if "_line" in extra:
         elements = elements.withColumn("_line", F.col("_at").cast("bigint"))
     records = elements.select(*extra, "_record.*")
 
     # Column-oriented: one row per cell, put back together per row key.
     per_column = columnar.withColumn("_doc", F.monotonically_increasing_id()).select(
-        *extra, "_doc", F.explode(F.from_json("value", cells)).alias("_column", "_cells"))
+        *extra, "_doc", F.explode(F.from_json("value", cells, _STRICT)).alias("_column", "_cells"))
     per_cell = per_column.select(*extra, "_doc", "_column", F.explode("_cells").alias("_key", "_cell"))
     rows = per_cell.groupBy(*extra, "_doc", "_key").agg(*[
         F.max(F.when(F.col("_column") == f.name, F.col("_cell"))).cast(f.dataType).alias(f.name)
@@ -201,10 +262,9 @@ def unzip_records(archives: DataFrame, fmt: str, schema: T.StructType | None = N
     lines = archives.select("path", "content").mapInPandas(
         unpack, "path string, line long, value string")
     if schema is None:
-        schema = archives.sparkSession.read.json(
-            lines.select("value").rdd.map(lambda r: r["value"])).schema
+        schema = _inferred(lines.select("value")).schema
     text_cells = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    parsed = F.from_json("value", text_cells if fmt == "csv.zip" else schema)
+    parsed = F.from_json("value", text_cells if fmt == "csv.zip" else schema, _STRICT)
     columns = [F.col(f"_record.`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]
     if provenance:
         columns.append(F.substring_index("path", "/", -1).alias(provenance))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import PurePath
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from .paths import exists
 
 _JSON_SUFFIXES = (".json", ".jsonl")
 DEFAULT_FILE = "generate.jsonl"
@@ -31,25 +32,45 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists",
     writer.csv(path)
 
 
-def append_results(df: DataFrame, path: str, rows_per_file: int | None = None,
-                   resume: bool = True) -> str:
-    """Add results under `path`; without `resume` what is there is replaced.
+def result_target(path: str) -> tuple[str, str]:
+    """The folder that results for `path` are in, and their format.
 
-    The suffix picks the format; a path without a known one gets a
-    JSON-lines folder of a fixed name. Returns the folder written to.
+    The suffix picks the format; a path without a known one stands for a
+    JSON-lines folder of a fixed name in it.
     """
     suffix = PurePath(path).suffix
-    mode = "append" if resume else "overwrite"
-    if suffix == ".csv":
-        write_csv(df, path, mode, rows_per_file)
-        return path
     if suffix in (".xls", ".xlsx"):
         raise ValueError("spreadsheets are not written; use .jsonl or .csv")
-    target = path if suffix in _JSON_SUFFIXES else f"{path.rstrip('/')}/{DEFAULT_FILE}"
-    write_jsonl(df, target, mode, rows_per_file)
+    if suffix == ".csv":
+        return path, "csv"
+    return (path if suffix in _JSON_SUFFIXES else f"{path.rstrip('/')}/{DEFAULT_FILE}"), "json"
+
+
+def append_results(df: DataFrame, path: str, rows_per_file: int | None = None,
+                   resume: bool = True) -> str:
+    """Add results under `path`; without `resume` what is there is replaced.
+
+    Returns the folder written to, as `result_target` names it.
+    """
+    target, fmt = result_target(path)
+    write = write_csv if fmt == "csv" else write_jsonl
+    write(df, target, "append" if resume else "overwrite", rows_per_file)
     return target
 
 
+def read_results(spark: SparkSession, path: str, key: T.StructField) -> DataFrame | None:
+    """(key, finish_reason) of the results under `path`; nothing if none are written yet."""
+    target, fmt = result_target(path)
+    if not exists(spark, target):
+        return None
+    wanted = T.StructType([key, T.StructField("finish_reason", T.StringType())])
+    if fmt == "json":
+        return spark.read.schema(wanted).json(target)
+    rows = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(target)
+    return rows.select(*[
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+
+
 def shard_path(directory: str, rank: int | None = None, world: int | None = None,
                stem: str = "generate") -> str:
     """Where the run for one shard of the rows puts its results."""
@@ -65,14 +86,11 @@ def write_shards(df: DataFrame, path: str, shard: str = "shard", mode: str = "ap
 
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     """The parquet table at `path`, or nothing when it was never finished."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    return spark.read.parquet(path) if exists(spark, f"{path.rstrip('/')}/_SUCCESS") else None
 
 
 def cached(spark: SparkSession, path: str, prepare: Callable[[], DataFrame]) -> DataFrame:
-    """The prepared table at `path`, prepared and written first if absent."""
+    """The prepared table at `path`, prepared and written first if absent or unfinished."""
     found = read_if_present(spark, path)
     if found is not None:
         return found

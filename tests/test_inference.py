@@ -73,6 +73,38 @@ def test_resume_adds_nothing_twice_and_retries_errors(spark, tmp_path):
     assert read() == once
 
 
+@pytest.mark.parametrize("name", ["answers.jsonl", "answers.csv", "answers"])
+def test_resume_for_every_target(spark, tmp_path, name):
+    output = str(tmp_path / name)
+    for _ in range(2):
+        target = inference.run_generation(rows_of(spark, 4), output, "qid", FunctionGenerator(shouting), resume=True)
+    read = spark.read.option("header", True).option("multiLine", True).csv(target) if name.endswith("csv") else spark.read.json(target)
+    assert sorted(int(r.qid) for r in read.collect()) == [0, 1, 2, 3]
+
+
+def broken():
+    def answer(prompts, n):
+        raise RuntimeError("never works")
+    return answer
+
+
+def test_a_model_that_never_works_fails_the_run(spark, tmp_path):
+    with pytest.raises(RuntimeError, match="10 of 10"):
+        inference.run_generation(rows_of(spark), str(tmp_path / "out.jsonl"), "qid", FunctionGenerator(broken))
+
+
+def test_shares_of_a_classification_skip_what_any_share_holds(spark, tmp_path):
+    table = spark.range(12).select(
+        F.col("id").alias("qid"), F.col("id").alias("row_id"), F.lit(0).alias("labels"),
+        F.array(F.lit(3), F.lit(4)).alias("input_ids"))
+    folder = str(tmp_path / "out")
+    for _ in range(2):
+        for rank in range(3):
+            inference.run_classification(table, folder, resume=True, rank=rank, world=3)
+    inference.run_classification(table, folder, resume=True, all_files=True, rank=0, world=2, head=4)
+    assert sorted(r.qid for r in spark.read.json(f"{folder}/*.jsonl").collect()) == list(range(12))
+
+
 def test_shards_together_cover_the_rows(spark, tmp_path):
     output = str(tmp_path / "out.jsonl")
     for rank in range(3):

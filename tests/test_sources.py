@@ -96,7 +96,7 @@ def test_text_keeps_empty_lines_in_order(spark, tmp_path):
     lines = readers.read_text_lines(spark, f"{tmp_path}/b.txt,{tmp_path}/a.txt", order_columns=True)
     numbered = with_row_id(lines, ["_path", "_split", "_line"])
     assert [(r.row_id, r.text) for r in numbered.orderBy("row_id").collect()] == list(
-        enumerate(["1", "2", "3", "", "4"]))
+        enumerate(["3", "", "4", "1", "2"]))
 
 
 def test_many_splits_keep_the_order(spark, tmp_path):
@@ -155,3 +155,46 @@ def test_cache_prepares_once(spark, tmp_path):
 
 def test_schemas_need_no_session():
     assert schemas.SCORE.simpleString() == "struct<qid:bigint,i:bigint,score:double>"
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\nx,1\n")
+    (tmp_path / "b.csv").write_text("b,a\n2,y\n")
+    both = f"{tmp_path}/a.csv,{tmp_path}/b.csv"
+    for schema in (None, PEOPLE):
+        assert rows(readers.read_records(spark, both, schema=schema)) == [("x", 1), ("y", 2)]
+        ordered = readers.read_records(spark, f"{tmp_path}/b.csv,{tmp_path}/a.csv", schema=schema, order_columns=True)
+        assert [r.a for r in ordered.orderBy("_path", "_split", "_line").collect()] == ["y", "x"]
+
+
+def test_what_cannot_be_read_is_an_error(spark, tmp_path):
+    (tmp_path / "cut.json").write_text('[{"a":"x","b":1},{"a":"y"')
+    (tmp_path / "object.json").write_text('{"a":{"0":"x"},"b":{"0"')
+    (tmp_path / "bad.jsonl").write_text('{"a":"x","b":1}\nnot json\n')
+    for name in ("cut.json", "object.json", "bad.jsonl"):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            readers.read_records(spark, tmp_path / name, schema=PEOPLE).collect()
+    with pytest.raises(FileNotFoundError):
+        readers.read_directory(spark, tmp_path, "*.none")
+
+
+def test_directory_finds_written_folders(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1), ("y", 2)], "a string, b int")
+    writers.append_results(df, writers.shard_path(str(tmp_path), 0, 2))
+    writers.append_results(df, writers.shard_path(str(tmp_path), 1, 2))
+    assert readers.read_directory(spark, tmp_path, schema=PEOPLE).count() == 4
+
+
+def test_unfinished_cache_is_prepared_again(spark, tmp_path):
+    path = tmp_path / "cache"
+    assert writers.cached(spark, str(path), lambda: spark.range(100).repartition(4)).count() == 100
+    (path / "_SUCCESS").unlink()
+    next(path.glob("part-*.parquet")).unlink()
+    assert writers.cached(spark, str(path), lambda: spark.range(100)).count() == 100
+
+
+def test_code_references_are_numbered_in_order(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("diag,diag_code\nred,A\nblue,B\n")
+    (tmp_path / "a.csv").write_text("diag_code,diag\nC,green\n")
+    found = readers.read_code_references(spark, f"{tmp_path}/b.csv,{tmp_path}/a.csv").collect()
+    assert sorted((r.ref_id, r.diag, r.diag_code) for r in found) == [(0, "red", "A"), (1, "blue", "B"), (2, "green", "C")]
