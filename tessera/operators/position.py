@@ -78,8 +78,21 @@ def take_shard(df: DataFrame, rank: int, world: int, row_id: str = "row_id") ->
 
 
 def take_head(df: DataFrame, n: int | None, order_by: Sequence[str] = ("row_id",)) -> DataFrame:
-    """The first `n` rows in order; everything when `n` is not set."""
-    return df if not n else df.orderBy(*order_by).limit(n)
+    """The first `n` rows in order; everything when `n` is not set.
+
+    `order_by` tells rows apart. Only these columns are numbered, and the
+    last of the first `n` is what the rows are compared with, so no task
+    gathers `n` rows.
+    """
+    if not n:
+        return df
+    numbered = with_row_id(df.select(*order_by), order_by, name="_place")
+    last = numbered.where(F.col("_place") < n).orderBy(F.desc("_place")).drop("_place").limit(1).collect()
+    if not last:
+        return df
+    keys = df.select(*order_by).schema
+    bound = F.struct(*[F.lit(last[0][f.name]).cast(f.dataType).alias(f.name) for f in keys])
+    return df.where(F.struct(*order_by) <= bound)
 
 
 def _quotient(value: Column, by: int) -> Column:

@@ -11,12 +11,12 @@ from .views import with_views
 def row_position(spark, sf_dir):
     """Documents numbered by text, where copies are told apart by their id."""
     rows = position.with_row_id(
-        views.documents(spark, sf_dir, costly=False), ["text", "doc_id"], replayable=True)
+        views.documents(spark, sf_dir), ["text", "doc_id"], replayable=True)
     return rows.select("doc_id", "row_id")
 
 
 def _numbered(spark, sf_dir):
-    rows = views.documents(spark, sf_dir, costly=False).select("doc_id")
+    rows = views.documents(spark, sf_dir).select("doc_id")
     return position.with_row_id(rows, ["doc_id"], replayable=True)
 
 
