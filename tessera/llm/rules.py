@@ -46,7 +46,7 @@ RULES = (
     Rule("mean word length", "mean_word_chars", 2, 14),
     Rule("symbols per word", "symbols_per_word", None, 0.1),
     Rule("stop words", "n_stop_words", 2),
-    Rule("copied lines", "dup_line_ratio", None, 0.3),
+    Rule("copied lines", "dup_line_ratio", None, 0.5),
     Rule("upper case letters", "upper_ratio", None, 0.5),
     Rule("words with a letter", "letter_word_ratio", 0.8),
     Rule("lines ending in an ellipsis", "ellipsis_line_ratio", None, 0.3),
@@ -180,7 +180,7 @@ m AS (
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars BETWEEN 2 * n_words AND 14 * n_words AND n_symbols / n_words <= 0.1
-       AND n_stops >= 2 AND CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END <= 0.3
+       AND n_stops >= 2 AND CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END <= 0.5
        AND CASE WHEN n_letters > 0 THEN n_upper / n_letters ELSE 0 END <= 0.5 AND n_letter_words / n_words >= 0.8
        AND CASE WHEN n_lines > 0 THEN n_ellipsis / n_lines ELSE 0 END <= 0.3
        AND CASE WHEN n_lines > 0 THEN n_bullets / n_lines ELSE 0 END <= 0.9 AS kept
