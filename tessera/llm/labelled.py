@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stage
+
 
 def held_out(doc_id: Column) -> Column:
     """Rows that nothing is learned from: crc32 of the id as text, modulo 5, is 0."""
@@ -16,7 +18,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     Rows are chosen by a hash of their id. A weight is the number of
     labelled rows that one sampled row stands for. Rows without an id or a
     label are not used; of several labels of one id the smallest counts. The
-    chosen ids, 2 * `per_class` at most, are broadcast.
+    chosen ids, 2 * `per_class` at most, are broadcast, and the rows found are
+    written out, so that the documents are read once for all that is learned.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -28,4 +31,4 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         known.where("label = 1").orderBy(*order).limit(per_class))
     weights = {k: max(1.0, n / per_class) for k, n in counts.items()}
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return texts.select("doc_id", "text", "label"), weights
+    return stage(texts.select("doc_id", "text", "label"), "sample"), weights
