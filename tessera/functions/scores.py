@@ -43,11 +43,6 @@ def entropy(logits: Column, normalizer: Column) -> Column:
         _as_doubles(logits), F.lit(0.0), lambda acc, x: acc + F.exp(x - z) * (x - z)))
 
 
-def l1_distance(a: Column, b: Column) -> Column:
-    gaps = F.zip_with(_as_doubles(a), _as_doubles(b), lambda x, y: F.abs(x - y))
-    return F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators.hooks import Embedder
 from ..operators.selection import (
     attach_pairs, score_codes, select_bootstrap, select_pairs)
+from ..session import temporary_stages
 from ..sources.readers import read_code_references, read_directory, read_records
 from ..sources.writers import write_jsonl
 from .codes import map_codes
@@ -55,14 +56,15 @@ def run_preference_dataset(spark: SparkSession, originals: str, generated_dir: s
                            score_dir: str, output: str, references: DataFrame | str,
                            embedder: Embedder | None = None, seed: int = 42) -> None:
     """The whole job from files to files; `references` may be CSV files to read."""
-    coded = add_codes(
-        finished(read_directory(spark, generated_dir, schema=schemas.GENERATION)).select(
-            "qid", "i", "response", "label", "response_token_len"),
-        _references(spark, references), embedder)
-    result = preference_dataset(
-        read_records(spark, originals, fmt="jsonl"), coded,
-        read_directory(spark, score_dir, schema=schemas.SCORE), seed)
-    write_jsonl(result, output, mode="overwrite")
+    with temporary_stages(spark):
+        coded = add_codes(
+            finished(read_directory(spark, generated_dir, schema=schemas.GENERATION)).select(
+                "qid", "i", "response", "label", "response_token_len"),
+            _references(spark, references), embedder)
+        result = preference_dataset(
+            read_records(spark, originals, fmt="jsonl"), coded,
+            read_directory(spark, score_dir, schema=schemas.SCORE), seed)
+        write_jsonl(result, output, mode="overwrite")
 
 
 def run_bootstrapped_dataset(spark: SparkSession, generated_dir: str, hinted_dir: str,
@@ -71,8 +73,9 @@ def run_bootstrapped_dataset(spark: SparkSession, generated_dir: str, hinted_dir
     """The whole job from files to files; `references` may be CSV files to read."""
     unhinted = finished(read_directory(spark, generated_dir)).withColumn("_hinted", F.lit(False))
     hinted = finished(read_directory(spark, hinted_dir)).withColumn("_hinted", F.lit(True))
-    coded = add_codes(
-        unhinted.unionByName(hinted, allowMissingColumns=True), _references(spark, references), embedder)
-    result = bootstrapped_dataset(
-        coded.where(~F.col("_hinted")), coded.where(F.col("_hinted")), seed).drop("_hinted")
-    write_jsonl(result, output, mode="overwrite")
+    with temporary_stages(spark):
+        coded = add_codes(
+            unhinted.unionByName(hinted, allowMissingColumns=True), _references(spark, references), embedder)
+        result = bootstrapped_dataset(
+            coded.where(~F.col("_hinted")), coded.where(F.col("_hinted")), seed).drop("_hinted")
+        write_jsonl(result, output, mode="overwrite")

@@ -13,16 +13,9 @@ def struct(fields: str) -> T.StructType:
 
 
 SFT_INPUT = struct("text string, qid bigint, trainable_round int")
-CLF_INPUT = struct("text string, qid bigint, label int")
-PREFERENCE_INPUT = struct(
-    "text string, qid bigint, trainable_round int, accepted string, rejected string")
 GENERATION = struct(
     "qid bigint, i bigint, text string, label string, data_source string, prompt string, "
     "reference string, finish_reason string, response string, response_token_len int, "
     "prompt_token_len int, model_name string, policy_name string")
 SCORE = struct("qid bigint, i bigint, score double")
-ORIGINAL = struct("qid bigint, text string, response string")
 CODE_REFERENCE = struct("diag string, diag_code string")
-PAIR_LOGPS = struct(
-    "pair_id string, batch_id bigint, policy_chosen double, policy_rejected double, "
-    "ref_chosen double, ref_rejected double")

@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,10 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other run uses; `clear_staged` removes it."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+    """A path under the shared folder that no other run uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -71,19 +71,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Used where a result feeds several later steps, or must stay the same in
     both of two passes even when executors are lost in between.
     """
-    path = fresh_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear_staged(spark: SparkSession) -> None:
-    """Remove what this application has staged so far.
-
-    For the end of a job, when its result is written: a table that is still
-    to be computed may read what it staged.
-    """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    settings = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
-        target = hadoop.Path(path)
-        target.getFileSystem(settings).delete(target, True)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was staged within; for jobs that write their result."""
+    staged = _STAGED.setdefault(spark.sparkContext.applicationId, [])
+    before = len(staged)
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        settings = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in staged[before:]:
+            target = hadoop.Path(path)
+            target.getFileSystem(settings).delete(target, True)
+        del staged[before:]
