@@ -51,18 +51,23 @@ class PrefixEncoder:
         self.suffix = _END if suffix else ""
         self.ids = {plain(t): i for t, i in vocabulary.items()}
         self.text = {i: t for t, i in vocabulary.items()}
-        self.ranks, self.parts = {}, {}
+        self.ranks, self.parts, self.followers = {}, {}, {}
         for rank, (left, right) in enumerate(merges):
             left, right = plain(left), plain(right)
-            self.ranks[left, right] = rank
+            self.ranks[left, right] = self.followers.setdefault(left, {})[right] = rank
             self.parts.setdefault(left + right, (left, right, rank))
         self.letters = byte_alphabet()
+        self.tokens = {i: t for t, i in self.ids.items()}
+        self.lengths = {i: len(t) for i, t in self.tokens.items()}
+        # Strings that encode as themselves: symbols, and what some merge makes.
+        self.whole = {t: (i,) for t, i in self.ids.items() if t in self.parts or len(t.replace(_END, "")) < 2}
         self.automaton = ahocorasick.Automaton()
-        for token in self.ids:
-            self.automaton.add_word(token, token)
+        for token, i in self.ids.items():
+            self.automaton.add_word(token, (i, len(token) - 1))
         self.automaton.make_automaton()
         self._sides: dict[str, tuple[list, list]] = {}
-        self._pairs = BoundedCache(lambda pair: not self._meets(*pair), _PAIRS)
+        self._width = max(self.tokens) + 1
+        self._pairs = BoundedCache(self._fits, _PAIRS)
 
     def _side(self, token: str, right: bool) -> list[tuple[str, float, float]]:
         """Tokens at one border of `token`, with ranks of birth and absorption."""
@@ -81,41 +86,48 @@ class PrefixEncoder:
 
     def _meets(self, left: str, right: str) -> bool:
         """Whether some merge across the border comes first. At one rank the leftmost pair does."""
+        followers, near = self.followers, self._sides_of(right)[0]
         for x, x_born, x_gone in self._sides_of(left)[1]:
-            for y, y_born, y_gone in self._sides_of(right)[0]:
-                rank = self.ranks.get((x, y))
-                if rank is not None:
-                    at = max(rank, x_born, y_born)
-                    if at < x_gone and at <= y_gone:
-                        return True
+            if x in followers:
+                ranks = followers[x]
+                for y, y_born, y_gone in near:
+                    if y in ranks:
+                        at = max(ranks[y], x_born, y_born)
+                        if at < x_gone and at <= y_gone:
+                            return True
         return False
 
-    def tokens(self, pretoken: str) -> list[str]:
-        """The token strings of a pre-token."""
+    def _fits(self, pair: int) -> bool:
+        left, right = divmod(pair, self._width)
+        return not self._meets(self.tokens[left], self.tokens[right])
+
+    def encode(self, pretoken: str) -> tuple[int, ...]:
+        """The ids of a pre-token."""
+        if pretoken.isascii() and pretoken.isprintable() and " " not in pretoken:
+            return self.split(pretoken + self.suffix)
         letters = self.letters
         return self.split("".join([letters[b] for b in pretoken.encode()]) + self.suffix)
 
-    def split(self, shown: str) -> list[str]:
-        """The token strings of a pre-token that is already in the byte alphabet."""
-        if shown in self.ids and (shown in self.parts or len(shown.replace(_END, "")) < 2):
-            return [shown]
-        last: list[str | None] = [None] * (len(shown) + 1)
-        pairs = self._pairs
-        for end, token in self.automaton.iter(shown):
-            if last[end + 1] is None:
-                start = end + 1 - len(token)
-                if not start:
-                    last[end + 1] = token
-                elif (before := last[start]) is not None and pairs[before, token]:
-                    last[end + 1] = token
-        found, at = [], len(shown)
-        while at:
+    def split(self, shown: str) -> tuple[int, ...]:
+        """The ids of a pre-token that is already in the byte alphabet."""
+        if shown in self.whole:
+            return self.whole[shown]
+        last, pairs, width = [-1] * len(shown), self._pairs, self._width
+        for end, (token, back) in self.automaton.iter(shown):
+            if last[end] < 0:
+                if end == back:
+                    last[end] = token
+                elif (before := last[end - back - 1]) >= 0 and pairs[before * width + token]:
+                    last[end] = token
+        found, at, lengths = [], len(shown) - 1, self.lengths
+        while at >= 0:
             token = last[at]
-            if token is None:
-                raise ValueError(f"no token ends at place {at} of {shown[:80]!r}")
+            if token < 0:
+                raise ValueError(f"no token ends at place {at + 1} of {shown[:80]!r}")
             found.append(token)
-            at -= len(token)
-        return found[::-1]
+            at -= lengths[token]
+        found.reverse()
+        return tuple(found)
 
 
 def load_parts(path: str) -> tuple[dict, dict]:
@@ -146,11 +158,20 @@ class WordBpe:
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.words = re.compile(f"[^{WHITE}]+").findall
         self.odd = re.compile("[\x1c-\x1f]").search
+        self.names = self.encoder.text | {i: s for s, i in self.special.items()}
+        self.known = BoundedCache(self.encoder.encode, _CACHE)
+
+    def word_ids(self, word: str) -> tuple[int, ...]:
+        """Ids of one normalised word. Letters alone are one pre-token, and so is a sign after them."""
+        if word.isalpha():
+            return self.known[word]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return self.known[word[:-1]] + self.known[word[-1]]
+        return tuple([i for p in self.pretokens(word) for i in self.known[p]])
 
     def word(self, word: str) -> list[tuple[int, str]]:
         """Ids and token strings of one normalised word."""
-        ids, encoder = self.encoder.ids, self.encoder
-        return [(ids[t], t.replace(_END, self.written)) for p in self.pretokens(word) for t in encoder.tokens(p)]
+        return [(i, self.names[i]) for i in self.word_ids(word)]
 
     def split(self, text: str) -> Iterator[str | int]:
         """Normalised words, and the ids of special strings between them."""
@@ -172,11 +193,10 @@ def _encode_function(path: str):
 
         def build():
             bpe = WordBpe(path)
-            names = {i: s for s, i in bpe.special.items()}
 
             def compute(word):
-                found = [(word, names[word])] if isinstance(word, int) else bpe.word(word)
-                return len(found), " ".join(str(i) for i, _ in found), " ".join(t for _, t in found)
+                ids = (word,) if isinstance(word, int) else bpe.word_ids(word)
+                return len(ids), " ".join(map(str, ids)), " ".join([bpe.names[i] for i in ids])
 
             return bpe, BoundedCache(compute, _CACHE)
 
@@ -216,7 +236,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         def build():
             bpe = WordBpe(path)
             return bpe, BoundedCache(
-                lambda w: [w] if isinstance(w, int) else [i for i, _ in bpe.word(w)], _CACHE)
+                lambda w: (w,) if isinstance(w, int) else bpe.word_ids(w), _CACHE)
 
         bpe, cache = per_process(("ids", path), build)
         for batch in sliced(batches):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import sys
 import types
@@ -29,6 +30,8 @@ def per_process(key: Any, build: Callable[[], Any]) -> Any:
     state = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
     if key not in state:
         state[key] = build()
+        gc.collect()
+        gc.freeze()  # large and there to stay: not to be walked again and again
     return state[key]
 
 

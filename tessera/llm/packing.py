@@ -39,8 +39,8 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
     """
 
     def run(batches):
+        import struct
         import zlib
-        from array import array
 
         import pyarrow as pa
 
@@ -48,15 +48,13 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
             bpe = WordBpe(path)
 
             def compute(word):
-                ids = [word] if isinstance(word, int) else [i for i, _ in bpe.word(word)]
-                packed = array("I", ids)
-                assert packed.itemsize == 4
-                return packed.tobytes()
+                ids = (word,) if isinstance(word, int) else bpe.word_ids(word)
+                return struct.pack(f"<{len(ids)}I", *ids)
 
             return bpe, BoundedCache(compute, _CACHE)
 
         bpe, cache = per_process(("packed", path), build)
-        end, step = array("I", [end_id]).tobytes(), 4 * capacity
+        end, step = struct.pack("<I", end_id), 4 * capacity
         for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
