@@ -96,3 +96,16 @@ def test_lookup_join_deals_hot_and_null_keys_out(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_jobs_can_remove_what_they_staged(spark):
+    from pathlib import Path
+
+    from tessera.session import shared_dir, stage, temporary_stages
+
+    before = {p.name for p in Path(shared_dir(spark)).iterdir()}
+    kept = stage(spark.range(3), "kept")
+    with temporary_stages(spark):
+        assert stage(spark.range(5), "gone").count() == 5
+    added = {p.name for p in Path(shared_dir(spark)).iterdir()} - before
+    assert len(added) == 1 and kept.count() == 3
