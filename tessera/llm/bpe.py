@@ -11,8 +11,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, functions as F
 
 from .common import BoundedCache, per_process, sliced
@@ -23,6 +21,7 @@ _PAIRS = 1_000_000
 _NEVER = float("inf")
 # White_Space of Unicode, which Python's \s exceeds by U+001C to U+001F.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 def byte_alphabet() -> list[str]:
@@ -157,7 +156,6 @@ class WordBpe:
         self.pretokens = regex.compile(pattern.replace(r"\s", WHITE)).findall
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.words = re.compile(f"[^{WHITE}]+").findall
-        self.odd = re.compile("[\x1c-\x1f]").search
         self.names = self.encoder.text | {i: s for s, i in self.special.items()}
         self.known = BoundedCache(self.encoder.encode, _CACHE)
 
@@ -173,14 +171,18 @@ class WordBpe:
         """Ids and token strings of one normalised word."""
         return [(i, self.names[i]) for i in self.word_ids(word)]
 
-    def split(self, text: str) -> Iterator[str | int]:
+    def split(self, text: str) -> list[str | int]:
         """Normalised words, and the ids of special strings between them."""
-        for part in self.specials.split(text) if "<|" in text else (text,):
-            if part in self.special:
-                yield self.special[part]
-                continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            yield from self.words(part) if self.odd(part) else part.split()
+        if "<|" not in text:
+            return self._words(text)
+        found: list[str | int] = []
+        for part in self.specials.split(text):
+            found += [self.special[part]] if part in self.special else self._words(part)
+        return found
+
+    def _words(self, text: str) -> list[str]:
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return self.words(text) if any(sign in text for sign in _ODD) else text.split()
 
 
 def _encode_function(path: str):
