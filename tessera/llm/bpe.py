@@ -17,7 +17,7 @@ from .common import BoundedCache, per_process, sliced
 
 _END = "\n"  # stands for the end of a word; no byte is written as it
 _CACHE = 300_000
-_PAIRS = 1_000_000
+_PAIRS = 500_000
 _NEVER = float("inf")
 # White_Space of Unicode, which Python's \s exceeds by U+001C to U+001F.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

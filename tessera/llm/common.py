@@ -24,11 +24,16 @@ def per_process(key: Any, build: Callable[[], Any]) -> Any:
     """`build()`, once in each Python process and kept from task to task.
 
     Task functions travel by value, so that globals of a module are new in
-    every task; a module of the worker's own is not.
+    every task; a module of the worker's own is not. A worker keeps one such
+    value at a time: what an earlier operator left goes first.
     """
     name = "_worker_state"
-    state = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    state = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("kept", {})
     if key not in state:
+        if state:
+            state.clear()
+            gc.unfreeze()
+            gc.collect()
         state[key] = build()
         gc.collect()
         gc.freeze()  # large and there to stay: not to be walked again and again

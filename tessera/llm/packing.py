@@ -28,7 +28,7 @@ GENERATIONS = 6
 POPULATION = 4
 ROUNDS = 3
 _BIN_BITS = 24
-_CACHE = 400_000
+_CACHE = 300_000
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

@@ -21,7 +21,8 @@ RANK = 48
 NEIGHBOURS = 25
 SHARPNESS = 8
 THRESHOLD = 0.3
-_CACHE = 300_000
+_CACHE = 150_000
+_TERMS = 50_000
 _BLOCK = 256
 _SUMMARY_WEIGHT = 3.0
 
@@ -44,8 +45,11 @@ def _term(name: str) -> int:
     return zlib.crc32(name.encode()) % WIDTH
 
 
-def _word_terms(word: str) -> tuple[int, ...]:
-    """A word's shape with runs made one, its ends, its length, and itself if it is short."""
+def _word_terms(word: str, terms) -> tuple[int, ...]:
+    """A word's shape with runs made one, its ends, its length, and itself if it is short.
+
+    `terms` holds the number of each name, one object for all words.
+    """
     shape = []
     for c in word[:200]:
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c
@@ -56,7 +60,7 @@ def _word_terms(word: str) -> tuple[int, ...]:
     found += [f"sign {s}" for s in dict.fromkeys(shape) if s not in "aA0x"]
     if len(word) <= 4:
         found.append(f"word {word.lower()}")
-    return tuple(_term(name) for name in found)
+    return tuple([terms[name] for name in found])
 
 
 def _summary_terms(text: str, words: list[str]) -> list[int]:
@@ -93,7 +97,11 @@ def _counted(texts: list, words_terms):
 
 
 def _words_terms():
-    return per_process("quality terms", lambda: BoundedCache(_word_terms, _CACHE))
+    def build():
+        terms = BoundedCache(_term, _TERMS)
+        return BoundedCache(lambda word: _word_terms(word, terms), _CACHE)
+
+    return per_process("quality terms", build)
 
 
 def _unit(rows):
