@@ -14,8 +14,10 @@ from ..operators.position import with_row_id
 from ..session import stage
 from .common import sliced
 
-LEAST_WORDS = 3
-_PASSAGES = "array<struct<level:int,rank:int,hash:long>>"
+_PASSAGES = "array<struct<level:int,size:int,hash:long>>"
+# Scripts written without blanks between words: Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_SENTENCE_ENDS = r"""[.!?…]+["'”’»)\]]*\s+|[。！？｡؟۔।။។]+"""
 
 
 def split_quotes(text: str) -> list[tuple[int, list[str]]]:
@@ -40,64 +42,101 @@ def _introduces(line: str) -> bool:
     return line.endswith(("wrote:", "schrieb:", "écrit :", "écrit:", "escribió:"))
 
 
-def _normal_hash(lines: list[str]) -> int | None:
-    """A hash of the words alone, in lower case; None for too few words."""
+def _normal(text: str) -> str:
+    """The words alone, in lower case; in scripts without blanks, without those that wrapping puts in."""
     import re
 
-    import xxhash
-
-    words = re.findall(r"\w+", " ".join(lines).lower())
-    if len(words) < LEAST_WORDS:
-        return None
-    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
+    words = " ".join(re.findall(r"\w+", text.lower()))
+    return words if words.isascii() else re.sub(f"(?<=[{_UNSPACED}]) (?=[{_UNSPACED}])", "", words)
 
 
 def _hashes(lines: list[str]) -> list[tuple[int, int]]:
-    """(rank, hash) of a run: as a whole, then its paragraphs, then its lines."""
+    """(size, hash) of a run as a whole, its paragraphs, its lines, and the sentences of both.
+
+    The size is that of the normal form. A run without any word is hashed by
+    its signs as a whole, at size 0.
+    """
+    import re
+
+    import xxhash
+
     paragraphs: list[list[str]] = [[]]
     for line in lines:
         if line.strip():
             paragraphs[-1].append(line)
         elif paragraphs[-1]:
             paragraphs.append([])
-    parts = [(0, lines)] + [(1, p) for p in paragraphs if p] + [(2, [line]) for line in lines]
-    found: dict[int, int] = {}
-    for rank, part in parts:
-        if (value := _normal_hash(part)) is not None:
-            found.setdefault(value, rank)
-    return [(rank, value) for value, rank in found.items()]
-
-
-def _parse(batches):
+    found: set[str] = set()
+    whole = []
+    for paragraph in paragraphs:
+        normal = [_normal(line) for line in paragraph]
+        found.update(normal)
+        joined = " ".join(paragraph)
+        whole.append(_normal(joined) if len(paragraph) > 1 else "".join(normal))
+        for text in {joined, *paragraph}:
+            parts = re.split(_SENTENCE_ENDS, text)
+            if len(parts) > 1:
+                found.update(map(_normal, parts))
+    found.update(whole)
+    found.add(_normal(" ".join(whole)))
+    found.discard("")
+    sized = [(len(part), part) for part in found]
+    if not found and (signs := "".join("".join(lines).split())):
+        sized = [(0, signs)]
+    return [(size, xxhash.xxh3_64_intdigest(part) - (1 << 63)) for size, part in sized]
+
+
+def _runs(text: str | None) -> tuple[str | None, list[tuple[int, list[str]]]]:
+    """A message's own words, and its runs by level, own ones without the lines that introduce a quote."""
+    if not text or ">" not in text:
+        return text, [(0, (text or "").split("\n"))]
+    runs = split_quotes(text)
+    for place, (level, lines) in enumerate(runs):
+        if level:
+            continue
+        if place:
+            while lines and not lines[0].strip():
+                lines = lines[1:]
+        if place + 1 < len(runs):
+            while lines and (not lines[-1].strip() or _introduces(lines[-1])):
+                lines = lines[:-1]
+        runs[place] = (0, lines)
+    own = ["\n".join(lines) for level, lines in runs if not level]
+    if len(runs) > 1:
+        return "\n".join(part for part in own if part.strip()), runs
+    return own[0] if own else "", runs
+
+
+def _own_texts(batches):
     import pyarrow as pa
 
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("rank", pa.int32()), ("hash", pa.int64())]))
     for batch in sliced(batches):
-        own_texts, passages = [], []
-        for text in batch.column("text").to_pylist():
-            runs = split_quotes(text) if text and ">" in text else [(0, (text or "").split("\n"))]
-            own, found = [], []
-            for place, (level, lines) in enumerate(runs):
-                if level:
-                    found += [{"level": level, "rank": r, "hash": h} for r, h in _hashes(lines)]
-                    continue
-                if place:
-                    while lines and not lines[0].strip():
-                        lines = lines[1:]
-                if place + 1 < len(runs):
-                    while lines and (not lines[-1].strip() or _introduces(lines[-1])):
-                        lines = lines[:-1]
-                own.append("\n".join(lines))
-                found += [{"level": 0, "rank": r, "hash": h} for r, h in _hashes(lines)]
-            joined = "\n".join(part for part in own if part.strip()) if len(runs) > 1 else own[0] if own else ""
-            if sum(level == 0 for level, _ in runs) > 1 and (whole := _normal_hash([joined])) is not None:
-                found.append({"level": 0, "rank": 0, "hash": whole})
-            own_texts.append(None if text is None else joined)
-            passages.append(found)
+        texts = [_runs(text)[0] for text in batch.column("text").to_pylist()]
         kept = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(n) for n in kept] + [pa.array(own_texts, pa.string()), pa.array(passages, kind)],
-            [*kept, "text", "passages"])
+            [batch.column(n) for n in kept] + [pa.array(texts, pa.string())], [*kept, "text"])
+
+
+def _passages_function(quoted: bool):
+    """The passages that messages quote, or those that they say themselves."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("level", pa.int32()), ("size", pa.int32()), ("hash", pa.int64())]))
+        for batch in sliced(batches):
+            passages = []
+            for text in batch.column("text").to_pylist():
+                own, runs = _runs(text)
+                parts = [(level, lines) for level, lines in runs if quoted == (level > 0)]
+                if not quoted and len(parts) > 1:
+                    parts.append((0, own.split("\n")))
+                passages.append([{"level": level, "size": n, "hash": h} for level, lines in parts
+                                 for n, h in _hashes(lines)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv"), batch.column("turn"), pa.array(passages, kind)], ["conv", "turn", "passages"])
+
+    return run
 
 
 def _conversation(conv_id: Column) -> Column:
@@ -105,21 +144,28 @@ def _conversation(conv_id: Column) -> Column:
     return F.coalesce(F.concat(F.lit("c"), conv_id.cast("string")), F.lit("n"))
 
 
-def _parents(parsed: DataFrame) -> DataFrame:
+def _parents(source: DataFrame) -> DataFrame:
     """(conv, turn, parent): the message that each quoting message answers.
 
-    Of the shallowest level that is found, the longest kind of passage and
-    then the latest message. What a passage's first message is, is one row
+    Of the shallowest level that is found, the longest passage and then the
+    latest message. What a passage's first message is, is one row
     for each passage of a conversation, so a passage said over and over again
-    is combined before it is shuffled and joined once.
+    is combined before it is shuffled and joined once. Only texts with a `>`
+    are read for quotes.
     """
-    said = parsed.select("conv", "turn", F.explode("passages").alias("p")).select("conv", "turn", "p.*")
-    originals = said.where("level = 0 AND turn IS NOT NULL").groupBy("conv", "hash").agg(
-        F.min("turn").alias("original"))
-    quoted = said.where("level > 0").distinct()
+    turn = source.schema["turn"].dataType.simpleString()
+
+    def passages(rows: DataFrame, quoted: bool) -> DataFrame:
+        return rows.select("conv", "turn", "text").mapInArrow(
+            _passages_function(quoted), f"conv string, turn {turn}, passages {_PASSAGES}").select(
+            "conv", "turn", F.explode("passages").alias("p")).select("conv", "turn", "p.*")
+
+    messages = source.where("turn IS NOT NULL")
+    originals = passages(messages, False).groupBy("conv", "hash").agg(F.min("turn").alias("original"))
+    quoted = passages(messages.where(F.col("text").contains(">")), True).distinct()
     return (
         quoted.join(originals, ["conv", "hash"]).where("original < turn")
-        .groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), -F.col("rank"), "original")).alias("best"))
+        .groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), "size", "original")).alias("best"))
         .select("conv", "turn", F.col("best.original").alias("parent")))
 
 
@@ -155,6 +201,12 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     within a thread by turn, so that no message stands before the one it
     answers. Rows alike in conversation, turn, role and text share a position.
 
+    A quoted passage is a run of quoted lines, or a paragraph, a line or a
+    sentence of one, of whatever length; its words are compared with the same
+    parts of earlier messages. A piece cut out of the middle of a sentence
+    that is no line of its own matches nothing. Passages without any word are
+    compared by their signs, as whole runs.
+
     Null and empty texts quote nothing and are not quoted. A null turn comes
     first, has no links and is no head of others. Rows without a conversation
     id are one conversation. Several messages of one turn share its links.
@@ -169,9 +221,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         "mark": F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.col("text").isNull())})
     described = (f"conv_id {source.schema['conv_id'].dataType.simpleString()}, "
                  f"turn {source.schema['turn'].dataType.simpleString()}, role string, conv string, mark long, "
-                 f"text string, passages {_PASSAGES}")
-    parsed = source.select("conv_id", "turn", "role", "conv", "mark", "text").mapInArrow(_parse, described)
-    links = _roots(_parents(parsed))
+                 "text string")
+    own = source.select("conv_id", "turn", "role", "conv", "mark", "text").mapInArrow(_own_texts, described)
+    links = _roots(_parents(source))
     keys = source.groupBy("conv", "turn", "mark").agg(F.count(F.lit(1)).alias("copies"))
     placed = keys.join(links, ["conv", "turn"], "left").withColumn("thread", F.coalesce("root", "turn"))
     numbered = stage(with_row_id(
@@ -181,7 +233,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     places = numbered.join(starts, "conv").select(
         F.col("conv").alias("_conv"), F.col("turn").alias("_turn"), F.col("mark").alias("_mark"), "parent", "thread",
         "depth", (F.col("_row") - F.col("_start")).alias("position"))
-    return parsed.drop("passages").join(
+    return own.join(
         places, (F.col("conv") == F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn"))
         & (F.col("mark") == F.col("_mark"))).select(
         "conv_id", "turn", "role", "text", F.col("parent").alias("reply_to"), "thread",

@@ -64,3 +64,30 @@ def test_table_without_quotes_keeps_its_order(spark):
 def test_splitting_of_levels():
     assert quotations.split_quotes("a\n> b\n>> c\n> > d\nx") == [
         (0, ["a"]), (1, ["b"]), (2, ["c", "d"]), (0, ["x"])]
+
+
+def test_short_and_unspaced_quotes(spark):
+    rows = [
+        (1, 0, "a", "Shall we go?"), (1, 1, "b", "Yes, please"), (1, 2, "c", "No"), (1, 3, "d", "👍"),
+        (1, 4, "a", "> Yes, please\nGood"), (1, 5, "a", "> no\nA pity"), (1, 6, "a", "> 👍\nThanks"),
+        (2, 0, "a", "今天天气很好。我们去公园吧。"), (2, 1, "b", "明日は雨です"),
+        (2, 2, "c", "> 我们去公园吧。\n好"), (2, 3, "d", "> 今天天气\n> 很好。\n对"), (2, 4, "d", "> 明日は雨です\nはい"),
+        (3, 0, "a", "..."), (3, 1, "b", "Something that is longer"), (3, 2, "c", "> ...\n> Something that is longer\nso"),
+    ]
+    found = {(r.conv_id, r.turn): r.reply_to for r in linked(spark, rows)}
+    assert {k: v for k, v in found.items() if v is not None} == {
+        (1, 4): 1, (1, 5): 2, (1, 6): 3, (2, 2): 0, (2, 3): 0, (2, 4): 1, (3, 2): 1}
+
+
+def test_quoted_sentences_and_rewrapped_parts(spark):
+    long = "We met at noon. The train was late again! Nobody had told us (not even Ann). So we waited."
+    rows = [
+        (1, 0, "a", long), (1, 1, "b", "Dear all,\nthe bill is paid. It was\nnot small."),
+        (1, 2, "b", "Hi"),
+        (1, 3, "c", "> The train was late again!\nAs always"),
+        (1, 4, "c", "> The train was\n> late again! Nobody had told\n> us (not even Ann).\nOh"),
+        (1, 5, "d", "> It was not small.\nHow much?"), (1, 6, "d", "> The bill is paid.\nThanks"),
+        (1, 7, "e", "> Hi\n> So we waited.\nHow long?"), (1, 8, "e", "> train was late\nonly a piece"),
+    ]
+    found = {r.turn: r.reply_to for r in linked(spark, rows)}
+    assert found == {0: None, 1: None, 2: None, 3: 0, 4: 0, 5: 1, 6: 1, 7: 0, 8: None}
