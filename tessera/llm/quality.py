@@ -24,6 +24,7 @@ THRESHOLD = 0.3
 _CACHE = 150_000
 _TERMS = 50_000
 _BLOCK = 256
+_OUTLINE = 12
 _SUMMARY_WEIGHT = 3.0
 
 
@@ -46,17 +47,17 @@ def _term(name: str) -> int:
 
 
 def _word_terms(word: str, terms) -> tuple[int, ...]:
-    """A word's shape with runs made one, its ends, its length, and itself if it is short.
+    """A word's shape with runs made one, its end, its length, and itself if it is short.
 
-    `terms` holds the number of each name, one object for all words.
+    Of a longer shape, each `_OUTLINE` runs are a term, to the word's end. `terms` holds the number of each name, one object for all words.
     """
     shape = []
-    for c in word[:200]:
+    for c in word:
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c
         if not shape or shape[-1] != kind:
             shape.append(kind)
-    outline = "".join(shape[:12])
-    found = [f"shape {outline}", f"end {''.join(shape[-2:])}", f"length {min(len(word), 40) // 4}"]
+    found = [f"shape {''.join(shape[i : i + _OUTLINE])}" for i in range(0, len(shape), _OUTLINE)]
+    found += [f"end {''.join(shape[-2:])}", f"length {min(len(word), 40) // 4}"]
     found += [f"sign {s}" for s in dict.fromkeys(shape) if s not in "aA0x"]
     if len(word) <= 4:
         found.append(f"word {word.lower()}")

@@ -113,3 +113,14 @@ def test_entries_exceptions_and_length():
     assert weight("scum " * 50)[1] == 20 * 15.0 / 70
     assert weight("idiot " + "word " * 500) < weight("idiot " + "word " * 5)
     assert weight("") == (0.0, 0.0)
+
+
+def test_words_count_to_their_end():
+    words_terms = quality._words_terms()
+    start = "漢字、" * 100
+    texts = [start + "漢字", start + "漢字" + "7;{" * 50, start + "漢字" + "a=7" * 50, start + "漢字!"]
+    assert len({words_terms[t] for t in texts}) == len(texts)
+    assert quality._term("sign {") in words_terms[texts[1]] and quality._term("end x!") in words_terms[texts[3]]
+    counts = quality._counted(texts, words_terms)
+    assert len({row.tobytes() for row in counts}) == len(texts)
+    assert words_terms["isn't"] == tuple(map(quality._term, ["shape a'a", "end 'a", "length 1", "sign '"]))
