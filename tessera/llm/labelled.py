@@ -17,8 +17,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     Rows are chosen by a hash of their id. A weight is the number of
     labelled rows that one sampled row stands for. Rows without an id or a
-    label are not used; of several labels of one id the smallest counts. The
-    chosen ids, 2 * `per_class` at most, are broadcast, and the rows found are
+    label are not used; of several labels of one id the smallest counts, and
+    of several texts the one with the smallest hash, as one row. The chosen
+    ids, 2 * `per_class` at most, are broadcast, and the rows found are
     written out, so that the documents are read once for all that is learned.
     """
     known = (
@@ -30,5 +31,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = known.where("label = 0").orderBy(*order).limit(per_class).unionAll(
         known.where("label = 1").orderBy(*order).limit(per_class))
     weights = {k: max(1.0, n / per_class) for k, n in counts.items()}
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    order = F.struct(F.col("text").isNull(), F.xxhash64("text"), "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(
+        F.min_by("text", order).alias("text"))
     return stage(texts.select("doc_id", "text", "label"), "sample"), weights

@@ -124,3 +124,12 @@ def test_words_count_to_their_end():
     counts = quality._counted(texts, words_terms)
     assert len({row.tobytes() for row in counts}) == len(texts)
     assert words_terms["isn't"] == tuple(map(quality._term, ["shape a'a", "end 'a", "length 1", "sign '"]))
+
+
+def test_repeated_ids_are_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(60)] + [(1, None), (2, "other"), (3, None)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    rows = training_sample(docs, labels, "quality", 10)[0].collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(1, 0), (2, 1), (3, 1)]
+    assert {r.doc_id: r.text for r in rows}[1].startswith("text")
