@@ -33,11 +33,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    Of rows with the same id and text, one stays. Rows without an id stay.
+    Of rows with the same id and text, one stays; other texts of an id stay or
+    go by themselves. Rows without an id stay.
     """
-    groups = near_duplicates.near_duplicates(docs, shingle=5, percent=80)
-    dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    groups = near_duplicates.near_duplicates(docs, shingle=5, percent=80, with_hash=True)
+    dropped = groups.where(~F.col("kept")).select("doc_id", F.col("text_hash").alias("_text_hash")).distinct()
+    known = docs.where(F.col("doc_id").isNotNull()).withColumn("_text_hash", F.xxhash64("text"))
+    kept = known.join(dropped, ["doc_id", "_text_hash"], "left_anti").dropDuplicates(["doc_id", "text"])
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -45,3 +45,11 @@ def test_odd_rows(spark):
     single = corpus_pipeline.near_duplicate_removal(spark, docs, SF_DIR)
     assert sorted((r.doc_id for r in single.collect()), key=str) == sorted([1, 2, 3, 4, 5, None, None, 7, 8, 9], key=str)
     assert corpus_pipeline.best_fit_packing(spark, single, SF_DIR).count() >= 10
+
+
+def test_texts_of_one_id_go_by_themselves(spark):
+    copied = "the cat sat on the mat with the dog and the bird of the house"
+    unique = "nothing else in this table says what is said in this one text"
+    docs = spark.createDataFrame([(1, copied), (5, copied), (5, unique), (5, None)], "doc_id long, text string")
+    single = corpus_pipeline.near_duplicate_removal(spark, docs, SF_DIR)
+    assert {tuple(r) for r in single.collect()} == {(1, copied), (5, unique), (5, None)}
