@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as sc
 from ..operators import metrics
+from ..operators.tokenizers import UNLIMITED
 from ..plans import inference, preference_eval, training
 from ..session import fresh_path
 from ..sources.writers import write_jsonl
@@ -29,7 +30,7 @@ def clf_accuracy(spark, sf_dir):
 
 def clf_batch(spark, sf_dir):
     """Documents through the whole classification job."""
-    table = training.prepare_classification(views.clf_input(spark, sf_dir), block_size=1 << 20)
+    table = training.prepare_classification(views.clf_input(spark, sf_dir), block_size=UNLIMITED)
     rows = inference.classify(table)
     return rows.select("qid", "label", "pred", "model_name",
                        F.round(F.get("score", F.lit(0)), 6).alias("score_0"),
@@ -143,7 +144,7 @@ def _classified(spark, output):
 
 def classify_resume(spark, sf_dir):
     """A third of the work done first, the rest on resuming, read back from the output."""
-    table = training.prepare_classification(views.clf_input(spark, sf_dir), block_size=1 << 20)
+    table = training.prepare_classification(views.clf_input(spark, sf_dir), block_size=UNLIMITED)
     output = fresh_path(spark, "classify")
     inference.run_classification(table.where("qid % 3 = 0"), output)
     for _ in range(2):
@@ -153,7 +154,7 @@ def classify_resume(spark, sf_dir):
 
 def classify_shards(spark, sf_dir):
     """Two of three shares, then the rest of all rows, skipping what any share holds."""
-    table = training.prepare_classification(views.clf_input(spark, sf_dir), block_size=1 << 20)
+    table = training.prepare_classification(views.clf_input(spark, sf_dir), block_size=UNLIMITED)
     table = table.withColumn("row_id", F.col("qid"))
     output = fresh_path(spark, "classify")
     for rank in (0, 2):

@@ -55,3 +55,21 @@ def test_without_broadcast_joins(spark, database, name):
 
 def test_entry(spark):
     assert registered.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["clf_batch", "classify_resume", "classify_shards"])
+def test_whole_texts_are_classified(monkeypatch, name):
+    from tessera.operators.tokenizers import UNLIMITED
+    from tessera.registry import metric_queries
+
+    class Prepared(Exception):
+        pass
+
+    def prepare(rows, tokenizer=None, block_size=None):
+        raise Prepared(block_size)
+
+    monkeypatch.setattr(metric_queries.views, "clf_input", lambda spark, sf_dir: None)
+    monkeypatch.setattr(metric_queries.training, "prepare_classification", prepare)
+    with pytest.raises(Prepared) as raised:
+        getattr(metric_queries, name)(None, None)
+    assert raised.value.args == (UNLIMITED,)
