@@ -70,6 +70,11 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the answers on lines with a return flag other than N.
+
+    The rest are meant to be answers without a score: all answers are read,
+    and the left join of scores leaves theirs null. The view's SQL says the same.
+    """
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") != "N")
     return lines.select(F.col("l_orderkey").alias("qid"), _index().alias("i"),
                         F.col("l_discount").alias("score"))
