@@ -68,5 +68,24 @@ class BoundedCache(dict):
         return value
 
 
+class AgingCache(dict):
+    """A dictionary that computes what it lacks and, when full, forgets what was not asked for since it was last full."""
+
+    def __init__(self, compute: Callable[[Any], Any], limit: int):
+        super().__init__()
+        self.compute, self.limit, self.older = compute, limit // 2, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def ceil_div(a: int, b: int) -> int:
     return math.ceil(a / b)
