@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    bpe, fingerprints, near_duplicates, packing, periodic, pieces, quality, quotations, rules, token_counts, toxicity,
+    alignment, bpe, fingerprints, near_duplicates, packing, periodic, pieces, quality, quotations, rules, token_counts, toxicity,
     urls)
 from .common import table
 
@@ -59,6 +59,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url")).drop("patterns")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_digests(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                     public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(PIECES))
 
@@ -70,6 +75,6 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_neighbours, op2_fingerprints, op3_bpe_encode, op4_best_fit_packing, op5_quality_rules,
     op6_quotation_links, op7_toxicity_lexicon, op8_token_counts, op9_near_duplicates, op10_url_filters,
-    op12_sentencepiece, op13_periodic_runs)}
+    op11_token_alignment, op12_sentencepiece, op13_periodic_runs)}
 
 SQL = {"op5_quality_rules": rules.SQL, "op10_url_filters": urls.SQL}
