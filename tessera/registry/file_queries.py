@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.position import shard_of, with_id, with_row_id
 from ..schemas import struct
-from ..session import fresh_path
+from ..session import fresh_path, settings, stage
 from ..sources import readers, writers
 from . import views
 
@@ -80,6 +80,16 @@ def src_csv(spark, sf_dir):
     return read.select(F.col("doc_id").cast("bigint"), "text")
 
 
+def src_csv_ranges(spark, sf_dir):
+    """One file of at least 16 ranges, its quoted line breaks and quotes across their borders."""
+    path = fresh_path(spark, "src") + "/one.csv"
+    rows = views.documents(spark, sf_dir)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    writers.write_csv(rows.coalesce(1), path)
+    with settings(spark, spark__sql__files__maxPartitionBytes=str(size // 20)):
+        return stage(readers.read_records(spark, path, schema=DOCUMENT), "csv-rows")
+
+
 def src_positions(spark, sf_dir):
     """Rows numbered in the order of the path list, which is not that of the names."""
     base = fresh_path(spark, "src")
@@ -186,7 +196,7 @@ def src_zip_csv(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    sink_jsonl, sink_csv, sink_append, sink_shards, sink_cache, src_jsonl, src_csv, src_json,
+    sink_jsonl, sink_csv, sink_append, sink_shards, sink_cache, src_jsonl, src_csv, src_csv_ranges, src_json,
     src_text, src_dir, src_multi, src_positions, src_dispatch, src_provenance, src_zip, src_zip_csv)}
 
 _DOCUMENTS = "SELECT doc_id, text FROM documents"
@@ -204,6 +214,7 @@ SQL = {
     "sink_cache": views.with_views("clf_input", "SELECT qid, text, label FROM clf_input"),
     "src_jsonl": _DOCUMENTS,
     "src_csv": _DOCUMENTS,
+    "src_csv_ranges": _DOCUMENTS,
     "src_json": _DOCUMENTS,
     "src_text": views.with_views("numbered_lines", "SELECT row_id, text FROM numbered_lines"),
     "src_dir": _LABELS,

@@ -11,10 +11,11 @@ from collections.abc import Iterator, Sequence
 from pathlib import PurePath
 
 import pandas as pd
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.position import with_id
 from ..schemas import CODE_REFERENCE
+from .csv_ranges import read_csv_ranges
 from .paths import matching
 
 FORMATS = ("csv", "json", "jsonl", "csv.zip", "json.zip", "jsonl.zip")
@@ -134,9 +135,7 @@ def _read_format(spark: SparkSession, fmt: str, paths: list[str], schema: T.Stru
         reader = reader.schema(schema) if schema else reader
         return _tag(reader.json(paths), provenance, order_columns)
     if fmt == "csv":
-        return _united([
-            _tag(_read_csv(spark, group, schema), provenance, order_columns)
-            for group in _by_header(spark, paths)])
+        return read_csv_ranges(spark, paths, schema, provenance, order_columns)
     if fmt == "json":
         text = spark.read.text(paths, wholetext=True)
         return _json_documents(_tag(text, provenance, order_columns), schema)
@@ -146,37 +145,6 @@ def _read_format(spark: SparkSession, fmt: str, paths: list[str], schema: T.Stru
     raise ValueError(f"unsupported file format: {fmt}")
 
 
-def _csv_reader(spark: SparkSession) -> DataFrameReader:
-    return (spark.read.option("header", True).option("multiLine", True).option("enforceSchema", False)
-            .option("lineSep", "\n").option("quote", '"').option("escape", '"'))
-
-
-def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """Paths with the same columns in the same order; one reader call takes such a group.
-
-    Files of one folder that differ among themselves are an error when read.
-    A quoted line break keeps a file from being split, so one task reads it.
-    """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        columns = tuple(_csv_reader(spark).csv(path).columns) if len(paths) > 1 else ()
-        groups.setdefault(columns, []).append(path)
-    return list(groups.values())
-
-
-def _read_csv(spark: SparkSession, paths: list[str], schema: T.StructType | None) -> DataFrame:
-    """Columns by name: a file may hold others than the schema's, or fewer."""
-    if schema:
-        return _cast_known(_csv_reader(spark).csv(paths), schema)
-    return _csv_reader(spark).option("inferSchema", True).csv(paths)
-
-
-def _cast_known(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return df.select(*[
-        (F.col(f.name).cast(f.dataType) if f.name in df.columns
-         else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
-
-
 def _inferred(texts: DataFrame) -> DataFrame:
     """JSON texts read with inferred types, without leaving the JVM."""
     spark = texts.sparkSession

@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 import zipfile
 
 import pytest
@@ -6,6 +8,7 @@ import pytest
 from tessera import schemas
 from tessera.operators.position import with_row_id
 from tessera.schemas import struct
+from tessera.session import settings
 from tessera.sources import readers, writers
 
 PEOPLE = struct("a string, b int")
@@ -35,6 +38,45 @@ def test_csv_quotes_and_line_breaks(spark, tmp_path):
     assert rows(readers.read_records(spark, str(path), schema=PEOPLE)) == want
 
 
+def written_csv(path, rows):
+    with open(path, "w", newline="", encoding="utf-8") as file:
+        csv.writer(file, lineterminator="\n").writerows([("a", "b"), *rows])
+
+
+def odd_cells(count):
+    draw = random.Random(9)
+    return [("".join(draw.choice('xy",\n é') for _ in range(draw.randrange(1, 90))).strip() or "-", n)
+            for n in range(count)]
+
+
+@pytest.mark.parametrize("size", [200, 1_000, 7_777, 1 << 20])
+def test_csv_ranges_hold_all_records(spark, tmp_path, size):
+    """Records across many ranges, in order, at several range sizes."""
+    cells = [*odd_cells(400), ("line\n" * 300, 400), ('""\n",' * 200 + "end", 401), *odd_cells(50)]
+    written_csv(tmp_path / "p.csv", cells)
+    with settings(spark, spark__sql__files__maxPartitionBytes=str(size)):
+        df = readers.read_records(spark, tmp_path / "p.csv", schema=PEOPLE, order_columns=True)
+        assert size > 100_000 or df.select("_split").distinct().count() >= 5
+        assert [(r.a, r.b) for r in df.orderBy("_path", "_split", "_line").collect()] == cells
+
+
+def test_csv_files_with_other_columns_in_one_folder(spark, tmp_path):
+    (tmp_path / "one.csv").write_text('a,b\n"x\ny",1\n5" pipe,2\r\n\n')
+    (tmp_path / "two.csv").write_text('b,c,a\n3,q,z\n')
+    (tmp_path / "none.csv").write_text("")
+    df = readers.read_records(spark, f"{tmp_path}/one.csv,{tmp_path}/two.csv,{tmp_path}/none.csv", schema=PEOPLE,
+                              provenance="src")
+    assert sorted((r.a, r.b, r.src) for r in df.collect()) == [
+        ('5" pipe', 2, "one.csv"), ("x\ny", 1, "one.csv"), ("z", 3, "two.csv")]
+    assert readers.read_records(spark, str(tmp_path / "one.csv")).dtypes == [("a", "string"), ("b", "int")]
+
+
+def test_unclosed_quote_is_an_error(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('a,b\n"x,1\ny,2\n')
+    with pytest.raises(Exception, match="not closed"):
+        readers.read_records(spark, tmp_path / "p.csv", schema=PEOPLE).collect()
+
+
 def test_json_documents(spark, tmp_path):
     listed, columnar = tmp_path / "l.json", tmp_path / "c.json"
     listed.write_text(json.dumps([{"a": "x", "b": 1}, {"a": "y"}], indent=1))
