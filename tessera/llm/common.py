@@ -37,6 +37,7 @@ def per_process(key: Any, build: Callable[[], Any]) -> Any:
         state[key] = build()
         gc.collect()
         gc.freeze()  # large and there to stay: not to be walked again and again
+        gc.set_threshold(500_000, 20, 20)  # caches grow by what is not garbage
     return state[key]
 
 

@@ -12,13 +12,14 @@ import heapq
 import re
 import struct
 from itertools import accumulate
+from operator import add
 
 from pyspark.sql import DataFrame
 
 from .common import AgingCache, per_process, sliced
 
 SPACE = "▁"
-_CACHE = 240_000
+_CACHE = 400_000
 _SHORT = 96
 _NEVER = float("inf")
 _UNKNOWN, _CONTROL, _BYTE, _NORMAL = 2, 3, 6, 1  # kinds of piece in a model file
@@ -135,12 +136,15 @@ class PieceModel:
                 self.bytes[int(piece.piece[1:-1], 16)] = number
             elif piece.type == _UNKNOWN:
                 self.unknown = number
+        self.glued = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}  # neighbours in some piece
         # Words can be merged one by one where no piece reaches over a blank or a line break.
         apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         self.units = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*|[^{SPACE}\n]+" if apart else r"(?s:.+)").findall
         self.spaced = re.compile(" +[^ \n]*|\n[^ \n]*").findall
         self.whole = apart and self.fallback and self.normalize.identity and SPACE in self.ids
-        self.merged = AgingCache(self._pieces, _CACHE)
+        self.names = {piece: str(i) for piece, i in self.ids.items()}
+        self.pieces = AgingCache(self._pieces, _CACHE)
+        self.known = AgingCache(self._part_digest, _CACHE)
         self.digested = AgingCache(self._digested, _CACHE)
 
     def _merge(self, unit: str) -> list[str]:
@@ -151,7 +155,7 @@ class PieceModel:
         costs = [cost(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
         while costs and (least := min(costs)) != _NEVER:
             at = costs.index(least)
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            parts[at] += parts.pop(at + 1)
             del costs[at]
             if at:
                 costs[at - 1] = cost(parts[at - 1] + parts[at], _NEVER)
@@ -180,27 +184,51 @@ class PieceModel:
                 heapq.heappush(waiting, (costs[grown], before[left], grown))
         return [p for p in parts if p]
 
-    def _pieces(self, unit: str) -> list[tuple[int, int]]:
+    def _apart(self, unit: str) -> list[str]:
+        """The unit cut between neighbours that no piece holds, so that each part is merged by itself."""
+        glued = self.glued
+        cuts = [i for i, pair in enumerate(map(add, unit, unit[1:]), 1) if pair not in glued]
+        return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)])] if cuts else [unit]
+
+    def _pieces(self, part: str) -> list[tuple[int, int]]:
         """(id, normalised characters) of every piece; of the bytes of an unknown one the last has the character."""
         found = []
-        for part in self._merge(unit):
-            if part in self.ids:
-                found.append((self.ids[part], len(part)))
+        for joined in self._merge(part):
+            if joined in self.ids:
+                found.append((self.ids[joined], len(joined)))
             elif self.fallback:
-                *first, last = [self.bytes[b] for b in part.encode()]
-                found += [(i, 0) for i in first] + [(last, len(part))]
+                *first, last = [self.bytes[b] for b in joined.encode()]
+                found += [(i, 0) for i in first] + [(last, len(joined))]
             else:
-                found.append((self.unknown, len(part)))
+                found.append((self.unknown, len(joined)))
         return found
 
+    def _part_digest(self, part: str) -> tuple[int, str, str, str]:
+        """Like `_digested`, of a part of a word."""
+        merged, spaced = self._merge(part), part.replace(SPACE, " ")
+        names = [*map(self.names.get, merged)]
+        if None not in names:
+            if spaced.isascii():
+                widths = map(len, merged)
+            else:
+                widths = [len(piece.replace(SPACE, " ").encode()) for piece in merged]
+            return len(names), ",".join(names), ",".join(map(str, widths)), "".join(merged).replace(SPACE, " ")
+        found, widths, at = self._pieces(part), [], 0
+        for _, width in found:
+            widths.append(len(spaced[at:at + width].encode()))
+            at += width
+        ids = [i for i, _ in found]
+        return len(ids), ",".join(map(str, ids)), ",".join(map(str, widths)), self.decode(ids, inside=True)
+
     def encode(self, text: str) -> list[tuple[int, int, int]]:
         """(id, begin, end) of every piece: its place among the bytes of the original text."""
         normal, source = self.normalize(text)
-        found, at, merged = [], 0, self.merged
+        found, at = [], 0
         for unit in self.units(normal):
-            for number, width in merged[unit]:
-                begin, at = at, at + width
-                found.append((number, source[begin], source[at]))
+            for part in self._apart(unit):
+                for number, width in self.pieces[part]:
+                    begin, at = at, at + width
+                    found.append((number, source[begin], source[at]))
         if not self.fallback:
             found = self._joined_unknown(found)
         return found
@@ -244,12 +272,11 @@ class PieceModel:
 
     def _digested(self, spaced: str) -> tuple[int, str, str, str]:
         """Of blanks and the word behind them: pieces, their ids, byte widths of their spans, decoded text."""
-        pieces, widths, at = self._pieces(spaced.replace(" ", SPACE)), [], 0
-        for _, width in pieces:
-            widths.append(len(spaced[at:at + width].encode()))
-            at += width
-        ids = [i for i, _ in pieces]
-        return len(ids), ",".join(map(str, ids)), ",".join(map(str, widths)), self.decode(ids, inside=True)
+        parts = [self.known[part] for part in self._apart(spaced.replace(" ", SPACE))]
+        if len(parts) == 1:
+            return parts[0]
+        counts, ids, widths, texts = zip(*parts)
+        return sum(counts), ",".join(ids), ",".join(widths), "".join(texts)
 
     def digest(self, text: str) -> tuple[int, str, str, str]:
         """(pieces, ids, byte widths of their spans, decoded text) of a whole text.
