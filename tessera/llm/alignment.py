@@ -1,7 +1,7 @@
 """Alignment of the tokens that two tokenizers make of the same text.
 
 Both tokenise whole texts. Where tokens of both end and the next ones begin
-with a blank, the text is cut into windows of token ids. The alignment of a
+with white space, the text is cut into windows of token ids. The alignment of a
 window depends on its ids alone, so it is computed once and looked up after
 that; texts are lists of windows, and what is counted over the corpus is
 counted over windows.
@@ -11,20 +11,19 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..operators.skew import lookup_join
 from ..session import stage
 from .bpe import byte_alphabet, load_parts
 from .common import per_process, sliced
 from .token_counts import PRETOKEN
 
-FREQUENT_SHARE = 1 << 16  # a window is frequent if it holds more than this fraction of all occurrences
-_WINDOWS = 250_000
+FREQUENT = 1 << 16  # what makes up more than one in so many of all occurrences is frequent
+_WINDOWS = 350_000
 _ROWS = 128
-_ALIGNED = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-            "windows array<long>, times array<int>, key long, links array<long>, n long")
-_LOW = (1 << 32) - 1
+_TEXTS = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+          "windows array<long>, times array<int>")
+_WHITE = b" \n\t\r"
 
 
 class ByteTokens:
@@ -59,29 +58,6 @@ class PieceTokens:
                       for i in range(model.get_piece_size()) for piece in (model.id_to_piece(i),)]
 
 
-def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[list[str], list[int]]:
-    """Groups as text, and the linked id pairs of a window.
-
-    A pair is (A id << 32) + B id, once for each two tokens whose bytes overlap.
-    """
-    groups, links = [], []
-    i = j = i_from = j_from = 0
-    a_end, b_end = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-    while True:
-        links.append((a[i] << 32) + b[j])
-        a_ends, b_ends = a_end <= b_end, b_end <= a_end
-        i, j = i + a_ends, j + b_ends
-        if a_ends and b_ends:
-            groups.append(",".join(map(str, a[i_from:i])) + "|" + ",".join(map(str, b[j_from:j])))
-            i_from, j_from = i, j
-            if i == len(a):
-                return groups, links
-        if a_ends:
-            a_end += len(a_bytes[a[i]])
-        if b_ends:
-            b_end += len(b_bytes[b[j]])
-
-
 class WindowMemo(dict):
     """Window (packed ids of A, of B) -> its number here; alignments are kept by number."""
 
@@ -91,46 +67,78 @@ class WindowMemo(dict):
         super().__init__()
         self.a, self.b, self.seed = ByteTokens(a_path), PieceTokens(b_path), seed
         self.widths = [np.array([len(t) for t in side.bytes], np.int64) for side in (self.a, self.b)]
-        self.blank = np.array([t[:1] == b" " for t in self.a.bytes])
+        self.names = [[str(i) for i in range(len(side.bytes))] for side in (self.a, self.b)]
+        self.white = np.array([t[:1] in _WHITE and t != b"" for t in self.a.bytes])
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
-        self.texts, self.links, self.keys, self.groups = [], [], [], []
-
-    def __missing__(self, window: tuple[bytes, bytes]) -> int:
-        import hashlib
         from array import array
 
-        a, b = (array("I", packed).tolist() for packed in window)
-        groups, links = align(a, b, self.a.bytes, self.b.bytes)
-        name = hashlib.blake2b(b"%d %d " % (self.seed, len(a)) + window[0] + window[1], digest_size=8).digest()
-        self.texts.append(";".join(groups))
-        self.groups.append(len(groups))
-        self.links.append(links)
-        self.keys.append(int.from_bytes(name, "little", signed=True))
-        self[window] = number = len(self)
-        return number
-
-    def windows(self, text: str) -> tuple[int, int, list[int]]:
-        """Tokens of A, of B, and the numbers of the windows of a text; nothing unless both give its bytes."""
+        self.clear()
+        self.texts, self.links = [], []
+        self.keys, self.groups, self.sizes = array("q"), array("q"), array("q")
+
+    def cut(self, text: str) -> tuple[int, int, list[tuple[bytes, bytes]]]:
+        """Tokens of A, of B, and the windows of a text; nothing unless both give its bytes."""
         import numpy as np
 
         spaced = " " + text
         raw = spaced.encode()
         ids = self.a.encode(spaced), self.b.encode(text)
-        if not text or any(b"".join([side.bytes[i] for i in found]) != raw for side, found in zip((self.a, self.b), ids)):
+        if not text or any(
+                b"".join(map(side.bytes.__getitem__, found)) != raw for side, found in zip((self.a, self.b), ids)):
             return 0, 0, []
         a, b = (np.array(found, np.uint32) for found in ids)
         a_ends, b_ends = (np.cumsum(widths[found]) for widths, found in zip(self.widths, (a, b)))
         shared = np.zeros(len(raw) + 1, bool)
         shared[b_ends] = True
-        anchored = np.flatnonzero(self.blank[a[1:]] & shared[a_ends[:-1]]) + 1
+        anchored = np.flatnonzero(self.white[a[1:]] & shared[a_ends[:-1]]) + 1
         a_cuts = [0, *(4 * anchored).tolist(), 4 * len(a)]
         b_cuts = [0, *(4 * (np.searchsorted(b_ends, a_ends[anchored - 1]) + 1)).tolist(), 4 * len(b)]
         a, b = a.tobytes(), b.tobytes()
-        found = [(a[i:j], b[k:m]) for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])]
-        return len(ids[0]), len(ids[1]), [*map(self.__getitem__, found)]
+        return len(ids[0]), len(ids[1]), [
+            (a[i:j], b[k:m]) for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])]
+
+    def learn(self, windows: list[tuple[bytes, bytes]]) -> None:
+        """Align the windows that are new, all in one go: their bytes stand end to end on both sides.
+
+        Where a token of A or of B ends, the two tokens over the byte before are
+        linked; where both end, a group ends. A pair is written as
+        (A id) * (size of B's vocabulary) + (B id).
+        """
+        import hashlib
+
+        import numpy as np
+
+        new = [w for w in dict.fromkeys(windows) if w not in self]
+        if not new:
+            return
+        a, b = (np.frombuffer(b"".join([w[side] for w in new]), np.uint32) for side in (0, 1))
+        a_ends, b_ends = (np.cumsum(widths[ids]) for widths, ids in zip(self.widths, (a, b)))
+        ends = np.union1d(a_ends, b_ends)
+        a_at, b_at = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        links = a[a_at].astype(np.int64) * len(self.b.bytes) + b[b_at]
+        closes = (a_ends[a_at] == ends) & (b_ends[b_at] == ends)
+        # Windows, by the last of their links and groups.
+        window_ends = a_ends[np.cumsum([len(w[0]) // 4 for w in new]) - 1]
+        last_link = np.searchsorted(ends, window_ends) + 1
+        last_group = np.cumsum(closes)[last_link - 1]
+        groups = []
+        a_names, b_names = ([*map(n.__getitem__, ids.tolist())] for n, ids in zip(self.names, (a, b)))
+        a_from = b_from = 0
+        for i, j in zip((a_at[closes] + 1).tolist(), (b_at[closes] + 1).tolist()):
+            groups.append(f"{','.join(a_names[a_from:i])}|{','.join(b_names[b_from:j])}")
+            a_from, b_from = i, j
+        packed, link_from, group_from = links.tobytes(), 0, 0
+        for window, link, group in zip(new, last_link.tolist(), last_group.tolist()):
+            self[window] = len(self)
+            self.texts.append(";".join(groups[group_from:group]))
+            self.groups.append(group - group_from)
+            self.links.append(packed[8 * link_from:8 * link])
+            self.sizes.append(link - link_from)
+            name = b"%d %d " % (self.seed, len(window[0])) + window[0] + window[1]
+            self.keys.append(int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True))
+            link_from, group_from = link, group
 
 
 def _align_function(a_path: str, b_path: str, seed: int):
@@ -146,35 +154,36 @@ def _align_function(a_path: str, b_path: str, seed: int):
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
-        names = [field.split()[0] for field in _ALIGNED.split(", ")]
+        memo = per_process(("align", a_path, b_path, seed), lambda: WindowMemo(a_path, b_path, seed))
+        pair = pa.int32() if _pair_type(len(memo.a.bytes), len(memo.b.bytes)) == "int" else pa.int64()
+        names = [field.split()[0] for field in _TEXTS.split(", ")] + ["key", "links", "n"]
         kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(),
-                                    pa.list_(pa.int64()), pa.int64()]
+                                    pa.list_(pair), pa.int64()]
 
         def table(**columns):
             size = len(next(iter(columns.values())))
             return pa.RecordBatch.from_arrays(
                 [columns[n] if n in columns else pa.nulls(size, k) for n, k in zip(names, kinds)], names)
 
-        memo = per_process(("align", a_path, b_path, seed), lambda: WindowMemo(a_path, b_path, seed))
         met = np.zeros(0, np.int64)  # how often each window was met in this task
 
         def described(met):
-            numbers = np.flatnonzero(met).tolist()
+            numbers = np.flatnonzero(met)
+            keys, sizes = np.array(memo.keys), np.array(memo.sizes)
             for start in range(0, len(numbers), 10_000):
                 part = numbers[start:start + 10_000]
-                links = [memo.links[w] for w in part]
-                yield table(key=pa.array([memo.keys[w] for w in part], pa.int64()),
-                            links=listed([i for x in links for i in x], [len(x) for x in links], pa.int64()),
-                            n=pa.array(met[part], pa.int64()))
+                links = np.frombuffer(b"".join([memo.links[w] for w in part.tolist()]), np.int64)
+                yield table(key=pa.array(keys[part]), links=listed(links, sizes[part], pair), n=pa.array(met[part]))
 
         for batch in sliced(batches, _ROWS):
             if len(memo) > _WINDOWS:
                 yield from described(met)
                 memo.forget()
                 met = np.zeros(0, np.int64)
-            found = [memo.windows(text or "") for text in batch.column("text").to_pylist()]
-            keys, groups = np.array(memo.keys, np.int64), np.array(memo.groups, np.int64)
-            links = np.array([len(x) for x in memo.links], np.int64)
+            found = [memo.cut(text or "") for text in batch.column("text").to_pylist()]
+            memo.learn([w for _, _, cut in found for w in cut])
+            found = [(n_a, n_b, [*map(memo.__getitem__, cut)]) for n_a, n_b, cut in found]
+            keys, groups, links = (np.array(x, np.int64) for x in (memo.keys, memo.groups, memo.sizes))
             met = np.concatenate([met, np.zeros(len(memo) - len(met), np.int64)])
             n_groups, n_links, digests, windows, times = [], [], [], [], []
             for _, _, numbers in found:
@@ -198,87 +207,100 @@ def _align_function(a_path: str, b_path: str, seed: int):
     return run
 
 
-def align_documents(docs: DataFrame, a_path: str, b_path: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Texts as windows (row, doc_id, n_a, …, windows, times), and windows (key, links, n) with their occurrences.
+def _pair_type(a_size: int, b_size: int) -> str:
+    return "int" if a_size * b_size < 1 << 31 else "long"
+
+
+def align_documents(docs: DataFrame, a_path: str, b_path: str, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """Texts as windows (row, doc_id, n_a, …, windows, times), windows (key, links, n), and the size of B's vocabulary.
 
-    Both are written out. A window goes by a 64-bit digest of its ids: should
-    two share one, all is done again with another seed.
+    Both are written out; `n` counts the occurrences of a window. A window goes by a
+    64-bit digest of its ids: should two share one, all is done again with another seed.
     """
+    sizes = len(ByteTokens(a_path).bytes), len(PieceTokens(b_path).bytes)
     numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     aligned = stage(numbered.select("row", "doc_id", "text").mapInArrow(
-        _align_function(a_path, b_path, seed), _ALIGNED), "aligned")
+        _align_function(a_path, b_path, seed),
+        f"{_TEXTS}, key long, links array<{_pair_type(*sizes)}>, n long"), "aligned")
     windows = stage(aligned.where("key is not null").groupBy("key", "links").agg(F.sum("n").alias("n")), "windows")
     if windows.groupBy("key").count().where("count > 1").limit(1).collect():
         return align_documents(docs, a_path, b_path, seed + 1)
-    return aligned.where("key is null").drop("key", "links", "n"), windows
+    return aligned.where("key is null").drop("key", "links", "n"), windows, sizes[1]
 
 
-def link_counts(windows: DataFrame) -> DataFrame:
-    """(pair, count, is_best, n_windows): how many links hold a pair, whether none of its B id are more.
+def link_counts(windows: DataFrame, b_size: int) -> DataFrame:
+    """(item, n, best, total): a pair, how many windows hold it, whether no pair of its B id has more links, how many it has.
 
-    The best counts are broadcast: one row for each id of B's vocabulary.
+    The highest counts are broadcast: one row for each id of B's vocabulary.
     """
-    pairs = stage(windows.select(F.explode("links").alias("pair"), "n").groupBy("pair").agg(
-        F.sum("n").alias("count"), F.count(F.lit(1)).alias("n_windows")), "link-counts")
-    b_id = F.col("pair").bitwiseAND(F.lit(_LOW))
-    best = pairs.groupBy(b_id.alias("_b")).agg(F.max("count").alias("_most"))
-    return pairs.join(F.broadcast(best), b_id == F.col("_b")).select(
-        "pair", "count", (F.col("count") == F.col("_most")).cast("long").alias("is_best"), "n_windows")
+    pairs = stage(windows.select(F.explode("links").alias("item"), "n").groupBy("item").agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("n")), "link-counts")
+    b_id = F.col("item") % F.lit(b_size)
+    most = pairs.groupBy(b_id.alias("_b")).agg(F.max("total").alias("_most"))
+    return pairs.join(F.broadcast(most), b_id == F.col("_b")).select(
+        F.col("item").cast("long").alias("item"), "n", (F.col("total") == F.col("_most")).cast("long").alias("best"), "total")
 
 
-def window_values(windows: DataFrame) -> DataFrame:
-    """(key, n, best, total): links of a window whose pair is the best of its B id, and the counts of all its pairs."""
-    counted = stage(link_counts(windows), "best-links")
-    links = windows.select("key", "n", F.explode("links").alias("pair"))
-    found = lookup_join(links, counted.drop("n_windows"), ["pair"], "inner",
-                        counts=counted.select("pair", F.col("n_windows").alias("n")))
-    return found.groupBy("key").agg(
-        F.max("n").alias("n"), F.sum("is_best").alias("best"), F.sum("count").alias("total"))
+def item_sums(lists: DataFrame, values: DataFrame) -> DataFrame:
+    """(id, best, total): for each list (id, items, times) the sums of `times` times the values of its items.
 
-
-def _frequent_sums(texts: DataFrame, values: DataFrame) -> DataFrame:
-    """Sums over the frequent windows of each text, and its other windows.
-
-    There are fewer frequent windows than `FREQUENT_SHARE`, whatever the data.
+    `values` has (item, n, best, total), `n` being about how often the item
+    occurs. Frequent items, of which there are fewer than `FREQUENT` whatever
+    the data, are looked up where the list stands. The others, none of which
+    is frequent, meet their values in a join.
     """
     import numpy as np
 
-    total = values.agg(F.sum("n")).first()[0] or 0
-    rows = values.where(F.col("n") * FREQUENT_SHARE > total).select("key", "best", "total").toArrow()
-    keys, best, totals = (rows.column(name).to_numpy().astype(np.int64) for name in ("key", "best", "total"))
-    order = np.argsort(keys)
-    shipped = texts.sparkSession.sparkContext.broadcast((keys[order], best[order], totals[order]))
+    every = values.agg(F.sum("n")).first()[0] or 0
+    rows = values.where(F.col("n") * FREQUENT > every).select("item", "best", "total").toArrow()
+    items, best, totals = (rows.column(name).to_numpy().astype(np.int64) for name in ("item", "best", "total"))
+    order = np.argsort(items)
+    shipped = lists.sparkSession.sparkContext.broadcast((items[order], best[order], totals[order]))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        keys, best, totals = shipped.value
+        known_items, *known_values = shipped.value
         for batch in batches:
-            windows, times = batch.column("windows"), batch.column("times")
-            offsets = windows.offsets.to_numpy()
-            asked = windows.values.to_numpy()[offsets[0]:offsets[-1]]
-            often = times.values.to_numpy()[offsets[0]:offsets[-1]].astype(np.int64)
+            column = batch.column("items")
+            offsets = column.offsets.to_numpy()
+            inside = slice(offsets[0], offsets[-1])
+            asked = column.values.to_numpy()[inside].astype(np.int64)
+            often = batch.column("times").values.to_numpy()[inside].astype(np.int64)
             offsets = offsets - offsets[0]
-            place = np.searchsorted(keys, asked)
-            place[place == len(keys)] = 0
-            known = keys[place] == asked if len(keys) else np.zeros(len(asked), bool)
-            place = np.where(known, place, 0)
-
-            def summed(values):
-                one = np.where(known, values[place] * often, 0) if len(values) else np.zeros(len(asked), np.int64)
+            place = np.searchsorted(known_items, asked)
+            known = np.zeros(len(asked), bool)
+            within = place < len(known_items)
+            known[within] = known_items[place[within]] == asked[within]
+            sums = []
+            for values in known_values:
+                one = np.zeros(len(asked), np.int64)
+                one[known] = values[place[known]] * often[known]
                 ends = np.concatenate([[0], np.cumsum(one)])
-                return pa.array(ends[offsets[1:]] - ends[offsets[:-1]], pa.int64())
-
+                sums.append(pa.array(ends[offsets[1:]] - ends[offsets[:-1]], pa.int64()))
             left = pa.array(np.concatenate([[0], np.cumsum(~known)])[offsets].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), summed(best), summed(totals),
-                 pa.ListArray.from_arrays(left, pa.array(asked[~known], pa.int64())),
-                 pa.ListArray.from_arrays(left, pa.array(often[~known], pa.int64()))],
-                ["row", "_best", "_total", "_rest", "_often"])
+                [batch.column("id"), *sums, pa.ListArray.from_arrays(left, pa.array(asked[~known])),
+                 pa.ListArray.from_arrays(left, pa.array(often[~known]))],
+                ["id", "best", "total", "items", "times"])
+
+    looked_up = stage(lists.select("id", "items", "times").mapInArrow(
+        run, "id long, best long, total long, items array<long>, times array<long>"), "item-sums")
+    rest = looked_up.select("id", F.inline(F.arrays_zip("items", "times"))).withColumnRenamed("items", "item")
+    others = rest.join(values.drop("n"), "item").groupBy("id").agg(
+        *[F.sum(F.col("times") * F.col(name)).alias(f"_{name}") for name in ("best", "total")])
+    return looked_up.select("id", "best", "total").join(others, "id", "left").select("id", *[
+        (F.col(name) + F.coalesce(f"_{name}", F.lit(0))).alias(name) for name in ("best", "total")])
+
 
-    return texts.select("row", "windows", "times").mapInArrow(
-        run, "row long, _best long, _total long, _rest array<long>, _often array<long>")
+def window_values(windows: DataFrame, b_size: int) -> DataFrame:
+    """(item, n, best, total): a window, its occurrences, its links with the best pair of their B id, its links' counts."""
+    counted = stage(link_counts(windows, b_size), "best-links")
+    lists = windows.select(
+        F.col("key").alias("id"), F.col("links").alias("items"), F.array_repeat(F.lit(1), F.size("links")).alias("times"))
+    return item_sums(lists, counted).join(windows.select(F.col("key").alias("id"), "n"), "id").withColumnRenamed(
+        "id", "item")
 
 
 def aligned_digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -290,19 +312,12 @@ def aligned_digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     Repeated rows and null ids are texts like any others; other columns are
     not read. No text is shuffled.
 
-    Sums over the frequent windows of a text are looked up where it stands;
-    its other windows, none of them frequent, meet their values in a join.
+    Once the windows have their values, a text's are sums over its windows.
     """
-    texts, windows = align_documents(docs, a_path, b_path)
-    values = stage(window_values(windows), "window-values")
-    summed = stage(_frequent_sums(texts, values), "frequent-sums")
-    rest = summed.select("row", F.inline(F.arrays_zip("_rest", "_often"))).withColumnRenamed("_rest", "key")
-    others = rest.join(values.select("key", "best", "total"), "key").groupBy("row").agg(
-        F.sum(F.col("_often") * F.col("best")).alias("_others"), F.sum(F.col("_often") * F.col("total")).alias("_sum"))
-    found = texts.drop("windows", "times").join(summed.select("row", "_best", "_total"), "row").join(others, "row", "left")
-
-    def both(one: str, other: str) -> Column:
-        return F.col(one) + F.coalesce(other, F.lit(0))
-
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", both("_best", "_others").alias("n_best"),
-                        both("_total", "_sum").alias("count_sum"), "groups_sha256")
+    texts, windows, b_size = align_documents(docs, a_path, b_path)
+    values = stage(window_values(windows, b_size), "window-values")
+    lists = texts.select(F.col("row").alias("id"), F.col("windows").alias("items"), "times")
+    summed = item_sums(lists, values).withColumnRenamed("id", "row")
+    return texts.drop("windows", "times").join(summed, "row").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", F.col("best").alias("n_best"), F.col("total").alias("count_sum"),
+        "groups_sha256")

@@ -102,13 +102,13 @@ def test_hard_texts(spark, plain):
     assert compared(enumerate(plain.table(TEXTS * 3)), alignment.aligned_digests(docs, A, B).collect())
 
 
-def test_few_windows_and_few_frequent_ones_change_nothing(spark, monkeypatch):
-    docs = documents(spark).limit(60)
-    before = sorted(map(tuple, alignment.aligned_digests(docs, A, B).collect()))
-    monkeypatch.setattr(alignment, "FREQUENT_SHARE", 50)
-    assert sorted(map(tuple, alignment.aligned_digests(docs, A, B).collect())) == before
+def test_few_windows_and_few_frequent_ones_change_nothing(spark, plain, monkeypatch):
+    monkeypatch.setattr(alignment, "FREQUENT", 50)
     monkeypatch.setattr(alignment, "_WINDOWS", 100)
-    assert sorted(map(tuple, alignment.aligned_digests(docs, A, B).collect())) == before
+    rows = [(r.doc_id, r.text) for r in documents(spark).limit(60).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = alignment.aligned_digests(docs, A, B).collect()
+    assert compared(zip([r[0] for r in rows], plain.table([r[1] for r in rows])), found)
 
 
 def test_every_text_of_the_table(spark, plain):
@@ -119,7 +119,8 @@ def test_every_text_of_the_table(spark, plain):
 
 def test_windows_meet_only_where_both_have_a_boundary(plain):
     memo = alignment.WindowMemo(A, B, 0)
-    n_a, n_b, numbers = memo.windows("the cat,the dog  and\nthe bird")
-    assert len(numbers) > 3
-    joined = ";".join(memo.texts[w] for w in numbers)
+    _, _, windows = memo.cut("the cat,the dog  and\nthe bird")
+    memo.learn(windows * 2)
+    assert len(windows) > 3 and len(memo) == len(set(windows))
+    joined = ";".join(memo.texts[memo[w]] for w in windows)
     assert hashlib.sha256(joined.encode()).hexdigest() == next(plain.table(["the cat,the dog  and\nthe bird"]))[6]
