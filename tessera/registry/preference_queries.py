@@ -20,6 +20,11 @@ def pref_score_join(spark, sf_dir):
     return selection.attach_scores(rows, views.scores(spark, sf_dir))
 
 
+def pref_score_join_hot(spark, sf_dir):
+    """A third of the answers and of the scores are of one question, and some of either of none."""
+    return selection.attach_scores(views.hot_generations(spark, sf_dir), views.hot_scores(spark, sf_dir))
+
+
 def filter_nonzero_len(spark, sf_dir):
     rows = views.generations(spark, sf_dir).select("qid", "i", "response_token_len")
     return drop_zero_length(rows)
@@ -134,7 +139,7 @@ def knn_code_map(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    pref_score_join, filter_nonzero_len, code_score, pref_levels, pref_classes, pref_pairs,
+    pref_score_join, pref_score_join_hot, filter_nonzero_len, code_score, pref_levels, pref_classes, pref_pairs,
     topk_per_group, bootstrap_select, bootstrapping, preference_dataset, preference_from_text,
     generate_to_preference, code_mapping, knn_l1, knn_l1_cells, knn_code_map)}
 
@@ -245,6 +250,9 @@ SQL = {
     "pref_score_join": with_views("generations scores", """
         SELECT g.qid, g.i, g.response_token_len, s.score AS help_score FROM generations g
         LEFT JOIN scores s ON g.qid IS NOT DISTINCT FROM s.qid AND g.i IS NOT DISTINCT FROM s.i"""),
+    "pref_score_join_hot": with_views("hot_generations hot_scores", """
+        SELECT g.qid, g.i, g.line, s.score AS help_score FROM hot_generations g
+        LEFT JOIN hot_scores s ON g.qid IS NOT DISTINCT FROM s.qid AND g.i IS NOT DISTINCT FROM s.i"""),
     "filter_nonzero_len": with_views("generations", """
         SELECT qid, i, response_token_len FROM generations
         WHERE response_token_len <> 0 OR response_token_len IS NULL"""),

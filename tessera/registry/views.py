@@ -80,6 +80,24 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("l_discount").alias("score"))
 
 
+def _hot_key(number: Column, key: Column) -> Column:
+    return F.when(number % 3 == 0, F.lit(0)).when(number % 7 != 1, key).cast("bigint")
+
+
+def hot_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines, a third of them of one question and about a tenth of none."""
+    key = _hot_key(F.col("l_orderkey"), F.col("l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select(
+        key.alias("qid"), (key * 0).alias("i"), (8 * F.col("l_orderkey") + F.col("l_linenumber")).cast("bigint").alias("line"))
+
+
+def hot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score per supplier, under the same keys."""
+    key = _hot_key(F.col("s_suppkey"), F.col("s_suppkey"))
+    return table(spark, sf_dir, "supplier").select(
+        key.alias("qid"), (key * 0).alias("i"), F.col("s_acctbal").alias("score"))
+
+
 def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
     response = F.concat(F.lit("Diagnosis is "), code(F.col("o_custkey")), F.lit(", confirmed"))
     return table(spark, sf_dir, "orders").select(
@@ -271,6 +289,14 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "scores": ((), """
         SELECT l_orderkey AS qid, CAST(l_linenumber + 8 * l_partkey AS BIGINT) AS i,
           l_discount AS score FROM lineitem WHERE l_returnflag <> 'N'"""),
+    "hot_generations": ((), """
+        SELECT qid, qid * 0 AS i, line FROM (
+          SELECT CAST(CASE WHEN l_orderkey % 3 = 0 THEN 0 WHEN l_orderkey % 7 <> 1 THEN l_suppkey END AS BIGINT) AS qid,
+            CAST(8 * l_orderkey + l_linenumber AS BIGINT) AS line FROM lineitem)"""),
+    "hot_scores": ((), """
+        SELECT qid, qid * 0 AS i, score FROM (
+          SELECT CAST(CASE WHEN s_suppkey % 3 = 0 THEN 0 WHEN s_suppkey % 7 <> 1 THEN s_suppkey END AS BIGINT) AS qid,
+            s_acctbal AS score FROM supplier)"""),
     "originals": ((), f"""
         SELECT o_orderkey AS qid,
           'Case ' || o_orderkey || '[[SEP]]Diagnosis is ' || {code_sql('o_custkey')} || ', confirmed' AS text,

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import selection
+from tessera.operators.skew import grid_join
 from tessera.plans import preference
+from tessera.session import settings
 
 GENERATIONS = ("qid long, i long, response string, response_token_len int, "
                "label_code string, pred_code string")
@@ -171,3 +173,33 @@ def test_files_to_files(spark, tmp_path):
     got = spark.read.json(str(tmp_path / "boot")).collect()
     assert [(r.text, r.score_response, r.pred_code) for r in got] == [
         ("c[[SEP]]Diagnosis is: red gear, x", 1, "A00.000")]
+
+
+def heavy_sides(spark, size):
+    """A third of both sides on one key, repeated rows, null keys on both sides, keys of one side only."""
+    left = spark.range(size).select(
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, F.col("id") % 997).cast("bigint").alias("qid"),
+        F.when(F.col("id") % 5 != 0, 0).cast("bigint").alias("i"), (F.col("id") % 11).alias("v"))
+    right = spark.range(size // 20).select(
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, F.col("id") % 1200).cast("bigint").alias("qid"),
+        F.when(F.col("id") % 5 != 0, 0).cast("bigint").alias("i"), (F.col("id") % 7).alias("w"))
+    return left, right
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("parts", [1, 7, 1000])
+def test_grid_join_equals_plain_join(spark, how, parts):
+    left, right = heavy_sides(spark, 2_000)
+    found = grid_join(left, right, ["qid", "i"], how, parts).groupBy("qid", "i", "v", "w").count().collect()
+    a, b = left.alias("a"), right.alias("b")
+    same = F.col("a.qid").eqNullSafe(F.col("b.qid")) & F.col("a.i").eqNullSafe(F.col("b.i"))
+    plain = a.join(b, same, how).groupBy("a.qid", "a.i", "v", "w").count().collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, map(tuple, plain)))
+
+
+def test_grid_join_spreads_the_heavy_key(spark):
+    """No partition makes over twice the rows of the median one."""
+    left, right = heavy_sides(spark, 60_000)
+    with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
+        sizes = [r[1] for r in grid_join(left, right, ["qid", "i"]).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]
