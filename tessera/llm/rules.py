@@ -65,60 +65,72 @@ def _n(value: Column) -> Column:
 
 def _words(text: Column) -> Column:
     """The words in order. The pieces between blanks, less the empty ones at either end."""
-    return F.filter(F.split(text, _BLANK + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, _BLANK + "+"), "")
 
 
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more.
 
-    Windows are sorted with their places, so that equal ones are neighbours;
-    the places of those cover three words each.
+    Where all hashes of windows differ there is none. Else windows are sorted
+    by hash, words and place, so that equal ones are neighbours; the places of
+    those cover three words each.
     """
-    size = F.size(words)
-    windows = F.when(size < 4, F.array().cast("array<struct<w:string,i:int>>")).otherwise(F.sort_array(F.transform(
-        F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))),
-        lambda i: F.struct(
-            F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)).alias("w"),
-            i.alias("i")))))
+    places = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)))
+    hashes = F.when(F.size(words) < 4, F.array().cast("array<bigint>")).otherwise(F.transform(
+        places, lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2))))
 
     def covered(found: Column) -> Column:
-        repeated = F.filter(found, lambda x, k: (
-            (k > 0) & (F.get(found, k - 1)["w"] == x["w"])) | (
-            (k + 1 < F.size(found)) & (F.get(found, k + 1)["w"] == x["w"])))
-        places = F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-        return F.size(F.array_distinct(places))
+        def same(x: Column, y: Column) -> Column:
+            return (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
 
-    return let(windows, covered)
+        repeated = F.filter(found, lambda x, k: F.coalesce(same(x, F.get(found, k - 1)), F.lit(False)) | F.coalesce(
+            same(x, F.get(found, k + 1)), F.lit(False)))
+        inside = F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
+        return F.size(F.array_distinct(inside))
 
+    def counted(found: Column) -> Column:
+        windows = F.sort_array(F.transform(found, lambda h, i: F.struct(
+            h.alias("h"), F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"),
+            i.alias("i"))))
+        return F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0)).otherwise(let(windows, covered))
 
-def _dup_lines(lines: Column) -> Column:
-    return F.size(lines) - F.size(F.array_distinct(lines))
+    return let(hashes, counted)
 
 
-def base_measures(text: Column) -> dict[str, Column]:
-    """Word, symbol, line and repetition counts of a text without null."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
-    no_blanks = F.regexp_replace(text, _BLANK, "")
-    return {
-        "word_chars": _n(F.char_length(no_blanks)),
-        "n_symbols": _n(F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))),
-        "n_lines": _n(F.size(lines)),
-        "n_dup_lines": _n(let(lines, _dup_lines)),
-        "n_repeat_words": _n(let(_words(text), _repeat_words)),
-    }
+def _where_found(text: Column, signs: Sequence[str], count: Column) -> Column:
+    """`count`, which is 0 where none of the signs occurs."""
+    found = F.lit(False)
+    for sign in signs:
+        found = found | text.contains(sign)
+    return F.when(found, count).otherwise(F.lit(0))
+
+
+def word_measures(text: Column) -> Column:
+    """(n_words, word_chars, n_repeat_words) of a text without null, which is split once."""
+    return let(_words(text), lambda words: F.struct(
+        _n(F.size(words)).alias("n_words"), _n(F.char_length(F.array_join(words, ""))).alias("word_chars"),
+        _n(_repeat_words(words)).alias("n_repeat_words")))
+
+
+def line_measures(text: Column) -> Column:
+    """(n_lines, n_dup_lines): lines with a word."""
+    return let(F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)), lambda lines: F.struct(
+        _n(F.size(lines)).alias("n_lines"), _n(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines")))
 
 
-def line_and_word_measures(text: Column) -> dict[str, Column]:
-    """What the threshold table asks for besides."""
-    letters = F.regexp_replace(text, r"[^\p{L}]", "")
+def sign_measures(text: Column) -> dict[str, Column]:
+    """What else the base and the threshold table ask for."""
     stops = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
     return {
-        "n_letters": _n(F.char_length(letters)),
-        "n_upper": _n(F.char_length(F.regexp_replace(letters, r"[^\p{Lu}]", ""))),
+        "n_symbols": _n(F.regexp_count(text, F.lit(r"[#*$%&|<>]"))),
+        "n_letters": _n(F.char_length(F.regexp_replace(text, r"[^\p{L}]+", ""))),
+        "n_upper": _n(F.regexp_count(text, F.lit(r"\p{Lu}"))),
         "n_stop_words": _n(F.size(F.array_intersect(F.split(F.lower(text), r"[^\p{L}]+"), stops))),
         "n_letter_words": _n(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D\p{L}]*\p{L}[^\x20\x09-\x0D]*"))),
-        "n_ellipsis_lines": _n(F.regexp_count(text, F.lit(r"(?:\.\.\.|…)[\x20\x09]*(?:\n|$)"))),
-        "n_bullet_lines": _n(F.regexp_count(text, F.lit(r"(?:^|\n)[\x20\x09]*[-*•]\x20"))),
+        "n_ellipsis_lines": _n(_where_found(text, ["...", "…"], F.regexp_count(
+            text, F.lit(r"(?:\.\.\.|…)[\x20\x09]*(?:\n|$)")))),
+        "n_bullet_lines": _n(_where_found(text, ["- ", "* ", "• "], F.regexp_count(
+            text, F.lit(r"(?:^|\n)[\x20\x09]*[-*•]\x20")))),
     }
 
 
@@ -130,10 +142,10 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     named like a measure are replaced. Repeated rows get equal results.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    counted = (
-        docs.withColumns({"n_words": _n(F.regexp_count(text, F.lit(WORD)))})
-        .withColumns(base_measures(text) | line_and_word_measures(text))
-    )
+    counted = docs.withColumns({"_of_words": word_measures(text), "_of_lines": line_measures(text)}).withColumns(
+        {name: F.col(f"_of_words.{name}") for name in ("n_words", "word_chars", "n_repeat_words")}
+        | {name: F.col(f"_of_lines.{name}") for name in ("n_lines", "n_dup_lines")} | sign_measures(text)
+    ).drop("_of_words", "_of_lines")
     measured = counted.withColumns({
         "mean_word_chars": _ratio(F.col("word_chars"), F.col("n_words")),
         "symbols_per_word": _ratio(F.col("n_symbols"), F.col("n_words")),
