@@ -3,27 +3,31 @@
 Both tokenise whole texts. Where tokens of both end and the next ones begin
 with white space, the text is cut into windows of token ids. The alignment of a
 window depends on its ids alone, so it is computed once and looked up after
-that; texts are lists of windows, and what is counted over the corpus is
-counted over windows.
+that. Texts are lists of windows, and what is counted over the corpus is
+counted over the windows of a chunk of texts at a time.
 """
 
 from __future__ import annotations
 
-import json
+import re
+from itertools import chain
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .bpe import byte_alphabet, load_parts
+from .bpe import WHITE, byte_alphabet, load_parts
 from .common import per_process, sliced
 from .token_counts import PRETOKEN
 
 FREQUENT = 1 << 16  # what makes up more than one in so many of all occurrences is frequent
 _WINDOWS = 350_000
+_PLACES = 4_000_000
+_UNITS = 400_000
 _ROWS = 128
 _TEXTS = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-          "windows array<long>, times array<int>")
+          "windows array<int>, times array<int>")
 _WHITE = b" \n\t\r"
+_BLOCK = "▁"
 
 
 class ByteTokens:
@@ -45,6 +49,10 @@ class ByteTokens:
         for token, i in ranks.items():
             self.bytes[i] = token
 
+    def of_units(self, units: list[str]) -> list[list[int]]:
+        """Tokens of white space and what follows up to the next, which no pre-token crosses."""
+        return [*map(self.encode, units)]
+
 
 class PieceTokens:
     """Pieces of a model file that adds a blank in front."""
@@ -53,51 +61,84 @@ class PieceTokens:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.encode = model.encode
-        self.bytes = [bytes([int(piece[1:-1], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
-                      for i in range(model.get_piece_size()) for piece in (model.id_to_piece(i),)]
+        self.encode, self.blank = model.encode, model.piece_to_id(_BLOCK)
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self.bytes = [bytes([int(piece[1:-1], 16)]) if model.is_byte(i) else piece.replace(_BLOCK, " ").encode()
+                      for i, piece in enumerate(pieces)]
+        if any(_BLOCK in p.lstrip(_BLOCK) or "\n" in p for p in pieces):
+            raise ValueError("pieces that reach over blanks or line breaks are not supported")
+
+    def of_units(self, units: list[str]) -> list[list[int]]:
+        """Tokens of white space and what follows; the blank that the model adds is the unit's own or taken off."""
+        found = self.encode([u.removeprefix(" ") for u in units], num_threads=1)
+        return [(ids or [self.blank]) if u[0] == " " else ids[1:] for u, ids in zip(units, found)]
 
 
 class WindowMemo(dict):
-    """Window (packed ids of A, of B) -> its number here; alignments are kept by number."""
+    """Window (packed ids of A, of B) -> its number here; alignments are kept by number.
 
-    def __init__(self, a_path: str, b_path: str, seed: int):
+    Whole texts are tokenised by way of their units, which begin where a blank
+    or a line break follows something else; a unit's tokens are looked up.
+    """
+
+    def __init__(self, a_path: str, b_path: str):
         import numpy as np
 
         super().__init__()
-        self.a, self.b, self.seed = ByteTokens(a_path), PieceTokens(b_path), seed
+        self.a, self.b = ByteTokens(a_path), PieceTokens(b_path)
         self.widths = [np.array([len(t) for t in side.bytes], np.int64) for side in (self.a, self.b)]
         self.names = [[str(i) for i in range(len(side.bytes))] for side in (self.a, self.b)]
         self.white = np.array([t[:1] in _WHITE and t != b"" for t in self.a.bytes])
+        others = WHITE.replace("\n", "").replace(" ", "")
+        self.units = re.compile(f"[ \n][{WHITE}]*[^{WHITE}]*(?:[{others}][{WHITE}]*[^{WHITE}]*)*").findall
+        self.tokens: dict[str, tuple[bytes, bytes]] = {}
         self.forget()
 
+    def tokenize(self, texts: list[str | None]) -> list[list[str]]:
+        """The units of each text, whose ids in both vocabularies are then in `tokens`, packed.
+
+        B writes its sign for a blank as one, so that it gives back any text
+        without that sign; texts with it, and empty ones, have no units.
+        """
+        from array import array
+
+        if len(self.tokens) > _UNITS:
+            self.tokens.clear()
+        found = [self.units(" " + text) if text and _BLOCK not in text else [] for text in texts]
+        new = [u for u in dict.fromkeys(chain.from_iterable(found)) if u not in self.tokens]
+        sides = [(side.bytes, side.of_units(new)) for side in (self.a, self.b)] if new else []
+        for at, unit in enumerate(new):
+            raw, packed = unit.encode(), []
+            for token_bytes, listed in sides:
+                if b"".join(map(token_bytes.__getitem__, listed[at])) != raw:
+                    raise ValueError(f"tokens do not give back {unit[:80]!r}")
+                packed.append(array("I", listed[at]).tobytes())
+            self.tokens[unit] = tuple(packed)
+        return found
+
     def forget(self) -> None:
         from array import array
 
         self.clear()
         self.texts, self.links = [], []
-        self.keys, self.groups, self.sizes = array("q"), array("q"), array("q")
+        self.groups, self.sizes = array("q"), array("q")
 
-    def cut(self, text: str) -> tuple[int, int, list[tuple[bytes, bytes]]]:
-        """Tokens of A, of B, and the windows of a text; nothing unless both give its bytes."""
+    def cut(self, units: list[str]) -> tuple[int, int, list[tuple[bytes, bytes]]]:
+        """Tokens of A, of B, and the windows of a text that is given by its units."""
         import numpy as np
 
-        spaced = " " + text
-        raw = spaced.encode()
-        ids = self.a.encode(spaced), self.b.encode(text)
-        if not text or any(
-                b"".join(map(side.bytes.__getitem__, found)) != raw for side, found in zip((self.a, self.b), ids)):
+        if not units:
             return 0, 0, []
-        a, b = (np.array(found, np.uint32) for found in ids)
-        a_ends, b_ends = (np.cumsum(widths[found]) for widths, found in zip(self.widths, (a, b)))
-        shared = np.zeros(len(raw) + 1, bool)
+        a_raw, b_raw = map(b"".join, zip(*map(self.tokens.__getitem__, units)))
+        a, b = np.frombuffer(a_raw, np.uint32), np.frombuffer(b_raw, np.uint32)
+        a_ends, b_ends = (np.cumsum(widths[ids]) for widths, ids in zip(self.widths, (a, b)))
+        shared = np.zeros(a_ends[-1] + 1, bool)
         shared[b_ends] = True
         anchored = np.flatnonzero(self.white[a[1:]] & shared[a_ends[:-1]]) + 1
-        a_cuts = [0, *(4 * anchored).tolist(), 4 * len(a)]
-        b_cuts = [0, *(4 * (np.searchsorted(b_ends, a_ends[anchored - 1]) + 1)).tolist(), 4 * len(b)]
-        a, b = a.tobytes(), b.tobytes()
-        return len(ids[0]), len(ids[1]), [
-            (a[i:j], b[k:m]) for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])]
+        a_cuts = [0, *(4 * anchored).tolist(), len(a_raw)]
+        b_cuts = [0, *(4 * (np.searchsorted(b_ends, a_ends[anchored - 1]) + 1)).tolist(), len(b_raw)]
+        return len(a), len(b), [
+            (a_raw[i:j], b_raw[k:m]) for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])]
 
     def learn(self, windows: list[tuple[bytes, bytes]]) -> None:
         """Align the windows that are new, all in one go: their bytes stand end to end on both sides.
@@ -106,8 +147,6 @@ class WindowMemo(dict):
         linked; where both end, a group ends. A pair is written as
         (A id) * (size of B's vocabulary) + (B id).
         """
-        import hashlib
-
         import numpy as np
 
         new = [w for w in dict.fromkeys(windows) if w not in self]
@@ -136,13 +175,15 @@ class WindowMemo(dict):
             self.groups.append(group - group_from)
             self.links.append(packed[8 * link_from:8 * link])
             self.sizes.append(link - link_from)
-            name = b"%d %d " % (self.seed, len(window[0])) + window[0] + window[1]
-            self.keys.append(int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True))
             link_from, group_from = link, group
 
 
-def _align_function(a_path: str, b_path: str, seed: int):
-    """Arrow batches of (row, doc_id, text) to a row for each text, and one for each window met in the task."""
+def _align_function(a_path: str, b_path: str):
+    """Arrow batches of (row, doc_id, text) to a row for each text, and one for each window met in a chunk of texts.
+
+    A chunk goes by the row of its first text. It ends with the task, or when it
+    has met `_WINDOWS` different windows or `_PLACES` of them in its texts.
+    """
 
     def run(batches):
         import hashlib
@@ -154,55 +195,60 @@ def _align_function(a_path: str, b_path: str, seed: int):
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
-        memo = per_process(("align", a_path, b_path, seed), lambda: WindowMemo(a_path, b_path, seed))
+        memo = per_process(("align", a_path, b_path), lambda: WindowMemo(a_path, b_path))
         pair = pa.int32() if _pair_type(len(memo.a.bytes), len(memo.b.bytes)) == "int" else pa.int64()
-        names = [field.split()[0] for field in _TEXTS.split(", ")] + ["key", "links", "n"]
-        kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(),
+        names = [field.split()[0] for field in _TEXTS.split(", ")] + ["chunk", "window", "links", "n"]
+        kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int32(),
                                     pa.list_(pair), pa.int64()]
 
-        def table(**columns):
+        def table(chunk, **columns):
             size = len(next(iter(columns.values())))
+            columns["chunk"] = pa.array(np.full(size, chunk), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [columns[n] if n in columns else pa.nulls(size, k) for n, k in zip(names, kinds)], names)
 
-        met = np.zeros(0, np.int64)  # how often each window was met in this task
-
-        def described(met):
-            numbers = np.flatnonzero(met)
-            keys, sizes = np.array(memo.keys), np.array(memo.sizes)
+        def described():
+            numbers, sizes = np.flatnonzero(met), np.array(memo.sizes)
             for start in range(0, len(numbers), 10_000):
                 part = numbers[start:start + 10_000]
                 links = np.frombuffer(b"".join([memo.links[w] for w in part.tolist()]), np.int64)
-                yield table(key=pa.array(keys[part]), links=listed(links, sizes[part], pair), n=pa.array(met[part]))
+                yield table(chunk, window=pa.array(part, pa.int32()), links=listed(links, sizes[part], pair),
+                            n=pa.array(met[part]))
 
+        chunk, places, met = None, 0, np.zeros(0, np.int64)  # how often each window was met in this chunk
         for batch in sliced(batches, _ROWS):
-            if len(memo) > _WINDOWS:
-                yield from described(met)
-                memo.forget()
-                met = np.zeros(0, np.int64)
-            found = [memo.cut(text or "") for text in batch.column("text").to_pylist()]
+            if np.count_nonzero(met) > _WINDOWS or places > _PLACES:
+                yield from described()
+                chunk, places, met = None, 0, np.zeros(0, np.int64)
+            if chunk is None:
+                chunk = batch.column("row")[0].as_py()
+                if len(memo) > _WINDOWS:
+                    memo.forget()
+            found = [memo.cut(units) for units in memo.tokenize(batch.column("text").to_pylist())]
             memo.learn([w for _, _, cut in found for w in cut])
             found = [(n_a, n_b, [*map(memo.__getitem__, cut)]) for n_a, n_b, cut in found]
-            keys, groups, links = (np.array(x, np.int64) for x in (memo.keys, memo.groups, memo.sizes))
+            groups, links = np.array(memo.groups, np.int64), np.array(memo.sizes, np.int64)
             met = np.concatenate([met, np.zeros(len(memo) - len(met), np.int64)])
             n_groups, n_links, digests, windows, times = [], [], [], [], []
             for _, _, numbers in found:
-                own, often = np.unique(np.array(numbers, np.int64), return_counts=True)
+                own, often = np.unique(np.array(numbers, np.int32), return_counts=True)
                 met[own] += often
                 n_groups.append(int(groups[own] @ often))
                 n_links.append(int(links[own] @ often))
                 digests.append(hashlib.sha256(
                     ";".join([memo.texts[w] for w in numbers]).encode()).hexdigest() if numbers else "")
-                windows.append(keys[own])
+                windows.append(own)
                 times.append(often)
             sizes = [len(w) for w in windows]
+            places += sum(sizes)
             yield table(
-                row=batch.column("row"), doc_id=batch.column("doc_id"), n_a=pa.array([f[0] for f in found], pa.int64()),
-                n_b=pa.array([f[1] for f in found], pa.int64()), n_groups=pa.array(n_groups, pa.int64()),
-                n_links=pa.array(n_links, pa.int64()), groups_sha256=pa.array(digests, pa.string()),
-                windows=listed(np.concatenate([np.zeros(0, np.int64), *windows]), sizes, pa.int64()),
+                chunk, row=batch.column("row"), doc_id=batch.column("doc_id"),
+                n_a=pa.array([f[0] for f in found], pa.int64()), n_b=pa.array([f[1] for f in found], pa.int64()),
+                n_groups=pa.array(n_groups, pa.int64()), n_links=pa.array(n_links, pa.int64()),
+                groups_sha256=pa.array(digests, pa.string()),
+                windows=listed(np.concatenate([np.zeros(0, np.int32), *windows]), sizes, pa.int32()),
                 times=listed(np.concatenate([np.zeros(0, np.int32), *times]).astype(np.int32), sizes, pa.int32()))
-        yield from described(met)
+        yield from described()
 
     return run
 
@@ -211,21 +257,18 @@ def _pair_type(a_size: int, b_size: int) -> str:
     return "int" if a_size * b_size < 1 << 31 else "long"
 
 
-def align_documents(docs: DataFrame, a_path: str, b_path: str, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
-    """Texts as windows (row, doc_id, n_a, …, windows, times), windows (key, links, n), and the size of B's vocabulary.
+def align_documents(docs: DataFrame, a_path: str, b_path: str) -> tuple[DataFrame, DataFrame, int]:
+    """Texts as windows (chunk, row, doc_id, n_a, …, windows, times), windows (chunk, window, links, n), size of B's vocabulary.
 
-    Both are written out; `n` counts the occurrences of a window. A window goes by a
-    64-bit digest of its ids: should two share one, all is done again with another seed.
+    Both are written out. A window's number holds within a chunk of texts; `n` counts its occurrences there.
     """
     sizes = len(ByteTokens(a_path).bytes), len(PieceTokens(b_path).bytes)
     numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     aligned = stage(numbered.select("row", "doc_id", "text").mapInArrow(
-        _align_function(a_path, b_path, seed),
-        f"{_TEXTS}, key long, links array<{_pair_type(*sizes)}>, n long"), "aligned")
-    windows = stage(aligned.where("key is not null").groupBy("key", "links").agg(F.sum("n").alias("n")), "windows")
-    if windows.groupBy("key").count().where("count > 1").limit(1).collect():
-        return align_documents(docs, a_path, b_path, seed + 1)
-    return aligned.where("key is null").drop("key", "links", "n"), windows, sizes[1]
+        _align_function(a_path, b_path),
+        f"{_TEXTS}, chunk long, window int, links array<{_pair_type(*sizes)}>, n long"), "aligned")
+    return (aligned.where("window is null").drop("window", "links", "n"),
+            aligned.where("window is not null").select("chunk", "window", "links", "n"), sizes[1])
 
 
 def link_counts(windows: DataFrame, b_size: int) -> DataFrame:
@@ -241,21 +284,20 @@ def link_counts(windows: DataFrame, b_size: int) -> DataFrame:
         F.col("item").cast("long").alias("item"), "n", (F.col("total") == F.col("_most")).cast("long").alias("best"), "total")
 
 
-def item_sums(lists: DataFrame, values: DataFrame) -> DataFrame:
-    """(id, best, total): for each list (id, items, times) the sums of `times` times the values of its items.
+def window_values(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(chunk, window, best, total): for each window the sums of `best` and `total` over its links.
 
-    `values` has (item, n, best, total), `n` being about how often the item
-    occurs. Frequent items, of which there are fewer than `FREQUENT` whatever
-    the data, are looked up where the list stands. The others, none of which
+    Frequent pairs, of which there are fewer than `FREQUENT` whatever the
+    data, are looked up where the window stands. The others, none of which
     is frequent, meet their values in a join.
     """
     import numpy as np
 
-    every = values.agg(F.sum("n")).first()[0] or 0
-    rows = values.where(F.col("n") * FREQUENT > every).select("item", "best", "total").toArrow()
+    every = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") * FREQUENT > every).select("item", "best", "total").toArrow()
     items, best, totals = (rows.column(name).to_numpy().astype(np.int64) for name in ("item", "best", "total"))
     order = np.argsort(items)
-    shipped = lists.sparkSession.sparkContext.broadcast((items[order], best[order], totals[order]))
+    shipped = windows.sparkSession.sparkContext.broadcast((items[order], best[order], totals[order]))
 
     def run(batches):
         import numpy as np
@@ -263,11 +305,9 @@ def item_sums(lists: DataFrame, values: DataFrame) -> DataFrame:
 
         known_items, *known_values = shipped.value
         for batch in batches:
-            column = batch.column("items")
+            column = batch.column("links")
             offsets = column.offsets.to_numpy()
-            inside = slice(offsets[0], offsets[-1])
-            asked = column.values.to_numpy()[inside].astype(np.int64)
-            often = batch.column("times").values.to_numpy()[inside].astype(np.int64)
+            asked = column.values.to_numpy()[offsets[0]:offsets[-1]].astype(np.int64)
             offsets = offsets - offsets[0]
             place = np.searchsorted(known_items, asked)
             known = np.zeros(len(asked), bool)
@@ -276,31 +316,42 @@ def item_sums(lists: DataFrame, values: DataFrame) -> DataFrame:
             sums = []
             for values in known_values:
                 one = np.zeros(len(asked), np.int64)
-                one[known] = values[place[known]] * often[known]
+                one[known] = values[place[known]]
                 ends = np.concatenate([[0], np.cumsum(one)])
                 sums.append(pa.array(ends[offsets[1:]] - ends[offsets[:-1]], pa.int64()))
             left = pa.array(np.concatenate([[0], np.cumsum(~known)])[offsets].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *sums, pa.ListArray.from_arrays(left, pa.array(asked[~known])),
-                 pa.ListArray.from_arrays(left, pa.array(often[~known]))],
-                ["id", "best", "total", "items", "times"])
+                [batch.column("chunk"), batch.column("window"), *sums,
+                 pa.ListArray.from_arrays(left, pa.array(asked[~known]))], ["chunk", "window", "best", "total", "items"])
 
-    looked_up = stage(lists.select("id", "items", "times").mapInArrow(
-        run, "id long, best long, total long, items array<long>, times array<long>"), "item-sums")
-    rest = looked_up.select("id", F.inline(F.arrays_zip("items", "times"))).withColumnRenamed("items", "item")
-    others = rest.join(values.drop("n"), "item").groupBy("id").agg(
-        *[F.sum(F.col("times") * F.col(name)).alias(f"_{name}") for name in ("best", "total")])
-    return looked_up.select("id", "best", "total").join(others, "id", "left").select("id", *[
-        (F.col(name) + F.coalesce(f"_{name}", F.lit(0))).alias(name) for name in ("best", "total")])
+    looked_up = stage(windows.select("chunk", "window", "links").mapInArrow(
+        run, "chunk long, window int, best long, total long, items array<long>"), "window-sums")
+    rest = looked_up.where(F.size("items") > 0).select("chunk", "window", F.explode("items").alias("item"))
+    others = rest.join(counts.drop("n"), "item").select("chunk", "window", "best", "total")
+    return looked_up.select("chunk", "window", "best", "total").unionByName(others)
 
 
-def window_values(windows: DataFrame, b_size: int) -> DataFrame:
-    """(item, n, best, total): a window, its occurrences, its links with the best pair of their B id, its links' counts."""
-    counted = stage(link_counts(windows, b_size), "best-links")
-    lists = windows.select(
-        F.col("key").alias("id"), F.col("links").alias("items"), F.array_repeat(F.lit(1), F.size("links")).alias("times"))
-    return item_sums(lists, counted).join(windows.select(F.col("key").alias("id"), "n"), "id").withColumnRenamed(
-        "id", "item")
+def _text_sums(texts, values):
+    """Arrow tables of one chunk: a text's sums over its windows, by number."""
+    import numpy as np
+    import pyarrow as pa
+
+    numbers = values.column("window").to_numpy()
+    column = texts.column("windows").combine_chunks()
+    offsets = column.offsets.to_numpy()
+    asked = column.values.to_numpy()[offsets[0]:offsets[-1]]
+    often = texts.column("times").combine_chunks()
+    often = often.values.to_numpy()[often.offsets.to_numpy()[0]:].astype(np.int64)[:len(asked)]
+    offsets = offsets - offsets[0]
+    sums = []
+    for name in ("best", "total"):
+        by_number = np.zeros(int(numbers.max(initial=-1)) + 1, np.int64)
+        np.add.at(by_number, numbers, values.column(name).to_numpy())
+        ends = np.concatenate([[0], np.cumsum(by_number[asked] * often)])
+        sums.append(pa.array(ends[offsets[1:]] - ends[offsets[:-1]], pa.int64()))
+    kept = [texts.column(n) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+    return pa.table([*kept, *sums, texts.column("groups_sha256")], names=[
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
 
 def aligned_digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -310,14 +361,11 @@ def aligned_digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     null, empty, or that either does not give back byte by byte (B writes
     U+2581 as a blank) has no tokens: all zeros and an empty digest.
     Repeated rows and null ids are texts like any others; other columns are
-    not read. No text is shuffled.
-
-    Once the windows have their values, a text's are sums over its windows.
+    not read. No text is shuffled; texts, as lists of numbers, meet the values
+    of their windows chunk by chunk, and chunks are bounded.
     """
     texts, windows, b_size = align_documents(docs, a_path, b_path)
-    values = stage(window_values(windows, b_size), "window-values")
-    lists = texts.select(F.col("row").alias("id"), F.col("windows").alias("items"), "times")
-    summed = item_sums(lists, values).withColumnRenamed("id", "row")
-    return texts.drop("windows", "times").join(summed, "row").select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", F.col("best").alias("n_best"), F.col("total").alias("count_sum"),
-        "groups_sha256")
+    values = window_values(windows, stage(link_counts(windows, b_size), "best-links"))
+    return texts.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(
+        _text_sums, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
+        "groups_sha256 string")

@@ -105,6 +105,7 @@ def test_hard_texts(spark, plain):
 def test_few_windows_and_few_frequent_ones_change_nothing(spark, plain, monkeypatch):
     monkeypatch.setattr(alignment, "FREQUENT", 50)
     monkeypatch.setattr(alignment, "_WINDOWS", 100)
+    monkeypatch.setattr(alignment, "_ROWS", 5)
     rows = [(r.doc_id, r.text) for r in documents(spark).limit(60).collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = alignment.aligned_digests(docs, A, B).collect()
@@ -118,8 +119,9 @@ def test_every_text_of_the_table(spark, plain):
 
 
 def test_windows_meet_only_where_both_have_a_boundary(plain):
-    memo = alignment.WindowMemo(A, B, 0)
-    _, _, windows = memo.cut("the cat,the dog  and\nthe bird")
+    memo = alignment.WindowMemo(A, B)
+    (units,) = memo.tokenize(["the cat,the dog  and\nthe bird"])
+    _, _, windows = memo.cut(units)
     memo.learn(windows * 2)
     assert len(windows) > 3 and len(memo) == len(set(windows))
     joined = ";".join(memo.texts[memo[w]] for w in windows)
