@@ -1,16 +1,17 @@
-"""Exact nearest reference under L1 distance.
+"""Exact nearest references under L1 distance, by a tree of pivots.
 
-Both sides are cut into cells around pivots, whose number grows with the root
-of the number of references; a query visits only the cells that its
-triangle-inequality bounds cannot rule out, and large cells are cut into
-blocks of bounded size on both sides. No pair of rows is ever emitted: each
-block reports one best reference per query.
+The tree splits the space level by level around far-apart pivots. Every
+reference goes down to one leaf; a node knows the range of distances from its
+pivot to all references below it, so that the triangle inequality bounds how
+near a leaf can be. A query first searches the leaf that promises most; its
+k-th distance there rules out all leaves that cannot be nearer. No pair of
+rows is ever emitted: each block of a leaf reports a query's k nearest.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,10 @@ from ..schemas import struct
 from ..session import stage
 
 _QUERY_ROWS, _REFERENCE_ROWS = 256, 512
-_BEST = struct("ref_id bigint, distance double")
+_FOUND = "ref_id bigint, distance double"
+SAMPLE_ROWS = 8192
+TREE_BYTES = 16 << 20
+FAN = 8
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -35,33 +39,96 @@ def _l1(queries: np.ndarray, references: np.ndarray) -> np.ndarray:
     return total
 
 
-def _nearest(queries: np.ndarray, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position and distance of the nearest reference, the first on ties."""
-    position = np.zeros(len(queries), dtype=np.int64)
-    distance = np.full(len(queries), np.inf)
+def _nearest(queries: np.ndarray, references: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and distances of the k nearest references, nearest first, the first on ties; -1 beyond their number."""
+    position = np.full((len(queries), k), -1, dtype=np.int64)
+    distance = np.full((len(queries), k), np.inf)
     for q in range(0, len(queries), _QUERY_ROWS):
         rows = slice(q, q + _QUERY_ROWS)
         for r in range(0, len(references), _REFERENCE_ROWS):
             block = _l1(queries[rows], references[r:r + _REFERENCE_ROWS])
-            best = block.argmin(axis=1)
-            value = block[np.arange(len(block)), best]
-            closer = value < distance[rows]
-            position[rows] = np.where(closer, best + r, position[rows])
-            distance[rows] = np.where(closer, value, distance[rows])
+            at = np.broadcast_to(np.arange(r, r + block.shape[1]), block.shape)
+            values, places = np.hstack([distance[rows], block]), np.hstack([position[rows], at])
+            best = np.argsort(values, axis=1, kind="stable")[:, :k] if k > 1 else values.argmin(axis=1)[:, None]
+            distance[rows], position[rows] = np.take_along_axis(values, best, 1), np.take_along_axis(places, best, 1)
+    position[np.isinf(distance)] = -1
     return position, distance
 
 
-def nearest_reference(queries: DataFrame, references: DataFrame, query_id: str,
-                      query_vector: str = "embedding", ref_id: str = "ref_id",
-                      ref_vector: str = "embedding", pivots: int | None = None,
-                      block_rows: int = 4096) -> DataFrame:
-    """(query_id, ref_id, distance) with the smallest ref_id on ties.
+@dataclass
+class PivotTree:
+    """Nodes in order of their level: pivot, parent (-1 for the root), children; leaves have none."""
+
+    pivots: np.ndarray
+    parents: np.ndarray
+    children: list[list[int]]
+
+    @property
+    def leaves(self) -> np.ndarray:
+        return np.array([n for n, below in enumerate(self.children) if not below])
+
+    def path(self, node: int) -> list[int]:
+        """The node and those above it but for the root."""
+        found = []
+        while node > 0:
+            found.append(node)
+            node = int(self.parents[node])
+        return found or [0]
+
+    def descend(self, points: np.ndarray) -> np.ndarray:
+        """The leaf of each point: down to the nearest pivot at every level."""
+        at = np.zeros(len(points), dtype=np.int64)
+        for node, below in enumerate(self.children):
+            here = np.flatnonzero(at == node)
+            if below and len(here):
+                at[here] = np.array(below)[_l1(points[here], self.pivots[below]).argmin(axis=1)]
+        return at
+
+
+def build_tree(sample: np.ndarray, rows: int, leaf_rows: int, fan: int = FAN, tree_bytes: int = TREE_BYTES) -> PivotTree:
+    """A tree whose leaves stand for about `leaf_rows` of `rows` references, of which `sample` is a part.
+
+    A node's pivots are far apart: each is the point farthest from those
+    before it. Nodes that hold one point only, or too little of the sample, and a tree
+    of `tree_bytes` are not split further.
+    """
+    pivots, parents, children = [sample[0]], [-1], [[]]
+    most, share = max(fan + 1, tree_bytes // (8 * sample.shape[1])), rows / len(sample)
+    level = [(0, np.arange(len(sample)))]
+    while level:
+        below = []
+        for node, points in level:
+            if len(points) * share <= leaf_rows or len(points) < 2 * fan or len(pivots) + fan > most:
+                continue
+            chosen = [int(points[0])]
+            nearest = _l1(sample[points], sample[chosen])[:, 0]
+            while len(chosen) < fan and nearest.max() > 0:
+                chosen.append(int(points[nearest.argmax()]))
+                nearest = np.minimum(nearest, _l1(sample[points], sample[chosen[-1:]])[:, 0])
+            if len(chosen) < 2:
+                continue
+            owner = _l1(sample[points], sample[chosen]).argmin(axis=1)
+            for number, pivot in enumerate(chosen):
+                children[node].append(len(pivots))
+                below.append((len(pivots), points[owner == number]))
+                pivots.append(sample[pivot])
+                parents.append(node)
+                children.append([])
+        level = below
+    return PivotTree(np.stack(pivots), np.array(parents), children)
+
+
+def nearest_references(queries: DataFrame, references: DataFrame, query_id: str, k: int = 1,
+                       query_vector: str = "embedding", ref_id: str = "ref_id", ref_vector: str = "embedding",
+                       block_rows: int = 4096, leaf_rows: int = 1024, report: dict | None = None) -> DataFrame:
+    """(query_id, place, ref_id, distance): the k nearest references, by distance and then ref_id; `place` from 1.
 
     Vectors are compared as float32 and summed in double precision. Queries
-    with a null vector get a null reference; `query_id` is unique. Ids and
-    vectors of both sides are written out first, so that each vector is
-    computed once. By default there is a pivot for every 16 rows of the root
-    of the number of references.
+    with a null vector, and all when there are no references, get one row without
+    a reference; `query_id` is unique. Ids and vectors of both sides are written out
+    first, so that each vector is computed once. Shipped to tasks is a tree
+    of at most `TREE_BYTES`, built on the driver from `SAMPLE_ROWS` references.
+    `report`, if given, gets the number of pairs compared and of all pairs.
     """
     refs = stage(references.select(
         F.col(ref_id).cast("bigint").alias("ref_id"),
@@ -69,115 +136,134 @@ def nearest_reference(queries: DataFrame, references: DataFrame, query_id: str,
     asked = stage(queries.select(
         F.col(query_id).alias("query_id"),
         F.col(query_vector).cast("array<float>").alias("vector")), "queries")
-    n_refs = refs.count()
     searched = asked.where("vector is not null")
-    if n_refs:
-        best = _search_cells(searched, refs, pivots or math.ceil(math.sqrt(n_refs) / 16), block_rows)
+    sample = refs.orderBy(F.xxhash64("ref_id"), "ref_id").limit(SAMPLE_ROWS).select("vector").toPandas()
+    if len(sample):
+        rows = refs.count() if len(sample) == SAMPLE_ROWS else len(sample)
+        tree = build_tree(_matrix(sample["vector"]), rows, leaf_rows)
+        found = _search(searched, refs, tree, rows, k, block_rows, report)
+        unanswered = asked.where("vector is null")
     else:
-        best = searched.select(
-            "query_id", F.lit(None).cast("bigint").alias("ref_id"),
-            F.lit(None).cast("double").alias("distance"))
-    unasked = asked.where("vector is null").select("query_id").withColumns({
-        "ref_id": F.lit(None).cast("bigint"), "distance": F.lit(None).cast("double")})
-    return best.unionByName(unasked).withColumnRenamed("query_id", query_id)
+        found, unanswered = None, asked
+    nothing = unanswered.select("query_id").withColumns({
+        "place": F.lit(1), "ref_id": F.lit(None).cast("bigint"), "distance": F.lit(None).cast("double")})
+    return (found.unionByName(nothing) if found is not None else nothing).withColumnRenamed("query_id", query_id)
 
 
-def _best_schema(queries: DataFrame) -> T.StructType:
-    return T.StructType([queries.schema["query_id"], *_BEST.fields])
+def nearest_reference(queries: DataFrame, references: DataFrame, query_id: str, **options: object) -> DataFrame:
+    """(query_id, ref_id, distance): the nearest reference; see `nearest_references`."""
+    return nearest_references(queries, references, query_id, 1, **options).drop("place")
 
 
-def _search_cells(queries: DataFrame, refs: DataFrame, pivots: int, block_rows: int) -> DataFrame:
+def _search(queries: DataFrame, refs: DataFrame, tree: PivotTree, rows: int, k: int, block_rows: int,
+            report: dict | None) -> DataFrame:
     spark = queries.sparkSession
-    chosen = refs.orderBy(F.md5(F.col("ref_id").cast("string")), "ref_id").limit(pivots).toPandas()
-    centers = np.stack(chosen["vector"]).astype(np.float64)
-    shipped = spark.sparkContext.broadcast(centers)
+    shipped = spark.sparkContext.broadcast(tree)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = shipped.value
         for batch in batches:
             if len(batch):
-                cell, distance = _nearest(_matrix(batch["vector"]), shipped.value)
-                yield batch.assign(cell=cell.astype(np.int32), to_pivot=distance)
-
-    ref_schema = T.StructType([*refs.schema.fields, *struct("cell int, to_pivot double").fields])
-    placed = stage(refs.mapInPandas(assign, ref_schema), "reference-cells")
-    # One row per pivot: size and the range of distances to the pivot.
-    stats = {r["cell"]: r for r in placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("to_pivot").alias("inner"),
-        F.max("to_pivot").alias("outer")).collect()}
-    cells = np.array(sorted(stats), dtype=np.int32)
-    inner = np.array([stats[c]["inner"] for c in cells])
-    outer = np.array([stats[c]["outer"] for c in cells])
-    blocks = {int(c): -(-stats[c]["n"] // block_rows) for c in cells}
-    bounds = spark.sparkContext.broadcast((cells, inner, outer))
+                points = _matrix(batch["vector"])
+                leaf = tree.descend(points)
+                away = [np.abs(tree.pivots[tree.path(n)] - p).sum(axis=1) for n, p in zip(leaf, points)]
+                yield batch.assign(leaf=leaf.astype(np.int32), away=away)
+
+    placed = stage(refs.mapInPandas(place, T.StructType([
+        *refs.schema.fields, T.StructField("leaf", T.IntegerType()), T.StructField("away", T.ArrayType(T.DoubleType()))])),
+        "reference-leaves")
+    # One row for each leaf and level: how many references, and how near and far they are from the pivots above them.
+    stats = placed.select("leaf", F.posexplode("away").alias("level", "away")).groupBy("leaf", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.min("away").alias("near"), F.max("away").alias("far")).collect()
+    near, far = np.full(len(tree.pivots), np.inf), np.full(len(tree.pivots), -np.inf)
+    sizes: dict[int, int] = {}
+    for row in stats:
+        node = tree.path(row["leaf"])[row["level"]]
+        near[node], far[node] = min(near[node], row["near"]), max(far[node], row["far"])
+        sizes[row["leaf"]] = row["n"]
+    leaves = np.array(sorted(sizes))
+    bounds = spark.sparkContext.broadcast((leaves, near, far))
 
     def route(batches: Iterator[pd.DataFrame], first: bool) -> Iterator[pd.DataFrame]:
-        """One row per (query, cell to visit)."""
-        ids, low, high = bounds.value
+        """One row per (query, leaf to search): the most promising one, or all others that may be as near."""
+        tree, (leaves, near, far) = shipped.value, bounds.value
         for batch in batches:
             if not len(batch):
                 continue
-            to_pivot = _l1(_matrix(batch["vector"]), shipped.value[ids])
-            home = to_pivot.argmin(axis=1)
+            away = _l1(_matrix(batch["vector"]), tree.pivots)
+            # No reference below a node can be nearer than this, nor than what holds for the nodes above.
+            least = np.maximum(np.maximum(away - far, near - away), 0)
+            for node in range(1, len(tree.pivots)):
+                if tree.parents[node] > 0:
+                    least[:, node] = np.maximum(least[:, node], least[:, tree.parents[node]])
+            least = least[:, leaves]
+            home = np.lexsort((away[:, leaves], least), axis=1)[:, 0]
             if first:
-                visit = np.zeros(to_pivot.shape, dtype=bool)
+                visit = np.zeros(least.shape, dtype=bool)
                 visit[np.arange(len(home)), home] = True
             else:
-                # No reference of a cell can be nearer than these bounds.
-                half = (to_pivot - to_pivot.min(axis=1, keepdims=True)) / 2
-                least = np.maximum.reduce([to_pivot - high, low - to_pivot, half])
-                slack = 1e-9 * (1 + to_pivot)
-                visit = least <= batch["distance"].to_numpy()[:, None] + slack
+                visit = least <= batch["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9
                 visit[np.arange(len(home)), home] = False
             row, column = np.nonzero(visit)
             yield pd.DataFrame({
-                "query_id": batch["query_id"].to_numpy()[row],
-                "vector": batch["vector"].to_numpy()[row],
-                "cell": ids[column]})
-
-    routed_schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
-    best_schema = _best_schema(queries)
-
-    def probe(routed: DataFrame) -> DataFrame:
-        """Nearest reference per (query, visited cell), block against block."""
-        loads = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
-        plan = [(c, blocks[c], -(-n // block_rows)) for c, n in loads.items()]
-        layout = F.broadcast(spark.createDataFrame(  # one row per pivot
-            plan, "cell int, ref_blocks int, query_blocks int"))
+                "query_id": batch["query_id"].to_numpy()[row], "vector": batch["vector"].to_numpy()[row],
+                "leaf": leaves[column].astype(np.int32)})
+
+    routed_schema = T.StructType([*queries.schema.fields, T.StructField("leaf", T.IntegerType())])
+    found_schema = T.StructType([queries.schema["query_id"], *struct(_FOUND).fields])
+
+    def probe(routed: DataFrame) -> DataFrame | None:
+        """The k nearest references per query, leaf and block, block against block; nothing if nothing is asked."""
+        loads = {r["leaf"]: r["count"] for r in routed.groupBy("leaf").count().collect()}
+        if not loads:
+            return None
+        if report is not None:
+            report["compared"] = report.get("compared", 0) + sum(n * sizes[leaf] for leaf, n in loads.items())
+        layout = F.broadcast(spark.createDataFrame(  # one row for each leaf
+            [(leaf, -(-sizes[leaf] // block_rows), -(-n // block_rows)) for leaf, n in loads.items()],
+            "leaf int, ref_blocks int, query_blocks int"))
         query_block = F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int")
         ref_block = F.pmod(F.xxhash64("ref_id"), F.col("ref_blocks")).cast("int")
-        left = routed.join(layout, "cell").select(
-            "query_id", "vector", "cell", query_block.alias("query_block"),
+        left = routed.join(layout, "leaf").select(
+            "query_id", "vector", "leaf", query_block.alias("query_block"),
             F.explode(F.sequence(F.lit(0), F.col("ref_blocks") - 1)).alias("ref_block"))
-        right = placed.join(layout, "cell").select(
-            "ref_id", "vector", "cell", ref_block.alias("ref_block"),
+        right = placed.join(layout, "leaf").select(
+            "ref_id", "vector", "leaf", ref_block.alias("ref_block"),
             F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"))
-        key = ["cell", "query_block", "ref_block"]
+        key = ["leaf", "query_block", "ref_block"]
 
         def search(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
             if not len(asked) or not len(block):
-                return pd.DataFrame({"query_id": asked["query_id"][:0],
-                                     "ref_id": pd.Series(dtype="int64"),
+                return pd.DataFrame({"query_id": asked["query_id"][:0], "ref_id": pd.Series(dtype="int64"),
                                      "distance": pd.Series(dtype="float64")})
             block = block.sort_values("ref_id")
-            position, distance = _nearest(_matrix(asked["vector"]), _matrix(block["vector"]))
-            return pd.DataFrame({"query_id": asked["query_id"].to_numpy(),
-                                 "ref_id": block["ref_id"].to_numpy()[position],
-                                 "distance": distance})
-
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, best_schema)
-
-    def closest(found: DataFrame) -> DataFrame:
-        best = F.min(F.struct("distance", "ref_id"))
-        return found.groupBy("query_id").agg(best.alias("best")).select(
-            "query_id", "best.ref_id", "best.distance")
-
-    if not queries.limit(1).collect():
-        return queries.mapInPandas(lambda batches: iter(()), best_schema)
-    home = queries.mapInPandas(lambda batches: route(batches, True), routed_schema)
-    near = stage(closest(probe(home)), "home-cell")
-    bounded = queries.join(near.select("query_id", "distance"), "query_id")
-    others = stage(
-        bounded.mapInPandas(lambda batches: route(batches, False), routed_schema), "other-cells")
-    if not others.limit(1).collect():
-        return near
-    return closest(near.unionByName(probe(others)))
+            position, distance = _nearest(_matrix(asked["vector"]), _matrix(block["vector"]), k)
+            row, column = np.nonzero(position >= 0)
+            return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[row],
+                                 "ref_id": block["ref_id"].to_numpy()[position[row, column]],
+                                 "distance": distance[row, column]})
+
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, found_schema)
+
+    def merged(found: DataFrame) -> DataFrame:
+        """(query_id, best): a query's k nearest of all blocks, each of which gave no more than k."""
+        return found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(
+            F.struct("distance", "ref_id"))), 1, k).alias("best"))
+
+    def listed(found: DataFrame) -> DataFrame:
+        return found.select("query_id", F.posexplode("best").alias("place", "found")).select(
+            "query_id", (F.col("place") + 1).alias("place"), "found.ref_id", "found.distance")
+
+    home = probe(queries.mapInPandas(lambda batches: route(batches, True), routed_schema))
+    if home is None:
+        return listed(merged(queries.mapInPandas(lambda batches: iter(()), found_schema)))
+    first = stage(merged(home), "home-leaf")
+    if report is not None:
+        report["pairs"] = rows * queries.count()
+    # Fewer than k in the home leaf rule nothing out.
+    bound = F.when(F.size("best") == k, F.element_at("best", -1)["distance"]).otherwise(F.lit(float("inf")))
+    bounded = queries.join(first.select("query_id", bound.alias("bound")), "query_id")
+    others = probe(bounded.mapInPandas(lambda batches: route(batches, False), routed_schema))
+    if others is None:
+        return listed(first)
+    return listed(merged(first.select("query_id", F.inline("best")).select("query_id", "ref_id", "distance").unionByName(others)))

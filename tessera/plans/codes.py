@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.hooks import Embedder, TrigramEmbedder
 from ..operators.nearest import nearest_reference
-from ..operators.skew import lookup_join
 from ..session import stage
 
 
@@ -36,18 +35,18 @@ def map_codes(df: DataFrame, columns: Mapping[str, str], references: DataFrame,
     """Add a code column for each text column: {text column: code column}.
 
     Every distinct text is embedded and searched once, over all columns
-    together. Counting the texts is the only extra pass over `df`; it also
-    tells which texts are too frequent for a plain join. The counts, the
-    vectors and the finished codes are written out, so none is computed
-    twice, not even when an executor is lost. Null texts get null codes.
+    together. The texts, the vectors and the finished codes are written out,
+    so none is computed twice, not even when an executor is lost. Codes that fit
+    Spark's own limit for broadcasts go to the rows of `df`, which then do
+    not move; otherwise both sides of a column's join come straight from
+    their shuffles, where adaptive execution splits a text that very many rows
+    hold. Null texts get null codes.
     """
     texts = stage(
         df.select(F.explode(F.array(*columns)).alias("diag_text"))
-        .where(F.col("diag_text").isNotNull())
-        .groupBy("diag_text").agg(F.count(F.lit(1)).alias("n")), "texts")
+        .where(F.col("diag_text").isNotNull()).distinct(), "texts")
     codes = stage(code_table(texts, references, embedder, **search), "codes")
     for column, out in columns.items():
         named = codes.select(F.col("diag_text").alias(column), F.col("code").alias(out))
-        counts = texts.withColumnRenamed("diag_text", column)
-        df = lookup_join(df, named, [column], counts=counts)
+        df = df.join(named, column, "left")
     return df

@@ -124,13 +124,20 @@ def knn_l1(spark, sf_dir):
 
 
 def knn_l1_cells(spark, sf_dir):
-    """The same search with more and smaller cells."""
+    """The same search with smaller leaves and blocks."""
     found = nearest.nearest_reference(
         views.vector_queries(spark, sf_dir), views.vector_references(spark, sf_dir), "query_id",
-        pivots=16, block_rows=256)
+        leaf_rows=64, block_rows=256)
     return found.select("query_id", "ref_id")
 
 
+def knn_l1_five(spark, sf_dir):
+    """The five nearest references of every query."""
+    found = nearest.nearest_references(
+        views.vector_queries(spark, sf_dir), views.vector_references(spark, sf_dir), "query_id", k=5)
+    return found.select("query_id", "place", "ref_id")
+
+
 def knn_code_map(spark, sf_dir):
     found = knn_l1(spark, sf_dir)
     refs = views.vector_references(spark, sf_dir).select(
@@ -141,7 +148,7 @@ def knn_code_map(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     pref_score_join, pref_score_join_hot, filter_nonzero_len, code_score, pref_levels, pref_classes, pref_pairs,
     topk_per_group, bootstrap_select, bootstrapping, preference_dataset, preference_from_text,
-    generate_to_preference, code_mapping, knn_l1, knn_l1_cells, knn_code_map)}
+    generate_to_preference, code_mapping, knn_l1, knn_l1_cells, knn_l1_five, knn_code_map)}
 
 _LEVELS = """
     SELECT qid, count(DISTINCT code_score) AS n_levels, max(code_score) AS top_score
@@ -222,11 +229,13 @@ _CODE_TABLE = {
           QUALIFY row_number() OVER (PARTITION BY diag_text ORDER BY distance, ref_id) = 1) d
         JOIN code_references f ON d.ref_id = f.ref_id""",
 }
-_NEAREST = f"""
-    SELECT query_id, ref_id FROM (
+_NEAREST_FIVE = f"""
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS INTEGER) AS place, ref_id
+    FROM (
       SELECT q.query_id, r.ref_id, {_distance('q.embedding', 'r.embedding')} AS distance
       FROM vector_queries q CROSS JOIN vector_references r)
-    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) = 1"""
+    QUALIFY place <= 5"""
+_NEAREST = f"SELECT query_id, ref_id FROM ({_NEAREST_FIVE}) WHERE place = 1"
 
 
 
@@ -305,6 +314,7 @@ SQL = {
         **_CODE_TABLE),
     "knn_l1": with_views("vector_queries vector_references", _NEAREST),
     "knn_l1_cells": with_views("vector_queries vector_references", _NEAREST),
+    "knn_l1_five": with_views("vector_queries vector_references", _NEAREST_FIVE),
     "knn_code_map": with_views("vector_queries vector_references", f"""
         SELECT query_id, {views.code_sql('ref_id')} AS code FROM nearest""", nearest=_NEAREST),
 }

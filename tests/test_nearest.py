@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessera.operators.hooks import FunctionEmbedder
-from tessera.operators.nearest import nearest_reference
+from tessera.operators.nearest import build_tree, nearest_reference, nearest_references
 from tessera.plans.codes import map_codes
 
 
@@ -27,8 +27,7 @@ def run(spark, queries, references, **options):
     return {row.query_id: row.ref_id for row in found}
 
 
-PATHS = [{}, {"pivots": 4, "block_rows": 8},
-         {"pivots": 1, "block_rows": 1000}]
+PATHS = [{}, {"leaf_rows": 4, "block_rows": 8}, {"leaf_rows": 1000, "block_rows": 1000}]
 
 
 @pytest.mark.parametrize("options", PATHS)
@@ -52,6 +51,46 @@ def test_ties_and_copies(spark, options):
     assert got[0] == 20 and got[43] == 1
 
 
+@pytest.mark.parametrize("k", [1, 5, 70])
+def test_k_nearest_against_brute_force(spark, k):
+    draw = np.random.default_rng(3)
+    references = [(n, np.round(draw.normal(size=3), 1).tolist()) for n in range(60)] + [(100, None)]
+    queries = [(n, np.round(draw.normal(size=3), 1).tolist()) for n in range(30)] + [(900, None)]
+    q = spark.createDataFrame(queries, "query_id long, embedding array<float>").repartition(3)
+    r = spark.createDataFrame(references, "ref_id long, embedding array<float>").repartition(3)
+    found = nearest_references(q, r, "query_id", k, leaf_rows=4, block_rows=8).collect()
+    wide = lambda v: np.asarray(v, np.float32).astype(float)
+    for number, x in queries:
+        own = sorted((row.place, row.ref_id) for row in found if row.query_id == number)
+        if x is None:
+            assert own == [(1, None)]
+            continue
+        near = sorted((float(np.abs(wide(x) - wide(v)).sum()), n) for n, v in references if v is not None)[:k]
+        assert own == [(place + 1, n) for place, (_, n) in enumerate(near)]
+
+
+def test_share_of_compared_pairs_falls(spark):
+    draw = np.random.default_rng(5)
+    shares = []
+    for size in (500, 4000):
+        points = spark.createDataFrame([(n, draw.normal(size=2).tolist()) for n in range(size)],
+                                       "ref_id long, embedding array<float>")
+        report = {}
+        queries = points.withColumnRenamed("ref_id", "query_id")
+        nearest_references(queries, points, "query_id", leaf_rows=32, report=report).count()
+        shares.append(report["compared"] / report["pairs"])
+    assert shares[1] < 0.5 * shares[0]
+
+
+def test_tree_is_bounded_and_splits_copies_no_further():
+    draw = np.random.default_rng(2)
+    points = draw.normal(size=(3000, 4))
+    tree = build_tree(points, 3_000_000, 10, tree_bytes=8 * 4 * 100)
+    assert len(tree.pivots) <= 100 and len(tree.leaves) > 50
+    assert set(tree.descend(points)) <= set(tree.leaves)
+    assert len(build_tree(np.ones((500, 4)), 500, 10).pivots) == 1
+
+
 def test_no_references(spark):
     r = spark.createDataFrame([], "ref_id long, embedding array<float>")
     q = spark.createDataFrame([(1, [0.0])], "query_id long, embedding array<float>")
@@ -71,7 +110,7 @@ def counting(spark):
     return FunctionEmbedder(load), calls
 
 
-@pytest.mark.parametrize("options", [{}, {"pivots": 3, "block_rows": 2}])
+@pytest.mark.parametrize("options", [{}, {"leaf_rows": 8, "block_rows": 2}])
 def test_each_text_is_embedded_once(spark, options):
     embedder, calls = counting(spark)
     refs = spark.createDataFrame([(n, f"reference {n}", str(n)) for n in range(10)],
