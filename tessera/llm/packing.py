@@ -2,10 +2,12 @@
 
 The genes are whole bins. A child takes the best-filled bins of one parent,
 loses the bins of the other that hold documents twice, and puts the
-documents without a bin back by best fit. Pieces are dealt into shares of
-bounded size; each share is evolved on several islands, whose elites migrate
-between epochs. What remains of a share in badly filled bins is dealt out
-anew with the remains of others.
+documents without a bin back by best fit, after they have replaced smaller ones where
+they fill a bin better. Pieces are dealt into shares of bounded size. A share that best
+fit packs into as few bins as its sum allows is done; the others are
+evolved on several islands, from founders that differ, and their elites
+migrate between epochs. What remains of a share in badly filled bins is
+dealt out anew with the remains of others.
 """
 
 from __future__ import annotations
@@ -17,18 +19,47 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage
-from .bpe import WordBpe
-from .common import BoundedCache, per_process, sliced
+from .bpe import WordBpe, byte_alphabet, load_parts
+from .common import AgingCache, per_process, sliced
 
 CAPACITY = 2048
 SHARE = 4096
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 6
-POPULATION = 4
+GENERATIONS = 40
+POPULATION = 8
 ROUNDS = 3
 _BIN_BITS = 24
-_CACHE = 300_000
+_CACHE = 600_000
+_END = b"\n"  # stands for the end of a word, in which no line break occurs
+
+
+def word_merger(path: str):
+    """A function from a pre-token to its ids under a vocabulary file with word ends.
+
+    Neighbours are merged by the rank of what they make, not by the rank of the
+    pair. Both are the same: when the two make a token of some rank, all merges of
+    lower rank are done, and within the token's bounds they were done as if it
+    stood alone, where what is left are the two parts that its own merge joins.
+    """
+    import tiktoken
+
+    described, special = load_parts(path)
+    values = {letter: byte for byte, letter in enumerate(byte_alphabet())}
+    suffix = described["model"]["end_of_word_suffix"] or ""
+
+    def raw(token: str) -> bytes:
+        ends = bool(suffix) and token.endswith(suffix)
+        return bytes([values[c] for c in (token[:-len(suffix)] if ends else token)]) + (_END if ends else b"")
+
+    vocabulary = {t: i for t, i in described["model"]["vocab"].items() if t not in special}
+    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in described["model"]["merges"]]
+    ranks = {raw(t): i for t, i in vocabulary.items()}
+    if merged != sorted(merged) or len(ranks) != len(vocabulary):
+        raise ValueError("ids are not ranks of merges")
+    encode = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    end = _END.decode() if suffix else ""
+    return lambda pretoken: encode(pretoken + end)
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -45,13 +76,21 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
         import pyarrow as pa
 
         def build():
-            bpe = WordBpe(path)
+            bpe, merge = WordBpe(path), word_merger(path)
 
             def compute(word):
-                ids = (word,) if isinstance(word, int) else bpe.word_ids(word)
+                """A word's packed ids; its pre-tokens, where it is not one itself, are looked up."""
+                if isinstance(word, int):
+                    return struct.pack("<I", word)
+                if not word.isalpha():
+                    parts = bpe.pretokens(word)
+                    if len(parts) != 1:
+                        return b"".join([cache[part] for part in parts])
+                ids = merge(word)
                 return struct.pack(f"<{len(ids)}I", *ids)
 
-            return bpe, BoundedCache(compute, _CACHE)
+            cache = AgingCache(compute, _CACHE)
+            return bpe, cache
 
         bpe, cache = per_process(("packed", path), build)
         end, step = struct.pack("<I", end_id), 4 * capacity
@@ -102,6 +141,82 @@ def best_fit(items: Sequence[int], sizes: Sequence[int], packing: Packing) -> Pa
     return packing
 
 
+def replace(items: Sequence[int], sizes: Sequence[int], packing: Packing) -> list[int]:
+    """Puts each item in the place of a smaller one whose bin it fills better; returns those without a place.
+
+    The larger items come first. What an item drives out is smaller, so that the rest fits more easily.
+    """
+    loose = sorted(items, key=lambda i: sizes[i])
+    free = sorted(((packing.capacity - fill, at) for at, fill in enumerate(packing.fills) if fill < packing.capacity),
+                  key=lambda x: x[0])
+    for room, at in free[:200]:
+        for place, own in enumerate(packing.bins[at]):
+            # The largest loose item that is larger than this one and still fits.
+            found = bisect.bisect_right(loose, sizes[own] + room, key=lambda i: sizes[i]) - 1
+            if found >= 0 and sizes[loose[found]] > sizes[own]:
+                item = loose.pop(found)
+                packing.bins[at][place] = item
+                packing.fills[at] += sizes[item] - sizes[own]
+                bisect.insort(loose, own, key=lambda i: sizes[i])
+                break
+    return loose
+
+
+def fill_bins(sizes: Sequence[int], capacity: int, draw: random.Random) -> Packing:
+    """A founder that fills one bin after another: a large item, and the two others that leave least room.
+
+    Which of the largest comes next is drawn, so that founders differ.
+    """
+    at_size: dict[int, list[int]] = {}
+    for item, size in enumerate(sizes):
+        at_size.setdefault(size, []).append(item)
+    known = sorted(at_size)
+    bins, fills = [], []
+
+    def take(size: int) -> int:
+        items = at_size[size]
+        if len(items) == 1:
+            known.remove(size)
+        return items.pop()
+
+    while known:
+        first = known[max(0, len(known) - 1 - int(draw.expovariate(1)))]
+        own, room = [take(first)], capacity - first
+        while room and known and known[0] <= room:
+            top = bisect.bisect_right(known, room) - 1
+            best = (room - known[top], (known[top],))
+            for at in range(top, max(-1, top - 200), -1):
+                if not best[0]:
+                    break
+                size = known[at]
+                other = bisect.bisect_right(known, room - size) - 1
+                if other >= 0 and (known[other] != size or len(at_size[size]) > 1):
+                    best = min(best, (room - size - known[other], (size, known[other])))
+            for size in best[1]:
+                own.append(take(size))
+                room -= size
+        bins.append(own)
+        fills.append(capacity - room)
+    return Packing(bins, fills, capacity)
+
+
+def shuffled_fit(sizes: Sequence[int], capacity: int, draw: random.Random) -> Packing:
+    """A founder by best fit of the items in about their order of size."""
+    blurred = [max(1, int(size * draw.uniform(0.8, 1.25))) for size in sizes]
+    packing = Packing([], [], capacity)
+    for item in sorted(range(len(sizes)), key=lambda i: -blurred[i]):
+        if packing.fills and packing.fills[-1] + sizes[item] <= capacity:
+            packing.bins[-1].append(item)
+            packing.fills[-1] += sizes[item]
+        else:
+            packing.bins.append([item])
+            packing.fills.append(sizes[item])
+    order = sorted(range(len(packing.bins)), key=lambda b: -packing.fills[b])
+    kept = order[:len(order) // 2]
+    loose = [i for b in order[len(kept):] for i in packing.bins[b]]
+    return best_fit(loose, sizes, Packing([packing.bins[b] for b in kept], [packing.fills[b] for b in kept], capacity))
+
+
 def crossover(giver: Packing, taker: Packing, sizes: Sequence[int], draw: random.Random) -> Packing:
     """Injects the well-filled bins of `giver` into `taker`."""
     order = sorted(range(len(giver.bins)), key=lambda b: (-giver.fills[b], draw.random()))
@@ -116,7 +231,8 @@ def crossover(giver: Packing, taker: Packing, sizes: Sequence[int], draw: random
             displaced.extend(i for i in items if i not in injected)
     bins += [list(giver.bins[b]) for b in chosen]
     fills += [giver.fills[b] for b in chosen]
-    return best_fit(displaced, sizes, Packing(bins, fills, taker.capacity))
+    child = Packing(bins, fills, taker.capacity)
+    return best_fit(replace(displaced, sizes, child), sizes, child)
 
 
 def mutate(packing: Packing, sizes: Sequence[int], draw: random.Random) -> Packing:
@@ -126,30 +242,36 @@ def mutate(packing: Packing, sizes: Sequence[int], draw: random.Random) -> Packi
     loose = [i for b in gone for i in packing.bins[b]]
     draw.shuffle(loose)
     keep = [b for b in range(len(packing.bins)) if b not in gone]
-    return best_fit(loose, sizes, Packing(
-        [list(packing.bins[b]) for b in keep], [packing.fills[b] for b in keep], packing.capacity))
+    child = Packing([list(packing.bins[b]) for b in keep], [packing.fills[b] for b in keep], packing.capacity)
+    return best_fit(replace(loose, sizes, child), sizes, child)
+
+
+def least_bins(sizes: Sequence[int], capacity: int) -> int:
+    return -(-sum(sizes) // capacity)
 
 
 def evolve(sizes: Sequence[int], capacity: int, seed: int, founders: Sequence[Packing] = (),
            generations: int = GENERATIONS, population: int = POPULATION) -> Packing:
-    """The best packing that this island finds; the founders' best is never lost.
+    """The best packing that this island finds; the founders' best is never lost, and it is no worse than best fit.
 
-    Stops as soon as no packing can have fewer bins.
+    Founders besides those given are best fit, bins filled one by one, and
+    blurred orders. A child stays when it is better than the worst. Stops as soon as no
+    packing can have fewer bins.
     """
-    draw, least = random.Random(seed), -(-sum(sizes) // capacity)
+    draw, least = random.Random(seed), least_bins(sizes, capacity)
     people = list(founders) or [best_fit(range(len(sizes)), sizes, Packing([], [], capacity))]
     best = min(people, key=Packing.fitness)
     while len(people) < population and len(best.bins) > least:
-        people.append(mutate(best, sizes, draw))
-    for _ in range(generations):
+        people.append(shuffled_fit(sizes, capacity, draw) if len(people) % 3 == 2 else fill_bins(sizes, capacity, draw))
         best = min(people, key=Packing.fitness)
+    for _ in range(generations):
         if len(best.bins) <= least:
             break
         giver, taker = draw.sample(people, 2)
-        child = mutate(crossover(giver, taker, sizes, draw), sizes, draw)
-        other = crossover(taker, giver, sizes, draw)
-        people = sorted([*people, child, other], key=Packing.fitness)[:population]
-    return min(people, key=Packing.fitness)
+        children = [mutate(crossover(giver, taker, sizes, draw), sizes, draw), crossover(taker, giver, sizes, draw)]
+        people = sorted([*people, *children], key=Packing.fitness)[:population]
+        best = people[0]
+    return best
 
 
 def _island_function(capacity: int, seed: int, epoch: int, generations: int):
@@ -171,7 +293,10 @@ def _island_function(capacity: int, seed: int, epoch: int, generations: int):
                 bins.setdefault(int(names[elite]), []).append(item)
             founders.append(Packing(list(bins.values()), [sum(sizes[i] for i in b) for b in bins.values()], capacity))
         share, island = int(key[0]), int(key[1])
-        found = evolve(sizes, capacity, hash((seed, epoch, share, island)), founders, generations)
+        if epoch < 0:
+            found = best_fit(range(len(sizes)), sizes, Packing([], [], capacity))
+        else:
+            found = evolve(sizes, capacity, hash((seed, epoch, share, island)), founders, generations)
         bin_of, fill_of = [0] * len(sizes), [0] * len(sizes)
         for number, (items, fill) in enumerate(zip(found.bins, found.fills)):
             for item in items:
@@ -179,18 +304,27 @@ def _island_function(capacity: int, seed: int, epoch: int, generations: int):
         return pd.DataFrame({
             "item": frame["item"], "length": frame["length"], "share": share, "island": island,
             "bin": bin_of, "fill": fill_of, "n_bins": len(found.bins),
-            "squares": sum(f * f for f in found.fills)})
+            "open": len(found.bins) > least_bins(sizes, capacity), "squares": sum(f * f for f in found.fills)})
 
     return run
 
 
-_EVOLVED = "item long, length long, share long, island int, bin long, fill long, n_bins long, squares long"
+_EVOLVED = ("item long, length long, share long, island int, bin long, fill long, n_bins long, open boolean, "
+            "squares long")
 
 
 def _evolved(shares: DataFrame, capacity: int, seed: int, islands: int, epochs: int, generations: int) -> DataFrame:
     """The best packing of each share: (item, length, share, bin, fill)."""
-    people = shares.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn(
-        "bins", F.lit(None).cast("array<long>"))
+    columns = ("item", "length", "share", "bin", "fill")
+    fitted = stage(shares.withColumns({"island": F.lit(0), "bins": F.lit(None).cast("array<long>")}).groupBy(
+        "share", "island").applyInPandas(_island_function(capacity, seed, -1, generations), _EVOLVED), "best-fit")
+    settled = fitted.where(~F.col("open")).select(*columns)
+    unsettled = fitted.where("open")
+    if not unsettled.limit(1).collect():
+        return settled
+    people = unsettled.select(
+        "item", "length", "share", F.array("bin").alias("bins"),
+        F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
     for epoch in range(epochs):
         evolved = stage(
             people.groupBy("share", "island").applyInPandas(
@@ -205,7 +339,7 @@ def _evolved(shares: DataFrame, capacity: int, seed: int, islands: int, epochs:
     winners = evolved.groupBy("share").agg(
         F.min(F.struct("n_bins", -F.col("squares"), "island")).alias("best")).select(
         "share", F.col("best.island").alias("island"))
-    return evolved.join(winners, ["share", "island"]).select("item", "length", "share", "bin", "fill")
+    return settled.unionByName(evolved.join(winners, ["share", "island"]).select(*columns))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, share: int = SHARE, islands: int = ISLANDS,
