@@ -22,7 +22,6 @@ from .token_counts import PRETOKEN
 FREQUENT = 1 << 16  # what makes up more than one in so many of all occurrences is frequent
 _WINDOWS = 350_000
 _PLACES = 4_000_000
-_UNITS = 400_000
 _ROWS = 128
 _TEXTS = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
           "windows array<int>, times array<int>")
@@ -78,7 +77,9 @@ class WindowMemo(dict):
     """Window (packed ids of A, of B) -> its number here; alignments are kept by number.
 
     Whole texts are tokenised by way of their units, which begin where a blank
-    or a line break follows something else; a unit's tokens are looked up.
+    or a line break follows something else. No token of either side crosses
+    the border of a unit, and both begin anew there with white space, so that it is an
+    anchor: the windows of a text are those of its units, and a unit is cut once.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -91,54 +92,57 @@ class WindowMemo(dict):
         self.white = np.array([t[:1] in _WHITE and t != b"" for t in self.a.bytes])
         others = WHITE.replace("\n", "").replace(" ", "")
         self.units = re.compile(f"[ \n][{WHITE}]*[^{WHITE}]*(?:[{others}][{WHITE}]*[^{WHITE}]*)*").findall
-        self.tokens: dict[str, tuple[bytes, bytes]] = {}
         self.forget()
 
-    def tokenize(self, texts: list[str | None]) -> list[list[str]]:
-        """The units of each text, whose ids in both vocabularies are then in `tokens`, packed.
-
-        B writes its sign for a blank as one, so that it gives back any text
-        without that sign; texts with it, and empty ones, have no units.
-        """
-        from array import array
-
-        if len(self.tokens) > _UNITS:
-            self.tokens.clear()
-        found = [self.units(" " + text) if text and _BLOCK not in text else [] for text in texts]
-        new = [u for u in dict.fromkeys(chain.from_iterable(found)) if u not in self.tokens]
-        sides = [(side.bytes, side.of_units(new)) for side in (self.a, self.b)] if new else []
-        for at, unit in enumerate(new):
-            raw, packed = unit.encode(), []
-            for token_bytes, listed in sides:
-                if b"".join(map(token_bytes.__getitem__, listed[at])) != raw:
-                    raise ValueError(f"tokens do not give back {unit[:80]!r}")
-                packed.append(array("I", listed[at]).tobytes())
-            self.tokens[unit] = tuple(packed)
-        return found
-
     def forget(self) -> None:
         from array import array
 
         self.clear()
+        self.of_unit: dict[str, tuple[int, ...]] = {}
         self.texts, self.links = [], []
-        self.groups, self.sizes = array("q"), array("q")
+        self.groups, self.sizes, self.n_a, self.n_b = (array("q") for _ in range(4))
+
+    def windows(self, texts: list[str | None]) -> list[list[int]]:
+        """The numbers of the windows of each text.
 
-    def cut(self, units: list[str]) -> tuple[int, int, list[tuple[bytes, bytes]]]:
-        """Tokens of A, of B, and the windows of a text that is given by its units."""
+        B writes its sign for a blank as one, so that it gives back any text
+        without that sign; texts with it, and empty ones, have no windows.
+        """
+        units = [self.units(" " + text) if text and _BLOCK not in text else [] for text in texts]
+        self.cut([u for u in dict.fromkeys(chain.from_iterable(units)) if u not in self.of_unit])
+        return [[*chain.from_iterable(map(self.of_unit.__getitem__, own))] for own in units]
+
+    def cut(self, units: list[str]) -> None:
+        """Tokenises new units, which stand end to end, and cuts them where both sides begin with white space.
+
+        That both give back the bytes of each unit is verified.
+        """
         import numpy as np
 
         if not units:
-            return 0, 0, []
-        a_raw, b_raw = map(b"".join, zip(*map(self.tokens.__getitem__, units)))
-        a, b = np.frombuffer(a_raw, np.uint32), np.frombuffer(b_raw, np.uint32)
-        a_ends, b_ends = (np.cumsum(widths[ids]) for widths, ids in zip(self.widths, (a, b)))
-        shared = np.zeros(a_ends[-1] + 1, bool)
+            return
+        encoded = [u.encode() for u in units]
+        unit_ends, raw, sides = np.cumsum([*map(len, encoded)]), b"".join(encoded), []
+        for side, widths in zip((self.a, self.b), self.widths):
+            listed = side.of_units(units)
+            ids = np.fromiter(chain.from_iterable(listed), np.uint32)
+            ends, last = np.cumsum(widths[ids]), np.cumsum([*map(len, listed)]) - 1
+            if b"".join(map(side.bytes.__getitem__, ids.tolist())) != raw or (ends[last] != unit_ends).any():
+                raise ValueError(f"tokens do not give back their text, of {raw[:80]!r} and what follows")
+            sides.append((ids, ends))
+        (a, a_ends), (b, b_ends) = sides
+        shared = np.zeros(len(raw) + 1, bool)
         shared[b_ends] = True
-        anchored = np.flatnonzero(self.white[a[1:]] & shared[a_ends[:-1]]) + 1
-        a_cuts = [0, *(4 * anchored).tolist(), len(a_raw)]
-        b_cuts = [0, *(4 * (np.searchsorted(b_ends, a_ends[anchored - 1]) + 1)).tolist(), len(b_raw)]
-        return len(a), len(b), [
-            (a_raw[i:j], b_raw[k:m]) for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])]
+        anchored = np.flatnonzero(self.white[a[1:]] & shared[a_ends[:-1]])  # the tokens of A before them
+        ends = np.append(a_ends[anchored], len(raw))
+        a_cuts, b_cuts = ([0, *(4 * (np.searchsorted(e, ends) + 1)).tolist()] for e in (a_ends, b_ends))
+        a_raw, b_raw = a.tobytes(), b.tobytes()
+        found = [(a_raw[i:j], b_raw[k:m]) for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])]
+        self.learn(found)
+        numbers, at = [*map(self.__getitem__, found)], 0
+        for unit, last in zip(units, (np.searchsorted(ends, unit_ends) + 1).tolist()):
+            self.of_unit[unit] = tuple(numbers[at:last])
+            at = last
 
     def learn(self, windows: list[tuple[bytes, bytes]]) -> None:
         """Align the windows that are new, all in one go: their bytes stand end to end on both sides.
@@ -175,6 +179,8 @@ class WindowMemo(dict):
             self.groups.append(group - group_from)
             self.links.append(packed[8 * link_from:8 * link])
             self.sizes.append(link - link_from)
+            self.n_a.append(len(window[0]) // 4)
+            self.n_b.append(len(window[1]) // 4)
             link_from, group_from = link, group
 
 
@@ -224,17 +230,14 @@ def _align_function(a_path: str, b_path: str):
                 chunk = batch.column("row")[0].as_py()
                 if len(memo) > _WINDOWS:
                     memo.forget()
-            found = [memo.cut(units) for units in memo.tokenize(batch.column("text").to_pylist())]
-            memo.learn([w for _, _, cut in found for w in cut])
-            found = [(n_a, n_b, [*map(memo.__getitem__, cut)]) for n_a, n_b, cut in found]
-            groups, links = np.array(memo.groups, np.int64), np.array(memo.sizes, np.int64)
+            found = memo.windows(batch.column("text").to_pylist())
+            measures = [np.array(x, np.int64) for x in (memo.n_a, memo.n_b, memo.groups, memo.sizes)]
             met = np.concatenate([met, np.zeros(len(memo) - len(met), np.int64)])
-            n_groups, n_links, digests, windows, times = [], [], [], [], []
-            for _, _, numbers in found:
+            counts, digests, windows, times = [], [], [], []
+            for numbers in found:
                 own, often = np.unique(np.array(numbers, np.int32), return_counts=True)
                 met[own] += often
-                n_groups.append(int(groups[own] @ often))
-                n_links.append(int(links[own] @ often))
+                counts.append([int(measure[own] @ often) for measure in measures])
                 digests.append(hashlib.sha256(
                     ";".join([memo.texts[w] for w in numbers]).encode()).hexdigest() if numbers else "")
                 windows.append(own)
@@ -243,8 +246,8 @@ def _align_function(a_path: str, b_path: str):
             places += sum(sizes)
             yield table(
                 chunk, row=batch.column("row"), doc_id=batch.column("doc_id"),
-                n_a=pa.array([f[0] for f in found], pa.int64()), n_b=pa.array([f[1] for f in found], pa.int64()),
-                n_groups=pa.array(n_groups, pa.int64()), n_links=pa.array(n_links, pa.int64()),
+                **{name: pa.array([c[at] for c in counts], pa.int64())
+                   for at, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
                 groups_sha256=pa.array(digests, pa.string()),
                 windows=listed(np.concatenate([np.zeros(0, np.int32), *windows]), sizes, pa.int32()),
                 times=listed(np.concatenate([np.zeros(0, np.int32), *times]).astype(np.int32), sizes, pa.int32()))
