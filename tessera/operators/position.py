@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import stage
+from ..session import pin_file_ranges, stage
 
 _OFFSET_BITS = 33
 
@@ -51,6 +51,32 @@ def with_row_id(df: DataFrame, order_by: Sequence[str | Column], name: str = "ro
     )
 
 
+def with_file_position(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Number the rows read from files 0..n-1 in the order of `_path`, `_split` and `_line`, without moving them.
+
+    The readers count the rows of a split of a file one by one. So a first
+    pass counts the rows of each split, the sum over the splits before gives
+    where its numbers start, and each row adds its place in the split. Only one
+    row for each split is summed and broadcast. Where rows are not counted
+    one by one, as after a filter or in files of long records, they are
+    sorted instead, see `with_row_id`.
+    """
+    pin_file_ranges(df.sparkSession)
+    splits = stage(df.groupBy("_path", "_split").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_line").alias("_first"), F.max("_line").alias("_last")), "splits")
+    if splits.where("_last - _first + 1 <> _rows").limit(1).collect():
+        return with_row_id(df, ["_path", "_split", "_line"], name)
+    before = Window.orderBy("_path", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(
+        "_path", "_split", "_rows", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_line") - F.col("_first")
+    moved = F.raise_error(F.lit("the splits of the files have changed since their rows were counted")).cast("bigint")
+    return (
+        df.join(F.broadcast(starts), ["_path", "_split"], "left")
+        .withColumn(name, F.when(place.between(0, F.col("_rows") - 1), F.col("_start") + place).otherwise(moved))
+        .select(*df.columns, name))
+
+
 def with_id(df: DataFrame, key: str) -> DataFrame:
     """`df` with an id column: its own, or its position in the files read.
 
@@ -62,7 +88,7 @@ def with_id(df: DataFrame, key: str) -> DataFrame:
         return df
     if not set(order) <= set(df.columns):
         raise ValueError(f"no column {key}, and no reading order to number the rows by")
-    return with_row_id(df, order, name=key).drop(*order)
+    return with_file_position(df, key).drop(*order)
 
 
 def shard_of(row_id: Column, world: int) -> Column:

@@ -6,7 +6,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators.position import shard_of, with_id, with_row_id
+from ..operators.position import shard_of, with_file_position, with_id, with_row_id
 from ..schemas import struct
 from ..session import fresh_path, settings, stage
 from ..sources import readers, writers
@@ -53,14 +53,15 @@ def sink_shards(spark, sf_dir):
 
 
 def sink_cache(spark, sf_dir):
-    """Prepared once; the second call finds the table."""
-    path = fresh_path(spark, "cache")
-    writers.cached(spark, path, lambda: views.clf_input(spark, sf_dir))
+    """Prepared once; the second call finds the table, other settings prepare one of their own."""
+    path, inputs = fresh_path(spark, "cache"), [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"]
 
     def again():
         raise RuntimeError("the cached table was not used")
 
-    return writers.cached(spark, path, again)
+    writers.cached(spark, path, lambda: views.clf_input(spark, sf_dir), inputs, block_size=64)
+    writers.cached(spark, path, lambda: views.documents(spark, sf_dir), inputs, block_size=65)
+    return writers.cached(spark, path, again, inputs, block_size=64)
 
 
 def src_jsonl(spark, sf_dir):
@@ -132,7 +133,7 @@ def src_text(spark, sf_dir):
     lines.repartitionByRange(4, "doc_id", "line").sortWithinPartitions("doc_id", "line").select(
         "text").write.text(path)
     read = readers.read_text_lines(spark, path, order_columns=True)
-    return with_row_id(read, ["_path", "_split", "_line"], replayable=True).select("row_id", "text")
+    return with_file_position(read).select("row_id", "text")
 
 
 def src_dir(spark, sf_dir):

@@ -78,6 +78,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pin_file_ranges(spark: SparkSession) -> None:
+    """Keeps file ranges alike in two passes over the same files, also when executors come or go between them."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 @contextmanager
 def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     """Session settings for the jobs run within; keys use `__` for dots."""

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..session import stage
+from ..session import pin_file_ranges, stage
 
 _OPTIONS = {"multiLine": "true", "quote": '"', "escape": '"', "lineSep": "\n"}
 _RECORDS = "range int, line long, part int, record string"
@@ -49,9 +49,7 @@ def ends_quoted(line: str, quoted: bool) -> bool:
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, start, file, value): lines with the range that they are read in."""
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        # Both passes must see the same ranges, also when executors come or go between them.
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    pin_file_ranges(spark)
     return spark.read.option("lineSep", "\n").text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
         F.col("_metadata.file_name").alias("file"), "value")

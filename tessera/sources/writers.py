@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+import uuid
+from collections.abc import Callable, Sequence
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .paths import exists
+from .paths import exists, files_under, publish
 
 _JSON_SUFFIXES = (".json", ".jsonl")
 DEFAULT_FILE = "generate.jsonl"
@@ -89,10 +92,25 @@ def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if exists(spark, f"{path.rstrip('/')}/_SUCCESS") else None
 
 
-def cached(spark: SparkSession, path: str, prepare: Callable[[], DataFrame]) -> DataFrame:
-    """The prepared table at `path`, prepared and written first if absent or unfinished."""
-    found = read_if_present(spark, path)
+def cache_key(spark: SparkSession, inputs: Sequence[str] = (), **made_with: object) -> str:
+    """A name for what is prepared from these files, as they are now, under these settings."""
+    manifest = [files_under(spark, path) for path in inputs]
+    return hashlib.sha256(json.dumps([manifest, made_with], sort_keys=True, default=str).encode()).hexdigest()[:32]
+
+
+def cached(spark: SparkSession, path: str, prepare: Callable[[], DataFrame], inputs: Sequence[str] = (),
+           **made_with: object) -> DataFrame:
+    """The table prepared from `inputs` under the given settings, prepared and written first if it is not there.
+
+    It lies in a folder of `path` that is named after the path, length and
+    time of each input file and the settings, so that a changed input is prepared anew. It is
+    written aside and renamed when whole: of two writers one whole table stays.
+    """
+    table = f"{path.rstrip('/')}/{cache_key(spark, inputs, **made_with)}"
+    found = read_if_present(spark, table)
     if found is not None:
         return found
-    prepare().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    aside = f"{path.rstrip('/')}/_writing-{uuid.uuid4().hex}"
+    prepare().write.parquet(aside)
+    publish(spark, aside, table)
+    return spark.read.parquet(table)

@@ -55,6 +55,25 @@ def test_resume(spark):
     assert ids(resume.skip_done(df, with_null, "id")) == [1, 3]
 
 
+@pytest.mark.parametrize("words", [1, 16, 1 << 20])
+def test_resume_with_any_size_of_filter(spark, words):
+    """A filter that is too small rules nothing out; a third of all rows hold one finished id."""
+    df = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("id"))
+    done = spark.range(0, 3_000, 7).toDF("id")
+    left = resume.skip_done(df, done, "id", filter_words=words)
+    assert sorted(r.id for r in left.collect()) == [n for n in range(3_000) if n % 3 and n % 7]
+
+
+def test_resume_moves_few_rows(spark):
+    """With 1 % finished, under 5 % of the rows reach the join."""
+    done = spark.range(0, 100_000, 100).toDF("id")
+    word, bits = resume._filter_place("id", 1 << 16)
+    marked = spark.range(100_000).withColumn("_word", word).join(resume.done_filter(done, "id", 1 << 16), "_word", "left")
+    reached = marked.where(F.coalesce(F.col("_bits").bitwiseAND(bits) == bits, F.lit(False)))
+    assert 1_000 <= reached.count() < 5_000
+    assert reached.join(done, "id", "left_semi").count() == 1_000
+
+
 def test_align(spark):
     inputs = spark.createDataFrame([(1,), (2,)], "id long")
     outputs = spark.createDataFrame([(1, 1, "later"), (1, 0, "first"), (9, 0, "x")], "id long, n int, response string")

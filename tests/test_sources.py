@@ -6,7 +6,9 @@ import zipfile
 import pytest
 
 from tessera import schemas
-from tessera.operators.position import with_row_id
+from pyspark.sql import functions as F
+
+from tessera.operators.position import with_file_position, with_row_id
 from tessera.schemas import struct
 from tessera.session import settings
 from tessera.sources import readers, writers
@@ -228,11 +230,60 @@ def test_directory_finds_written_folders(spark, tmp_path):
 
 
 def test_unfinished_cache_is_prepared_again(spark, tmp_path):
+    """What a writer left aside is no table, and nothing reads it."""
     path = tmp_path / "cache"
+    spark.range(7).write.parquet(str(path / "_writing-left"))
     assert writers.cached(spark, str(path), lambda: spark.range(100).repartition(4)).count() == 100
-    (path / "_SUCCESS").unlink()
-    next(path.glob("part-*.parquet")).unlink()
-    assert writers.cached(spark, str(path), lambda: spark.range(100)).count() == 100
+    assert [f.name for f in path.iterdir() if not f.name.startswith("_")] == [writers.cache_key(spark)]
+
+
+def test_cache_follows_its_inputs_and_settings(spark, tmp_path):
+    source, path = tmp_path / "in.jsonl", str(tmp_path / "cache")
+
+    def made(**settings):
+        return writers.cached(spark, path, lambda: spark.read.text(str(source)), [str(source)], **settings).count()
+
+    source.write_text("x\n")
+    assert made(size=1) == 1
+    source.write_text("x\ny\n")
+    assert made(size=1) == 2  # the input has changed
+    source.write_text("x\ny\nz\n")
+    assert made(size=2) == 3 and made(size=2) == 3
+
+
+def test_two_writers_leave_one_whole_table(spark, tmp_path):
+    path = str(tmp_path / "cache")
+
+    def slow():
+        # Another writer is done first.
+        assert writers.cached(spark, path, lambda: spark.range(5)).count() == 5
+        return spark.range(5)
+
+    assert writers.cached(spark, path, slow).count() == 5
+    assert [f.name for f in (tmp_path / "cache").iterdir()] == [writers.cache_key(spark)]
+    table = tmp_path / "cache" / writers.cache_key(spark)
+    assert not [f for f in table.iterdir() if f.is_dir()]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [3_000, 50_000, 1 << 27])
+def test_positions_without_moving_rows(spark, tmp_path, size):
+    """The same numbers at any size of splits, and no shuffle."""
+    spark.range(5_000).repartitionByRange(3, "id").sortWithinPartitions("id").select(
+        F.concat(F.lit("line "), F.col("id").cast("string")).alias("value")).write.text(str(tmp_path / "t.txt"))
+    with settings(spark, spark__sql__files__maxPartitionBytes=str(size)):
+        numbered = with_file_position(readers.read_text_lines(spark, tmp_path / "t.txt", order_columns=True))
+        assert "Exchange hashpartitioning" not in plan_of(numbered) and "rangepartitioning" not in plan_of(numbered)
+        assert sorted((r.row_id, r.text) for r in numbered.collect()) == [(n, f"line {n}") for n in range(5_000)]
+
+
+def test_positions_of_rows_that_are_not_counted_one_by_one(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('a,b\n"x\ny",1\nz,2\n')
+    read = readers.read_records(spark, tmp_path / "p.csv", schema=PEOPLE, order_columns=True)
+    assert sorted((r.row_id, r.b) for r in with_file_position(read).collect()) == [(0, 1), (1, 2)]
 
 
 def test_code_references_are_numbered_in_order(spark, tmp_path):
