@@ -26,8 +26,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the threshold table."""
-    return rules.quality_rules(docs).where("kept").select(*docs.columns)
+    """Documents that pass the base rule and the threshold table; their columns go on as they are."""
+    held = docs.select("text", F.struct(*docs.columns).alias("document"))
+    return rules.quality_rules(held).where("kept").select("document.*")
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +38,11 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     go by themselves. Rows without an id stay.
     """
     groups = near_duplicates.near_duplicates(docs, shingle=5, percent=80, with_hash=True)
-    dropped = groups.where(~F.col("kept")).select("doc_id", F.col("text_hash").alias("_text_hash")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn("_text_hash", F.xxhash64("text"))
-    kept = known.join(dropped, ["doc_id", "_text_hash"], "left_anti").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    known = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
+    same = (F.col("doc.doc_id") == F.col("gone.id")) & (F.xxhash64("doc.text") == F.col("gone.hash"))
+    kept = known.alias("doc").join(dropped.alias("gone"), same, "left_anti")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
