@@ -1,6 +1,7 @@
 import corpus_pipeline
 import pytest
 from frames import SF_DIR, documents, labels, wild
+from pyspark.sql import functions as F
 from tessera.llm import near_duplicates, quality, rules
 
 
@@ -53,3 +54,12 @@ def test_texts_of_one_id_go_by_themselves(spark):
     docs = spark.createDataFrame([(1, copied), (5, copied), (5, unique), (5, None)], "doc_id long, text string")
     single = corpus_pipeline.near_duplicate_removal(spark, docs, SF_DIR)
     assert {tuple(r) for r in single.collect()} == {(1, copied), (5, unique), (5, None)}
+
+
+def test_columns_named_like_measures_keep_their_values(spark):
+    own = ["n_words", "kept", "n_lines", "failed_rules", "_text_hash", "text_hash", "id", "hash", "document", "doc"]
+    docs = documents(spark).withColumns({name: F.concat(F.lit(f"own {name} "), "doc_id") for name in own})
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_duplicate_removal):
+        kept = stage(spark, docs, SF_DIR)
+        assert kept.columns == docs.columns and kept.count() > 0
+        assert all(row[name] == f"own {name} {row.doc_id}" for row in kept.collect() for name in own)
