@@ -4,6 +4,10 @@ A sketch is a table of cells, each with the number, the sum of keys and the
 sum of check values of the digests that fall into it. Subtracting the cells
 of two versions leaves the digests that differ; peeling takes them out one
 by one. If the table is too small for that, a larger one is made of both.
+
+The sketch of a text is large enough to give back all its own digests. It
+folds to half its size as often as it can be halved, so that two of any
+size subtract. Two fingerprints alone thus tell how alike their texts are.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ GROWTH = 4
 PASSAGE = 5
 _ATTEMPTS = 10
 _CHUNK_CELLS = 400_000
+_CELL = [("n", "<i4"), ("keys", "<u8"), ("checks", "<u8")]
 
 
 def paragraph_digests(text: str, passage: int = PASSAGE):
@@ -55,11 +60,14 @@ def _mixed(values):
 
 
 def _places(keys, cells: int):
-    """The three cells of each key, one in each third of the table."""
+    """The three cells of each key, one in each third of the table.
+
+    A third has a power of two of cells, and the place in a smaller one follows from that in a larger.
+    """
     import numpy as np
 
     third = cells // 3
-    return [(_mixed(keys + np.uint64(cells * 8 + k)) % np.uint64(third)).astype(np.int64) + k * third for k in range(3)]
+    return [(_mixed(keys + np.uint64(k)) & np.uint64(third - 1)).astype(np.int64) + k * third for k in range(3)]
 
 
 def _check(keys):
@@ -89,20 +97,90 @@ def _empty(tables: int, cells: int):
     return np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
 
 
-def sketches(digests: list, cells: int = BASE_CELLS) -> list[str]:
-    """The sketch of each array of digests as text: number of cells, then their contents in base 64."""
-    import base64
-
+def _filled(digests: list, cells: int):
+    """Tables of `cells` cells, one for each array of digests."""
     import numpy as np
 
     table = _empty(len(digests), cells)
     owners = np.repeat(np.arange(len(digests)), [len(d) for d in digests])
     keys = np.concatenate([*digests, np.zeros(0, np.uint64)])
     _add(table, owners, keys, np.ones(len(keys), np.int64), cells)
-    rows = np.empty((len(digests), cells), [("n", "<i4"), ("keys", "<u8"), ("checks", "<u8")])
-    for name, values in zip(("n", "keys", "checks"), table):
-        rows[name] = values.reshape(len(digests), cells)
-    return [f"{cells}:{base64.b64encode(row.tobytes()).decode()}" for row in rows]
+    return table
+
+
+def sketches(digests: list) -> list[str]:
+    """The sketch of each array of digests as text: number of cells, then their contents in base 64.
+
+    It has `BASE_CELLS` doubled until there are three for each two digests, and
+    further until all digests can be peeled out of it.
+    """
+    import base64
+
+    import numpy as np
+
+    found: list[str] = [""] * len(digests)
+    cells = np.full(len(digests), BASE_CELLS)
+    sizes = np.array([len(d) for d in digests], np.int64)
+    while (low := 2 * cells < 3 * sizes).any():
+        cells[low] *= 2
+    waiting = np.arange(len(digests))
+    while len(waiting):
+        stuck = []
+        for size in np.unique(cells[waiting]).tolist():
+            todo = waiting[cells[waiting] == size]
+            step = max(1, _CHUNK_CELLS // size)
+            for part in (todo[i : i + step] for i in range(0, len(todo), step)):
+                table = _filled([digests[i] for i in part], size)
+                rows = np.empty((len(part), size), _CELL)
+                for name, values in zip(("n", "keys", "checks"), table):
+                    rows[name] = values.reshape(len(part), size)
+                peeled = _peel(table, len(part), size)[0] >= 0
+                for i, row, whole in zip(part.tolist(), rows, peeled.tolist()):
+                    if whole:
+                        found[i] = f"{size}:{base64.b64encode(row.tobytes()).decode()}"
+                    else:
+                        stuck.append(i)
+        waiting = np.array(stuck, np.int64)
+        cells[waiting] *= 2
+    return found
+
+
+def _table_of(fingerprint: str):
+    """The cells of one fingerprint."""
+    import base64
+
+    import numpy as np
+
+    rows = np.frombuffer(base64.b64decode(fingerprint.partition(":")[2]), _CELL)
+    return [rows["n"].astype(np.int64), rows["keys"].astype(np.uint64), rows["checks"].astype(np.uint64)]
+
+
+def _folded(table, cells: int):
+    """The same sketch in fewer cells: those that a smaller table would not tell apart are added up."""
+    return [values.reshape(3, -1, cells // 3).sum(axis=1, dtype=values.dtype).reshape(-1) for values in table]
+
+
+def digests_of(fingerprint: str):
+    """All digests that a fingerprint holds."""
+    table = _table_of(fingerprint)
+    return _peel(table, 1, len(table[0]))[1]
+
+
+def likeness_of(left: str, right: str) -> float:
+    """1 less the share of differing digests of two texts, from their fingerprints alone.
+
+    The larger one is folded, both are subtracted and peeled; where that gets
+    stuck, their digests are peeled out of each and go through larger tables.
+    """
+    import numpy as np
+
+    a, b = _table_of(left), _table_of(right)
+    cells, total = min(len(a[0]), len(b[0])), int(a[0].sum() + b[0].sum()) // 3
+    rest = [x - y for x, y in zip(_folded(a, cells), _folded(b, cells))]
+    differ = int(_peel(rest, 1, cells)[0][0])
+    if differ < 0:
+        return likeness([digests_of(left)], [digests_of(right)])[0]
+    return float(np.where(total > 0, 1 - differ / max(total, 1), 1.0))
 
 
 def _peeled(left: list, right: list, cells: int):
@@ -115,8 +193,15 @@ def _peeled(left: list, right: list, cells: int):
         keys = np.concatenate([*side, np.zeros(0, np.uint64)])
         owners = np.repeat(np.arange(pairs), [len(d) for d in side])
         _add(table, owners, keys, np.full(len(keys), sign, np.int64), cells)
+    return _peel(table, pairs, cells)[0]
+
+
+def _peel(table, pairs: int, cells: int):
+    """Takes all digests out of tables: how many each held, or -1 if peeling got stuck, and the digests of all."""
+    import numpy as np
+
     counts, sums, checks = table
-    found = np.zeros(pairs, np.int64)
+    found, taken = np.zeros(pairs, np.int64), [np.zeros(0, np.uint64)]
     waiting = np.flatnonzero(np.abs(counts) == 1)
     for _ in range(2 * cells + 8):
         signs = counts[waiting]
@@ -131,12 +216,13 @@ def _peeled(left: list, right: list, cells: int):
         fresh[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
         owners, keys, signs = owners[fresh], keys[fresh], signs[fresh]
         np.add.at(found, owners, 1)
+        taken.append(keys)
         _add(table, owners, keys, -signs, cells)
         waiting = np.unique(np.concatenate([owners * cells + p for p in _places(keys, cells)]))
         waiting = waiting[np.abs(counts[waiting]) == 1]
     stuck = (counts != 0) | (sums != 0) | (checks != 0)
     found[stuck.reshape(pairs, cells).any(axis=1)] = -1
-    return found
+    return found, np.concatenate(taken)
 
 
 def likeness(left: list, right: list) -> list[float]:

@@ -69,3 +69,24 @@ def test_peeling_finds_exactly_what_differs_or_says_so(cells):
 def test_repeated_paragraphs_count():
     once, twice = fingerprints.paragraph_digests("a\nb"), fingerprints.paragraph_digests("a\na\nb")
     assert len(set(twice.tolist())) == 3 and set(once.tolist()) < set(twice.tolist())
+
+
+def test_two_fingerprints_tell_how_alike_their_texts_are(spark):
+    """The likenesses of every row follow from the emitted columns."""
+    rows = fingerprints.fingerprints(documents(spark)).orderBy("doc_id").collect()
+    for row, following in zip(rows, [*rows[1:], rows[0]]):
+        assert fingerprints.likeness_of(row.fingerprint, row.edited_fingerprint) == row.near_edited
+        assert fingerprints.likeness_of(row.fingerprint, following.fingerprint) == row.near_next
+
+
+def test_a_fingerprint_gives_back_its_digests_and_folds():
+    draw = np.random.default_rng(3)
+    for size in (0, 1, 2, 7, 50, 400, 3000):
+        digests = draw.integers(0, 2**63, size, dtype=np.uint64)
+        (sketch,) = fingerprints.sketches([digests])
+        assert sorted(fingerprints.digests_of(sketch).tolist()) == sorted(digests.tolist())
+        folded = fingerprints._folded(fingerprints._table_of(sketch), 12)
+        assert all((a == b).all() for a, b in zip(folded, fingerprints._filled([digests], 12)))
+        assert fingerprints.likeness_of(sketch, sketch) == 1.0
+        (other,) = fingerprints.sketches([draw.integers(0, 2**63, 5, dtype=np.uint64)])
+        assert fingerprints.likeness_of(sketch, other) == (0.0 if size + 5 else 1.0)
