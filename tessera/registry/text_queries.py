@@ -81,6 +81,7 @@ _EVEN = """
   FROM (SELECT qid, string_split(text, '[[SEP]]') AS segs FROM sft_input)"""
 _HEADED = "CASE WHEN i % 2 = 1 THEN '### User: ' ELSE '### Assistant: ' END"
 
+# The patterns, in the order in which they are tried.
 _PATTERNS = [
     "The most likely diagnosis is [^,]+, specifically ([^,\\.]+).",
     "The most likely diagnosis is[:]?([^,\\.]+)",
