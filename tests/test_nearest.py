@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessera.operators.hooks import FunctionEmbedder
-from tessera.operators.nearest import build_tree, nearest_reference, nearest_references
+from tessera.operators.nearest import _layout, build_tree, nearest_reference, nearest_references
 from tessera.plans.codes import map_codes
 
 
@@ -132,3 +132,33 @@ def test_codes_of_texts(spark):
     got = {r.qid: (r.label_code, r.pred_code) for r in map_codes(
         df, {"label": "label_code", "pred": "pred_code"}, refs).collect()}
     assert got == {1: ("A", "B"), 2: ("B", None), 3: (None, "A")}
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_groups_of_leaves_where_nothing_is_ruled_out(spark, k):
+    # Far from all references in many dimensions, and a leaf of copies larger than a group.
+    draw = np.random.default_rng(7)
+    references = [(n, draw.normal(size=20).round(2).tolist()) for n in range(150)]
+    references += [(n, [0.5] * 20) for n in range(150, 200)]
+    queries = [(n, (draw.normal(size=20) + 3).round(2).tolist()) for n in range(90)]
+    q = spark.createDataFrame(queries, "query_id long, embedding array<float>").repartition(3)
+    r = spark.createDataFrame(references, "ref_id long, embedding array<float>").repartition(3)
+    report = {}
+    found = nearest_references(q, r, "query_id", k, leaf_rows=8, block_rows=4, group_rows=16, report=report).collect()
+    wide = lambda v: np.asarray(v, np.float32).astype(float)
+    for number, x in queries:
+        own = sorted((row.place, row.ref_id) for row in found if row.query_id == number)
+        near = sorted((float(np.abs(wide(x) - wide(v)).sum()), n) for n, v in references)[:k]
+        assert own == [(place + 1, n) for place, (_, n) in enumerate(near)]
+    assert report["compared"] <= report["pairs"] == 90 * 200
+
+
+def test_groups_are_bounded():
+    sizes = {0: 3, 1: 9, 2: 40, 3: 2, 4: 8}
+    layout = _layout(sizes, 10)
+    assert [leaf for leaf, _, _ in layout] == [0, 1, 2, 3, 4]
+    rows = {}
+    for leaf, group, parts in layout:
+        for part in range(parts):
+            rows[group + part] = rows.get(group + part, 0) + sizes[leaf] / parts
+    assert max(rows.values()) <= 10 and sorted(rows) == list(range(len(rows)))
