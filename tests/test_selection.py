@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import selection
-from tessera.operators.skew import grid_join
+from tessera.operators.skew import grid_join, grid_shape
 from tessera.plans import preference
 from tessera.session import settings
 
@@ -203,3 +203,26 @@ def test_grid_join_spreads_the_heavy_key(spark):
     with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
         sizes = [r[1] for r in grid_join(left, right, ["qid", "i"]).groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]
+
+
+def test_grid_repeats_few_rows(spark):
+    counts = spark.createDataFrame(
+        [("both", 12_000_000, 20_000), ("left", 3_000_000, 0), ("right", 0, 9_000), ("one", 500_000, 1)],
+        "qid string, _l long, _r long")
+    lefts, rights, pairs = counts.selectExpr("sum(_l)", "sum(_r)", "sum(_l * double(_r))").first()
+    rows, columns = grid_shape(lefts, rights, pairs, 1000)
+    for r in counts.select("qid", "_l", "_r", rows.alias("rows"), columns.alias("columns")).collect():
+        assert r._l * r.columns + r._r * r.rows <= 4 * lefts
+        assert r._l / r.rows <= lefts / 500 and (r._r / r.columns) * (r._l / r.rows) <= pairs / 400
+        assert r.columns <= max(r._r, 1)
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_grid_join_of_few_rows_without_partners(spark, how):
+    left = spark.createDataFrame([(1, 0, n) for n in range(10)] + [(2, 0, n) for n in range(3)] + [(None, 0, 7)], "qid long, i long, v long")
+    right = spark.createDataFrame([(2, 0, "a"), (2, 0, "b"), (3, 0, "c")], "qid long, i long, w string")
+    found = [tuple(r) for r in grid_join(left, right, ["qid", "i"], how).collect()]
+    plain = [(2, 0, n, w) for n in range(3) for w in "ab"]
+    if how == "left":
+        plain += [(1, 0, n, None) for n in range(10)] + [(None, 0, 7, None)]
+    assert sorted(found, key=str) == sorted(plain, key=str)
