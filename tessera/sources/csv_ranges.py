@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -234,7 +235,7 @@ def read_csv_ranges(spark: SparkSession, paths: list[str], schema: T.StructType
     """The rows of CSV files with a header line, columns by name.
 
     Files with the same header are read together; others are united with
-    them. With a schema, columns that it lacks are left out and those that a file
+    them, and their quotes are looked at once more. With a schema, columns that it lacks are left out and those that a file
     lacks are null. Without one the types are inferred, which reads the data once more.
     """
     ranges = range_table(spark, paths)
@@ -243,9 +244,9 @@ def read_csv_ranges(spark: SparkSession, paths: list[str], schema: T.StructType
     for head in sorted(heads):
         own, files = ranges, paths
         if len(heads) > 1:
-            alike = ranges.where(F.col("head") == head).select("path")
-            files = [r[0] for r in alike.collect()]
-            own = ranges.join(F.broadcast(alike), "path", "left_semi")
+            files = [unquote(r[0]) for r in ranges.where(F.col("head") == head).select("path").collect()]
+            # How files are split depends on the size of all that are read together.
+            own = range_table(spark, files)
         if ends_quoted(head, False):
             raise ValueError(f"line breaks in a header are not supported: {head[:80]!r}")
         frames.append(_rows(records_in(spark, files, own), _column_names(head), schema, provenance, order_columns))

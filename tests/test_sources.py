@@ -73,6 +73,22 @@ def test_csv_files_with_other_columns_in_one_folder(spark, tmp_path):
     assert readers.read_records(spark, str(tmp_path / "one.csv")).dtypes == [("a", "string"), ("b", "int")]
 
 
+def test_csv_files_with_other_columns_are_split_alike_in_both_passes(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    wanted = []
+    for name, columns, count in (("one", "a,b", 300), ("two", "b,a", 40)):
+        lines = [(f"{name}\n\"{n}\"", n) for n in range(count)]
+        with open(folder / f"{name}.csv", "w", newline="") as file:
+            writer = csv.writer(file, lineterminator="\n")
+            writer.writerow(columns.split(","))
+            writer.writerows(r if columns == "a,b" else r[::-1] for r in lines)
+        wanted += lines
+    with settings(spark, spark__sql__files__openCostInBytes="1"):
+        df = readers.read_records(spark, f"{folder}/one.csv,{folder}/two.csv", schema=PEOPLE)
+        assert rows(df) == sorted(wanted, key=str)
+
+
 def test_unclosed_quote_is_an_error(spark, tmp_path):
     (tmp_path / "p.csv").write_text('a,b\n"x,1\ny,2\n')
     with pytest.raises(Exception, match="not closed"):
