@@ -27,8 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the threshold table; their columns go on as they are."""
-    held = docs.select("text", F.struct(*docs.columns).alias("document"))
-    return rules.quality_rules(held).where("kept").select("document.*")
+    return docs.where(rules.passes_rules(F.col("text")))
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ arrays of its words and lines.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,8 +26,8 @@ class Rule:
     low: float | None = None
     high: float | None = None
 
-    def passes(self) -> Column:
-        value, held = F.col(self.measure), F.lit(True)
+    def passes(self, value: Column) -> Column:
+        held = F.lit(True)
         if self.low is not None:
             held = held & (value >= self.low)
         if self.high is not None:
@@ -146,22 +146,53 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         {name: F.col(f"_of_words.{name}") for name in ("n_words", "word_chars", "n_repeat_words")}
         | {name: F.col(f"_of_lines.{name}") for name in ("n_lines", "n_dup_lines")} | sign_measures(text)
     ).drop("_of_words", "_of_lines")
-    measured = counted.withColumns({
-        "mean_word_chars": _ratio(F.col("word_chars"), F.col("n_words")),
-        "symbols_per_word": _ratio(F.col("n_symbols"), F.col("n_words")),
-        "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("n_lines")),
-        "upper_ratio": _ratio(F.col("n_upper"), F.col("n_letters")),
-        "letter_word_ratio": _ratio(F.col("n_letter_words"), F.col("n_words")),
-        "ellipsis_line_ratio": _ratio(F.col("n_ellipsis_lines"), F.col("n_lines")),
-        "bullet_line_ratio": _ratio(F.col("n_bullet_lines"), F.col("n_lines")),
-        "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-    })
-    failed = F.filter(
-        F.array(*[F.when(~rule.passes(), F.lit(rule.name)) for rule in rules]), lambda name: name.isNotNull())
-    return measured.withColumn("failed_rules", failed).withColumn(
+    measured = counted.withColumns(ratios(F.col))
+    return measured.withColumn("failed_rules", _failed(F.col, rules)).withColumn(
         "kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
+def ratios(of: Callable[[str], Column]) -> dict[str, Column]:
+    """What follows from the counts, `of` naming one; the base rule among them."""
+    return {
+        "mean_word_chars": _ratio(of("word_chars"), of("n_words")),
+        "symbols_per_word": _ratio(of("n_symbols"), of("n_words")),
+        "dup_line_ratio": _ratio(of("n_dup_lines"), of("n_lines")),
+        "upper_ratio": _ratio(of("n_upper"), of("n_letters")),
+        "letter_word_ratio": _ratio(of("n_letter_words"), of("n_words")),
+        "ellipsis_line_ratio": _ratio(of("n_ellipsis_lines"), of("n_lines")),
+        "bullet_line_ratio": _ratio(of("n_bullet_lines"), of("n_lines")),
+        "base_failed": (of("n_words") < 50) | (100 * of("n_repeat_words") > 50 * of("n_words")),
+    }
+
+
+def _failed(of: Callable[[str], Column], rules: Sequence[Rule]) -> Column:
+    return F.filter(
+        F.array(*[F.when(~rule.passes(of(rule.measure)), F.lit(rule.name)) for rule in rules]), lambda name: name.isNotNull())
+
+
+def passes_rules(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """`kept` of `quality_rules` as one expression, for filters.
+
+    A filter on a computed column is moved below the projection and computes
+    each measure once for each rule that asks for it; here all are computed once.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    counts = F.struct(word_measures(whole).alias("words"), line_measures(whole).alias("lines"), *[
+        count.alias(name) for name, count in sign_measures(whole).items()])
+
+    def verdict(found: Column) -> Column:
+        own = {name: found["words"][name] for name in ("n_words", "word_chars", "n_repeat_words")}
+        own |= {name: found["lines"][name] for name in ("n_lines", "n_dup_lines")}
+
+        def count(name: str) -> Column:
+            return own[name] if name in own else found[name]
+
+        derived = ratios(count)
+        return ~derived["base_failed"] & (F.size(_failed(lambda n: derived[n] if n in derived else count(n), rules)) == 0)
+
+    return let(counts, verdict)
+
+
 OUTPUT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 _STOPS_SQL = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))

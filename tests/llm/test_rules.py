@@ -1,8 +1,10 @@
 import re
 from collections import Counter
 
+import corpus_pipeline
 import pytest
 from frames import WILD, WILD_IDS, documents, empty, ids, labels, wild
+from pyspark.sql import functions as F
 from tessera.llm import rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,3 +58,14 @@ def test_plan_has_no_python_and_no_exchange(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+
+def test_verdict_as_one_expression(spark):
+    for docs in (documents(spark), wild(spark)):
+        rows = rules.quality_rules(docs.withColumn("verdict", rules.passes_rules(F.col("text")))).collect()
+        assert [r.verdict for r in rows] == [r.kept for r in rows]
+
+
+def test_pipeline_stage_computes_measures_once(spark):
+    kept = corpus_pipeline.quality_rules(spark, documents(spark), "")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1 and kept.columns == documents(spark).columns
