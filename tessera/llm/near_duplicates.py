@@ -190,7 +190,7 @@ def _alike_function(least: float, coordinates: int):
         import numpy as np
         import pyarrow as pa
 
-        for table, starts, ends in _grouped(batches, ["node", "salt"]):
+        for table, starts, ends in _grouped(batches, ["node"]):
             marks = _signatures(table.column("signature"), coordinates)
             left, right = [], []
             twos = starts[ends - starts == 2]
@@ -279,46 +279,47 @@ def _confirm_function(percent: int, least_alike: float, coordinates: int, agains
     return run
 
 
-def _leaves(records: DataFrame, trees: int, similarity: float, coordinates: int, limit: int) -> DataFrame:
-    """(node, salt, key): the records of all nodes that hold two or more, cut to about `limit`.
+def _leaves(records: DataFrame, trees: int, similarity: float, coordinates: int,
+            limit: int) -> tuple[DataFrame, DataFrame]:
+    """(node, key) of all small nodes that hold two or more, and edges that tie the records of each other node.
 
     A node over the limit branches further while that still divides it. One
-    whose children stay as large holds records alike in most coordinates; it
-    is dealt out by a hash that differs from node to node, so that its
-    records meet others in each tree.
+    whose children stay as large holds records alike in most coordinates. Its signatures are
+    not compared: all its records go to one cluster, in which every link is looked for.
     """
     walk = _walk_function(trees, START_DEPTH, similarity, coordinates)
     described = "node long, key binary, parent long"
     paths = records.select("key", "signature").mapInArrow(walk, described)
-    found = None
+    found = tied = None
     for depth in range(START_DEPTH, MOST_DEPTH + 1):
-        counted = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        counted = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head")).where("n > 1")
         level = stage(paths.join(counted, "node"), "paths")
         goes_on = (F.col("n") > limit) & ((F.col("parent") == 0) | (F.col("n") < 0.6 * F.col("parent")))
         if depth == MOST_DEPTH:
             goes_on = F.lit(False)
-        parts = F.ceil(F.col("n") / limit)
-        done = level.where(~goes_on).select(
-            "node", F.pmod(F.xxhash64("key", "node"), parts).alias("salt"), "key")
+        done = level.where(~goes_on & (F.col("n") <= limit)).select("node", "key")
+        edges = level.where(~goes_on & (F.col("n") > limit) & (F.col("key") != F.col("head"))).select(
+            F.col("key").alias("u"), F.col("head").alias("v"))
         found = done if found is None else found.unionByName(done)
+        tied = edges if tied is None else tied.unionByName(edges)
         large = level.where(goes_on)
         if large.isEmpty():
-            return found
+            break
         paths = large.join(records.select("key", "signature"), "key").select(
             "node", "key", "n", "signature").mapInArrow(walk, described)
-    return found
+    return found, tied
 
 
 def _clusters(records: DataFrame, trees: int, similarity: float, least: float, coordinates: int,
               limit: int) -> DataFrame:
     """(key, cluster) of all records that look like another one."""
-    leaves = _leaves(records, trees, similarity, coordinates, limit)
+    leaves, tied = _leaves(records, trees, similarity, coordinates, limit)
     edges = (
         leaves.join(records.select("key", "signature"), "key")
-        .select("node", "salt", "key", "signature")
-        .repartition("node", "salt").sortWithinPartitions("node", "salt")
+        .select("node", "key", "signature")
+        .repartition("node").sortWithinPartitions("node")
         .mapInArrow(_alike_function(least, coordinates), "u binary, v binary"))
-    return components(edges).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    return components(edges.unionByName(tied)).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
 
 
 def _confirmed(members: DataFrame, percent: int, least: float, coordinates: int) -> DataFrame:
@@ -386,7 +387,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, recall
     smallest id reachable over links, `kept` marks its document. `recall` is
     the chance with which the trees find a link of just `percent` where nodes
     need not go deeper than two levels below the start; it is lower for pairs
-    in larger nodes, and where a node is dealt out by hash.
+    in nodes that branch on. No node is cut: what cannot be branched is one cluster.
 
     Null, empty and blank texts have no set, link with nothing and are kept.
     Rows with one id twice are separate members of their component. A null

@@ -65,6 +65,16 @@ def test_large_group_in_blocks_and_divided_nodes(spark, monkeypatch):
     check(spark, docs, 2, limit=16)
 
 
+def test_node_that_cannot_be_divided_is_not_cut(spark, monkeypatch):
+    # One tree: records that it brings to one node meet nowhere else.
+    monkeypatch.setattr(near_duplicates, "trees_needed", lambda *_: 1)
+    monkeypatch.setattr(near_duplicates, "START_DEPTH", 1)
+    base = [f"w{n}" for n in range(2000)]
+    docs = spark.createDataFrame(
+        [(n, " ".join(base[:n] + [f"x{n}"] + base[n + 1:])) for n in range(60)], "doc_id long, text string")
+    check(spark, docs, 2, limit=4)
+
+
 def test_odd_rows(spark):
     rows = near_duplicates.near_duplicates(wild(spark), 2).collect()
     assert ids(rows) == WILD_IDS
