@@ -171,10 +171,11 @@ def src_provenance(spark, sf_dir):
 
 
 def _archives(rows, fmt):
-    """One archive per Arrow batch of rows, its text written as `fmt`."""
+    """One archive for each thousand rows at most of an Arrow batch, its text written as `fmt`."""
 
     def pack(batches):
-        for n, batch in enumerate(batches):
+        pieces = (batch[at:at + 1000] for batch in batches for at in range(0, len(batch), 1000))
+        for n, batch in enumerate(pieces):
             text = (batch.to_csv(index=False, lineterminator="\n") if fmt == "csv.zip" else
                     batch.to_json(orient="records", lines=fmt == "jsonl.zip", force_ascii=False))
             buffer = io.BytesIO()

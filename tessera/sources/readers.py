@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import itertools
 import json
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -20,6 +19,7 @@ from .paths import matching
 
 FORMATS = ("csv", "json", "jsonl", "csv.zip", "json.zip", "jsonl.zip")
 _LINES_PER_BATCH = 10_000
+_CHARACTERS_PER_BATCH = 8 << 20
 _JSON_ARRAY = r"^\s*\["
 _STRICT = {"mode": "FAILFAST"}
 
@@ -210,11 +210,24 @@ def _zip_records(stream: io.BufferedIOBase, fmt: str) -> Iterator[str]:
                                  ensure_ascii=False)
 
 
+def _chunks(records: Iterator[str]) -> Iterator[list[str]]:
+    """Lists of records, bounded in number and characters but for one record."""
+    chunk, size = [], 0
+    for record in records:
+        chunk.append(record)
+        size += len(record)
+        if len(chunk) >= _LINES_PER_BATCH or size >= _CHARACTERS_PER_BATCH:
+            yield chunk
+            chunk, size = [], 0
+    if chunk:
+        yield chunk
+
+
 def unzip_records(archives: DataFrame, fmt: str, schema: T.StructType | None = None,
                   provenance: str | None = None, order_columns: bool = False) -> DataFrame:
     """Records of archives given as (path, content).
 
-    Zip has no splits: one task unpacks one archive, in batches of lines.
+    Zip has no splits: one task unpacks one archive, in batches of lines of bounded size.
     """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,7 +235,7 @@ def unzip_records(archives: DataFrame, fmt: str, schema: T.StructType | None = N
             for path, content in zip(batch["path"], batch["content"]):
                 start = 0
                 records = _archive_records(content, fmt)
-                while chunk := list(itertools.islice(records, _LINES_PER_BATCH)):
+                for chunk in _chunks(records):
                     end = start + len(chunk)
                     yield pd.DataFrame({"path": path, "line": range(start, end), "value": chunk})
                     start = end
