@@ -82,12 +82,13 @@ def src_csv(spark, sf_dir):
 
 
 def src_csv_ranges(spark, sf_dir):
-    """One file of at least 16 ranges, its quoted line breaks and quotes across their borders."""
+    """Files of at least 16 ranges each, their quoted line breaks and quotes across borders; one file while that is small."""
     path = fresh_path(spark, "src") + "/one.csv"
     rows = views.documents(spark, sf_dir)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
-    writers.write_csv(rows.coalesce(1), path)
-    with settings(spark, spark__sql__files__maxPartitionBytes=str(size // 20)):
+    size = views.text_bytes(rows)
+    files = views.file_count(size)
+    writers.write_csv(rows.coalesce(files), path)
+    with settings(spark, spark__sql__files__maxPartitionBytes=str(size // (20 * files))):
         return stage(readers.read_records(spark, path, schema=DOCUMENT), "csv-rows")
 
 
@@ -130,7 +131,8 @@ def src_text(spark, sf_dir):
     """Lines in file order, empty ones included."""
     path = fresh_path(spark, "src")
     lines = views.pretrain_lines(spark, sf_dir)
-    lines.repartitionByRange(4, "doc_id", "line").sortWithinPartitions("doc_id", "line").select(
+    files = 3 + views.file_count(views.text_bytes(views.documents(spark, sf_dir)))
+    lines.repartitionByRange(files, "doc_id", "line").sortWithinPartitions("doc_id", "line").select(
         "text").write.text(path)
     read = readers.read_text_lines(spark, path, order_columns=True)
     return with_file_position(read).select("row_id", "text")

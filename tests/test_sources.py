@@ -307,3 +307,25 @@ def test_code_references_are_numbered_in_order(spark, tmp_path):
     (tmp_path / "a.csv").write_text("diag_code,diag\nC,green\n")
     found = readers.read_code_references(spark, f"{tmp_path}/b.csv,{tmp_path}/a.csv").collect()
     assert sorted((r.ref_id, r.diag, r.diag_code) for r in found) == [(0, "red", "A"), (1, "blue", "B"), (2, "green", "C")]
+
+
+def test_unzipped_records_come_in_bounded_chunks(monkeypatch):
+    monkeypatch.setattr(readers, "_CHARACTERS_PER_BATCH", 100)
+    records = ["x" * 30] * 10 + ["y" * 500] + ["z"] * 5
+    chunks = list(readers._chunks(iter(records)))
+    assert [r for c in chunks for r in c] == records
+    assert all(sum(map(len, c[:-1])) < 100 for c in chunks)
+
+
+def test_written_files_grow_in_number_with_the_input(spark, tmp_path, monkeypatch):
+    from tessera.registry import file_queries, token_queries, views
+    rows = spark.createDataFrame(
+        [(n, f'line "{n}",\n\nsecond {n} ' + "w " * 50, "en" if n % 3 else "de") for n in range(200)],
+        "doc_id long, text string, lang string").repartition(6)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = {q.__name__: sorted(map(tuple, q(spark, str(tmp_path)).collect()))
+             for q in (file_queries.src_csv_ranges, file_queries.src_text, token_queries.pretrain_from_files)}
+    monkeypatch.setattr(views, "FILE_BYTES", 5000)
+    assert views.file_count(25_000) == 6
+    for q in (file_queries.src_csv_ranges, file_queries.src_text, token_queries.pretrain_from_files):
+        assert sorted(map(tuple, q(spark, str(tmp_path)).collect())) == plain[q.__name__]
