@@ -26,6 +26,7 @@ _ROWS = 128
 _TEXTS = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
           "windows array<int>, times array<int>")
 _WHITE = b" \n\t\r"
+_BORDER = b"\xff" * 4  # between the packed ids of A and of B: larger than any id, whose highest byte is 0
 _BLOCK = "▁"
 
 
@@ -74,7 +75,9 @@ class PieceTokens:
 
 
 class WindowMemo(dict):
-    """Window (packed ids of A, of B) -> its number here; alignments are kept by number.
+    """Window (packed ids of A, a border, those of B) -> its number here; alignments are kept by number.
+
+    It holds the windows of one chunk of texts: each chunk begins with an empty one, and a task ends with one.
 
     Whole texts are tokenised by way of their units, which begin where a blank
     or a line break follows something else. No token of either side crosses
@@ -87,6 +90,7 @@ class WindowMemo(dict):
 
         super().__init__()
         self.a, self.b = ByteTokens(a_path), PieceTokens(b_path)
+        self.pair = _pair_type(len(self.a.bytes), len(self.b.bytes))
         self.widths = [np.array([len(t) for t in side.bytes], np.int64) for side in (self.a, self.b)]
         self.names = [[str(i) for i in range(len(side.bytes))] for side in (self.a, self.b)]
         self.white = np.array([t[:1] in _WHITE and t != b"" for t in self.a.bytes])
@@ -99,8 +103,8 @@ class WindowMemo(dict):
 
         self.clear()
         self.of_unit: dict[str, tuple[int, ...]] = {}
-        self.texts, self.links = [], []
-        self.groups, self.sizes, self.n_a, self.n_b = (array("q") for _ in range(4))
+        self.texts, self.links = [], array("i" if self.pair == "int" else "q")  # of all windows, end to end
+        self.groups, self.sizes, self.n_a, self.n_b = (array("i") for _ in range(4))
 
     def windows(self, texts: list[str | None]) -> list[list[int]]:
         """The numbers of the windows of each text.
@@ -137,14 +141,14 @@ class WindowMemo(dict):
         ends = np.append(a_ends[anchored], len(raw))
         a_cuts, b_cuts = ([0, *(4 * (np.searchsorted(e, ends) + 1)).tolist()] for e in (a_ends, b_ends))
         a_raw, b_raw = a.tobytes(), b.tobytes()
-        found = [(a_raw[i:j], b_raw[k:m]) for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])]
+        found = [a_raw[i:j] + _BORDER + b_raw[k:m] for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])]
         self.learn(found)
         numbers, at = [*map(self.__getitem__, found)], 0
         for unit, last in zip(units, (np.searchsorted(ends, unit_ends) + 1).tolist()):
             self.of_unit[unit] = tuple(numbers[at:last])
             at = last
 
-    def learn(self, windows: list[tuple[bytes, bytes]]) -> None:
+    def learn(self, windows: list[bytes]) -> None:
         """Align the windows that are new, all in one go: their bytes stand end to end on both sides.
 
         Where a token of A or of B ends, the two tokens over the byte before are
@@ -156,14 +160,15 @@ class WindowMemo(dict):
         new = [w for w in dict.fromkeys(windows) if w not in self]
         if not new:
             return
-        a, b = (np.frombuffer(b"".join([w[side] for w in new]), np.uint32) for side in (0, 1))
+        parts = [w.partition(_BORDER) for w in new]
+        a, b = (np.frombuffer(b"".join([p[side] for p in parts]), np.uint32) for side in (0, 2))
         a_ends, b_ends = (np.cumsum(widths[ids]) for widths, ids in zip(self.widths, (a, b)))
         ends = np.union1d(a_ends, b_ends)
         a_at, b_at = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
         links = a[a_at].astype(np.int64) * len(self.b.bytes) + b[b_at]
         closes = (a_ends[a_at] == ends) & (b_ends[b_at] == ends)
         # Windows, by the last of their links and groups.
-        window_ends = a_ends[np.cumsum([len(w[0]) // 4 for w in new]) - 1]
+        window_ends = a_ends[np.cumsum([len(p[0]) // 4 for p in parts]) - 1]
         last_link = np.searchsorted(ends, window_ends) + 1
         last_group = np.cumsum(closes)[last_link - 1]
         groups = []
@@ -172,15 +177,15 @@ class WindowMemo(dict):
         for i, j in zip((a_at[closes] + 1).tolist(), (b_at[closes] + 1).tolist()):
             groups.append(f"{','.join(a_names[a_from:i])}|{','.join(b_names[b_from:j])}")
             a_from, b_from = i, j
-        packed, link_from, group_from = links.tobytes(), 0, 0
-        for window, link, group in zip(new, last_link.tolist(), last_group.tolist()):
+        self.links.frombytes(links.astype(self.links.typecode).tobytes())
+        link_from = group_from = 0
+        for window, (of_a, _, of_b), link, group in zip(new, parts, last_link.tolist(), last_group.tolist()):
             self[window] = len(self)
             self.texts.append(";".join(groups[group_from:group]))
             self.groups.append(group - group_from)
-            self.links.append(packed[8 * link_from:8 * link])
             self.sizes.append(link - link_from)
-            self.n_a.append(len(window[0]) // 4)
-            self.n_b.append(len(window[1]) // 4)
+            self.n_a.append(len(of_a) // 4)
+            self.n_b.append(len(of_b) // 4)
             link_from, group_from = link, group
 
 
@@ -202,7 +207,7 @@ def _align_function(a_path: str, b_path: str):
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
         memo = per_process(("align", a_path, b_path), lambda: WindowMemo(a_path, b_path))
-        pair = pa.int32() if _pair_type(len(memo.a.bytes), len(memo.b.bytes)) == "int" else pa.int64()
+        pair = pa.int32() if memo.pair == "int" else pa.int64()
         names = [field.split()[0] for field in _TEXTS.split(", ")] + ["chunk", "window", "links", "n"]
         kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int32(),
                                     pa.list_(pair), pa.int64()]
@@ -214,22 +219,21 @@ def _align_function(a_path: str, b_path: str):
                 [columns[n] if n in columns else pa.nulls(size, k) for n, k in zip(names, kinds)], names)
 
         def described():
-            numbers, sizes = np.flatnonzero(met), np.array(memo.sizes)
-            for start in range(0, len(numbers), 10_000):
-                part = numbers[start:start + 10_000]
-                links = np.frombuffer(b"".join([memo.links[w] for w in part.tolist()]), np.int64)
-                yield table(chunk, window=pa.array(part, pa.int32()), links=listed(links, sizes[part], pair),
-                            n=pa.array(met[part]))
+            ends = np.cumsum(np.array(memo.sizes, np.int64))
+            for start in range(0, len(met), 10_000):
+                part = np.arange(start, min(start + 10_000, len(met)))
+                sizes = np.diff(ends[part], prepend=ends[start - 1] if start else 0)
+                links = np.array(memo.links[ends[part[0]] - sizes[0]:ends[part[-1]]])
+                yield table(chunk, window=pa.array(part, pa.int32()), links=listed(links, sizes, pair), n=pa.array(met[part]))
 
         chunk, places, met = None, 0, np.zeros(0, np.int64)  # how often each window was met in this chunk
         for batch in sliced(batches, _ROWS):
-            if np.count_nonzero(met) > _WINDOWS or places > _PLACES:
+            if len(memo) > _WINDOWS or places > _PLACES:
                 yield from described()
                 chunk, places, met = None, 0, np.zeros(0, np.int64)
             if chunk is None:
                 chunk = batch.column("row")[0].as_py()
-                if len(memo) > _WINDOWS:
-                    memo.forget()
+                memo.forget()
             found = memo.windows(batch.column("text").to_pylist())
             measures = [np.array(x, np.int64) for x in (memo.n_a, memo.n_b, memo.groups, memo.sizes)]
             met = np.concatenate([met, np.zeros(len(memo) - len(met), np.int64)])
@@ -252,6 +256,7 @@ def _align_function(a_path: str, b_path: str):
                 windows=listed(np.concatenate([np.zeros(0, np.int32), *windows]), sizes, pa.int32()),
                 times=listed(np.concatenate([np.zeros(0, np.int32), *times]).astype(np.int32), sizes, pa.int32()))
         yield from described()
+        memo.forget()  # the worker lives on beside the next stages
 
     return run
 

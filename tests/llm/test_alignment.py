@@ -2,10 +2,11 @@ import hashlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from frames import WILD, WILD_IDS, documents, empty, ids, wild
-from tessera.llm import alignment
+from tessera.llm import alignment, common
 from tessera.llm.bpe import byte_alphabet
 from tokenizers import Tokenizer
 
@@ -130,3 +131,18 @@ def test_windows_meet_only_where_both_have_a_boundary(plain):
     assert len(numbers) > 3 and len(memo) == len(set(numbers))
     joined = ";".join(memo.texts[w] for w in numbers)
     assert hashlib.sha256(joined.encode()).hexdigest() == next(plain.table(["the cat,the dog  and\nthe bird"]))[6]
+
+
+def test_a_worker_holds_the_windows_of_one_chunk_and_none_after_a_task(monkeypatch):
+    monkeypatch.setattr(alignment, "_WINDOWS", 100)
+    monkeypatch.setattr(alignment, "_ROWS", 5)
+    texts = [f"a{n} b{n} c{n} d{n}" for n in range(200)]
+    numbers = pa.array(range(200), pa.int64())
+    batch = pa.RecordBatch.from_arrays([numbers, numbers, pa.array(texts)], ["row", "doc_id", "text"])
+    try:
+        memo = common.per_process(("align", A, B), lambda: alignment.WindowMemo(A, B))
+        for _ in range(2):
+            held = [len(memo) for _ in alignment._align_function(A, B)([batch])]
+            assert 100 < max(held) < 200 and not memo and not memo.of_unit and not len(memo.links)
+    finally:
+        common.release()
