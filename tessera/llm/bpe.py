@@ -136,26 +136,50 @@ def load_parts(path: str) -> tuple[dict, dict]:
     return described, {t["content"]: t["id"] for t in described["added_tokens"]}
 
 
-class WordBpe:
-    """The whole encoding of a text: special strings, normal form, words, tokens.
+class WordSplitter:
+    """The first steps of an encoding, which need no vocabulary: special strings, normal form, words, pre-tokens.
 
     Follows a vocabulary file with NFC, single blanks and lower case as its
-    normal form, whose pre-tokens hold no white space and end in a suffix.
-    A word between white space is encoded once and kept in a bounded cache.
+    normal form, whose pre-tokens hold no white space.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, described: dict, special: dict[str, int]):
         import regex
 
-        described, self.special = load_parts(path)
-        model, steps = described["model"], described["pre_tokenizer"]["pretokenizers"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.encoder = PrefixEncoder(model["vocab"], merges, model["end_of_word_suffix"] or "")
-        self.written = model["end_of_word_suffix"] or ""
+        self.special = special
+        steps = described["pre_tokenizer"]["pretokenizers"]
         pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
         self.pretokens = regex.compile(pattern.replace(r"\s", WHITE)).findall
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.words = re.compile(f"[^{WHITE}]+").findall
+
+    def split(self, text: str) -> list[str | int]:
+        """Normalised words, and the ids of special strings between them."""
+        if "<|" not in text:
+            return self._words(text)
+        found: list[str | int] = []
+        for part in self.specials.split(text):
+            found += [self.special[part]] if part in self.special else self._words(part)
+        return found
+
+    def _words(self, text: str) -> list[str]:
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return self.words(text) if any(sign in text for sign in _ODD) else text.split()
+
+
+class WordBpe(WordSplitter):
+    """The whole encoding of a text: words as they are split, and their tokens.
+
+    Pre-tokens end in a suffix. A word between white space is encoded once and kept in a bounded cache.
+    """
+
+    def __init__(self, path: str):
+        described, special = load_parts(path)
+        super().__init__(described, special)
+        model = described["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.encoder = PrefixEncoder(model["vocab"], merges, model["end_of_word_suffix"] or "")
+        self.written = model["end_of_word_suffix"] or ""
         self.names = self.encoder.text | {i: s for s, i in self.special.items()}
         self.known = BoundedCache(self.encoder.encode, _CACHE)
 
@@ -171,19 +195,6 @@ class WordBpe:
         """Ids and token strings of one normalised word."""
         return [(i, self.names[i]) for i in self.word_ids(word)]
 
-    def split(self, text: str) -> list[str | int]:
-        """Normalised words, and the ids of special strings between them."""
-        if "<|" not in text:
-            return self._words(text)
-        found: list[str | int] = []
-        for part in self.specials.split(text):
-            found += [self.special[part]] if part in self.special else self._words(part)
-        return found
-
-    def _words(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.words(text) if any(sign in text for sign in _ODD) else text.split()
-
 
 def _encode_function(path: str):
     """Arrow batches of (doc_id, text) to counts and digests of ids and decoded text."""

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .common import sliced
+from .common import release, sliced
 from .components import components
 
 COORDINATES = 128
@@ -53,6 +53,7 @@ def _shingle_function(shingle: int, coordinates: int, with_sets: bool):
         import pyarrow as pa
         import xxhash
 
+        release()  # what an earlier operator left would stay beside all steps of this one
         draw = np.random.default_rng(SEED)
         factors = draw.integers(1, 2**32, coordinates, dtype=np.uint32) | np.uint32(1)
         offsets = draw.integers(0, 2**32, coordinates, dtype=np.uint32)

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage
-from .bpe import WordBpe, byte_alphabet, load_parts
+from .bpe import WordSplitter, byte_alphabet, load_parts
 from .common import AgingCache, per_process, sliced
 
 CAPACITY = 2048
@@ -76,7 +76,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
         import pyarrow as pa
 
         def build():
-            bpe, merge = WordBpe(path), word_merger(path)
+            bpe, merge = WordSplitter(*load_parts(path)), word_merger(path)
 
             def compute(word):
                 """A word's packed ids; its pre-tokens, where it is not one itself, are looked up."""

@@ -4,8 +4,9 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from frames import documents, empty, wild
-from tessera.llm import bpe, packing
+from tessera.llm import bpe, common, near_duplicates, packing
 from tokenizers import Tokenizer
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -122,3 +123,29 @@ def test_odd_rows(spark):
     assert sum(r.doc_id == 6 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 2
     assert sum(r.doc_id == 5 for r in rows) > 10
     assert packing.pack_documents(empty(spark), WORDS).count() == 0
+
+
+def test_a_packing_worker_splits_as_the_encoder_does_without_being_one():
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = ["Ünï ΑΣ İ <|endoftext|>x don't 3 漢字 \x1c", "a  b\n", "the cat's 42 <|startoftext|>"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
+    try:
+        list(packing.tokenized_pieces(Docs(), WORDS)([batch]))
+        splitter, _ = common._kept()["packed", WORDS]
+        whole = bpe.WordBpe(WORDS)
+        assert not isinstance(splitter, bpe.WordBpe) and [*map(splitter.split, texts)] == [*map(whole.split, texts)]
+    finally:
+        common.release()
+
+
+def test_duplicates_let_go_of_what_earlier_operators_kept():
+    common.per_process("earlier", lambda: ["much"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c"])], ["doc_id", "text"])
+    assert len(list(near_duplicates._shingle_function(2, 16, False)([batch]))) == 1
+    assert not common._kept()
