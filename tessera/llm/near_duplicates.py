@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .common import release, sliced
+from .common import hand_back, release, sliced
 from .components import components
 
 COORDINATES = 128
@@ -182,6 +182,8 @@ def _grouped(batches, names):
             held = held.slice(starts[-1])
     if held is not None:
         yield held, np.array([0]), np.array([held.num_rows])
+    batch = now = held = None
+    hand_back()
 
 
 def _alike_function(least: float, coordinates: int):

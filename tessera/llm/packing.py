@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage
 from .bpe import WordSplitter, byte_alphabet, load_parts
-from .common import AgingCache, per_process, sliced
+from .common import AgingCache, per_process, release, sliced
 
 CAPACITY = 2048
 SHARE = 4096
@@ -283,6 +283,7 @@ def _island_function(capacity: int, seed: int, epoch: int, generations: int):
     def run(key, frame):
         import pandas as pd
 
+        release()  # the words of the step before are not needed beside pandas
         frame = frame.sort_values(["item"], kind="stable").reset_index(drop=True)
         sizes = frame["length"].tolist()
         founders = []

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from frames import documents, empty, wild
@@ -149,3 +150,15 @@ def test_duplicates_let_go_of_what_earlier_operators_kept():
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c"])], ["doc_id", "text"])
     assert len(list(near_duplicates._shingle_function(2, 16, False)([batch]))) == 1
     assert not common._kept()
+
+
+def test_islands_let_go_of_the_words_and_tasks_hand_free_memory_back(monkeypatch):
+    common.per_process("earlier", lambda: ["much"])
+    frame = pd.DataFrame({"item": [1, 2], "length": [2000, 48], "bins": [None, None]})
+    found = packing._island_function(2048, 1, -1, 1)((0, 0), frame)
+    assert found["n_bins"].tolist() == [1, 1] and not common._kept()
+    given = []
+    monkeypatch.setattr(common, "hand_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5))], ["a"])
+    assert [b.num_rows for b in common.sliced([batch], 2)] == [2, 2, 1] and given == [1]
+    assert [*common.sliced([])] == [] and given == [1, 1]
