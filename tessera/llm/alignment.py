@@ -74,8 +74,8 @@ class PieceTokens:
         return [(ids or [self.blank]) if u[0] == " " else ids[1:] for u, ids in zip(units, found)]
 
 
-class WindowMemo(dict):
-    """Window (packed ids of A, a border, those of B) -> its number here; alignments are kept by number.
+class WindowMemo:
+    """Units of text -> their windows' numbers; alignments are kept by number.
 
     It holds the windows of one chunk of texts: each chunk begins with an empty one, and a task ends with one.
 
@@ -83,16 +83,17 @@ class WindowMemo(dict):
     or a line break follows something else. No token of either side crosses
     the border of a unit, and both begin anew there with white space, so that it is an
     anchor: the windows of a text are those of its units, and a unit is cut once.
+    Most units are one window and stand for its number. Units of several windows stand for a negative
+    one, -1 less a place in `several`; their windows are told apart by the ids of A, a border, and those of B.
     """
 
     def __init__(self, a_path: str, b_path: str):
         import numpy as np
 
-        super().__init__()
         self.a, self.b = ByteTokens(a_path), PieceTokens(b_path)
         self.pair = _pair_type(len(self.a.bytes), len(self.b.bytes))
         self.widths = [np.array([len(t) for t in side.bytes], np.int64) for side in (self.a, self.b)]
-        self.names = [[str(i) for i in range(len(side.bytes))] for side in (self.a, self.b)]
+        self.digits = [_digits(len(side.bytes)) for side in (self.a, self.b)]
         self.white = np.array([t[:1] in _WHITE and t != b"" for t in self.a.bytes])
         others = WHITE.replace("\n", "").replace(" ", "")
         self.units = re.compile(f"[ \n][{WHITE}]*[^{WHITE}]*(?:[{others}][{WHITE}]*[^{WHITE}]*)*").findall
@@ -101,11 +102,15 @@ class WindowMemo(dict):
     def forget(self) -> None:
         from array import array
 
-        self.clear()
-        self.of_unit: dict[str, tuple[int, ...]] = {}
+        self.of_unit: dict[str, int] = {}
+        self.of_ids: dict[bytes, int] = {}
+        self.several: list[list[int]] = []
         self.texts, self.links = [], array("i" if self.pair == "int" else "q")  # of all windows, end to end
         self.groups, self.sizes, self.n_a, self.n_b = (array("i") for _ in range(4))
 
+    def __len__(self) -> int:
+        return len(self.texts)
+
     def windows(self, texts: list[str | None]) -> list[list[int]]:
         """The numbers of the windows of each text.
 
@@ -114,7 +119,10 @@ class WindowMemo(dict):
         """
         units = [self.units(" " + text) if text and _BLOCK not in text else [] for text in texts]
         self.cut([u for u in dict.fromkeys(chain.from_iterable(units)) if u not in self.of_unit])
-        return [[*chain.from_iterable(map(self.of_unit.__getitem__, own))] for own in units]
+        found = [[*map(self.of_unit.__getitem__, own)] for own in units]
+        if not self.several:
+            return found
+        return [[*chain.from_iterable([n] if n >= 0 else self.several[-1 - n] for n in own)] for own in found]
 
     def cut(self, units: list[str]) -> None:
         """Tokenises new units, which stand end to end, and cuts them where both sides begin with white space.
@@ -129,8 +137,9 @@ class WindowMemo(dict):
         unit_ends, raw, sides = np.cumsum([*map(len, encoded)]), b"".join(encoded), []
         for side, widths in zip((self.a, self.b), self.widths):
             listed = side.of_units(units)
-            ids = np.fromiter(chain.from_iterable(listed), np.uint32)
-            ends, last = np.cumsum(widths[ids]), np.cumsum([*map(len, listed)]) - 1
+            sizes = [*map(len, listed)]
+            ids = np.fromiter(chain.from_iterable(listed), np.uint32, sum(sizes))
+            ends, last = np.cumsum(widths[ids]), np.cumsum(sizes) - 1
             if b"".join(map(side.bytes.__getitem__, ids.tolist())) != raw or (ends[last] != unit_ends).any():
                 raise ValueError(f"tokens do not give back their text, of {raw[:80]!r} and what follows")
             sides.append((ids, ends))
@@ -139,54 +148,101 @@ class WindowMemo(dict):
         shared[b_ends] = True
         anchored = np.flatnonzero(self.white[a[1:]] & shared[a_ends[:-1]])  # the tokens of A before them
         ends = np.append(a_ends[anchored], len(raw))
-        a_cuts, b_cuts = ([0, *(4 * (np.searchsorted(e, ends) + 1)).tolist()] for e in (a_ends, b_ends))
-        a_raw, b_raw = a.tobytes(), b.tobytes()
-        found = [a_raw[i:j] + _BORDER + b_raw[k:m] for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])]
-        self.learn(found)
-        numbers, at = [*map(self.__getitem__, found)], 0
-        for unit, last in zip(units, (np.searchsorted(ends, unit_ends) + 1).tolist()):
-            self.of_unit[unit] = tuple(numbers[at:last])
-            at = last
+        a_lasts, b_lasts = (np.searchsorted(e, ends) + 1 for e in (a_ends, b_ends))
+        unit_lasts = np.searchsorted(ends, unit_ends) + 1  # the windows up to the end of each unit
+        if len(ends) == len(units):
+            numbers = self.learn(a, b, a_lasts, b_lasts)
+        else:
+            numbers = self.several_of(a, b, a_lasts, b_lasts, unit_lasts)
+        self.of_unit.update(zip(units, numbers))
+
+    def several_of(self, a, b, a_lasts, b_lasts, unit_lasts) -> list[int]:
+        """What the units stand for, where some have several windows; of those, only the ones not yet met are aligned."""
+        import numpy as np
 
-    def learn(self, windows: list[bytes]) -> None:
-        """Align the windows that are new, all in one go: their bytes stand end to end on both sides.
+        counts = np.diff(unit_lasts, prepend=0)
+        alone = np.repeat(counts == 1, counts)
+        a_cuts, b_cuts = (np.concatenate([[0], 4 * lasts]) for lasts in (a_lasts, b_lasts))
+        a_raw, b_raw = a.tobytes(), b.tobytes()
+        inner = np.flatnonzero(~alone)
+        keys = [a_raw[i:j] + _BORDER + b_raw[k:m] for i, j, k, m in zip(
+            a_cuts[inner].tolist(), a_cuts[inner + 1].tolist(), b_cuts[inner].tolist(), b_cuts[inner + 1].tolist())]
+        first = {}
+        for at, key in zip(inner.tolist(), keys):
+            if key not in self.of_ids:
+                first.setdefault(key, at)
+        new = alone.copy()
+        new[[*first.values()]] = True
+        a_sizes, b_sizes = np.diff(a_lasts, prepend=0), np.diff(b_lasts, prepend=0)
+        learnt = np.zeros(len(new), np.int64)
+        learnt[new] = self.learn(a[np.repeat(new, a_sizes)], b[np.repeat(new, b_sizes)],
+                                 np.cumsum(a_sizes[new]), np.cumsum(b_sizes[new]))
+        self.of_ids.update((key, int(learnt[at])) for key, at in first.items())
+        learnt[inner] = [*map(self.of_ids.__getitem__, keys)]
+        numbers, listed = learnt[unit_lasts - 1], learnt.tolist()
+        for unit in np.flatnonzero(counts > 1).tolist():
+            last = int(unit_lasts[unit])
+            self.several.append(listed[last - int(counts[unit]):last])
+            numbers[unit] = -len(self.several)
+        return numbers.tolist()
+
+    def learn(self, a, b, a_lasts, b_lasts) -> range:
+        """Align new windows, all in one go, and number them: their ids, and bytes, stand end to end on both sides.
 
         Where a token of A or of B ends, the two tokens over the byte before are
         linked; where both end, a group ends. A pair is written as
-        (A id) * (size of B's vocabulary) + (B id).
+        (A id) * (size of B's vocabulary) + (B id). Windows are given by how many ids there are up to their ends.
         """
         import numpy as np
 
-        new = [w for w in dict.fromkeys(windows) if w not in self]
-        if not new:
-            return
-        parts = [w.partition(_BORDER) for w in new]
-        a, b = (np.frombuffer(b"".join([p[side] for p in parts]), np.uint32) for side in (0, 2))
+        first = len(self.texts)
+        if not len(a_lasts):
+            return range(first, first)
         a_ends, b_ends = (np.cumsum(widths[ids]) for widths, ids in zip(self.widths, (a, b)))
         ends = np.union1d(a_ends, b_ends)
         a_at, b_at = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
         links = a[a_at].astype(np.int64) * len(self.b.bytes) + b[b_at]
         closes = (a_ends[a_at] == ends) & (b_ends[b_at] == ends)
-        # Windows, by the last of their links and groups.
-        window_ends = a_ends[np.cumsum([len(p[0]) // 4 for p in parts]) - 1]
-        last_link = np.searchsorted(ends, window_ends) + 1
+        last_link = np.searchsorted(ends, a_ends[a_lasts - 1]) + 1
         last_group = np.cumsum(closes)[last_link - 1]
-        groups = []
-        a_names, b_names = ([*map(n.__getitem__, ids.tolist())] for n, ids in zip(self.names, (a, b)))
-        a_from = b_from = 0
-        for i, j in zip((a_at[closes] + 1).tolist(), (b_at[closes] + 1).tolist()):
-            groups.append(f"{','.join(a_names[a_from:i])}|{','.join(b_names[b_from:j])}")
-            a_from, b_from = i, j
-        self.links.frombytes(links.astype(self.links.typecode).tobytes())
-        link_from = group_from = 0
-        for window, (of_a, _, of_b), link, group in zip(new, parts, last_link.tolist(), last_group.tolist()):
-            self[window] = len(self)
-            self.texts.append(";".join(groups[group_from:group]))
-            self.groups.append(group - group_from)
-            self.sizes.append(link - link_from)
-            self.n_a.append(len(of_a) // 4)
-            self.n_b.append(len(of_b) // 4)
-            link_from, group_from = link, group
+        text, b_to = self.written(a, b, a_at[closes] + 1, b_at[closes] + 1)
+        to = b_to[b_lasts - 1].tolist()
+        self.texts += [text[i:j - 1] for i, j in zip([0, *to], to)]
+        for kept, values in ((self.links, links), (self.groups, np.diff(last_group, prepend=0)),
+                             (self.sizes, np.diff(last_link, prepend=0)),
+                             (self.n_a, np.diff(a_lasts, prepend=0)), (self.n_b, np.diff(b_lasts, prepend=0))):
+            kept.frombytes(values.astype(kept.typecode).tobytes())
+        return range(first, len(self.texts))
+
+    def written(self, a, b, a_lasts, b_lasts):
+        """All groups as `a1,a2|b1;` end to end, and where the text of each token of B ends in it.
+
+        Groups are given by how many tokens of A and of B there are up to their ends.
+        """
+        import numpy as np
+
+        group = np.arange(len(a_lasts))
+        a_group, b_group = (np.repeat(group, np.diff(lasts, prepend=0)) for lasts in (a_lasts, b_lasts))
+        a_place = np.arange(len(a)) + np.concatenate([[0], b_lasts])[a_group]
+        b_place = np.arange(len(b)) + a_lasts[b_group]
+        width = max(d.shape[1] for d in self.digits)
+        cells = np.zeros((len(a) + len(b), width + 1), np.uint8)
+        for place, ids, digits, lasts, sign in ((a_place, a, self.digits[0], a_lasts, "|"), (b_place, b, self.digits[1], b_lasts, ";")):
+            signs = np.full(len(ids), ord(","), np.uint8)
+            signs[lasts - 1] = ord(sign)
+            cells[place, width - digits.shape[1]:width] = digits[ids]
+            cells[place, width] = signs
+        used = cells != 0
+        to = np.cumsum(used.sum(axis=1))
+        return cells[used].tobytes().decode("ascii"), to[b_place]
+
+
+def _digits(size: int):
+    """The decimal numbers below `size` as rows of characters, with zero bytes in front."""
+    import numpy as np
+
+    width = len(str(size - 1))
+    return np.array([str(i).rjust(width, "\0").encode() for i in range(size)], f"S{width}").view(np.uint8).reshape(size, width)
 
 
 def _align_function(a_path: str, b_path: str):
@@ -235,7 +291,7 @@ def _align_function(a_path: str, b_path: str):
                 chunk = batch.column("row")[0].as_py()
                 memo.forget()
             found = memo.windows(batch.column("text").to_pylist())
-            measures = [np.array(x, np.int64) for x in (memo.n_a, memo.n_b, memo.groups, memo.sizes)]
+            measures = [np.array(x) for x in (memo.n_a, memo.n_b, memo.groups, memo.sizes)]
             met = np.concatenate([met, np.zeros(len(memo) - len(met), np.int64)])
             counts, digests, windows, times = [], [], [], []
             for numbers in found:
@@ -243,7 +299,7 @@ def _align_function(a_path: str, b_path: str):
                 met[own] += often
                 counts.append([int(measure[own] @ often) for measure in measures])
                 digests.append(hashlib.sha256(
-                    ";".join([memo.texts[w] for w in numbers]).encode()).hexdigest() if numbers else "")
+                    ";".join([*map(memo.texts.__getitem__, numbers)]).encode()).hexdigest() if numbers else "")
                 windows.append(own)
                 times.append(often)
             sizes = [len(w) for w in windows]

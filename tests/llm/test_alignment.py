@@ -146,3 +146,15 @@ def test_a_worker_holds_the_windows_of_one_chunk_and_none_after_a_task(monkeypat
             assert 100 < max(held) < 200 and not memo and not memo.of_unit and not len(memo.links)
     finally:
         common.release()
+
+
+def test_a_unit_of_one_window_is_kept_once_and_its_windows_go_by_number():
+    memo = alignment.WindowMemo(A, B)
+    (plain,) = memo.windows(["the cat sat on the mat"])
+    assert not memo.several and not memo.of_ids and plain == [memo.of_unit[" " + w] for w in "the cat sat on the mat".split()]
+    (again, several) = memo.windows(["the cat", "a\tb \n c\tb"])
+    assert again == plain[:2] and memo.several and max(several) < len(memo) == len(memo.texts) == len(memo.sizes)
+    windows = [memo.texts[w] for w in several]
+    a, b = memo.a.encode(" a\tb \n c\tb"), memo.b.encode("a\tb \n c\tb")
+    groups = [g.split("|") for g in ";".join(windows).split(";")]
+    assert [int(i) for g in groups for i in g[0].split(",")] == a and [int(i) for g in groups for i in g[1].split(",")] == b
