@@ -96,7 +96,7 @@ def _finished(rows: DataFrame, output: str, key: str) -> DataFrame | None:
 def run_generation(rows: DataFrame, output: str, key: str, generator: Generator | None = None,
                    resume: bool = False, head: int | None = None, rank: int | None = None,
                    world: int | None = None, rows_per_file: int | None = None,
-                   most_errors: float = 0.5, **options: object) -> str:
+                   most_errors: float = 0.5, compression: str | None = None, **options: object) -> str:
     """Generate and append; with `resume`, only what `output` does not hold yet.
 
     A finished task commits its file as a whole, so small files are not
@@ -111,7 +111,7 @@ def run_generation(rows: DataFrame, output: str, key: str, generator: Generator
     seen = Observation()
     answered = generate(work, generator, **options).observe(
         seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("finish_reason") == "error").alias("errors"))
-    target = append_results(answered, output, rows_per_file, resume)
+    target = append_results(answered, output, rows_per_file, resume, compression)
     if seen.get["errors"] > most_errors * seen.get["n"]:
         raise RuntimeError(f"{seen.get['errors']} of {seen.get['n']} answers in {target} are errors")
     return target

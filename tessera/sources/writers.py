@@ -17,21 +17,28 @@ DEFAULT_FILE = "generate.jsonl"
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists",
-                rows_per_file: int | None = None) -> None:
-    """JSON lines, UTF-8 as it is, null fields written out."""
+                rows_per_file: int | None = None, compression: str | None = None) -> None:
+    """JSON lines, UTF-8 as it is, null fields written out.
+
+    Readers take compressed files as they are. One task reads a gzip file, so `rows_per_file` goes with it.
+    """
     writer = df.write.mode(mode).option("ignoreNullFields", "false")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
+    if compression:
+        writer = writer.option("compression", compression)
     writer.json(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists",
-              rows_per_file: int | None = None) -> None:
+              rows_per_file: int | None = None, compression: str | None = None) -> None:
     """CSV with a header, quotes doubled, no row index."""
     writer = (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
+    if compression:
+        writer = writer.option("compression", compression)
     writer.csv(path)
 
 
@@ -50,14 +57,14 @@ def result_target(path: str) -> tuple[str, str]:
 
 
 def append_results(df: DataFrame, path: str, rows_per_file: int | None = None,
-                   resume: bool = True) -> str:
+                   resume: bool = True, compression: str | None = None) -> str:
     """Add results under `path`; without `resume` what is there is replaced.
 
     Returns the folder written to, as `result_target` names it.
     """
     target, fmt = result_target(path)
     write = write_csv if fmt == "csv" else write_jsonl
-    write(df, target, "append" if resume else "overwrite", rows_per_file)
+    write(df, target, "append" if resume else "overwrite", rows_per_file, compression)
     return target
 
 
