@@ -46,6 +46,12 @@ def _contract(batches):
         yield flush(schema)
 
 
+def _with_roots(pointers: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that point to their root, and of the roots."""
+    root = pointers.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return root.unionAll(root.select(F.col("root").alias("node"), "root").distinct())
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of `edges`(u, v): root is the smallest node reachable.
 
@@ -55,13 +61,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     smallest of them, and moves every pointer one step on. A root that very
     many nodes point to is joined with its one row, straight from the shuffle
     of either side, so that adaptive execution can split it. Each round's
-    edges are written out. An empty table gives no rows; edges from a node to
-    itself are ignored.
+    edges are written out. Once the edges that are left fit one chunk of a
+    contraction, a single one solves them: rounds over so few would write as many
+    small files as there are shuffle partitions, several times. An empty table gives
+    no rows; edges from a node to itself are ignored.
     """
     kind = edges.schema["u"].dataType.simpleString()
     described = f"u {kind}, v {kind}"
     current = stage(edges.select("u", "v").where("u <> v").mapInArrow(_contract, described), "edges")
     for _ in range(most_rounds):
+        # An edge has two nodes, so that these edges are never flushed halfway.
+        if 2 * current.count() <= _CHUNK:
+            return _with_roots(stage(current.coalesce(1).mapInArrow(_contract, described), "edges"))
         ends = stage(
             current.groupBy("u").agg(F.collect_set("v").alias("vs")).withColumn("m", F.array_min("vs")), "ends")
         own = F.struct(F.col("u"), F.col("m").alias("v"), (F.size("vs") > 1).alias("moved"))
@@ -75,7 +86,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .select("u", F.coalesce("_next", "v").alias("v"), (F.col("moved") | F.col("_next").isNotNull()).alias("moved")),
             "edges")
         if jumped.where("moved").isEmpty():
-            root = jumped.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return root.unionAll(root.select(F.col("root").alias("node"), "root").distinct())
+            return _with_roots(jumped)
         current = stage(jumped.select("u", "v").mapInArrow(_contract, described), "edges")
     raise RuntimeError(f"components not stable after {most_rounds} rounds")

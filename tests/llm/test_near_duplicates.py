@@ -1,3 +1,4 @@
+import importlib
 import random
 
 import pytest
@@ -100,3 +101,19 @@ def test_components_of_chains_stars_and_loops(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {201: 201, 202: 201}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("chunk, most", [(None, 2), (100, 60)])
+def test_few_edges_are_solved_without_rounds(spark, monkeypatch, chunk, most):
+    # With a chunk of 100 nodes the edges go through rounds until 50 are left.
+    module = importlib.import_module("tessera.llm.components")
+    written, stage = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df, name: written.append(name) or stage(df, name))
+    if chunk:
+        monkeypatch.setattr(module, "_CHUNK", chunk)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(2000, 2000), (2002, 2001)]
+    random.Random(2).shuffle(edges)
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(16)).collect()}
+    assert found == ({i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1100)} | {2001: 2001, 2002: 2001})
+    assert len(written) <= most
+    assert chunk is None or "ends" in written
