@@ -36,17 +36,19 @@ def map_codes(df: DataFrame, columns: Mapping[str, str], references: DataFrame,
 
     Every distinct text is embedded and searched once, over all columns
     together. The texts, the vectors and the finished codes are written out,
-    so none is computed twice, not even when an executor is lost. Codes that fit
-    Spark's own limit for broadcasts go to the rows of `df`, which then do
-    not move; otherwise both sides of a column's join come straight from
+    so none is computed twice, not even when an executor is lost. Each column
+    has a table of its own with the codes of its texts: one that fits
+    Spark's own limit for broadcasts (sorted, its files are smaller) goes to the rows of `df`, which then do
+    not move, however many texts other columns have; otherwise both sides of the column's join come straight from
     their shuffles, where adaptive execution splits a text that very many rows
     hold. Null texts get null codes.
     """
-    texts = stage(
-        df.select(F.explode(F.array(*columns)).alias("diag_text"))
-        .where(F.col("diag_text").isNotNull()).distinct(), "texts")
-    codes = stage(code_table(texts, references, embedder, **search), "codes")
-    for column, out in columns.items():
-        named = codes.select(F.col("diag_text").alias(column), F.col("code").alias(out))
-        df = df.join(named, column, "left")
+    named = [F.struct(F.lit(at).alias("at"), F.col(column).alias("diag_text")) for at, column in enumerate(columns)]
+    held = stage(
+        df.select(F.inline(F.array(*named))).where(F.col("diag_text").isNotNull()).distinct(), "texts")
+    codes = stage(code_table(held.select("diag_text").distinct(), references, embedder, **search), "codes")
+    for at, (column, out) in enumerate(columns.items()):
+        own = stage(held.where(F.col("at") == at).join(codes, "diag_text").select(
+            F.col("diag_text").alias(column), F.col("code").alias(out)).sortWithinPartitions(out, column), "column-codes")
+        df = df.join(own, column, "left")
     return df

@@ -258,3 +258,32 @@ def test_the_job_from_files_takes_and_writes_compressed_files(spark, tmp_path):
     assert len(list((tmp_path / "packed.jsonl").glob("part-*.json.gz"))) == 3
     found = readers.read_records(spark, packed, fmt="jsonl")
     assert sorted(found.collect()) == sorted(readers.read_records(spark, plain, fmt="jsonl").collect())
+
+
+def test_costly_answers_are_extracted_once_and_few_texts_of_a_column_are_broadcast(spark, monkeypatch):
+    from tessera.plans import codes
+    made = spark.sparkContext.accumulator(0)
+    extract = preference.tx.extract_diagnosis
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    monkeypatch.setattr(preference.tx, "extract_diagnosis", lambda c: counted(extract(c)))
+    references = spark.createDataFrame([(n, f"kind {n}", f"A0{n}.000") for n in range(4)], "ref_id long, diag string, diag_code string")
+    answers = spark.range(400).select(
+        F.col("id").alias("qid"), F.concat(F.lit("Diagnosis is kind "), (F.col("id") % 4).cast("string")).alias("response"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("kind "), (F.col("id") % 2).cast("string"))).alias("label"))
+    got = preference.add_codes(answers, references, written=True).collect()
+    assert made.value == 400
+    assert {(r.qid, r.label_code, r.pred_code) for r in got} == {
+        (n, f"A0{n % 2}.000" if n % 3 else None, f"A0{n % 4}.000") for n in range(400)}
+    # One column has few texts, the other very many: only the latter's rows move.
+    wide = spark.range(20000).select(
+        F.concat(F.lit("kind "), (F.col("id") % 2).cast("string")).alias("few"), F.concat(F.lit("kind 2 "), F.md5(F.col("id").cast("string"))).alias("many"))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="100k"):
+        coded = codes.map_codes(wide, {"few": "a", "many": "b"}, references)
+        plan = coded._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1
+        assert coded.where("a = 'A01.000' AND b IS NOT NULL").count() == 10000
