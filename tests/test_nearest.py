@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tessera.operators import nearest
 from tessera.operators.hooks import FunctionEmbedder
 from tessera.operators.nearest import _layout, build_tree, nearest_reference, nearest_references
 from tessera.plans.codes import map_codes
@@ -162,3 +163,108 @@ def test_groups_are_bounded():
         for part in range(parts):
             rows[group + part] = rows.get(group + part, 0) + sizes[leaf] / parts
     assert max(rows.values()) <= 10 and sorted(rows) == list(range(len(rows)))
+
+
+def group(references, leaf_rows):
+    """Leaves of references and what bounds them, as the jobs work them out."""
+    tree = build_tree(references, len(references), leaf_rows)
+    leaf = tree.descend(references)
+    near, far = np.full(len(tree.pivots), np.inf), np.full(len(tree.pivots), -np.inf)
+    for point, n in zip(references, leaf):
+        for node in tree.path(int(n)):
+            away = np.abs(point - tree.pivots[node]).sum()
+            near[node], far[node] = min(near[node], away), max(far[node], away)
+    return leaf, nearest.Bounds(tree, np.unique(leaf), near, far)
+
+
+def in_order(points, references):
+    """Distances summed one dimension after the other."""
+    total = np.zeros((len(points), len(references)))
+    for p, r in zip(points.T, references.T):
+        total += np.abs(p[:, None] - r)
+    return total
+
+
+def unit(draw, rows, dims=64):
+    found = draw.normal(size=(rows, dims))
+    return (found / np.linalg.norm(found, axis=1)[:, None]).astype(np.float32).astype(float)
+
+
+def vectors(kind, draw):
+    if kind == "unit":
+        return unit(draw, 150), unit(draw, 300)
+    if kind == "counts":  # very many ties
+        return draw.poisson(0.4, size=(150, 16)).astype(float), draw.poisson(0.4, size=(300, 16)).astype(float)
+    if kind == "copies":
+        return unit(draw, 100), np.vstack([np.tile(unit(draw, 1), (200, 1)), unit(draw, 100)])
+    if kind == "one value":
+        return np.ones((50, 3)), np.ones((90, 3))
+    if kind == "outliers":
+        return unit(draw, 100) * np.exp(2 * draw.normal(size=(100, 1))), unit(draw, 200) + 1e3 * (draw.random((200, 64)) < 1e-3)
+    if kind == "far":
+        return draw.normal(size=(100, 20)).round(2) + 3, draw.normal(size=(200, 20)).round(2)
+    if kind == "largest":
+        return unit(draw, 100) * 3e38, unit(draw, 200) * 3e38
+    return draw.normal(size=(20, 1200)), draw.normal(size=(40, 1200))
+
+
+@pytest.mark.parametrize("options", [(256, 4096), (8, 7)])
+@pytest.mark.parametrize("k", [1, 5])
+@pytest.mark.parametrize("kind", ["unit", "counts", "copies", "one value", "outliers", "far", "largest", "wide"])
+def test_grid_changes_no_result(kind, k, options, monkeypatch):
+    monkeypatch.setattr(nearest, "_L1_CELLS", 64)  # such small groups would be compared in full at once
+    points, references = vectors(kind, np.random.default_rng(11))
+    leaf_rows, block_rows = options
+    leaf, bounds = group(references, leaf_rows)
+    ids = np.arange(len(references)) * 3
+    distance = in_order(points, references)
+    order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
+    want = np.take_along_axis(distance, order, 1)
+    for home in (bounds.leaves[np.arange(len(points)) % len(bounds.leaves)], np.full(len(points), -1)):
+        for limit in (np.full(len(points), np.inf), want[:, -1].copy()):
+            found, away, compared = nearest._search_group(bounds, k, block_rows, points, limit, home, ids, references, leaf)
+            assert (found == ids[order]).all() and (away == want).all()
+            assert compared <= distance.size
+
+
+def test_what_is_farther_than_the_limit_is_left_out():
+    draw = np.random.default_rng(12)
+    points, references = unit(draw, 300), unit(draw, 700)
+    leaf, bounds = group(references, 64)
+    distance = in_order(points, references)
+    limit = np.full(len(points), np.median(distance.min(axis=1)))
+    found, away, _ = nearest._search_group(
+        bounds, 1, 4096, points, limit, np.full(len(points), -1), np.arange(700), references, leaf)
+    near = distance.min(axis=1) <= limit
+    assert (found[:, 0] == np.where(near, distance.argmin(axis=1), -1)).all()
+    assert (np.isinf(away[:, 0]) == ~near).all()
+
+
+def test_steps_of_the_grid_bound_distances_from_below():
+    draw = np.random.default_rng(13)
+    for kind in ("unit", "counts", "outliers", "far", "wide"):
+        points, references = vectors(kind, draw)
+        grid = nearest._Grid(points, references)
+        steps = grid.distances(grid.points, grid.references).T
+        error = grid.point_error[:, None] + grid.reference_error
+        assert ((steps - error) * grid.step <= in_order(points, references) * (1 + 1e-9) + 1e-9).all()
+
+
+def test_few_pairs_are_computed_in_full(monkeypatch):
+    """Where distances rule no leaf out, as for the given vectors."""
+    draw, full = np.random.default_rng(14), []
+    points, references = unit(draw, 3000), unit(draw, 3000)
+    leaf, bounds = group(references, 1024)
+    inner = nearest._l1_of_pairs
+    monkeypatch.setattr(nearest, "_l1_of_pairs", lambda a, b: full.append(len(a)) or inner(a, b))
+    _, _, compared = nearest._search_group(
+        bounds, 1, 4096, points, np.full(3000, np.inf), bounds.tree.descend(points), np.arange(3000), references, leaf)
+    assert compared > 0.9 * 3000 * 3000 and sum(full) < 0.02 * compared
+
+
+def test_missing_values_take_the_way_in_full():
+    points, references = np.array([[0.0, 1.0], [np.nan, 2.0]]), np.array([[0.0, 1.0], [5.0, 5.0], [0.5, 1.0]])
+    leaf, bounds = group(references, 1024)
+    found, away, _ = nearest._search_group(
+        bounds, 1, 4096, points, np.full(2, np.inf), np.zeros(2, dtype=int), np.arange(3), references, leaf)
+    assert found[0, 0] == 0 and away[0, 0] == 0
