@@ -1,4 +1,5 @@
 import random
+import re
 import sys
 
 import pytest
@@ -221,3 +222,19 @@ def test_padding_then_stripping_gives_the_rows_back(spark):
     padded = training.training_batches(table, 6)
     stripped = padded.select("row_id", F.filter("input_ids", lambda x: x != 0).alias("input_ids"))
     assert sorted(stripped.collect()) == sorted(table.collect())
+
+
+def test_long_preference_texts_stay_whole(spark, monkeypatch):
+    """Nothing is cut off by dpo_truncate, in its SQL either."""
+    from tessera.registry import token_queries
+
+    answers = [" ".join(f"{name}{n}" for n in range(length)) for name, length in (("a", 40), ("b", 3), ("c", 9000))]
+    rows = spark.createDataFrame(
+        [(1, "Case 1[[SEP]]" + answers[0], answers[1], answers[2])], "qid long, text string, accepted string, rejected string")
+    monkeypatch.setattr(token_queries.preference_queries, "preference_dataset", lambda spark, sf_dir: rows)
+    row = token_queries.dpo_truncate(spark, None).first()
+    around = len("### User: Case 1 ### Assistant: </s>".split())
+    for suffix, length in (("", 40), ("_accepted", 3), ("_rejected", 9000)):
+        for name in ("input_ids", "labels", "attention_mask"):
+            assert len(row[name + suffix].split()) == around + length
+    assert not re.search(r"\[-?\d*:-?\d*\]", token_queries.SQL["dpo_truncate"])
