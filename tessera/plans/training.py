@@ -17,42 +17,44 @@ _TAGS = ("qid", "data_group")
 MOST_SHIPPED_SPLITS = 100_000  # about 20 MB with their paths
 
 
-def _tokenised(df: DataFrame, source: Column, target: Column, tokenizer: Tokenizer,
-               block_size: int, lm_type: str, name: str = "_row", source_ids: str | None = None) -> DataFrame:
-    """Add struct(ids, labels) of a (source, target) pair, cut at two blocks.
+def _tokenised(df: DataFrame, texts: dict[str, tuple[Column, Column]], tokenizer: Tokenizer,
+               block_size: int, lm_type: str, source_ids: str | None = None) -> DataFrame:
+    """Add struct(ids, labels) for each named (source, target) pair, cut at two blocks.
 
     Token ids are columns of their own first: a Python tokenizer cannot be
-    called inside the array functions that go on from them. `source_ids`
-    names a column that already holds the ids of the source, of use with a
+    called inside the array functions that go on from them. All pairs take each
+    step together, so that a row is written once for a step. `source_ids`
+    names a column that already holds the ids of every source, of use with a
     tokenizer whose ids can be joined.
     """
     if lm_type not in LM_TYPES:
         raise ValueError(f"unexpected lm_type: {lm_type}; expected one of {LM_TYPES}")
     limit = 2 * block_size
-    goal_ids = tokenizer.encode(target, limit)
+    goals = {name + "_goal": tokenizer.encode(target, limit) for name, (_, target) in texts.items()}
     if lm_type == "dec" and source_ids and tokenizer.joinable:
-        df = df.withColumn(name + "_goal", goal_ids).withColumn(
-            name + "_ids", ar.keep_first(
-                F.concat(source_ids, name + "_goal"), min(limit, tokenizer.model_max_length)))
+        df = df.withColumns(goals).withColumns({
+            name + "_ids": ar.keep_first(F.concat(source_ids, name + "_goal"), min(limit, tokenizer.model_max_length))
+            for name in texts})
     else:
-        text = F.concat_ws(" ", source, target) if lm_type == "dec" else source
-        df = df.withColumns({name + "_ids": tokenizer.encode(text, limit), name + "_goal": goal_ids})
-    ids, goal = F.col(name + "_ids"), F.col(name + "_goal")
-    if lm_type == "dec":
-        row = let(F.struct(ids.alias("ids"), F.size(goal).alias("n")), lambda r: F.struct(
-            r["ids"].alias("ids"),
-            ar.target_labels(r["ids"], r["n"], tokenizer.pad_id).alias("labels")))
-    else:
-        row = F.struct(ids.alias("ids"), ar.ignore_pads(goal, tokenizer.pad_id).alias("labels"))
-    return df.withColumn(name, row).drop(name + "_ids", name + "_goal")
+        df = df.withColumns(goals | {
+            name + "_ids": tokenizer.encode(F.concat_ws(" ", source, target) if lm_type == "dec" else source, limit)
+            for name, (source, target) in texts.items()})
+
+    def labels(name: str) -> Column:
+        if lm_type == "dec":
+            return ar.target_labels(F.col(name + "_ids"), F.size(name + "_goal"), tokenizer.pad_id)
+        return ar.ignore_pads(F.col(name + "_goal"), tokenizer.pad_id)
+
+    rows = {name: F.struct(F.col(name + "_ids").alias("ids"), labels(name).alias("labels")) for name in texts}
+    return df.withColumns(rows).drop(*[name + part for name in texts for part in ("_ids", "_goal")])
 
 
-def _training_arrays(row: Column, tokenizer: Tokenizer, block_size: int, suffix: str = "") -> Column:
+def _training_arrays(row: Column, tokenizer: Tokenizer, block_size: int) -> Column:
     """struct of the three arrays of a row, cut from the front to one block."""
     return let(ar.keep_last(row["ids"], block_size), lambda ids: F.struct(
-        ids.alias("input_ids" + suffix),
-        ar.keep_last(row["labels"], block_size).alias("labels" + suffix),
-        ar.not_pad(ids, tokenizer.pad_id).alias("attention_mask" + suffix)))
+        ids.alias("input_ids"),
+        ar.keep_last(row["labels"], block_size).alias("labels"),
+        ar.not_pad(ids, tokenizer.pad_id).alias("attention_mask")))
 
 
 def chosen_turn(segs: Column, seed: int, key: Column, trainable_round: Column | None = None) -> Column:
@@ -110,7 +112,7 @@ def prepare_sft(rows: DataFrame, tokenizer: Tokenizer | None = None,
         filters.select_known(rows, ["text", "qid", "trainable_round", "data_group"]),
         template_name, seed)
     target = F.concat(F.col("target"), F.lit(tokenizer.eos_token))
-    encoded = _tokenised(pairs, F.col("source"), target, tokenizer, block_size, lm_type)
+    encoded = _tokenised(pairs, {"_row": (F.col("source"), target)}, tokenizer, block_size, lm_type)
     # Filtering the one-row array, not the table, tokenises each text once:
     # a table filter on the length would be pushed below and repeat the work.
     short = F.filter(F.array(F.col("_row")), lambda r: _length(r, lm_type) < block_size)
@@ -162,18 +164,18 @@ def prepare_preference(rows: DataFrame, tokenizer: Tokenizer | None = None,
     roles = tx.template(template_name)
     source = F.concat(F.lit(roles["user"]), tx.first_segment(F.col("text")))
     tags = [c for c in _TAGS if c in known.columns]
-    answers = []
     # The question is the same for all three answers.
     complete = complete.withColumn("_question", tokenizer.encode(source, 2 * block_size))
-    for column, suffix in (("text", ""), ("accepted", "_accepted"), ("rejected", "_rejected")):
-        target = F.concat(F.lit(roles["assistant"]), tx.last_segment(F.col(column)),
-                          F.lit(tokenizer.eos_token))
-        row = "_" + column
-        complete = _tokenised(complete, source, target, tokenizer, block_size, lm_type, row, "_question")
-        complete = complete.withColumn(
-            row, _training_arrays(F.col(row), tokenizer, block_size, suffix))
-        answers.append(row + ".*")
-    return complete.select(*tags, *answers)
+    texts = {"_" + column: (source, F.concat(F.lit(roles["assistant"]), tx.last_segment(F.col(column)),
+                                             F.lit(tokenizer.eos_token)))
+             for column in ("text", "accepted", "rejected")}
+    encoded = _tokenised(complete, texts, tokenizer, block_size, lm_type, "_question")
+    cut, arrays = {}, []
+    for row, suffix in (("_text", ""), ("_accepted", "_accepted"), ("_rejected", "_rejected")):
+        ids, labels = "input_ids" + suffix, "labels" + suffix
+        cut |= {ids: ar.keep_last(F.col(row)["ids"], block_size), labels: ar.keep_last(F.col(row)["labels"], block_size)}
+        arrays += [ids, labels, ar.not_pad(F.col(ids), tokenizer.pad_id).alias("attention_mask" + suffix)]
+    return encoded.withColumns(cut).select(*tags, *arrays)
 
 
 def prepare_pretraining(lines: DataFrame, tokenizer: Tokenizer | None = None,

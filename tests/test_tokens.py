@@ -238,3 +238,28 @@ def test_long_preference_texts_stay_whole(spark, monkeypatch):
         for name in ("input_ids", "labels", "attention_mask"):
             assert len(row[name + suffix].split()) == around + length
     assert not re.search(r"\[-?\d*:-?\d*\]", token_queries.SQL["dpo_truncate"])
+
+
+def test_labels_and_masks_of_odd_ids(spark):
+    """Rows with padding, with nulls and without either agree with a plain loop."""
+    lists = [[], [5], [5, 6, 7], [0], [5, 0, 7], [5, None, 7], [None, 0], list(range(1, 9)), None]
+    rows = [(k, ids, n) for k, ids in enumerate(lists) for n in (0, 1, 2, 8, 20, None)]
+    df = spark.createDataFrame(rows, "k int, x array<int>, n int").select(
+        "x", "n", ar.target_labels(F.col("x"), F.col("n"), 0).alias("labels"), ar.not_pad(F.col("x"), 0).alias("mask"),
+        ar.keep_last(F.col("x"), 2).alias("kept"))
+    for row in df.collect():
+        if row.x is None:
+            assert row.labels is None and row.mask is None and row.kept is None
+            continue
+        hidden = 0 if not row.n else len(row.x) - row.n
+        assert row.labels == [-100 if i < hidden or x == 0 else x for i, x in enumerate(row.x)]
+        assert row.mask == [None if x is None else x != 0 for x in row.x]
+        assert row.kept == row.x[-2:]
+
+
+def test_preference_answers_take_each_step_together(spark):
+    rows = spark.createDataFrame([(1, "q[[SEP]]g", "a b", "r")], "qid long, text string, accepted string, rejected string")
+    plan = training.prepare_preference(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project [") <= 5
+    # Label by label only for rows with padding: one function for the labels and one for the mask of each answer.
+    assert plan.count("ELSE transform(") == 6
