@@ -103,3 +103,30 @@ def test_counts_of_odd_rows(spark, library):
             assert by_id[doc_id].n_tokens == len(library[BYTES].encode(text or "", add_special_tokens=False).ids)
     assert by_id[2].n_bytes == 0 and not by_id[2].over_limit
     assert token_counts.count_tokens(empty(spark), BYTES).count() == 0
+
+
+def test_both_ways_of_merging_agree():
+    counter = token_counts.TokenCounter(BYTES)
+    draw = random.Random(2)
+    for length in [*range(1, 40), 63, 64, 65, 200]:
+        for letters in ("Ġtheraindo", "aab", "Ġ0Ãł"):
+            symbols = "".join(draw.choice(letters) for _ in range(length))
+            want = len(merged(symbols, counter.ranks))
+            assert token_counts._scanned_length(symbols, counter.ranks) == want
+            assert token_counts._queued_length(symbols, counter.ranks) == want
+
+
+def test_a_word_is_merged_once_whatever_signs_follow(library, monkeypatch):
+    counter = token_counts.TokenCounter(BYTES)
+    merge, seen = token_counts.merged_length, []
+    monkeypatch.setattr(token_counts, "merged_length", lambda symbols, ranks: seen.append(symbols) or merge(symbols, ranks))
+    texts = ["a qzxvkj, qzxvkj. (qzxvkj) qzxvkj", "b\n\nc  qzxvkj qzxvkj; qzxvkj!", "qzxvkj\tqzxvkj \n qzxvkj qzxvkj", "é qzxvkj ", " ", "\n",
+             "\x1cx \x1cx", "a \x1cx", "word\n", "\nword 　 x y", "it's 'tis  's", "x \t\n y"]
+    for text in texts:
+        assert counter.count(text) == len(library[BYTES].encode(text, add_special_tokens=False).ids), repr(text)
+    assert seen.count("Ġqzxvkj") == 1
+    kept = counter.cache.limit
+    counter.cache.limit = 4
+    for n in range(200):  # a full cache goes on knowing what is asked for again and again
+        counter.count(f"x qzxvkj y{n}qj z{n}qj")
+    assert seen.count("Ġqzxvkj") == 1 and kept > 4
