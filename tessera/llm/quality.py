@@ -8,11 +8,12 @@ with every labelled vector in blocks.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BoundedCache, per_process, sliced
+from .common import AgingCache, BoundedCache, per_process, sliced
 from .labelled import held_out, training_sample
 
 PER_CLASS = 2048
@@ -23,6 +24,7 @@ SHARPNESS = 8
 THRESHOLD = 0.3
 _CACHE = 150_000
 _TERMS = 50_000
+_SHAPES = 20_000
 _BLOCK = 256
 _OUTLINE = 12
 _SUMMARY_WEIGHT = 3.0
@@ -46,24 +48,44 @@ def _term(name: str) -> int:
     return zlib.crc32(name.encode()) % WIDTH
 
 
-def _word_terms(word: str, terms) -> tuple[int, ...]:
-    """A word's shape with runs made one, its end, its length, and itself if it is short.
+class _Kinds(dict):
+    """The sign that stands for each character in a shape, by code point."""
 
-    Of a longer shape, each `_OUTLINE` runs are a term, to the word's end. `terms` holds the number of each name, one object for all words.
-    """
-    shape = []
-    for c in word:
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c
-        if not shape or shape[-1] != kind:
-            shape.append(kind)
-    found = [f"shape {''.join(shape[i : i + _OUTLINE])}" for i in range(0, len(shape), _OUTLINE)]
-    found += [f"end {''.join(shape[-2:])}", f"length {min(len(word), 40) // 4}"]
+        self[code] = kind
+        return kind
+
+
+def _shape_terms(shape: str, length: int, terms) -> tuple[int, ...]:
+    """Terms of words of one shape and length class. Of a longer shape, each `_OUTLINE` runs are a term, to the word's end."""
+    found = [f"shape {shape[i : i + _OUTLINE]}" for i in range(0, len(shape), _OUTLINE)]
+    found += [f"end {shape[-2:]}", f"length {length}"]
     found += [f"sign {s}" for s in dict.fromkeys(shape) if s not in "aA0x"]
-    if len(word) <= 4:
-        found.append(f"word {word.lower()}")
     return tuple([terms[name] for name in found])
 
 
+class _WordTerms:
+    """A word's shape with runs made one, its end, its length, and itself if it is short.
+
+    `terms` holds the number of each name, one object for all words. Shapes are far fewer than words, so their terms are kept.
+    """
+
+    def __init__(self, terms):
+        self.terms, self.kinds, self.runs = terms, _Kinds(), re.compile(r"(.)\1+", re.DOTALL).sub
+        self.shapes = BoundedCache(lambda key: _shape_terms(*key, terms), _SHAPES)
+
+    def __call__(self, word: str) -> tuple[int, ...]:
+        if word.isascii() and word.islower() and word.isalpha():
+            shape = "a"
+        else:
+            shape = self.runs(r"\1", word.translate(self.kinds))
+        key = shape, min(len(word), 40) // 4
+        found = self.shapes[key] if len(shape) <= 64 else _shape_terms(*key, self.terms)
+        return found if len(word) > 4 else (*found, self.terms[f"word {word.lower()}"])
+
+
 def _summary_terms(text: str, words: list[str]) -> list[int]:
     """Terms for the whole text: size, repetition of words, neighbours and lines."""
     count = len(words)
@@ -91,7 +113,9 @@ def _counted(texts: list, words_terms):
         words = (text or "").split()
         if words:
             found = np.fromiter(chain.from_iterable(map(words_terms.__getitem__, words)), np.int64)
-            row += np.log1p(np.bincount(found, minlength=WIDTH) * (100.0 / len(words))).astype(np.float32)
+            counts = np.bincount(found, minlength=WIDTH)
+            at = np.flatnonzero(counts)
+            row[at] += np.log1p(counts[at] * (100.0 / len(words))).astype(np.float32)
         for term in _summary_terms(text or "", words):
             row[term] += _SUMMARY_WEIGHT
     return rows
@@ -100,7 +124,7 @@ def _counted(texts: list, words_terms):
 def _words_terms():
     def build():
         terms = BoundedCache(_term, _TERMS)
-        return BoundedCache(lambda word: _word_terms(word, terms), _CACHE)
+        return AgingCache(_WordTerms(terms), _CACHE)
 
     return per_process("quality terms", build)
 
@@ -181,7 +205,10 @@ def _block_votes(model: QualityModel, rows):
     nearness = np.round((at @ model.vectors.T).astype(np.float64), 5)
     count = min(NEIGHBOURS, nearness.shape[1])
     last = np.partition(nearness, -count, axis=1)[:, -count, None]
-    vote = np.where(nearness >= last, np.maximum(nearness, 0) ** SHARPNESS, 0) * model.weights
+    near = nearness >= last
+    vote = np.zeros(nearness.shape)
+    vote[near] = np.maximum(nearness[near], 0) ** SHARPNESS
+    vote *= model.weights
     total = vote.sum(axis=1)
     return np.where(total > 0, (vote @ model.labels) / np.maximum(total, 1e-300), model.prior).clip(0, 1).round(9)
 

@@ -1,6 +1,7 @@
 import pytest
 from frames import WILD_IDS, empty, ids, wild
 from tessera.llm import quality, toxicity
+from tessera.llm.common import BoundedCache
 from tessera.llm.labelled import training_sample
 
 LARGER = "/root/testdata/sf0.01"
@@ -133,3 +134,38 @@ def test_repeated_ids_are_one_row_of_the_sample(spark):
     rows = training_sample(docs, labels, "quality", 10)[0].collect()
     assert sorted((r.doc_id, r.label) for r in rows) == [(1, 0), (2, 1), (3, 1)]
     assert {r.doc_id: r.text for r in rows}[1].startswith("text")
+
+
+def test_terms_of_a_shape_are_made_once(monkeypatch):
+    """Words of one shape share their terms, which are those of a plain loop over characters."""
+    make, made = quality._shape_terms, []
+    monkeypatch.setattr(quality, "_shape_terms", lambda *key: made.append(key[:2]) or make(*key))
+    word_terms = quality._WordTerms(BoundedCache(quality._term, 1000))
+
+    def plain(word):
+        shape = []
+        for c in word:
+            kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c
+            if not shape or shape[-1] != kind:
+                shape.append(kind)
+        names = [f"shape {''.join(shape[i : i + 12])}" for i in range(0, len(shape), 12)]
+        names += [f"end {''.join(shape[-2:])}", f"length {min(len(word), 40) // 4}"]
+        names += [f"sign {s}" for s in dict.fromkeys(shape) if s not in "aA0x"]
+        return tuple(map(quality._term, names + ([f"word {word.lower()}"] if len(word) <= 4 else [])))
+
+    words = ["plain", "words", "Word", "İİ", "ßé", "漢字、漢字", "a--b", "a\x00\x00", "\x1c\x1c7", "²²x", "(isn't)", "ǅa", "x" * 500,
+             "aB0." * 300, "é" * 9, "\U0010ffff\U0010ffff"]
+    for _ in range(2):
+        assert [word_terms(w) for w in words] == list(map(plain, words))
+    short = [key for key in made if len(key[0]) <= 64]
+    assert len(short) == len(set(short)) < len(words)
+
+
+def test_words_in_use_stay_known(monkeypatch):
+    words_terms = quality._words_terms()
+    monkeypatch.setattr(words_terms, "limit", 8)
+    made, compute = [], words_terms.compute
+    monkeypatch.setattr(words_terms, "compute", lambda word: made.append(word) or compute(word))
+    for n in range(100):
+        quality._counted([f"oftenasked rare{n}word other{n}word"], words_terms)
+    assert made.count("oftenasked") == 1
